@@ -1 +1,8 @@
 """Bike-share station activity on Spark: ingestion, features, profiles, anomaly detectors, forecasts, reports."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

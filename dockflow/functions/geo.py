@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockflow.schemas import EARTH_RADIUS_KM, RIDE_SPEED_KMH
 
@@ -67,7 +68,7 @@ def ellipsoid_km(lat1, lon1, lat2, lon2, rounds: int = 12) -> np.ndarray:
     return np.where(np.abs(lam - last) < 1e-10, km, np.where(np.isnan(la1 + lo1 + la2 + lo2), np.nan, sphere))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _geodesic(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     return pd.Series(ellipsoid_km(lat1, lon1, lat2, lon2))
 

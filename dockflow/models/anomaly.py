@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockflow.functions.calendar import get_encoding_time, iso_weekday, process_data_cluster
 from dockflow.functions.scalars import anomaly_probability
@@ -98,7 +99,10 @@ def standardise(df: DataFrame, features: Sequence[str] = DETECTOR_FEATURES, key:
     return scaled.drop(*[f"_mean_{f}" for f in features], *[f"_std_{f}" for f in features])
 
 
-@F.pandas_udf("scale array<double>, components array<double>, explained array<double>")
+_DOUBLES = T.ArrayType(T.DoubleType())
+
+
+@F.pandas_udf(T.StructType().add("scale", _DOUBLES).add("components", _DOUBLES).add("explained", _DOUBLES))
 def principal_components(mean: pd.Series, covariance: pd.Series, rows: pd.Series) -> pd.DataFrame:
     """Scaling and the leading components that together exceed 90 % of the scaled variance, per station."""
     dims = len(DETECTOR_FEATURES)

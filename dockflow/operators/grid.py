@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.functions.durations import duration_seconds, interval_text
-from dockflow.operators.movement import movement_columns
+from dockflow.operators.movement import MOVEMENTS, movement_columns
 from dockflow.schemas import ACTIVITY_COLUMNS
 
 STEP = "10m"
-MOVEMENTS = ("transactions_in", "transactions_out", "transactions_all")
 
 
 def deduplicate(

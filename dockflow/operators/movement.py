@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dockflow.operators.timeline import CHUNK, GRID_CHUNK, across_chunks, in_chunk, ordering, previous_values, with_chunk
 
 LEVELS = ("available_stands", "available_bikes")
+MOVEMENTS = ("transactions_in", "transactions_out", "transactions_all")
 
 
 def rise(now: Column, before: Column) -> Column:
@@ -34,21 +35,41 @@ def movement_columns(stands: Column, bikes: Column, stands_before: Column, bikes
     }
 
 
-def add_movements(
-    df: DataFrame, names: Sequence[str] = ("transactions_in", "transactions_out", "transactions_all"),
-    key: str = "station_id", date: str = "date", ties: Sequence[str] = (), chunk: str = GRID_CHUNK,
-) -> DataFrame:
-    """Add the asked movement counts in one pass: one shuffle on (station, chunk), one sort, one window."""
+def _movements(df: DataFrame, names: Sequence[str], key: str, date: str, ties: Sequence[str]) -> DataFrame:
+    """Movement counts on a chunked frame; the chunk column stays."""
     stands, bikes = LEVELS
-    needed = [c for c in LEVELS if (c == stands and "transactions_out" in names)
-              or (c == bikes and ("transactions_in" in names or "transactions_all" in names))]
-    d = previous_values(with_chunk(df, chunk, date), needed, key, date, ties)
-    levels = {c: (F.col(c), F.col(f"_prev_{c}")) if c in needed else (F.lit(None), F.lit(None)) for c in LEVELS}
-    counts = movement_columns(levels[stands][0], levels[bikes][0], levels[stands][1], levels[bikes][1])
+    needed = []
+    if "transactions_out" in names:
+        needed.append(stands)
+    if "transactions_in" in names or "transactions_all" in names:
+        needed.append(bikes)
+    d = previous_values(df, needed, key, date, ties)
+    level = {c: F.col(c) if c in needed else F.lit(None) for c in LEVELS}
+    before = {c: F.col(f"_prev_{c}") if c in needed else F.lit(None) for c in LEVELS}
+    counts = movement_columns(level[stands], level[bikes], before[stands], before[bikes])
     kept = [c for c in df.columns if c not in names]
     return d.select(*[F.col(f"`{c}`") for c in kept], *[counts[n].alias(n) for n in names])
 
 
+def add_movements(
+    df: DataFrame, names: Sequence[str] = MOVEMENTS, key: str = "station_id", date: str = "date",
+    ties: Sequence[str] = (), chunk: str = GRID_CHUNK,
+) -> DataFrame:
+    """Add the asked movement counts in one pass: one shuffle on (station, chunk), one sort, one window."""
+    return _movements(with_chunk(df, chunk, date), names, key, date, ties).drop(CHUNK)
+
+
+def add_movements_and_idle(
+    df: DataFrame, names: Sequence[str] = MOVEMENTS, key: str = "station_id", date: str = "date",
+    ties: Sequence[str] = (), chunk: str = GRID_CHUNK,
+) -> DataFrame:
+    """Movement counts and idle run together: the idle run works on the partitions of the movements.
+
+    ``names`` must hold ``transactions_out``, on which the idle run rests.
+    """
+    return _idle(_movements(with_chunk(df, chunk, date), names, key, date, ties), key, date, ties).drop(CHUNK)
+
+
 def get_transactions_out(df: DataFrame, **options) -> DataFrame:
     """Add ``transactions_out``: bikes taken since the previous row, seen as freed stands."""
     return add_movements(df, ["transactions_out"], **options)
@@ -83,13 +104,21 @@ def get_consecutive_no_transactions_out(
 ) -> DataFrame:
     """Add ``consecutive_no_transactions_out``: position, from 1, within a run of idle rows, 0 on breaking rows.
 
+    A gap in the data is a breaking row too: after it the count starts again at 1.
+    """
+    return _idle(with_chunk(df, chunk, date), key, date, ties).drop(CHUNK)
+
+
+def _idle(df: DataFrame, key: str, date: str, ties: Sequence[str]) -> DataFrame:
+    """Idle run on a chunked frame; the chunk column stays.
+
     Inside a chunk the position is the distance to the last breaking row. Before the chunk's first break it
     continues the run that reaches in from earlier chunks: rows since the last break of the key.
     """
     name = "consecutive_no_transactions_out"
     w = in_chunk(key, date, ties)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    local = with_chunk(df.drop(name), chunk, date).withColumn("_pos", F.row_number().over(w).cast("bigint"))
+    local = df.drop(name).withColumn("_pos", F.row_number().over(w).cast("bigint"))
     local = local.withColumn("_break", F.max(F.when(breaks_idle(), F.col("_pos"))).over(upto))
 
     # rows left idle at the end of each chunk; a chunk without a break adds all its rows to the run before it
@@ -103,7 +132,7 @@ def get_consecutive_no_transactions_out(
     run = F.when(F.col("_break").isNotNull(), F.col("_pos") - F.col("_break")).otherwise(
         F.col("_pos") + F.coalesce("_entry", F.lit(0))
     )
-    return local.join(entry, [key, CHUNK], "left").withColumn(name, run).drop(CHUNK, "_pos", "_break", "_entry")
+    return local.join(entry, [key, CHUNK], "left").withColumn(name, run).drop("_pos", "_break", "_entry")
 
 
 def smooth_status(

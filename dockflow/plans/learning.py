@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dockflow.functions.scalars import activity_bit
 from dockflow.models.anomaly import train_cluster_station
 from dockflow.operators.filters import filter_periode, monitored_stations, usable_rows
-from dockflow.operators.movement import add_movements, get_consecutive_no_transactions_out
+from dockflow.operators.movement import add_movements_and_idle, get_consecutive_no_transactions_out
 from dockflow.operators.profile import activity_statistics, cut
 from dockflow.operators.timeline import GRID_CHUNK
 from dockflow.schemas import CLOSED_PERIOD, IDLE_LIMITS, MAX_IDLE_STEPS, MONITORED_MEAN, UNUSED_STATIONS
+from dockflow.session import settle
 from dockflow.sources.writers import export_model, write_csv
 
 
@@ -22,11 +24,12 @@ def create_station_profilage_activity(
 ) -> DataFrame:
     """Activity profile of every station with its label, least active first; written as CSV when asked."""
     needed = activity.select("station_id", "date", "available_stands", "available_bikes", "status")
-    moved = add_movements(needed, ["transactions_out"], chunk=chunk)
-    idle = get_consecutive_no_transactions_out(moved, chunk=chunk)
+    needed = needed.where(F.col("station_id").isNotNull())
+    idle = add_movements_and_idle(needed, ["transactions_out"], chunk=chunk)
     usable = usable_rows(filter_periode(idle, non_use_station_id, period), max_idle)
     stats = activity_statistics(usable.select("station_id", activity_bit().alias("transactions_out_bool")))
-    profile = cut(stats, "mean").orderBy("mean", "station_id")
+    # one row per station, read three times by the labelling: computed once
+    profile = cut(settle(stats), "mean").orderBy("mean", "station_id")
     if target is not None:
         write_csv(profile, target)
     return profile

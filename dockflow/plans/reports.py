@@ -12,7 +12,7 @@ from dockflow.functions.scalars import hover_text, state_colour, state_rank, sta
 from dockflow.models.anomaly import RUN, predict_anomalies_station
 from dockflow.operators.filters import date_slice, filter_periode, require_station
 from dockflow.operators.grid import hourly_totals
-from dockflow.operators.movement import add_movements, get_consecutive_no_transactions_out
+from dockflow.operators.movement import add_movements_and_idle
 from dockflow.operators.timeline import GRID_CHUNK, running_sum
 from dockflow.schemas import CLOSED_PERIOD, LEGEND_STATIONS, UNUSED_STATIONS
 
@@ -84,7 +84,7 @@ def station_anomaly_report(
     if station_id is not None:
         df = df.where(F.col("station_id") == station_id)
     if RUN not in df.columns:
-        df = get_consecutive_no_transactions_out(add_movements(df, chunk=chunk), chunk=chunk)
+        df = add_movements_and_idle(df, chunk=chunk)
     scored = predict_anomalies_station(df, models, station_id, with_score)
     return anomaly_series(scored, start_date, end_date), anomaly_episodes(date_slice(scored, start_date, end_date), chunk)
 
