@@ -12,6 +12,7 @@ from dockflow.functions.calendar import iso_weekday
 from dockflow.operators.grid import polls_to_grid
 from dockflow.operators.movement import get_consecutive_no_transactions_out
 from dockflow.schemas import ACTIVITY_COLUMNS
+from dockflow.session import settle
 
 #: Idle runs of the stand-in data are short, so limits and caps are scaled down.
 RULES = {"very high": 1, "hight": 1, "medium": 2, "low": 3}
@@ -48,8 +49,13 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polls_to_grid(polls(spark, sf_dir))
 
 
+def stored_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid as a written table, as the learning dataset is: later steps read it more than once."""
+    return settle(activity(spark, sf_dir))
+
+
 def idle_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return get_consecutive_no_transactions_out(activity(spark, sf_dir))
+    return get_consecutive_no_transactions_out(stored_activity(spark, sf_dir))
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from dockflow.operators.filters import filter_periode, usable_rows
 from dockflow.operators.lookups import with_profile
 from dockflow.operators.profile import idle_percentile
 from dockflow.schemas import CLOSED_PERIOD, DETECTOR_FEATURES, IDLE_LIMITS, MAX_IDLE_STEPS, SEED, UNUSED_STATIONS
+from dockflow.session import settle
 
 RUN = "consecutive_no_transactions_out"
 COMBINATION = (RUN, "quarter", "weekday", "hours")
@@ -67,17 +68,19 @@ def add_encodings(counted: DataFrame) -> DataFrame:
 def feature_moments(counted: DataFrame, key: str = "station_id") -> DataFrame:
     """Per station: ``rows``, and ``mean`` and population ``covariance`` (upper triangle, row by row) of the features.
 
-    Two passes over the counts, so a constant feature gets a variance of (almost) exactly 0.
+    Two passes over the counts, so a constant feature gets a variance of 0. Values are rounded to nine places: the order
+    in which partial sums meet must not turn components of equal variance.
     """
     encoded = add_encodings(counted)
     n = F.sum("rows")
     means = encoded.groupBy(key).agg(
-        n.alias("_n"), *[(F.sum(F.col("rows") * F.col(f)) / n).alias(f"_mean_{i}") for i, f in enumerate(DETECTOR_FEATURES)]
+        n.alias("_n"),
+        *[F.round(F.sum(F.col("rows") * F.col(f)) / n, 9).alias(f"_mean_{i}") for i, f in enumerate(DETECTOR_FEATURES)],
     )
     gaps = [F.col(f) - F.col(f"_mean_{i}") for i, f in enumerate(DETECTOR_FEATURES)]
     centred = encoded.join(means, key)
     pairs = [
-        (F.sum(F.col("rows") * gaps[i] * gaps[j]) / F.first("_n")).alias(f"_c_{i}_{j}")
+        F.round(F.sum(F.col("rows") * gaps[i] * gaps[j]) / F.sum("rows"), 9).alias(f"_c_{i}_{j}")
         for i in range(len(gaps))
         for j in range(i, len(gaps))
     ]
@@ -184,16 +187,17 @@ def train_cluster_station(
         raise ValueError("give a profile table or a label")
     if station_id is not None:
         df = df.where(F.col("station_id") == station_id)
-    counted = count_combinations(training_rows(df, period, non_use_station_id, max_idle))
+    # small, and read by the moments, the contamination and the trees: computed once
+    counted = settle(count_combinations(training_rows(df, period, non_use_station_id, max_idle)))
     moments = feature_moments(counted)
     setup = moments.withColumn("_p", principal_components("mean", "covariance", "rows")).join(
         contamination(counted, profile, profile_station_activity, rules), "station_id"
     )
-    setup = setup.select("station_id", "mean", "_p.scale", "_p.components", "contamination")
+    setup = setup.select(F.col("station_id").alias("_station"), "mean", "_p.scale", "_p.components", "contamination")
     combos = add_encodings(counted)
     return (
         combos.groupBy("station_id")
-        .cogroup(setup.groupBy("station_id"))
+        .cogroup(setup.groupBy("_station"))
         .applyInPandas(_fit_station(seed, trees, sample), MODEL_SCHEMA)
     )
 
@@ -218,12 +222,12 @@ def score_combinations(combos: DataFrame, models: DataFrame) -> DataFrame:
     """
     band = F.floor(F.col(RUN) / RUN_BAND)
     encoded = add_encodings(combos).withColumn("_band", band)
-    bands = combos.select("station_id", band.alias("_band")).distinct()
-    placed = models.join(bands, "station_id")
+    bands = combos.select(F.col("station_id").alias("_station"), band.alias("_model_band")).distinct()
+    placed = models.join(bands, models["station_id"] == bands["_station"]).drop("station_id")
     schema = f"station_id int, {RUN} bigint, quarter int, weekday int, hours int, decision double"
     return (
         encoded.groupBy("station_id", "_band")
-        .cogroup(placed.groupBy("station_id", "_band"))
+        .cogroup(placed.groupBy("_station", "_model_band"))
         .applyInPandas(_score_group, schema)
     )
 

@@ -58,12 +58,11 @@ def polls_to_grid(polls: DataFrame, key: str = "station_id", date: str = "date",
         F.window(F.col(date), interval_text(every)).end.alias("_end"),
     )
     w = Window.partitionBy(key, "_end").orderBy(date)
-    inner = movement_columns(
-        F.col("available_stands"), F.col("available_bikes"),
-        F.lag("available_stands").over(w), F.lag("available_bikes").over(w),
-    )
+    levels = ("available_stands", "available_bikes")
+    inside = stepped.withColumns({f"_prev_{c}": F.lag(c).over(w) for c in levels})
+    inner = movement_columns(*[F.col(c) for c in levels], *[F.col(f"_prev_{c}") for c in levels])
     steps = (
-        stepped.withColumns(inner)
+        inside.withColumns(inner)
         .groupBy(key, "_end")
         .agg(
             F.min_by("available_stands", date).alias("_head_stands"),
@@ -75,9 +74,9 @@ def polls_to_grid(polls: DataFrame, key: str = "station_id", date: str = "date",
         )
     )
     over_key = Window.partitionBy(key).orderBy("_end")
+    steps = steps.withColumns({f"_prev_{c}": F.lag(c).over(over_key) for c in levels})
     border = movement_columns(
-        F.col("_head_stands"), F.col("_head_bikes"),
-        F.lag("available_stands").over(over_key), F.lag("available_bikes").over(over_key),
+        F.col("_head_stands"), F.col("_head_bikes"), *[F.col(f"_prev_{c}") for c in levels]
     )
     return steps.select(
         key,
