@@ -437,7 +437,7 @@ def without_listed(spark, sf_dir):
 
 
 def future_target(spark, sf_dir):
-    return lookups.create_target(I.activity(spark, sf_dir), "available_bikes", "30m").select(
+    return lookups.create_target(I.stored_activity(spark, sf_dir), "available_bikes", "30m").select(
         "station_id", "date", "available_bikes", "target"
     )
 
@@ -465,7 +465,7 @@ FORECAST_COLUMNS = get_feature_to_use_for_model("available_bikes")[6:]
 
 
 def lags_and_rolling(spark, sf_dir):
-    built = build_feat_for_regression(I.activity(spark, sf_dir).select("station_id", "date", "available_bikes"), "available_bikes")
+    built = build_feat_for_regression(I.stored_activity(spark, sf_dir).select("station_id", "date", "available_bikes"), "available_bikes")
     return built.select("station_id", "date", *FORECAST_COLUMNS)
 
 

@@ -115,18 +115,22 @@ def control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly weather: an aggregate of the events of every hour whose number is not a multiple of five."""
-    hourly = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").start.alias("date")).agg(
-        F.max("value").alias("temperature"), F.min("value").alias("wind_speed"), F.count("*").alias("humidity")
+    """Hourly weather: an aggregate of the events of the same hour one day before, so the first day has none."""
+    hour = F.window("ts", "1 hour").start
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy(hour.alias("_hour"))
+        .agg(F.max("value").alias("temperature"), F.min("value").alias("wind_speed"), F.count("*").alias("humidity"))
+        .select((F.col("_hour") + F.make_dt_interval(F.lit(1))).alias("date"), "temperature", "wind_speed", "humidity")
     )
-    return hourly.where(F.hour("date") % 5 != 0)
 
 
-def station_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def station_profile(spark: SparkSession, sf_dir: str, grid: DataFrame | None = None) -> DataFrame:
     """Profile labels of the four stations, from the share of rows with a departure."""
     share = F.avg(F.when(F.col("transactions_out") >= 1, 1.0).otherwise(0.0))
     label = F.when(F.col("station_id") % 2 == 0, "medium").otherwise("low")
-    return activity(spark, sf_dir).groupBy("station_id").agg(share.alias("mean")).withColumn(
+    rows = activity(spark, sf_dir) if grid is None else grid
+    return rows.groupBy("station_id").agg(share.alias("mean")).withColumn(
         "profile_station_activity", label
     )
 
@@ -253,8 +257,8 @@ CTES = {
         s_name AS "NOM",
         CASE WHEN s_suppkey % 7 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_minutes(s_suppkey) END AS anomaly_since
         FROM supplier""",
-    "weather": """SELECT * FROM (SELECT date_trunc('hour', ts) AS date, max(value) AS temperature,
-        min(value) AS wind_speed, count(*) AS humidity FROM events GROUP BY 1) WHERE hour(date) % 5 <> 0""",
+    "weather": """SELECT date_trunc('hour', ts) + INTERVAL 1 DAY AS date, max(value) AS temperature,
+        min(value) AS wind_speed, count(*) AS humidity FROM events GROUP BY 1""",
     "station_profile": """SELECT station_id, avg(CASE WHEN transactions_out >= 1 THEN 1e0 ELSE 0e0 END) AS mean,
         CASE WHEN station_id % 2 = 0 THEN 'medium' ELSE 'low' END AS profile_station_activity
         FROM activity GROUP BY station_id""",

@@ -42,7 +42,7 @@ STATS = f"""SELECT station_id, count(bit) AS total_point, avg(bit) AS mean, CAST
 
 def station_profile(spark, sf_dir):
     made = learning.create_station_profilage_activity(
-        I.activity(spark, sf_dir), non_use_station_id=[], period=I.PERIOD, max_idle=I.MAX_IDLE
+        I.stored_activity(spark, sf_dir), non_use_station_id=[], period=I.PERIOD, max_idle=I.MAX_IDLE
     )
     return made.withColumns({"mean": rounded("mean"), "std": rounded("std")})
 
@@ -175,10 +175,12 @@ CONTAMINATIONS = sql(
     "idle", "station_profile", train=TRAIN, limited=LIMITED)
 
 
-def _fleet(spark, sf_dir, target=None):
+def _fleet(spark, sf_dir, target=None, rows=None):
+    """Detectors of all stations; ``rows`` may hold the activity, with or without the idle run."""
+    rows = I.stored_activity(spark, sf_dir) if rows is None else rows
     return learning.run_train_cluster(
-        I.activity(spark, sf_dir), I.station_profile(spark, sf_dir), target, threshold=0.0, non_use_station_id=[],
-        rules=I.RULES, **SETTINGS,
+        rows, I.station_profile(spark, sf_dir, rows), target, threshold=0.0, non_use_station_id=[], rules=I.RULES,
+        **SETTINGS,
     )
 
 
@@ -222,8 +224,9 @@ ONE_DETECTOR = sql(
 
 
 def _scored(spark, sf_dir, with_score=False):
-    models = settle(_fleet(spark, sf_dir))
-    return anomaly.predict_anomalies_station(I.idle_activity(spark, sf_dir), models, with_score=with_score), models
+    rows = settle(I.idle_activity(spark, sf_dir))
+    models = settle(_fleet(spark, sf_dir, rows=rows))
+    return anomaly.predict_anomalies_station(rows, models, with_score=with_score), models
 
 
 def anomaly_predictions(spark, sf_dir):
@@ -253,7 +256,7 @@ ANOMALY_SHARE = sql("SELECT station_id, count(*) AS rows, true AS within_contami
 
 
 def forecast_features(spark, sf_dir):
-    rows = I.activity(spark, sf_dir).select("station_id", "date", "available_bikes")
+    rows = I.stored_activity(spark, sf_dir).select("station_id", "date", "available_bikes")
     built = forecast.build_feat_for_regression(lookups.create_target(rows, "available_bikes", "1h"), "available_bikes")
     waves = [rounded(f).alias(f) for f in forecast.get_feature_to_use_for_model("available_bikes")[:6]]
     return built.select("station_id", "date", "target", *waves, *FORECAST_COLUMNS)
@@ -276,8 +279,9 @@ REQUEST = "target_station_id=2,target_col=available_bikes,horizon_prediction=30m
 
 def station_forecast(spark, sf_dir):
     """Answer to one request; the forecast lies within the values seen."""
-    answer = forecast.get_prediction_station(I.activity(spark, sf_dir), REQUEST)
-    seen = I.activity(spark, sf_dir).where("station_id = 2").agg(
+    history = I.stored_activity(spark, sf_dir)
+    answer = forecast.get_prediction_station(history, REQUEST)
+    seen = history.where("station_id = 2").agg(
         F.min("available_bikes").alias("low"), F.max("available_bikes").alias("high")
     )
     low, high = seen.select("low").scalar(), seen.select("high").scalar()
@@ -286,7 +290,7 @@ def station_forecast(spark, sf_dir):
 
 def station_forecast_value(spark, sf_dir):
     return forecast.get_prediction_station(
-        I.activity(spark, sf_dir), "target_station_id=1, target_col=available_stands, horizon_prediction=2h10m"
+        I.stored_activity(spark, sf_dir), "target_station_id=1, target_col=available_stands, horizon_prediction=2h10m"
     ).select("station_id", "date", "y_pred")
 
 

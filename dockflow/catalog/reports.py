@@ -82,8 +82,9 @@ def extents(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    models = settle(_fleet(spark, sf_dir))
-    return reports.station_anomaly_report(I.activity(spark, sf_dir), models, with_score=True)
+    rows = I.stored_activity(spark, sf_dir)
+    models = settle(_fleet(spark, sf_dir, rows=rows))
+    return reports.station_anomaly_report(rows, models, with_score=True)
 
 
 def report_series(spark, sf_dir):

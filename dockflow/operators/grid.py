@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.functions.durations import duration_seconds, interval_text
+from dockflow.functions.durations import duration_seconds, interval_text, wall_seconds
 from dockflow.operators.movement import MOVEMENTS, movement_columns
 from dockflow.schemas import ACTIVITY_COLUMNS
 
@@ -88,17 +88,35 @@ def polls_to_grid(polls: DataFrame, key: str = "station_id", date: str = "date",
     )
 
 
+STEP_BLOCK = 1008
+
+
+def every_step(span: DataFrame, key: str, date: str, seconds: int) -> DataFrame:
+    """All steps from ``_first`` to ``_last`` of each key.
+
+    First only blocks of steps are laid out; they are spread over the shuffle partitions before they become rows, so a
+    small table of spans does not grow into millions of rows inside one task.
+    """
+    partitions = int(span.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = F.floor((wall_seconds("_last") - wall_seconds("_first")) / seconds)
+    blocks = span.withColumn("_steps", count).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_steps") / STEP_BLOCK)))
+    )
+    start = F.col("_block") * STEP_BLOCK
+    numbered = blocks.repartition(partitions, key, "_block").withColumn(
+        "_step", F.explode(F.sequence(start, F.least("_steps", start + STEP_BLOCK - 1)))
+    )
+    offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_step") * seconds).cast("decimal(18,6)"))
+    return numbered.select(key, (F.col("_first") + offset).alias(date))
+
+
 def upsample(df: DataFrame, key: str = "station_id", date: str = "date", every: str = STEP) -> DataFrame:
     """Add the missing steps between each station's first and last row.
 
     Movements of an added step are 0; levels and status stay null.
     """
-    seconds = duration_seconds(every)
     span = df.groupBy(key).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
-    steps = span.select(
-        key, F.explode(F.sequence("_first", "_last", F.expr(f"INTERVAL {seconds} SECONDS"))).alias(date)
-    )
-    filled = steps.join(df, [key, date], "left")
+    filled = every_step(span, key, date, duration_seconds(every)).join(df, [key, date], "left")
     return filled.select(
         *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) if c in MOVEMENTS else F.col(c) for c in df.columns]
     )
@@ -111,7 +129,6 @@ def hourly_totals(
 
     Hours without rows between a station's first and last hour count 0.
     """
-    seconds = duration_seconds(every)
     hour = F.window(F.col(date), interval_text(every)).end
     totals = (
         df.where(F.col("status") == 1)
@@ -119,9 +136,7 @@ def hourly_totals(
         .agg(F.coalesce(F.sum(feature), F.lit(0)).alias(feature))
     )
     span = totals.groupBy(key).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
-    hours = span.select(
-        key, F.explode(F.sequence("_first", "_last", F.expr(f"INTERVAL {seconds} SECONDS"))).alias(date)
-    )
+    hours = every_step(span, key, date, duration_seconds(every))
     return hours.join(totals, [key, date], "left").withColumn(feature, F.coalesce(feature, F.lit(0)))
 
 

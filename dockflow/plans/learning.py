@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.functions.scalars import activity_bit
-from dockflow.models.anomaly import train_cluster_station
+from dockflow.models.anomaly import RUN, train_cluster_station
 from dockflow.operators.filters import filter_periode, monitored_stations, usable_rows
 from dockflow.operators.movement import add_movements_and_idle, get_consecutive_no_transactions_out
 from dockflow.operators.profile import activity_statistics, cut
@@ -42,10 +42,13 @@ def run_train_cluster(
 ) -> DataFrame:
     """Fit the detector of every monitored station in one job; the model table is written when asked.
 
-    ``activity`` is grid data with ``transactions_out``, as the learning dataset has it.
+    ``activity`` is grid data with ``transactions_out``, as the learning dataset has it; the idle run is added
+    when missing.
     """
     wanted = monitored_stations(profile, threshold, non_use_station_id)
-    rows = get_consecutive_no_transactions_out(activity, chunk=chunk).join(wanted, "station_id", "left_semi")
+    rows = activity.join(wanted, "station_id", "left_semi")
+    if RUN not in rows.columns:
+        rows = get_consecutive_no_transactions_out(rows, chunk=chunk)
     models = train_cluster_station(rows, profile=profile, rules=rules, non_use_station_id=non_use_station_id, **options)
     if target is not None:
         export_model(models, target)

@@ -30,19 +30,23 @@ def build_session(app_name: str = "dockflow", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    A temporary folder of this machine is used only with a local master, where driver and executors share it.
+    Where that is unset, a temporary folder serves with a local master only: driver and executors are one process there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="dockflow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="dockflow-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
