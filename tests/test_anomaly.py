@@ -17,13 +17,14 @@ SCHEMA = f"station_id int, date timestamp_ntz, status int, {RUN} bigint"
 
 
 def station(station_id, days=119, start=datetime(2023, 5, 1), seed=0):
-    """Idle runs that are short by day and longer at night, with rare very long ones."""
+    """Idle runs that are short by day and longer at night, with a few outages of half a day."""
     rng = np.random.default_rng([seed, station_id])
-    rows, run = [], 0
+    rows, run, out = [], 0, 0
     for i in range(days * 144):
         at = start + timedelta(minutes=10 * (i + 1))
-        night = at.hour < 6
-        run = 0 if rng.random() < (0.03 if night else 0.55) else run + 1
+        out = max(out - 1, 80 if rng.random() < 0.0006 else 0)
+        busy = 0.12 if at.hour < 6 else 0.5
+        run = 0 if out == 0 and rng.random() < busy else run + 1
         rows.append((station_id, at, 1, run))
     return rows
 
@@ -137,12 +138,13 @@ def test_fleet(activity, models):
 
 def test_predictions(spark, activity, models):
     cases = spark.createDataFrame(
-        [(106, datetime(2023, 5, 1, 8, 10), 0), (106, datetime(2023, 8, 25, 3, 50), 40)],
+        [(106, datetime(2023, 5, 1, 8, 10), 0), (106, datetime(2023, 8, 25, 3, 50), 40), (106, datetime(2023, 8, 25, 13, 50), 100)],
         f"station_id int, date timestamp_ntz, {RUN} bigint")
-    normal, stuck = anomaly.predict_anomalies_station(cases, models, 106, with_score=True).orderBy("date").collect()
-    # the series is simulated, so only the sides that do not depend on its mix of hours are checked
-    assert normal.anomaly == 1 and normal.anomaly_score <= 38
-    assert stuck.anomaly == -1 and 50 <= stuck.anomaly_score <= 65
+    rows = anomaly.predict_anomalies_station(cases, models, 106, with_score=True).orderBy("date").collect()
+    # the series is simulated, so the exact scores of real stations are not expected
+    assert rows[0].anomaly == 1 and rows[0].anomaly_score < 38
+    assert rows[2].anomaly == -1 and rows[2].anomaly_score > 50
+    assert rows[0].anomaly_score < rows[1].anomaly_score < rows[2].anomaly_score
     scored = anomaly.predict_anomalies_station(activity, models, 106)
     share = scored.agg(F.avg((F.col("anomaly") == -1).cast("double"))).collect()[0][0]
     used = [r.contamination_used for r in models.collect() if r.station_id == 106][0]
