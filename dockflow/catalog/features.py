@@ -111,7 +111,7 @@ def grid_from_polls(spark, sf_dir):
 
 
 def grid_from_movements(spark, sf_dir):
-    return resample_activity(add_movements(I.polls(spark, sf_dir), **TIE))
+    return resample_activity(add_movements(I.unique_polls(spark, sf_dir), chunk=I.RAW))
 
 
 GRID = sql(f"SELECT {GRID_COLUMNS} FROM activity", "activity")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.functions.calendar import iso_weekday
-from dockflow.operators.grid import polls_to_grid
+from dockflow.operators.grid import deduplicate, polls_to_grid
 from dockflow.operators.movement import get_consecutive_no_transactions_out
 from dockflow.schemas import ACTIVITY_COLUMNS
 from dockflow.session import settle
@@ -44,9 +44,14 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def unique_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls with one row per station and date: of copies the first event stays."""
+    return deduplicate(polls(spark, sf_dir), order=["event_id"])
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Activity on the ten-minute grid."""
-    return polls_to_grid(polls(spark, sf_dir))
+    return polls_to_grid(unique_polls(spark, sf_dir))
 
 
 def stored_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +242,9 @@ CTES = {
     "polls": """SELECT CAST(user_id % 4 AS INTEGER) AS station_id, ts AS date, event_id,
         CAST(floor(value) AS BIGINT) % 41 AS available_bikes, 40 - CAST(floor(value) AS BIGINT) % 41 AS available_stands,
         CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS status FROM events""",
-    "moves": moves_sql("polls"),
+    "unique_polls": """SELECT * EXCLUDE (copy) FROM (SELECT *, row_number() OVER (PARTITION BY station_id, date
+        ORDER BY event_id) AS copy FROM polls) WHERE copy = 1""",
+    "moves": moves_sql("unique_polls"),
     "activity": grid_sql("moves"),
     "idle": idle_sql("activity"),
     "flagged": "SELECT *, CASE WHEN consecutive_no_transactions_out >= 2 THEN -1 ELSE 1 END AS anomaly FROM idle",
@@ -274,7 +281,7 @@ CTES = {
 
 #: What each derivation is built on.
 NEEDS = {
-    "moves": ["polls"], "activity": ["moves"], "idle": ["activity"], "flagged": ["idle"],
+    "unique_polls": ["polls"], "moves": ["unique_polls"], "activity": ["moves"], "idle": ["activity"], "flagged": ["idle"],
     "station_profile": ["activity"], "feed_polls": ["feed"], "feed_moves": ["feed_polls"], "feed_grid": ["feed_moves"],
 }
 

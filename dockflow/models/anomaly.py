@@ -23,7 +23,7 @@ from dockflow.operators.filters import filter_periode, usable_rows
 from dockflow.operators.lookups import with_profile
 from dockflow.operators.profile import idle_percentile
 from dockflow.schemas import CLOSED_PERIOD, DETECTOR_FEATURES, IDLE_LIMITS, MAX_IDLE_STEPS, SEED, UNUSED_STATIONS
-from dockflow.session import settle
+from dockflow.session import settle, spread
 
 RUN = "consecutive_no_transactions_out"
 COMBINATION = (RUN, "quarter", "weekday", "hours")
@@ -196,7 +196,8 @@ def train_cluster_station(
     setup = setup.select(F.col("station_id").alias("_station"), "mean", "_p.scale", "_p.components", "contamination")
     combos = add_encodings(counted)
     return (
-        combos.groupBy("station_id")
+        spread(combos, "station_id")
+        .groupBy("station_id")
         .cogroup(setup.groupBy("_station"))
         .applyInPandas(_fit_station(seed, trees, sample), MODEL_SCHEMA)
     )
@@ -226,7 +227,8 @@ def score_combinations(combos: DataFrame, models: DataFrame) -> DataFrame:
     placed = models.join(bands, models["station_id"] == bands["_station"]).drop("station_id")
     schema = f"station_id int, {RUN} bigint, quarter int, weekday int, hours int, decision double"
     return (
-        encoded.groupBy("station_id", "_band")
+        spread(encoded, "station_id", "_band")
+        .groupBy("station_id", "_band")
         .cogroup(placed.groupBy("_station", "_model_band"))
         .applyInPandas(_score_group, schema)
     )

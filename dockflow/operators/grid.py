@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from dockflow.functions.durations import duration_seconds, interval_text, wall_seconds
 from dockflow.operators.movement import MOVEMENTS, movement_columns
 from dockflow.schemas import ACTIVITY_COLUMNS
+from dockflow.session import spread
 
 STEP = "10m"
 
@@ -50,8 +51,9 @@ def resample_activity(df: DataFrame, key: str = "station_id", date: str = "date"
 def polls_to_grid(polls: DataFrame, key: str = "station_id", date: str = "date", every: str = STEP) -> DataFrame:
     """Raw polls, unique per station and date, straight to the grid with movement counts.
 
-    Differences inside a step need only the step's rows, so the window runs on (station, step). The difference
-    across the border of two steps is added on the grid itself, which has one row per station and step.
+    Differences inside a step need only the step's rows, so the window runs on (station, step): at most 600 rows when
+    dates are whole seconds, whatever the number of copies before ``deduplicate``. The difference across the border of
+    two steps is added on the grid itself, which has one row per station and step.
     """
     stepped = polls.select(
         key, date, "available_stands", "available_bikes", "status",
@@ -97,13 +99,12 @@ def every_step(span: DataFrame, key: str, date: str, seconds: int) -> DataFrame:
     First only blocks of steps are laid out; they are spread over the shuffle partitions before they become rows, so a
     small table of spans does not grow into millions of rows inside one task.
     """
-    partitions = int(span.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = F.floor((wall_seconds("_last") - wall_seconds("_first")) / seconds)
     blocks = span.withColumn("_steps", count).withColumn(
         "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_steps") / STEP_BLOCK)))
     )
     start = F.col("_block") * STEP_BLOCK
-    numbered = blocks.repartition(partitions, key, "_block").withColumn(
+    numbered = spread(blocks, key, "_block").withColumn(
         "_step", F.explode(F.sequence(start, F.least("_steps", start + STEP_BLOCK - 1)))
     )
     offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_step") * seconds).cast("decimal(18,6)"))

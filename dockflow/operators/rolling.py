@@ -13,7 +13,9 @@ from dockflow.operators.timeline import GRID_CHUNK, with_row_number
 LAGS = (1, 2, 3)
 #: Rolling window sizes in rows, by the ending of the column name.
 WINDOWS = {"6": 6, "12": 12, "1d": 144, "7d": 1008}
-BLOCK = 8 * 1008
+#: Rows per block. With the history of the longest window a block stays below the 4096 rows that Spark's window operator
+#: holds in memory before it turns to its spillable buffer.
+BLOCK = 3 * 1008
 
 
 def build_lag_and_rolling_feat(

@@ -65,7 +65,7 @@ def test_feature_values(history):
             assert got == value if value is None else got == pytest.approx(value, rel=1e-5)
 
 
-@pytest.mark.parametrize("block", [1008, 1100, 8064])
+@pytest.mark.parametrize("block", [1008, 1100, 3024])
 def test_rolling_against_pandas(spark, block):
     rng = np.random.default_rng(1)
     parts = []
