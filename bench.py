@@ -45,6 +45,8 @@ def main() -> None:
     spark = build_session(
         "dockflow-bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__ui__enabled="false",
         spark__driver__memory="16g", spark__ui__showConsoleProgress="false",
+        # the tables are small: keep all cores busy instead of merging shuffle partitions up to 1 MB
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="64k",
     )
     spark.sparkContext.setLogLevel("ERROR")
     timings = {}

@@ -25,6 +25,8 @@ def test_query(spark, duck, name):
         assert compare(df, duck, SQL[name]) == []
     else:
         assert df.count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 @pytest.mark.skipif(not os.path.exists(SF_DIR), reason="no tables")
