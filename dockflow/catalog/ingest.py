@@ -85,7 +85,7 @@ def raw_activity_file(spark, sf_dir):
         (F.floor("value") % 41).cast("int").alias("available_bikes"), F.col("_second").alias("ts"),
     )
     writers.write_csv(rows, path)
-    return readers.read_activity_vcub(spark, path)
+    return readers.read_raw_activity(spark, path)
 
 
 RAW_ACTIVITY = """SELECT CAST(event_id AS INTEGER) AS gid, CAST(user_id % 4 AS INTEGER) AS station_id, 'VLS' AS type,
@@ -161,11 +161,11 @@ ARRAYS = """SELECT CAST(user_id % 4 AS VARCHAR) AS id, CAST(floor(value) AS BIGI
 
 def geojson_activity(spark, sf_dir):
     docs = readers.parse_geojson(I.geojson_text(I.offset_times(spark, sf_dir)))
-    return ingest.transform_json_api_bdx_station_data_to_df(docs)
+    return ingest.geojson_to_activity(docs)
 
 
 def array_activity(spark, sf_dir):
-    return ingest.transform_json_station_data_to_df(readers.parse_array_json(I.array_text(spark, sf_dir)))
+    return ingest.arrays_to_activity(readers.parse_array_json(I.array_text(spark, sf_dir)))
 
 
 ARRAY_POLLS = """SELECT * EXCLUDE (copy) FROM (SELECT CAST(user_id % 4 AS INTEGER) AS station_id,

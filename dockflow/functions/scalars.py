@@ -60,6 +60,7 @@ def station_state(
     threshold: float = MONITORED_MEAN,
 ) -> Column:
     """State of a station; inactive beats anomaly beats not monitored beats normal."""
+    # The names of the states.
     return (
         F.when(_col(is_inactive) == 1, "inactive")
         .when(_col(is_anomaly) == 1, "anomaly")
@@ -92,6 +93,7 @@ def hover_text(
     def shown(c):
         return F.coalesce(_col(c).cast("string"), F.lit("nan"))
 
+    # The wording on the map.
     return F.concat(
         shown(name),
         F.lit(" <br />station N° : "),

@@ -57,12 +57,12 @@ def array_polls(docs: DataFrame) -> DataFrame:
     return deduplicate(typed)
 
 
-def transform_json_api_bdx_station_data_to_df(docs: DataFrame, zone: str = "Europe/Paris") -> DataFrame:
+def geojson_to_activity(docs: DataFrame, zone: str = "Europe/Paris") -> DataFrame:
     """GeoJSON documents to activity on the grid; steps without polls are left out."""
     return polls_to_grid(geojson_polls(docs, zone))
 
 
-def transform_json_station_data_to_df(docs: DataFrame) -> DataFrame:
+def arrays_to_activity(docs: DataFrame) -> DataFrame:
     """Parallel-array documents to activity on the grid; missing steps are filled."""
     return upsample(polls_to_grid(array_polls(docs)))
 

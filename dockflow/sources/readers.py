@@ -59,7 +59,7 @@ def read_learning_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ACTIVITY).parquet(path)
 
 
-def read_activity_vcub(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_activity(spark: SparkSession, path: str) -> DataFrame:
     """Raw activity CSV; known state words become their digit, others stay."""
     table = spark.read.csv(path, header=True, schema=RAW_ACTIVITY_CSV)
     words = {"CONNECTEE": 1, "DECONNECTEE": 0}

@@ -9,14 +9,14 @@ from dockflow.plans.ingest import (
     create_learning_dataset,
     create_station_attribute,
     geojson_polls,
-    transform_json_api_bdx_station_data_to_df,
-    transform_json_station_data_to_df,
+    geojson_to_activity,
+    arrays_to_activity,
 )
 from dockflow.schemas import ACTIVITY_COLUMNS
 from dockflow.sources.readers import (
     parse_array_json,
     parse_geojson,
-    read_activity_vcub,
+    read_raw_activity,
     read_geojson,
     read_station_open_data,
     read_stations_attributes,
@@ -24,6 +24,7 @@ from dockflow.sources.readers import (
 )
 from dockflow.sources.writers import write_csv
 
+# Three stations as the open-data portal and the attribute file give them.
 OPEN_DATA = """
 Geo Point;Geo Shape;commune;IDENT;TYPE;NOM;NBPLACES;NBVELOS
 44.83803,-0.58437;{"coordinates": [-0.58437, 44.83803], "type": "Point"};Bordeaux;1;VLS;Meriadeck;29;14
@@ -67,7 +68,7 @@ def collection(*features):
 def test_unknown_status_words_are_closed(spark):
     doc = collection(*[feature(f"2024-05-06T12:{m}:00+02:00", s) for m, s in
                        (("20", "DECONNECTEE"), ("25", "CONNECTEE"), ("30", "MAINTENANCE"), ("35", "AUTRE CHOSE ???"))])
-    grid = transform_json_api_bdx_station_data_to_df(parse_geojson(spark.createDataFrame([(doc,)], "json string")))
+    grid = geojson_to_activity(parse_geojson(spark.createDataFrame([(doc,)], "json string")))
     assert tuple(grid.columns) == ACTIVITY_COLUMNS
     rows = grid.orderBy("date").collect()
     assert [(r.date, r.status) for r in rows] == [(datetime(2024, 5, 6, 12, 30), 1), (datetime(2024, 5, 6, 12, 40), 0)]
@@ -105,7 +106,7 @@ def test_array_documents(spark):
         {"id": "2", "available_bikes": [1], "available_stands": [2], "status": ["open"], "ts": ["2020-10-14T01:00:00"]}]})
     docs = parse_array_json(spark.createDataFrame([(doc,)], "json string"))
     assert array_polls(docs).count() == 4
-    rows = transform_json_station_data_to_df(docs).where("station_id = 19").orderBy("date").collect()
+    rows = arrays_to_activity(docs).where("station_id = 19").orderBy("date").collect()
     assert [r.date.minute for r in rows] == [10, 20, 30, 40, 50]
     assert [r.status for r in rows] == [1, None, None, None, 0]
     assert [r.transactions_in for r in rows] == [0, 0, 0, 0, 5]
@@ -126,6 +127,6 @@ def test_raw_activity(spark, tmp_path):
     (tmp_path / "x.csv").write_text(
         "gid,ident,type,name,state,available_stands,available_bikes,ts\n"
         "83,1,VLS,Meriadeck,CONNECTEE,11,9,2017-07-09 11:04:04\n83,1,VLS,Meriadeck,MAINTENANCE,11,9,2017-07-09 11:09:04\n")
-    rows = read_activity_vcub(spark, str(tmp_path / "x.csv")).orderBy("date").collect()
+    rows = read_raw_activity(spark, str(tmp_path / "x.csv")).orderBy("date").collect()
     assert [r.state for r in rows] == ["1", "MAINTENANCE"]
     assert rows[0].station_id == 1 and rows[0].date == datetime(2017, 7, 9, 11, 4, 4)
