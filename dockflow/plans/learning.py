@@ -46,8 +46,12 @@ def run_train_cluster(
     when missing.
     """
     wanted = monitored_stations(profile, threshold, non_use_station_id)
-    rows = activity.join(wanted, "station_id", "left_semi")
-    if RUN not in rows.columns:
+    if RUN in activity.columns:
+        rows = activity.select("station_id", "date", "status", RUN).join(wanted, "station_id", "left_semi")
+    else:
+        # the columns of the idle run and no others: its two branches then share one shuffle of the rows
+        needed = ["station_id", "date", "available_stands", "available_bikes", "status", "transactions_out"]
+        rows = activity.select(*needed).join(wanted, "station_id", "left_semi")
         rows = get_consecutive_no_transactions_out(rows, chunk=chunk)
     models = train_cluster_station(rows, profile=profile, rules=rules, non_use_station_id=non_use_station_id, **options)
     if target is not None:

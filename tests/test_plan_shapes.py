@@ -8,7 +8,7 @@ import pytest
 from dockflow.models.anomaly import count_combinations, training_rows
 from dockflow.operators import filters
 from dockflow.operators.grid import deduplicate, polls_to_grid
-from dockflow.operators.movement import add_movements, get_consecutive_no_transactions_out
+from dockflow.operators.movement import add_movements, add_movements_and_idle, get_consecutive_no_transactions_out
 from dockflow.operators.rolling import build_lag_and_rolling_feat
 
 SCHEMA = "station_id int, date timestamp_ntz, available_stands bigint, available_bikes bigint, status int, gid int"
@@ -92,3 +92,10 @@ def test_training_counts_before_the_shuffle(polls):
     plan = plan_of(count_combinations(training_rows(ready)))
     assert "partial_count" in plan and plan.count("Exchange") == 1
     assert re.search(r"ReadSchema: (\S+)", plan).group(1) == "struct<station_id:int,date:timestamp_ntz,status:int>"
+
+
+def test_movements_and_idle_share_one_shuffle_of_the_rows(polls):
+    needed = polls.drop("gid").where("station_id IS NOT NULL")
+    plan = plan_of(add_movements_and_idle(needed, ["transactions_out"]))
+    assert re.search(r"ReusedExchange \[station_id#\d+, date#\d+, available_stands#\d+L", plan)
+    assert len(re.findall(r"FileScan parquet \[station_id#\d+,date#\d+,available_stands#\d+L,available_bikes", plan)) == 1

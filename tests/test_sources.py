@@ -5,19 +5,19 @@ import pytest
 
 from dockflow.plans.ingest import (
     array_polls,
+    arrays_to_activity,
     create_activity_time_series,
     create_learning_dataset,
     create_station_attribute,
     geojson_polls,
     geojson_to_activity,
-    arrays_to_activity,
 )
 from dockflow.schemas import ACTIVITY_COLUMNS
 from dockflow.sources.readers import (
     parse_array_json,
     parse_geojson,
-    read_raw_activity,
     read_geojson,
+    read_raw_activity,
     read_station_open_data,
     read_stations_attributes,
     read_time_serie_activity,
