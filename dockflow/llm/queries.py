@@ -5,11 +5,12 @@ Each applies its operator with production parameters to whole tables and derives
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe_codec, token_counts
-from dockflow.llm.shared import table
+from dockflow.llm import bpe_codec, host_rules, language_id, mixing, token_counts, url_rules, warc
+from dockflow.llm.shared import held_out, table
+from dockflow.session import scratch_path
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -18,6 +19,67 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Weights of the mix by level; nodes not named weigh 1. Of all tokens a half is asked for, and two epochs at most.
+MIX_WEIGHTS = {"domain": {"a": 5, "b": 3, "c": 2}, "lang": {"en": 4, "fr": 3, "de": 2, "es": 3}, "source": {}}
+MIX_SEED = 17
+
+
+def mix_domain(source: str = "source") -> Column:
+    """A domain for each source: by the first digit of its md5."""
+    digest = F.md5(F.coalesce(F.col(source), F.lit("")))
+    return F.when(digest < "6", "a").when(digest < "b", "b").otherwise("c")
+
+
+def mix_budget() -> Column:
+    return F.expr("tokens DIV 2")
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix and how many epochs take them."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), mix_domain(), mix_budget(), MIX_WEIGHTS, seed=MIX_SEED)
+    return mixed.select("row.doc_id", *mixing.TREE, "n_tokens", "epochs")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _fill_sql(name: str, nodes: str, parents: list[str], level: str, weights: dict) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items())
+    weight = f"CASE {level} {cases} ELSE 1 END" if weights else "1"
+    part = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    keys = ", ".join([*parents, level])
+    order = f"{part} ORDER BY capacity / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+    {name}_w AS (SELECT *, CAST({weight} AS BIGINT) AS weight FROM ({nodes})),
+    {name}_f AS (SELECT *, sum(weight) OVER ({part}) AS total,
+        capacity * (sum(weight) OVER ({part}) - coalesce(sum(weight) OVER ({order}), 0))
+        <= weight * (budget - coalesce(sum(capacity) OVER ({order}), 0)) AS is_full FROM {name}_w),
+    {name} AS (SELECT {keys}, CAST(CASE WHEN is_full THEN capacity ELSE
+        weight * (budget - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({part}))
+        // (total - sum(CASE WHEN is_full THEN weight ELSE 0 END) OVER ({part})) END AS BIGINT) AS budget FROM {name}_f)"""
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(len({_WORDS}) AS BIGINT) AS n_tokens,
+    CASE WHEN md5(coalesce(source, '')) < '6' THEN 'a' WHEN md5(coalesce(source, '')) < 'b' THEN 'b' ELSE 'c' END AS domain
+    FROM documents),
+leaf AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(2 * sum(n_tokens) AS BIGINT) AS capacity
+    FROM d WHERE n_tokens > 0 GROUP BY ALL),
+{_fill_sql("l1", "SELECT domain, sum(capacity) AS capacity, (SELECT sum(tokens) // 2 FROM leaf) AS budget FROM leaf GROUP BY domain",
+           [], "domain", MIX_WEIGHTS["domain"])},
+{_fill_sql("l2", "SELECT domain, lang, sum(capacity) AS capacity, any_value(budget) AS budget FROM leaf JOIN l1 USING (domain) "
+           "GROUP BY domain, lang", ["domain"], "lang", MIX_WEIGHTS["lang"])},
+{_fill_sql("l3", "SELECT domain, lang, source, capacity, budget FROM leaf JOIN l2 USING (domain, lang)",
+           ["domain", "lang"], "source", MIX_WEIGHTS["source"])},
+k AS (SELECT d.*, budget // tokens AS whole, budget % tokens AS rest,
+    md5('{MIX_SEED}:' || (budget // tokens) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+    FROM d JOIN leaf USING (domain, lang, source) JOIN l3 USING (domain, lang, source) WHERE n_tokens > 0),
+e AS (SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN
+    sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) <= rest THEN 1 ELSE 0 END AS BIGINT) AS epochs FROM k)
+SELECT * FROM e WHERE epochs > 0
+"""
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of all documents, as digests."""
     coded = bpe_codec.encode_decode(table(spark, sf_dir, "documents"), vocabulary())
@@ -27,13 +89,100 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those not held out."""
+    documents = table(spark, sf_dir, "documents")
+    languages = language_id.learn_languages(documents, ~held_out())
+    found = language_id.predict_languages(documents, languages)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    folder = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), folder)
+    return warc.read_warc(spark, folder, payloads=False).drop("url", "payload")
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, and which are over 2048 tokens."""
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents."""
+    return host_rules.judge_documents(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+OP9_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+g AS (SELECT r, unnest(range(1, len(words) - 6)) AS pos, words FROM w WHERE len(words) > 8),
+s AS (SELECT r, pos, array_to_string(words[pos:pos + 7], ' ') AS s FROM g),
+t AS (SELECT r, pos, count(*) OVER (PARTITION BY r, s) AS n FROM s),
+c AS (SELECT r, sum(least(8, coalesce(next_pos - pos, 8))) AS n FROM
+    (SELECT r, pos, lead(pos) OVER (PARTITION BY r ORDER BY pos) AS next_pos FROM t WHERE n > 1) GROUP BY r),
+l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM w),
+x AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+m AS (SELECT w.doc_id, w.source, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(x.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+    FROM w LEFT JOIN c USING (r) LEFT JOIN x USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT avg(f / n) AS mean, greatest(var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n), 0) AS v FROM h),
+q AS (SELECT mean, CASE WHEN v <= 0 THEN 1e9 ELSE greatest(mean * (1 - mean) / v - 1, 0) END AS k FROM p),
+j AS (SELECT source, (f + mean * k) / (n + k) <= 0.5 AS host_kept FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND coalesce(host_kept, TRUE) AS kept
+FROM b LEFT JOIN j USING (source)
+"""
+
+#: Verdict, host and path of the rules on pages.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the URL of every page."""
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP10_SQL = f"""
+WITH rules(verdict, host, path) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+u AS (SELECT page_id, CASE WHEN url IS NULL OR position('://' IN url) = 0 THEN ''
+    ELSE substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+p AS (SELECT row_number() OVER () AS r, page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT p.r, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule,
+    arg_max(verdict, length(rules.host || rules.path)) AS verdict
+    FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path)
+    GROUP BY p.r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (r)
+"""
+
 QUERIES = {
+    "op2_mixing": (op2_mixing, OP2_SQL),
     "op3_bpe_codec": (op3_bpe_codec, None),
+    "op4_language_id": (op4_language_id, None),
+    "op5_warc": (op5_warc, OP5_SQL),
     "op6_token_counts": (op6_token_counts, None),
+    "op9_host_rules": (op9_host_rules, OP9_SQL),
+    "op10_url_rules": (op10_url_rules, OP10_SQL),
 }
