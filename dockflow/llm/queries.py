@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe_codec, host_rules, language_id, mixing, token_counts, url_rules, warc
+from dockflow.llm import bpe_codec, host_rules, language_id, line_quality, mixing, token_counts, url_rules, warc
 from dockflow.llm.shared import held_out, table
 from dockflow.session import scratch_path
 
@@ -121,6 +121,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+#: Score from which a document counts as good.
+GOOD = 0.7
+
+
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from labelled ones not held out."""
+    documents = table(spark, sf_dir, "documents")
+    field = line_quality.learn_field(documents, table(spark, sf_dir, "labels"), ~held_out())
+    scored = line_quality.score_texts(documents, field)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of all documents."""
     return host_rules.judge_documents(table(spark, sf_dir, "documents")).drop("host_rate")
@@ -183,6 +195,7 @@ QUERIES = {
     "op4_language_id": (op4_language_id, None),
     "op5_warc": (op5_warc, OP5_SQL),
     "op6_token_counts": (op6_token_counts, None),
+    "op8_line_quality": (op8_line_quality, None),
     "op9_host_rules": (op9_host_rules, OP9_SQL),
     "op10_url_rules": (op10_url_rules, OP10_SQL),
 }
