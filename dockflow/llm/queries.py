@@ -8,7 +8,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dockflow.llm import bpe_codec, host_rules, language_id, line_quality, mixing, token_counts, url_rules, warc
+from dockflow.llm import (
+    bpe_codec,
+    host_rules,
+    language_id,
+    line_quality,
+    mixing,
+    shingle_join,
+    token_counts,
+    url_rules,
+    vector_graph,
+    warc,
+)
 from dockflow.llm.shared import held_out, table
 from dockflow.session import scratch_path
 
@@ -19,6 +30,24 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return vector_graph.near_duplicate_vectors(table(spark, sf_dir, "embeddings")).drop("recall")
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id, vec_id AS reached FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.a
+"""
+
 #: Weights of the mix by level; nodes not named weigh 1. Of all tokens a half is asked for, and two epochs at most.
 MIX_WEIGHTS = {"domain": {"a": 5, "b": 3, "c": 2}, "lang": {"en": 4, "fr": 3, "de": 2, "es": 3}, "source": {}}
 MIX_SEED = 17
@@ -121,6 +150,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle counts and near-duplicate components of all documents."""
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[pos:pos + 4], ' ') AS shingle FROM
+    (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS pos FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n AS x ON p.a = x.doc_id JOIN n AS y ON p.b = y.doc_id
+    WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+r AS (SELECT doc_id, doc_id AS reached FROM w UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
+
 #: Score from which a document counts as good.
 GOOD = 0.7
 
@@ -190,11 +239,13 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 """
 
 QUERIES = {
+    "op1_vector_graph": (op1_vector_graph, OP1_SQL),
     "op2_mixing": (op2_mixing, OP2_SQL),
     "op3_bpe_codec": (op3_bpe_codec, None),
     "op4_language_id": (op4_language_id, None),
     "op5_warc": (op5_warc, OP5_SQL),
     "op6_token_counts": (op6_token_counts, None),
+    "op7_shingle_join": (op7_shingle_join, OP7_SQL),
     "op8_line_quality": (op8_line_quality, None),
     "op9_host_rules": (op9_host_rules, OP9_SQL),
     "op10_url_rules": (op10_url_rules, OP10_SQL),

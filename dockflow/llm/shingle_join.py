@@ -383,18 +383,15 @@ def hub_pairs(shared: DataFrame) -> DataFrame:
     return met.agg(F.count(F.lit(1)).alias("both")).where("both > 1").select("a", "b")
 
 
-def near_duplicates(
-    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", seed: int = 0
-) -> DataFrame:
-    """``id_column``, ``n_shingles`` and ``component_id`` of every row."""
-    documents = _documents(df, id_column, text_column)
+def _components(documents: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """The set table; per class its key ``k``, ``first_id`` and component ``c``; the seed in use."""
     sets = settle(set_table(documents, seed))
     classes = sets.where("n > 0").groupBy("k").agg(
         F.min("id").alias("first_id"), F.max("n").alias("n"), F.min("k2").alias("low2"), F.max("k2").alias("high2")
     )
     classes = settle(classes)
     if not classes.where("low2 != high2").isEmpty():  # two sets with the same first half of the digest
-        return near_duplicates(df, id_column, text_column, seed + 1)
+        return _components(documents, seed + 1)
     total = classes.agg(F.sum(_zone_column(F.col("n")))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET_POSTINGS))
     shared = settle(shared_tokens(documents, buckets, seed))
@@ -405,10 +402,37 @@ def near_duplicates(
     top = labels.unionByName(rest.select(F.col("a").alias("node"), F.col("b").alias("component")))
     final = connected_components(top, "node", "component")
     named = classes.join(final.select(F.col("node").alias("k"), "component"), "k", "left")
-    named = settle(named.select("k", "first_id", F.coalesce("component", "k").alias("c")))
+    return sets, settle(named.select("k", "first_id", F.coalesce("component", "k").alias("c"))), seed
+
+
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``id_column``, ``n_shingles`` and ``component_id`` of every row."""
+    sets, named, _ = _components(_documents(df, id_column, text_column))
     least = named.groupBy("c").agg(F.min("first_id").alias("component_id"))
     of_set = named.join(least, "c").select("k", "component_id")
     return sets.join(of_set, "k", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are: of each component one, with the smallest id, and all without words."""
+    _, named, seed = _components(_documents(df, id_column, text_column))
+    # a null id comes last; of equal ids the smaller key stays
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "k"))
+    keepers = named.groupBy("c").agg(first.alias("first")).select(F.col("first.k").alias("keep"), F.col("first.first_id").alias("keep_id"))
+    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.struct("*").alias("row"))
+
+    def run(batches):
+        for batch in small_slices(batches):
+            keys = [digest(s)[0] if len(s) else None for s in shingle_sets(_texts(batch), seed)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys, pa.int64()), batch.column(2)], ["id", "k", "row"]
+            )
+
+    kinds = dict(rows.dtypes)
+    keyed = rows.mapInArrow(run, f"id {kinds['id']}, k bigint, row {kinds['row']}")
+    met = keyed.where("k IS NOT NULL").join(keepers, (F.col("k") == F.col("keep")) & F.col("id").eqNullSafe(F.col("keep_id")))
+    one = met.groupBy("k", "id").agg(F.first("row").alias("row"))
+    return one.select("row.*").unionByName(keyed.where("k IS NULL").select("row.*"))
