@@ -7,7 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.operators.timeline import CHUNK, GRID_CHUNK, across_chunks, in_chunk, ordering, previous_values, with_chunk
+from dockflow.operators.timeline import (
+    CHUNK,
+    GRID_CHUNK,
+    KEY,
+    across_chunks,
+    in_chunk,
+    ordering,
+    per_chunk,
+    previous_values,
+    relay,
+    with_chunk,
+)
 
 LEVELS = ("available_stands", "available_bikes")
 MOVEMENTS = ("transactions_in", "transactions_out", "transactions_all")
@@ -35,15 +46,15 @@ def movement_columns(stands: Column, bikes: Column, stands_before: Column, bikes
     }
 
 
-def _movements(df: DataFrame, names: Sequence[str], key: str, date: str, ties: Sequence[str]) -> DataFrame:
-    """Movement counts on a chunked frame; the chunk column stays."""
+def _movements(df: DataFrame, names: Sequence[str], date: str, ties: Sequence[str]) -> DataFrame:
+    """Movement counts on a chunked frame; key and chunk stay."""
     stands, bikes = LEVELS
     needed = []
     if "transactions_out" in names:
         needed.append(stands)
     if "transactions_in" in names or "transactions_all" in names:
         needed.append(bikes)
-    d = previous_values(df, needed, key, date, ties)
+    d = previous_values(df, needed, date, ties)
     level = {c: F.col(c) if c in needed else F.lit(None) for c in LEVELS}
     before = {c: F.col(f"_prev_{c}") if c in needed else F.lit(None) for c in LEVELS}
     counts = movement_columns(level[stands], level[bikes], before[stands], before[bikes])
@@ -56,7 +67,7 @@ def add_movements(
     ties: Sequence[str] = (), chunk: str = GRID_CHUNK,
 ) -> DataFrame:
     """Add the asked movement counts in one pass: one shuffle on (station, chunk), one sort, one window."""
-    return _movements(with_chunk(df, chunk, date), names, key, date, ties).drop(CHUNK)
+    return _movements(with_chunk(df, chunk, key, date), names, date, ties).drop(KEY, CHUNK)
 
 
 def add_movements_and_idle(
@@ -67,7 +78,7 @@ def add_movements_and_idle(
 
     ``names`` must hold ``transactions_out``, on which the idle run rests.
     """
-    return _idle(_movements(with_chunk(df, chunk, date), names, key, date, ties), key, date, ties).drop(CHUNK)
+    return _idle(_movements(with_chunk(df, chunk, key, date), names, date, ties), date, ties).drop(KEY, CHUNK)
 
 
 def get_transactions_out(df: DataFrame, **options) -> DataFrame:
@@ -106,33 +117,33 @@ def get_consecutive_no_transactions_out(
 
     A gap in the data is a breaking row too: after it the count starts again at 1.
     """
-    return _idle(with_chunk(df, chunk, date), key, date, ties).drop(CHUNK)
+    return _idle(with_chunk(df, chunk, key, date), date, ties).drop(KEY, CHUNK)
 
 
-def _idle(df: DataFrame, key: str, date: str, ties: Sequence[str]) -> DataFrame:
-    """Idle run on a chunked frame; the chunk column stays.
+def _idle(df: DataFrame, date: str, ties: Sequence[str]) -> DataFrame:
+    """Idle run on a chunked frame; key and chunk stay.
 
     Inside a chunk the position is the distance to the last breaking row. Before the chunk's first break it
     continues the run that reaches in from earlier chunks: rows since the last break of the key.
     """
     name = "consecutive_no_transactions_out"
-    w = in_chunk(key, date, ties)
+    w = in_chunk(date, ties)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     local = df.drop(name).withColumn("_pos", F.row_number().over(w).cast("bigint"))
     local = local.withColumn("_break", F.max(F.when(breaks_idle(), F.col("_pos"))).over(upto))
 
     # rows left idle at the end of each chunk; a chunk without a break adds all its rows to the run before it
-    per_chunk = local.groupBy(key, CHUNK).agg(F.max("_pos").alias("_n"), F.max("_break").alias("_last"))
-    over_key = Window.partitionBy(key).orderBy(CHUNK)
-    stretches = per_chunk.withColumn("_stretch", F.count("_last").over(over_key))
-    in_stretch = Window.partitionBy(key, "_stretch").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
+    ends = per_chunk(local, F.max("_pos").alias("_n"), F.max("_break").alias("_last"))
+    over_key = across_chunks()
+    stretches = ends.withColumn("_stretch", F.count("_last").over(over_key))
+    in_stretch = Window.partitionBy(KEY, "_stretch").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
     ends = stretches.withColumn("_open", F.sum(F.col("_n") - F.coalesce("_last", F.lit(0))).over(in_stretch))
-    entry = ends.select(key, CHUNK, F.coalesce(F.lag("_open").over(over_key), F.lit(0)).alias("_entry"))
+    entry = ends.select(KEY, CHUNK, F.coalesce(F.lag("_open").over(over_key), F.lit(0)).alias("_entry"))
 
     run = F.when(F.col("_break").isNotNull(), F.col("_pos") - F.col("_break")).otherwise(
         F.col("_pos") + F.coalesce("_entry", F.lit(0))
     )
-    return local.join(entry, [key, CHUNK], "left").withColumn(name, run).drop("_pos", "_break", "_entry")
+    return relay(local, entry).withColumn(name, run).drop("_pos", "_break", "_entry")
 
 
 def smooth_status(
@@ -142,15 +153,15 @@ def smooth_status(
 
     The next row is taken within the station, so a station's last row never looks at another station.
     """
-    d = with_chunk(df, chunk, date)
-    w = in_chunk(key, date, ties)
-    heads = d.groupBy(key, CHUNK).agg(F.min_by("status", ordering(date, ties)).alias("_head"))
-    following = heads.select(key, CHUNK, F.lead("_head").over(across_chunks(key)).alias("_following"))
+    d = with_chunk(df, chunk, key, date)
+    w = in_chunk(date, ties)
+    heads = per_chunk(d, F.min_by("status", ordering(date, ties)).alias("_head"))
+    following = heads.select(KEY, CHUNK, F.lead("_head").over(across_chunks()).alias("_following"))
     local = d.withColumns({"_next": F.lead("status").over(w), "_final": F.lead(F.lit(True)).over(w).isNull()})
     upcoming = F.when(F.col("_final"), F.col("_following")).otherwise(F.col("_next"))
     status = F.when(F.coalesce("status", F.lit(0)) != 0, F.col("status")).when(upcoming == 1, 1).otherwise(0)
     return (
-        local.join(following, [key, CHUNK], "left")
+        relay(local, following)
         .withColumn("status", status.cast("int"))
-        .drop(CHUNK, "_next", "_final", "_following")
+        .drop(KEY, CHUNK, "_next", "_final", "_following")
     )

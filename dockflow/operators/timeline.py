@@ -2,8 +2,12 @@
 
 A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here every key is cut into time chunks, the
 ordered step runs inside (key, chunk), and what one chunk owes to its predecessors travels through a summary with one
-row per (key, chunk): pre-aggregated before its shuffle, windowed over the key, joined back. The rows are
-shuffled once, on (key, chunk), and the size of the summary depends on the time span, not on the number of rows.
+row per (key, chunk), windowed over the key and joined back. The rows are shuffled once, on (key, chunk); the summary is
+made from that same shuffle, so the source is read once. The size of the summary depends on the time span, not on the number
+of rows: one row per chunk, that is 144 per key and day with ten-minute chunks.
+
+Null is a key like any other, and rows without a date come first, in a chunk of their own: ``KEY`` wraps the key in a struct,
+which is never null and equals itself, so plain equality joins serve.
 
 ``chunk`` is a duration text. Take one that holds a comfortable number of rows of the busiest key: days for a
 ten-minute grid, minutes for a dense raw feed.
@@ -11,79 +15,83 @@ ten-minute grid, minutes for a dense raw feed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dockflow.functions.durations import duration_seconds, wall_seconds
 
+KEY = "_key"
 CHUNK = "_chunk"
 GRID_CHUNK = "7d"
+#: Chunk of the rows without a date.
+NO_DATE = -(2**62)
+
+
+def with_chunk(df: DataFrame, chunk: str = GRID_CHUNK, key: str = "station_id", date: str = "date") -> DataFrame:
+    """Add key and chunk and deal the rows by them."""
+    number = F.coalesce(F.floor(wall_seconds(date) / duration_seconds(chunk)), F.lit(NO_DATE))
+    return df.withColumns({KEY: F.struct(key), CHUNK: number}).repartition(KEY, CHUNK)
 
 
-def with_chunk(df: DataFrame, chunk: str = GRID_CHUNK, date: str = "date") -> DataFrame:
-    return df.withColumn(CHUNK, F.floor(wall_seconds(date) / duration_seconds(chunk)))
+def in_chunk(date: str, ties: Sequence[str] = ()) -> WindowSpec:
+    return Window.partitionBy(KEY, CHUNK).orderBy(date, *ties)
 
 
-def in_chunk(key: str, date: str, ties: Sequence[str] = ()) -> WindowSpec:
-    return Window.partitionBy(key, CHUNK).orderBy(date, *ties)
+def across_chunks() -> WindowSpec:
+    return Window.partitionBy(KEY).orderBy(CHUNK)
 
 
-def across_chunks(key: str) -> WindowSpec:
-    return Window.partitionBy(key).orderBy(CHUNK)
+def earlier_chunks() -> WindowSpec:
+    return across_chunks().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def ordering(date: str, ties: Sequence[str] = ()) -> Column:
     """The row order as one value, for ``max_by`` and ``min_by``."""
-    return F.struct(date, *ties) if ties else F.col(date)
+    return F.struct(date, *ties)
 
 
-def relay(
-    df: DataFrame,
-    key: str,
-    summary: Sequence[Column],
-    entries: Mapping[str, Callable[[WindowSpec], Column]],
-) -> DataFrame:
-    """Add per-chunk ``entries``, computed over the key from one ``summary`` row per (key, chunk)."""
-    per_chunk = df.groupBy(key, CHUNK).agg(*summary)
-    over_key = across_chunks(key)
-    carried = per_chunk.select(key, CHUNK, *[make(over_key).alias(name) for name, make in entries.items()])
-    return df.join(carried, [key, CHUNK], "left")
+def per_chunk(df: DataFrame, *summary: Column) -> DataFrame:
+    """One row per key and chunk.
 
+    The condition, which always holds, reads all columns: so this branch and that of the rows have the same columns below
+    and share one shuffle.
+    """
+    return df.groupBy(KEY, CHUNK).agg(*summary, F.bit_xor(F.xxhash64(*df.columns)).alias("_all")).where("_all IS NOT NULL")
 
-def previous_values(
-    df: DataFrame, columns: Sequence[str], key: str, date: str, ties: Sequence[str] = (), prefix: str = "_prev_"
-) -> DataFrame:
-    """Add the previous row's value of ``columns`` within the key; ``df`` carries a chunk."""
-    w, order = in_chunk(key, date, ties), ordering(date, ties)
+
+def relay(df: DataFrame, carried: DataFrame) -> DataFrame:
+    """Join what each chunk owes to others, one row per key and chunk, to the rows."""
+    return df.join(carried, [KEY, CHUNK], "left")
+
+
+def previous_values(df: DataFrame, columns: Sequence[str], date: str, ties: Sequence[str] = (), prefix: str = "_prev_") -> DataFrame:
+    """Add the previous row's value of ``columns`` within the key; ``df`` carries key and chunk."""
+    w, order = in_chunk(date, ties), ordering(date, ties)
     local = df.withColumns(
         {f"{prefix}{c}": F.lag(c).over(w) for c in columns} | {"_head": F.row_number().over(w) == 1}
     )
-    tails = df.groupBy(key, CHUNK).agg(*[F.max_by(c, order).alias(f"_tail_{c}") for c in columns])
-    carried = tails.select(
-        key, CHUNK, *[F.lag(f"_tail_{c}").over(across_chunks(key)).alias(f"_tail_{c}") for c in columns]
-    )
-    joined = local.join(carried, [key, CHUNK], "left")
+    tails = per_chunk(df, *[F.max_by(c, order).alias(f"_tail_{c}") for c in columns])
+    carried = tails.select(KEY, CHUNK, *[F.lag(f"_tail_{c}").over(across_chunks()).alias(f"_tail_{c}") for c in columns])
     resolved = {
         f"{prefix}{c}": F.when(F.col("_head"), F.col(f"_tail_{c}")).otherwise(F.col(f"{prefix}{c}")) for c in columns
     }
-    return joined.withColumns(resolved).drop("_head", *[f"_tail_{c}" for c in columns])
+    return relay(local, carried).withColumns(resolved).drop("_head", *[f"_tail_{c}" for c in columns])
 
 
 def with_row_number(
     df: DataFrame, key: str, date: str, ties: Sequence[str] = (), name: str = "_rn", chunk: str = GRID_CHUNK
 ) -> DataFrame:
     """Number the rows of each key from 1 in time order."""
-    df = with_chunk(df, chunk, date)
-    before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    counted = df.groupBy(key, CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = counted.select(key, CHUNK, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    local = df.withColumn(name, F.row_number().over(in_chunk(key, date, ties)).cast("bigint"))
+    df = with_chunk(df, chunk, key, date)
+    counted = per_chunk(df, F.count(F.lit(1)).alias("_rows"))
+    offsets = counted.select(KEY, CHUNK, F.coalesce(F.sum("_rows").over(earlier_chunks()), F.lit(0)).alias("_before"))
+    local = df.withColumn(name, F.row_number().over(in_chunk(date, ties)).cast("bigint"))
     return (
-        local.join(offsets, [key, CHUNK], "left")
+        relay(local, offsets)
         .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
-        .drop(CHUNK, "_before")
+        .drop(KEY, CHUNK, "_before")
     )
 
 
@@ -91,16 +99,14 @@ def running_sum(
     df: DataFrame, value: Column, name: str, key: str, date: str, ties: Sequence[str] = (), chunk: str = GRID_CHUNK
 ) -> DataFrame:
     """Cumulative sum of ``value`` per key in time order."""
-    df = with_chunk(df, chunk, date).withColumn("_value", value)
-    before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(key, CHUNK).agg(F.sum("_value").alias("_total"))
-    offsets = totals.select(key, CHUNK, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    within = F.sum("_value").over(in_chunk(key, date, ties).rowsBetween(Window.unboundedPreceding, 0))
+    df = with_chunk(df.withColumn("_value", value), chunk, key, date)
+    totals = per_chunk(df, F.sum("_value").alias("_total"))
+    offsets = totals.select(KEY, CHUNK, F.coalesce(F.sum("_total").over(earlier_chunks()), F.lit(0)).alias("_before"))
+    within = F.sum("_value").over(in_chunk(date, ties).rowsBetween(Window.unboundedPreceding, 0))
     return (
-        df.withColumn(name, within)
-        .join(offsets, [key, CHUNK], "left")
+        relay(df.withColumn(name, within), offsets)
         .withColumn(name, F.coalesce(name, F.lit(0)) + F.coalesce("_before", F.lit(0)))
-        .drop(CHUNK, "_value", "_before")
+        .drop(KEY, CHUNK, "_value", "_before")
     )
 
 
@@ -109,15 +115,9 @@ def forward_fill(
     chunk: str = GRID_CHUNK,
 ) -> DataFrame:
     """Replace nulls by the latest earlier value of the same key."""
-    df = with_chunk(df, chunk, date)
+    df = with_chunk(df, chunk, key, date)
     filled_at = F.when(F.col(column).isNotNull(), ordering(date, ties))
-    latest = df.groupBy(key, CHUNK).agg(F.max_by(column, filled_at).alias("_latest"))
-    before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = latest.select(key, CHUNK, F.last("_latest", ignorenulls=True).over(before).alias("_latest"))
-    within = F.last(column, ignorenulls=True).over(in_chunk(key, date, ties).rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        df.withColumn(column, within)
-        .join(carried, [key, CHUNK], "left")
-        .withColumn(column, F.coalesce(column, "_latest"))
-        .drop(CHUNK, "_latest")
-    )
+    latest = per_chunk(df, F.max_by(column, filled_at).alias("_latest"))
+    carried = latest.select(KEY, CHUNK, F.last("_latest", ignorenulls=True).over(earlier_chunks()).alias("_latest"))
+    within = F.last(column, ignorenulls=True).over(in_chunk(date, ties).rowsBetween(Window.unboundedPreceding, 0))
+    return relay(df.withColumn(column, within), carried).withColumn(column, F.coalesce(column, "_latest")).drop(KEY, CHUNK, "_latest")

@@ -24,7 +24,6 @@ def create_station_profilage_activity(
 ) -> DataFrame:
     """Activity profile of every station with its label, least active first; written as CSV when asked."""
     needed = activity.select("station_id", "date", "available_stands", "available_bikes", "status")
-    needed = needed.where(F.col("station_id").isNotNull())
     idle = add_movements_and_idle(needed, ["transactions_out"], chunk=chunk)
     usable = usable_rows(filter_periode(idle, non_use_station_id, period), max_idle)
     stats = activity_statistics(usable.select("station_id", activity_bit().alias("transactions_out_bool")))

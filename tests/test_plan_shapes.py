@@ -8,8 +8,15 @@ import pytest
 from dockflow.models.anomaly import count_combinations, training_rows
 from dockflow.operators import filters
 from dockflow.operators.grid import deduplicate, polls_to_grid
-from dockflow.operators.movement import add_movements, add_movements_and_idle, get_consecutive_no_transactions_out
+from dockflow.operators.movement import (
+    add_movements,
+    add_movements_and_idle,
+    get_consecutive_no_transactions_out,
+    get_transactions_out,
+    smooth_status,
+)
 from dockflow.operators.rolling import build_lag_and_rolling_feat
+from dockflow.operators.timeline import forward_fill
 
 SCHEMA = "station_id int, date timestamp_ntz, available_stands bigint, available_bikes bigint, status int, gid int"
 
@@ -62,21 +69,34 @@ def test_copies_meet_before_the_shuffle(polls):
 
 def test_row_windows_stay_in_chunks(polls):
     moved = add_movements(polls, ["transactions_out"], chunk="1h")
-    assert window_keys(moved) == {("station_id", "_chunk"), ("station_id",)}
+    # _key wraps the station; the window over whole stations works on the summary of one row per chunk
+    assert window_keys(moved) == {("_key", "_chunk"), ("_key",)}
     plan = plan_of(moved)
-    # the window over whole stations works on the summary, which is aggregated before its shuffle
     assert "partial_max_by" in plan
-    assert len(re.findall(r"Exchange hashpartitioning\(station_id#\d+, _chunk#\d+L", plan)) == 3
+    # of the rows, named once more where it is reused, and of the summary
+    assert len(re.findall(r"Exchange hashpartitioning\(_key#\d+, _chunk#\d+L", plan)) == 3
+    assert plan.count("ReusedExchange") == 1
+
+
+def test_chunked_operators_read_the_source_once(polls):
+    """Extra columns included: the summary and the rows share one shuffle."""
+    moved = add_movements(polls, chunk="1h")
+    for df in (
+        moved, get_transactions_out(polls), get_consecutive_no_transactions_out(moved, chunk="1h"), smooth_status(polls),
+        forward_fill(polls, "status"), add_movements_and_idle(polls),
+    ):
+        plan = plan_of(df)
+        assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
 
 
 def test_idle_windows(polls):
     idle = get_consecutive_no_transactions_out(add_movements(polls, chunk="1h"), chunk="1h")
-    assert window_keys(idle) <= {("station_id", "_chunk"), ("station_id",), ("station_id", "_stretch")}
+    assert window_keys(idle) <= {("_key", "_chunk"), ("_key",), ("_key", "_stretch")}
 
 
 def test_rolling_windows_stay_in_blocks(polls):
     built = build_lag_and_rolling_feat(polls.select("station_id", "date", "available_bikes"), "available_bikes")
-    assert window_keys(built) == {("station_id", "_chunk"), ("station_id",), ("station_id", "_block")}
+    assert window_keys(built) == {("_key", "_chunk"), ("_key",), ("station_id", "_block")}
     # one sort serves all windows of a block
     assert len(re.findall(r"Sort \[station_id#\d+ ASC NULLS FIRST, _block", plan_of(built))) == 1
 
