@@ -10,6 +10,7 @@ from dockflow.catalog.inputs import sql
 from dockflow.functions.calendar import process_data_cluster
 from dockflow.models import anomaly, forecast
 from dockflow.operators import filters, lookups, profile
+from dockflow.operators.movement import get_consecutive_no_transactions_out
 from dockflow.plans import learning
 from dockflow.schemas import DETECTOR_FEATURES
 from dockflow.session import scratch_path, settle
@@ -187,17 +188,38 @@ def _fleet(spark, sf_dir, target=None, rows=None):
 def fleet_detectors(spark, sf_dir):
     return _fleet(spark, sf_dir).select(
         "station_id", "rows", "sample_rows", rounded("contamination").alias("contamination"),
-        rounded("contamination_used").alias("contamination_used"), (F.size("split_feature") > 0).alias("has_trees"),
+        F.col("threshold").isNotNull().alias("has_threshold"), F.size("split_feature").alias("nodes"),
     )
 
 
 FLEET = sql(
     f"""SELECT station_id, rows, CAST(least(rows, 256) AS INTEGER) AS sample_rows, {r('c')} AS contamination,
-    {r('least(greatest(c, 0), 0.5::DOUBLE)')} AS contamination_used, true AS has_trees
+    c > 0 AND c <= 0.5 AS has_threshold, {anomaly.TREES} * (2 ** (CAST(ceil(log2(greatest(least(rows, 256), 2))) AS INTEGER) + 1) - 1)::INTEGER AS nodes
     FROM (SELECT station_id, count(*) AS rows, 1 - {PERCENTILE} / 100 AS c FROM limited GROUP BY station_id)""",
     "idle", "station_profile", train=TRAIN, limited=LIMITED)
 
 
+def detector_status(spark, sf_dir):
+    """Which stations get a threshold, where labels are missing, null or unknown and shares too large."""
+    rows = I.stored_activity(spark, sf_dir)
+    label = F.when(F.col("station_id") == 1, "unheard of").when(F.col("station_id") == 2, "low")
+    labels = I.station_profile(spark, sf_dir, rows).where("station_id <> 0").withColumn("profile_station_activity", label)
+    idle = get_consecutive_no_transactions_out(rows)
+    made = anomaly.train_cluster_station(idle, profile=labels, rules=I.RULES | {"low": 1}, non_use_station_id=[], **SETTINGS)
+    return made.select(
+        "station_id", "rows", rounded("contamination").alias("contamination"), "reason",
+        F.col("threshold").isNotNull().alias("has_threshold"),
+    )
+
+
+STATUS = sql(
+    f"""SELECT station_id, rows, {r('c')} AS contamination, c IS NOT NULL AND c > 0 AND c <= 0.5 AS has_threshold,
+    CASE WHEN c IS NULL THEN 'no limit for the station''s label' WHEN NOT (c > 0 AND c <= 0.5)
+        THEN 'share of anomalies outside (0, 0.5]' END AS reason
+    FROM (SELECT station_id, count(*) AS rows, CASE WHEN station_id = 2 THEN 1 - {PERCENTILE} / 100 END AS c
+        FROM (SELECT station_id, consecutive_no_transactions_out AS x, 1 AS lim FROM train) GROUP BY station_id)""", "idle", train=TRAIN)
+
+
 def stored_detector(spark, sf_dir):
     path = scratch_path(spark, "models")
     _fleet(spark, sf_dir, path)
@@ -238,18 +260,19 @@ def anomaly_scores(spark, sf_dir):
 
 
 def anomaly_share(spark, sf_dir):
-    """Share of anomalies among the training rows: at most one row above the contamination, being a quantile."""
+    """Anomalies among the training rows, held against the contamination."""
     scored, models = _scored(spark, sf_dir)
     kept = anomaly.training_rows(scored, I.PERIOD, [], I.MAX_IDLE)
     share = kept.groupBy("station_id").agg(
-        F.count("anomaly").alias("rows"), F.avg((F.col("anomaly") == -1).cast("double")).alias("_share")
-    )
-    return share.join(models.select("station_id", "contamination_used"), "station_id").select(
-        "station_id", "rows", (F.col("_share") <= F.col("contamination_used") + 1 / F.col("rows")).alias("within_contamination")
+        F.count(F.lit(1)).alias("rows"), F.avg((F.col("anomaly") == -1).cast("double")).alias("_share")
     )
+    below = F.col("_share") <= F.col("contamination") + 1 / F.col("rows")
+    return share.join(models.select("station_id", "contamination"), "station_id").select("station_id", "rows", below.alias("within_contamination"))
 
 
-ANOMALY_SHARE = sql("SELECT station_id, count(*) AS rows, true AS within_contamination FROM train GROUP BY station_id", "idle", train=TRAIN)
+ANOMALY_SHARE = sql(
+    f"""SELECT station_id, count(*) AS rows, CASE WHEN 1 - {PERCENTILE} / 100 > 0 AND 1 - {PERCENTILE} / 100 <= 0.5 THEN true END
+    AS within_contamination FROM limited GROUP BY station_id""", "idle", "station_profile", train=TRAIN, limited=LIMITED)
 
 
 # -- forecast -------------------------------------------------------------------------------------------------
@@ -308,6 +331,7 @@ QUERIES = {
         FROM (SELECT station_id, consecutive_no_transactions_out AS x, 2 AS lim FROM train) GROUP BY station_id""", "idle", train=TRAIN)),
     "contamination": (contaminations, CONTAMINATIONS),
     "fleet_detectors": (fleet_detectors, FLEET),
+    "detector_status": (detector_status, STATUS),
     "stored_detector": (stored_detector, STORED),
     "one_detector": (one_detector, ONE_DETECTOR),
     "anomaly_predictions": (anomaly_predictions, None),

@@ -28,11 +28,13 @@ from dockflow.session import settle, spread
 RUN = "consecutive_no_transactions_out"
 COMBINATION = (RUN, "quarter", "weekday", "hours")
 KEPT_VARIANCE = 0.9
+#: Largest share of anomalies that a threshold is set for.
+MAX_CONTAMINATION = 0.5
 #: Idle runs per scoring group: bounds a group to 512 * 4 * 7 * 24 combinations.
 RUN_BAND = 512
 
 MODEL_SCHEMA = (
-    "station_id int, rows bigint, sample_rows int, contamination double, contamination_used double, "
+    "station_id int, rows bigint, sample_rows int, contamination double, reason string, "
     "threshold double, mean array<double>, scale array<double>, components array<double>, "
     "split_feature array<int>, split_at array<double>, path_length array<double>"
 )
@@ -147,6 +149,15 @@ def _project(combos: pd.DataFrame, mean, scale, components) -> np.ndarray:
     return ((x - np.asarray(mean)) / np.asarray(scale)) @ loading.T
 
 
+def _unusable(share) -> str | None:
+    """Why no threshold can be set for a share of anomalies."""
+    if pd.isna(share):
+        return "no limit for the station's label"
+    if not 0 < share <= MAX_CONTAMINATION:
+        return f"share of anomalies outside (0, {MAX_CONTAMINATION}]"
+    return None
+
+
 def _fit_station(seed: int, trees: int, sample: int):
     def fit(key, combos: pd.DataFrame, setup: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in MODEL_SCHEMA.split(", ")]
@@ -158,13 +169,12 @@ def _fit_station(seed: int, trees: int, sample: int):
         points = _project(combos, s["mean"], s["scale"], s["components"])
         rng = np.random.default_rng([seed, station & 0xFFFFFFFF])
         feature, cut, path, size = grow_trees(points, counts, rng, trees, sample)
-        share = float(s["contamination"]) if pd.notna(s["contamination"]) else 0.0
-        used = min(max(share, 0.0), 0.5)
-        threshold = -np.inf
-        if used > 0:
-            threshold = counted_percentile(forest_scores(points, feature, cut, path, size), counts, used)
+        share, threshold = s["contamination"], None
+        reason = _unusable(share)
+        if reason is None:
+            threshold = counted_percentile(forest_scores(points, feature, cut, path, size), counts, share)
         row = (
-            station, int(counts.sum()), size, share, used, threshold, list(s["mean"]), list(s["scale"]),
+            station, int(counts.sum()), size, share, reason, threshold, list(s["mean"]), list(s["scale"]),
             list(s["components"]), feature.ravel().tolist(), cut.ravel().tolist(), path.ravel().tolist(),
         )
         return pd.DataFrame([row], columns=columns)
@@ -180,11 +190,16 @@ def train_cluster_station(
 ) -> DataFrame:
     """Model table, one row per station (or for the one asked for).
 
-    Give the activity ``profile`` table, or one label for all stations. A contamination of 0 yields no anomalies, one
-    above 0.5 counts as 0.5; both values are in the table.
+    Give the activity ``profile`` table, or one label for all stations. A station whose label is missing or unknown, or whose
+    share of anomalies isn't above 0 and at most 0.5, has a null ``threshold`` and the ``reason``; it gets no anomaly flags. One
+    unknown label for all is an error.
+
+    Each of the ``trees`` isolation trees is grown, as published, on ``sample`` rows drawn from the counts of all rows.
     """
     if profile is None and profile_station_activity is None:
         raise ValueError("give a profile table or a label")
+    if profile is None and profile_station_activity not in rules:
+        raise ValueError(f"no idle limit for the label {profile_station_activity!r}")
     if station_id is not None:
         df = df.where(F.col("station_id") == station_id)
     # small, and read by the moments, the contamination and the trees: computed once
@@ -212,7 +227,8 @@ def _score_group(key, combos: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame
     nodes = 2 ** (int(np.ceil(np.log2(max(size, 2)))) + 1) - 1
     feature, cut, path = (np.asarray(m[c]).reshape(-1, nodes) for c in ("split_feature", "split_at", "path_length"))
     points = _project(combos, m["mean"], m["scale"], m["components"])
-    out["decision"] = forest_scores(points, feature, cut, path, size) - float(m["threshold"])
+    border = np.nan if pd.isna(m["threshold"]) else float(m["threshold"])
+    out["decision"] = forest_scores(points, feature, cut, path, size) - border
     return out
 
 
@@ -239,8 +255,8 @@ def predict_anomalies_station(
 ) -> DataFrame:
     """Add the detector features and ``anomaly`` (-1 or 1); with ``with_score`` also ``decision`` and ``anomaly_score``.
 
-    Only distinct combinations go through Python; rows meet their decision in a join. A station without a model
-    keeps its rows with nulls. No rows for a station give an empty result.
+    Only distinct combinations go through Python; rows meet their decision in a join. A station without a model or
+    without a threshold keeps its rows with nulls. No rows for a station give an empty result.
     """
     if station_id is not None:
         df = df.where(F.col("station_id") == station_id)

@@ -77,7 +77,7 @@ def idle_percentile(
     df: DataFrame, limit: Column, column: str = "consecutive_no_transactions_out", key: str = "station_id",
     weight: str | None = None,
 ) -> DataFrame:
-    """Share, in percent, of a station's values below its ``limit``; equal values count half.
+    """Share, in percent, of a station's values below its ``limit``; equal values count half. Null without a limit.
 
     With ``weight`` the rows are already counted groups of equal values.
     """
@@ -91,7 +91,8 @@ def idle_percentile(
         counted(value.isNotNull()).alias("_n"),
         counted(value < limit).alias("_below"),
         counted(value <= limit).alias("_upto"),
+        F.max(limit.isNotNull()).alias("_limited"),
     )
     tie = F.when(F.col("_upto") > F.col("_below"), 1).otherwise(0)
     percent = (F.col("_below") + F.col("_upto") + tie) * 50.0 / F.col("_n")
-    return out.select(key, F.col("_n").alias("rows"), percent.alias("percentile"))
+    return out.select(key, F.col("_n").alias("rows"), F.when(F.col("_limited"), percent).alias("percentile"))

@@ -147,7 +147,7 @@ def test_predictions(spark, activity, models):
     assert rows[0].anomaly_score < rows[1].anomaly_score < rows[2].anomaly_score
     scored = anomaly.predict_anomalies_station(activity, models, 106)
     share = scored.agg(F.avg((F.col("anomaly") == -1).cast("double"))).collect()[0][0]
-    used = [r.contamination_used for r in models.collect() if r.station_id == 106][0]
+    used = [r.contamination for r in models.collect() if r.station_id == 106][0]
     assert share <= used + 1 / scored.count()
     assert scored.count() == activity.where("station_id = 106").count()
 
@@ -166,15 +166,44 @@ def test_no_rows_no_model(spark, activity, models):
         anomaly.train_cluster_station(activity)
 
 
-def test_contamination_borders(spark, activity):
-    never = anomaly.train_cluster_station(activity, 106, "low").collect()[0]
-    assert never.contamination <= 0 or never.contamination_used == never.contamination
-    rules = {"very high": 100_000}
-    none = anomaly.train_cluster_station(activity, 106, "very high", rules=rules)
-    assert none.collect()[0].threshold == -np.inf
-    assert anomaly.predict_anomalies_station(activity, none, 106).where("anomaly = -1").count() == 0
-    most = anomaly.train_cluster_station(activity, 106, "very high", rules={"very high": 0}).collect()[0]
-    assert most.contamination > 0.5 and most.contamination_used == 0.5
+def test_no_threshold_without_a_usable_share(spark, activity):
+    """Neither a share above a half nor none at all is bent into one that fits."""
+    for limit in (0, 100_000):
+        made = anomaly.train_cluster_station(activity, 106, "very high", rules={"very high": limit})
+        model = made.collect()[0]
+        assert not 0 < model.contamination <= 0.5
+        assert model.threshold is None and "outside" in model.reason
+        flags = anomaly.predict_anomalies_station(activity, made, 106, with_score=True)
+        assert flags.where("anomaly IS NOT NULL OR decision IS NOT NULL").count() == 0 < flags.count()
+
+
+def test_missing_null_and_unknown_labels(spark, activity):
+    labels = spark.createDataFrame([(106, None), (7, "unheard of")], "station_id int, profile_station_activity string")
+    models = anomaly.train_cluster_station(activity, profile=labels)
+    rows = {r.station_id: r for r in models.collect()}
+    assert set(rows) == {7, 8, 106}
+    assert all(r.contamination is None and r.threshold is None and "label" in r.reason for r in rows.values())
+    assert anomaly.predict_anomalies_station(activity, models).where("anomaly IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="unheard of"):
+        anomaly.train_cluster_station(activity, 106, "unheard of")
+
+
+def test_export_fits_each_station_once(activity, tmp_path, monkeypatch):
+    fitted, log = anomaly._fit_station, str(tmp_path / "fits")
+
+    def counting(*args):
+        fit = fitted(*args)
+
+        def counted(key, combos, setup):
+            with open(log, "a") as f:
+                f.write(f"{key[0]}\n")
+            return fit(key, combos, setup)
+
+        return counted
+
+    monkeypatch.setattr(anomaly, "_fit_station", counting)
+    export_model(anomaly.train_cluster_station(activity, profile_station_activity="very high"), str(tmp_path / "m"))
+    assert sorted(open(log).read().split()) == ["106", "7", "8"]
 
 
 def test_model_table(spark, activity, models, tmp_path):
