@@ -113,6 +113,15 @@ def station_files(spark, sf_dir):
     return readers.read_station_files(spark, _station_files(spark, sf_dir))
 
 
+def permuted_station_files(spark, sf_dir):
+    """Station CSV with its columns in another order and others among them."""
+    path = scratch_path(spark, "permuted")
+    rows = station_files(spark, sf_dir)
+    note = F.concat(F.lit('say "'), F.col("status"), F.lit('", then go'))
+    writers.write_csv(rows.select("available_bikes", note.alias("note"), "status", "available_stands", "timestamp", "id"), path)
+    return readers.read_station_files(spark, path)
+
+
 STATION_FILES = """SELECT CAST(user_id % 4 AS INTEGER) AS id, date_trunc('second', ts) AS timestamp,
     CASE WHEN event_type = 'error' THEN 'closed' ELSE 'open' END AS status,
     CAST(40 - CAST(floor(value) AS BIGINT) % 41 AS INTEGER) AS available_stands,
@@ -203,6 +212,9 @@ def union_of_chunks(spark, sf_dir):
     return deduplicate(ingest.union_sources(parts), order=["event_id"])
 
 
+UNION_OF_CHUNKS = sql("SELECT * FROM unique_polls", "unique_polls")
+
+
 def five_minute_source(spark, sf_dir):
     records = I.table(spark, sf_dir, "events").select(
         F.col("ts").alias("time"), (F.col("user_id") % 4).cast("int").alias("ident"),
@@ -261,13 +273,14 @@ QUERIES = {
     "smoothed_time_series": (smoothed_time_series, SMOOTHED_SERIES),
     "raw_activity_file": (raw_activity_file, RAW_ACTIVITY),
     "station_files": (station_files, STATION_FILES),
+    "permuted_station_files": (permuted_station_files, STATION_FILES),
     "activity_time_series": (activity_time_series, TIME_SERIES),
     "geojson_features": (geojson_features, GEOJSON),
     "array_rows": (array_rows, ARRAYS),
     "geojson_activity": (geojson_activity, sql(f"SELECT {GRID_COLUMNS} FROM feed_grid", "feed_grid")),
     "array_activity": (array_activity, ARRAY_ACTIVITY),
     "learning_dataset": (learning_dataset, sql(f"SELECT {GRID_COLUMNS} FROM feed_grid", "feed_grid")),
-    "union_of_chunks": (union_of_chunks, sql("SELECT * FROM polls", "polls")),
+    "union_of_chunks": (union_of_chunks, UNION_OF_CHUNKS),
     "five_minute_source": (five_minute_source, FIVE_MINUTES),
     "station_intervals": (station_intervals, sql(
         f"SELECT station_id, {SLOT_TEXTS.format(days=7)} FROM stations, slots", "stations", slots=SLOTS.format(days=7))),

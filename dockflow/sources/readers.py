@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,34 +27,40 @@ def fields_of(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
 
+def _csv(spark: SparkSession, path: str, ddl: str, sep: str = ",") -> DataFrame:
+    """The columns of ``ddl``, found by header name among any others and in any order.
+
+    A value that can't be read as its type is null. All files under ``path`` must have the same header; one that
+    differs is an error, as is a missing column.
+    """
+    table = spark.read.csv(path, sep=sep, header=True, escape='"', enforceSchema=False)
+    return _typed(table, ddl)
+
+
+def _typed(table: DataFrame, ddl: str) -> DataFrame:
+    return table.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields_of(ddl)])
+
+
+def _from_text(spark: SparkSession, text: str, ddl: str) -> DataFrame:
+    """As ``_csv`` for a ``;`` separated text with a header; quoted values may hold the separator and line ends."""
+    header, *lines = [line for line in csv.reader(io.StringIO(text.strip()), delimiter=";") if line]
+    rows = [[value or None for value in line] for line in lines]
+    names = ", ".join(f"`{name}` string" for name in header)
+    return _typed(spark.createDataFrame(rows, names), ddl)
+
+
 def read_stations_attributes(spark: SparkSession, path: str, text: str | None = None) -> DataFrame:
     """Station attributes, ``;`` separated. ``text`` gives the content instead of a path (small inputs)."""
-    if text is not None:
-        return _from_text(spark, text, STATION_ATTRIBUTES)
-    return spark.read.csv(path, sep=";", header=True, escape='"', schema=STATION_ATTRIBUTES)
+    return _csv(spark, path, STATION_ATTRIBUTES, ";") if text is None else _from_text(spark, text, STATION_ATTRIBUTES)
 
 
 def read_station_open_data(spark: SparkSession, path: str, text: str | None = None) -> DataFrame:
-    """Open-data station list: the eight columns used, found by name among any others."""
-    if text is not None:
-        return _from_text(spark, text, STATION_OPEN_DATA)
-    table = spark.read.csv(path, sep=";", header=True, escape='"')
-    return table.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in fields_of(STATION_OPEN_DATA)])
-
-
-def _from_text(spark: SparkSession, text: str, schema) -> DataFrame:
-    """Rows of a ``;`` separated text with a header, columns found by name."""
-    header, *lines = [line for line in text.strip().splitlines() if line.strip()]
-    names = header.split(";")
-    rows = spark.createDataFrame([(line,) for line in lines], "line string")
-    parts = F.split(F.col("line"), ";")
-    return rows.select(
-        *[parts[names.index(f.name)].cast(f.dataType).alias(f.name) for f in fields_of(schema)]
-    )
+    """Open-data station list: the eight columns used."""
+    return _csv(spark, path, STATION_OPEN_DATA, ";") if text is None else _from_text(spark, text, STATION_OPEN_DATA)
 
 
 def read_station_profile(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=STATION_PROFILE)
+    return _csv(spark, path, STATION_PROFILE)
 
 
 def read_learning_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -61,7 +70,7 @@ def read_learning_dataset(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw_activity(spark: SparkSession, path: str) -> DataFrame:
     """Raw activity CSV; known state words become their digit, others stay."""
-    table = spark.read.csv(path, header=True, schema=RAW_ACTIVITY_CSV)
+    table = _csv(spark, path, RAW_ACTIVITY_CSV)
     words = {"CONNECTEE": 1, "DECONNECTEE": 0}
     return table.withColumn("state", state_code("state", words)).withColumnsRenamed(
         {"ident": "station_id", "ts": "date"}
@@ -76,7 +85,7 @@ def read_time_serie_activity(spark: SparkSession, path: str, post_processing_sta
 
 def read_station_files(spark: SparkSession, path: str) -> DataFrame:
     """Station CSV files, e.g. ``folder/city-*.csv``: one scan over all of them."""
-    return spark.read.csv(path, header=True, schema=RAW_STATION_CSV)
+    return _csv(spark, path, RAW_STATION_CSV)
 
 
 def read_geojson(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from dockflow.plans.ingest import (
     geojson_to_activity,
 )
 from dockflow.schemas import ACTIVITY_COLUMNS
+from dockflow.sources import readers
 from dockflow.sources.readers import (
     parse_array_json,
     parse_geojson,
@@ -130,3 +131,34 @@ def test_raw_activity(spark, tmp_path):
     rows = read_raw_activity(spark, str(tmp_path / "x.csv")).orderBy("date").collect()
     assert [r.state for r in rows] == ["1", "MAINTENANCE"]
     assert rows[0].station_id == 1 and rows[0].date == datetime(2017, 7, 9, 11, 4, 4)
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    """Any order, others among them, quotes; all four readers."""
+    (tmp_path / "city.csv").write_text('available_bikes,note,available_stands,status,timestamp,id\n3,"a,b",40,open,2024-01-01 00:00:00,7\n')
+    row = readers.read_station_files(spark, str(tmp_path / "city.csv")).collect()[0]
+    assert (row.id, row.available_bikes, row.available_stands, row.status) == (7, 3, 40, "open")
+    raw = tmp_path / "raw.csv"
+    raw.write_text("ts,available_bikes,available_stands,state,name,type,ident,gid,x\n2024-01-01 00:00:00,3,40,CONNECTEE,N,VLS,7,1,9\n")
+    row = readers.read_raw_activity(spark, str(raw)).collect()[0]
+    assert (row.station_id, row.gid, row.available_bikes, row.available_stands, row.state) == (7, 1, 3, 40, "1")
+    profile = tmp_path / "profile.csv"
+    profile.write_text("profile_station_activity,max,mean,median,std,95%,98%,99%,total_point,station_id\nlow,1,0.5,0,0.1,1,1,1,12,7\n")
+    row = readers.read_station_profile(spark, str(profile)).collect()[0]
+    assert (row.station_id, row.total_point, row["mean"], row.profile_station_activity) == (7, 12, 0.5, "low")
+    text = 'NOM;lon;lat;station_id;TYPEA;total_stand;COMMUNE;"Geo Shape";extra;"Geo Point"\nA "B";-0.5;44.8;43;VLS;20;C;"{""a"": 1; ""b"": 2}";x;"44.8, -0.5"\n'
+    (tmp_path / "stations.csv").write_text(text)
+    by_path = readers.read_stations_attributes(spark, str(tmp_path / "stations.csv")).collect()
+    by_text = readers.read_stations_attributes(spark, "", text=text).collect()
+    assert by_path == by_text
+    assert (by_text[0].station_id, by_text[0]["Geo Shape"], by_text[0].total_stand) == (43, '{"a": 1; "b": 2}', 20)
+
+
+def test_files_with_other_headers_fail(spark, tmp_path):
+    (tmp_path / "city-1.csv").write_text("id,timestamp,status,available_stands,available_bikes\n1,2024-01-01 00:00:00,open,1,2\n")
+    (tmp_path / "city-2.csv").write_text("id,timestamp,status,available_bikes,available_stands\n1,2024-01-01 00:10:00,open,1,2\n")
+    with pytest.raises(Exception, match="(?i)header|column"):
+        readers.read_station_files(spark, str(tmp_path / "city-*.csv")).collect()
+    (tmp_path / "short.csv").write_text("id,status\n1,open\n")
+    with pytest.raises(Exception, match="timestamp"):
+        readers.read_station_files(spark, str(tmp_path / "short.csv")).collect()
