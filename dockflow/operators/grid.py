@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.functions.durations import duration_seconds, interval_text, wall_seconds
-from dockflow.operators.movement import MOVEMENTS, movement_columns
+from dockflow.operators.movement import MOVEMENTS, add_movements
+from dockflow.operators.timeline import CHUNK, GRID_CHUNK, KEY, across_chunks, in_chunk, per_chunk, relay, with_chunk
 from dockflow.schemas import ACTIVITY_COLUMNS
-from dockflow.session import spread
 
 STEP = "10m"
+#: Chunk of raw polls: a station polled every millisecond has 60,000 rows in it.
+POLL_CHUNK = "1m"
 
 
 def deduplicate(
@@ -48,78 +50,48 @@ def resample_activity(df: DataFrame, key: str = "station_id", date: str = "date"
     return named.select(key, date, *[c for c in ACTIVITY_COLUMNS if c not in ("station_id", "date")])
 
 
-def polls_to_grid(polls: DataFrame, key: str = "station_id", date: str = "date", every: str = STEP) -> DataFrame:
+def polls_to_grid(
+    polls: DataFrame, key: str = "station_id", date: str = "date", every: str = STEP, chunk: str = POLL_CHUNK
+) -> DataFrame:
     """Raw polls, unique per station and date, straight to the grid with movement counts.
 
-    Differences inside a step need only the step's rows, so the window runs on (station, step): at most 600 rows when
-    dates are whole seconds, whatever the number of copies before ``deduplicate``. The difference across the border of
-    two steps is added on the grid itself, which has one row per station and step.
+    Movements are counted inside chunks of ``chunk`` and across their borders, then summed per step, before the shuffle; take a
+    chunk in which the busiest station has a comfortable number of polls. No window holds a whole station or a whole step.
     """
-    stepped = polls.select(
-        key, date, "available_stands", "available_bikes", "status",
-        F.window(F.col(date), interval_text(every)).end.alias("_end"),
-    )
-    w = Window.partitionBy(key, "_end").orderBy(date)
-    levels = ("available_stands", "available_bikes")
-    inside = stepped.withColumns({f"_prev_{c}": F.lag(c).over(w) for c in levels})
-    inner = movement_columns(*[F.col(c) for c in levels], *[F.col(f"_prev_{c}") for c in levels])
-    steps = (
-        inside.withColumns(inner)
-        .groupBy(key, "_end")
-        .agg(
-            F.min_by("available_stands", date).alias("_head_stands"),
-            F.min_by("available_bikes", date).alias("_head_bikes"),
-            F.max_by("available_stands", date).alias("available_stands"),
-            F.max_by("available_bikes", date).alias("available_bikes"),
-            F.max("status").alias("status"),
-            *[_total(F.col(c)).alias(c) for c in MOVEMENTS],
-        )
-    )
-    over_key = Window.partitionBy(key).orderBy("_end")
-    steps = steps.withColumns({f"_prev_{c}": F.lag(c).over(over_key) for c in levels})
-    border = movement_columns(
-        F.col("_head_stands"), F.col("_head_bikes"), *[F.col(f"_prev_{c}") for c in levels]
-    )
-    return steps.select(
-        key,
-        F.col("_end").alias(date),
-        "available_stands",
-        "available_bikes",
-        "status",
-        *[(F.col(c) + F.coalesce(border[c], F.lit(0))).alias(c) for c in MOVEMENTS],
-    )
-
-
-STEP_BLOCK = 1008
+    needed = polls.select(key, date, "available_stands", "available_bikes", "status")
+    return resample_activity(add_movements(needed, key=key, date=date, chunk=chunk), key, date, every)
 
 
-def every_step(span: DataFrame, key: str, date: str, seconds: int) -> DataFrame:
-    """All steps from ``_first`` to ``_last`` of each key.
+def fill_steps(df: DataFrame, key: str, date: str, every: str, chunk: str = GRID_CHUNK) -> DataFrame:
+    """Grid rows with the missing steps of each key added after the row before them; ``_added`` tells them.
 
-    First only blocks of steps are laid out; they are spread over the shuffle partitions before they become rows, so a
-    small table of spans does not grow into millions of rows inside one task.
+    The next row's date is known from the same chunk or handed over from a later one, so the source is read
+    once and nothing is joined with a calendar. Rows without a date are left out.
     """
-    count = F.floor((wall_seconds("_last") - wall_seconds("_first")) / seconds)
-    blocks = span.withColumn("_steps", count).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_steps") / STEP_BLOCK)))
-    )
-    start = F.col("_block") * STEP_BLOCK
-    numbered = spread(blocks, key, "_block").withColumn(
-        "_step", F.explode(F.sequence(start, F.least("_steps", start + STEP_BLOCK - 1)))
-    )
-    offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_step") * seconds).cast("decimal(18,6)"))
-    return numbered.select(key, (F.col("_first") + offset).alias(date))
+    dated = with_chunk(df.where(F.col(date).isNotNull()), chunk, key, date)
+    heads = per_chunk(dated, F.min(date).alias("_head"))
+    following = heads.select(KEY, CHUNK, F.lead("_head").over(across_chunks()).alias("_following"))
+    local = dated.withColumn("_next", F.lead(date).over(in_chunk(date)))
+    until = F.coalesce("_next", "_following")
+    seconds = duration_seconds(every)
+    missing = F.ceil((wall_seconds(until) - wall_seconds(date)) / seconds) - 1
+    last = F.greatest(F.coalesce(missing, F.lit(0)), F.lit(0)).cast("bigint")
+    steps = relay(local, following).withColumn("_added", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_added") * seconds).cast("decimal(18,6)"))
+    moved = steps.withColumns({date: F.col(date) + offset, "_added": F.col("_added") > 0})
+    return moved.select(*df.columns, "_added")
 
 
 def upsample(df: DataFrame, key: str = "station_id", date: str = "date", every: str = STEP) -> DataFrame:
-    """Add the missing steps between each station's first and last row.
+    """Add the missing steps between each station's first and last row of a grid.
 
     Movements of an added step are 0; levels and status stay null.
     """
-    span = df.groupBy(key).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
-    filled = every_step(span, key, date, duration_seconds(every)).join(df, [key, date], "left")
+    filled = fill_steps(df, key, date, every)
+    empty = {c: F.lit(0).cast("bigint") if c in MOVEMENTS else F.lit(None) for c in df.columns if c not in (key, date)}
+    kept = {c: F.coalesce(c, F.lit(0).cast("bigint")) if c in MOVEMENTS else F.col(c) for c in empty}
     return filled.select(
-        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) if c in MOVEMENTS else F.col(c) for c in df.columns]
+        *[F.when(F.col("_added"), empty[c]).otherwise(kept[c]).alias(c) if c in empty else F.col(c) for c in df.columns]
     )
 
 
@@ -136,9 +108,8 @@ def hourly_totals(
         .groupBy(key, hour.alias(date))
         .agg(F.coalesce(F.sum(feature), F.lit(0)).alias(feature))
     )
-    span = totals.groupBy(key).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
-    hours = every_step(span, key, date, duration_seconds(every))
-    return hours.join(totals, [key, date], "left").withColumn(feature, F.coalesce(feature, F.lit(0)))
+    filled = fill_steps(totals, key, date, every)
+    return filled.select(key, date, F.when(F.col("_added"), 0).otherwise(F.col(feature)).alias(feature))
 
 
 def source_steps(

@@ -7,7 +7,7 @@ import pytest
 
 from dockflow.models.anomaly import count_combinations, training_rows
 from dockflow.operators import filters
-from dockflow.operators.grid import deduplicate, polls_to_grid
+from dockflow.operators.grid import deduplicate, hourly_totals, polls_to_grid, upsample
 from dockflow.operators.movement import (
     add_movements,
     add_movements_and_idle,
@@ -17,6 +17,7 @@ from dockflow.operators.movement import (
 )
 from dockflow.operators.rolling import build_lag_and_rolling_feat
 from dockflow.operators.timeline import forward_fill
+from dockflow.plans.reports import activity_heatmap
 
 SCHEMA = "station_id int, date timestamp_ntz, available_stands bigint, available_bikes bigint, status int, gid int"
 
@@ -57,9 +58,20 @@ def window_keys(df):
 
 def test_grid_shuffles_rows_once_and_steps_once(polls):
     grid = polls_to_grid(polls)
-    assert exchanges(grid) == 2
-    assert window_keys(grid) == {("station_id", "_end"), ("station_id",)}
-    assert "gid" not in re.search(r"ReadSchema: (\S+)", plan_of(grid)).group(1)
+    # rows, the summary of the chunks, its windows, and the steps, which are summed before
+    assert window_keys(grid) == {("_key", "_chunk"), ("_key",)}
+    plan = plan_of(grid)
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1 and "partial_sum" in plan
+    assert "gid" not in re.search(r"ReadSchema: (\S+)", plan).group(1)
+
+
+def test_filling_reads_the_source_once(polls):
+    activity = add_movements(polls, chunk="1h")
+    for df in (upsample(polls.drop("gid")), hourly_totals(polls, "available_bikes"), activity_heatmap(polls, "available_bikes")):
+        plan = plan_of(df)
+        assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+        assert window_keys(df) == {("_key", "_chunk"), ("_key",)}
+    assert plan_of(activity).count("FileScan") == 1
 
 
 def test_copies_meet_before_the_shuffle(polls):
