@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -30,27 +31,41 @@ def build_session(app_name: str = "dockflow", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
-_LOCAL_ROOTS: dict[str, str] = {}
+#: Scratch folder of each application, made on first use and deleted at its end.
+_FOLDERS: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``.
+    """This application's own folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where that is unset, a temporary folder serves with a local master only: driver and executors are one process there.
+    Where that is unset and the master is local, as in a trial on one machine, a temporary folder serves: driver and
+    executors are one process there. Anywhere else it is an error. The folder goes when Python ends, or with ``clean_up``.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="dockflow-")
-    return _LOCAL_ROOTS[context.applicationId]
+    if context.applicationId not in _FOLDERS:
+        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if not configured:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            configured = tempfile.mkdtemp(prefix="dockflow-")
+        _FOLDERS[context.applicationId] = f"{configured.rstrip('/')}/dockflow-{context.applicationId}"
+        atexit.register(clean_up, spark)
+    return _FOLDERS[context.applicationId]
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete what this application has written to its scratch folder; its results can't be read any more."""
+    try:
+        folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+        if folder is not None:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session has ended already: nothing can be reached
+        pass
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
+    """A new, unused path below this application's folder."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
