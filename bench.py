@@ -61,7 +61,7 @@ def main() -> None:
         "queries": timings,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "poll_rows": events,
-        "grid_rows_per_sec": round(events / timings["grid_from_polls"]),
+        "polls_per_sec": round(events / timings["grid_from_polls"]),
     }))
     spark.stop()
 

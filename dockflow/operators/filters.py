@@ -60,7 +60,7 @@ def date_slice(df: DataFrame, start_date: str = "", end_date: str = "", date: st
 def require_station(df: DataFrame, station_id: int, key: str = "station_id") -> None:
     """Raise ``ValueError`` when no row has the station. Looks for one row only."""
     if df.where(F.col(key) == station_id).limit(1).isEmpty():
-        raise ValueError(f"{station_id} is not in a correct station_id.")
+        raise ValueError(f"no rows for station {station_id}")
 
 
 def labelled_rows(df: DataFrame, target: str = "target") -> DataFrame:

@@ -15,6 +15,7 @@ from dockflow.operators.grid import hourly_totals
 from dockflow.operators.movement import add_movements_and_idle
 from dockflow.operators.timeline import GRID_CHUNK, running_sum
 from dockflow.schemas import CLOSED_PERIOD, LEGEND_STATIONS, UNUSED_STATIONS
+from dockflow.session import settle
 
 _AGGREGATES = {
     "mean": F.avg,
@@ -34,7 +35,7 @@ def station_activity(
     """Chosen columns of one station over a date range."""
     features = ["available_stands"] if features_to_plot is None else features_to_plot
     if not isinstance(features, list):
-        raise TypeError("features_to_plot should be a list")
+        raise TypeError("give features_to_plot as a list of column names")
     require_station(df, station_id)
     rows = date_slice(df, start_date, end_date, date).where(F.col("station_id") == station_id)
     return rows.select("station_id", date, *features)
@@ -85,7 +86,8 @@ def station_anomaly_report(
         df = df.where(F.col("station_id") == station_id)
     if RUN not in df.columns:
         df = add_movements_and_idle(df, chunk=chunk)
-    scored = predict_anomalies_station(df, models, station_id, with_score)
+    # read by the series and twice by the episodes
+    scored = settle(predict_anomalies_station(df, models, station_id, with_score))
     return anomaly_series(scored, start_date, end_date), anomaly_episodes(date_slice(scored, start_date, end_date), chunk)
 
 
