@@ -9,6 +9,7 @@ from dockflow.catalog.features import FORECAST_COLUMNS, QUERIES as FEATURES, r,
 from dockflow.catalog.inputs import sql
 from dockflow.functions.calendar import process_data_cluster
 from dockflow.models import anomaly, forecast
+from dockflow.models import fleet_forecast as fleet_forecasts
 from dockflow.operators import filters, lookups, profile
 from dockflow.operators.movement import get_consecutive_no_transactions_out
 from dockflow.plans import learning
@@ -317,7 +318,32 @@ def station_forecast_value(spark, sf_dir):
     ).select("station_id", "date", "y_pred")
 
 
+def fleet_forecast(spark, sf_dir):
+    """The forecast of every station in one job."""
+    return fleet_forecasts.forecast_all(I.stored_activity(spark, sf_dir), "available_bikes", "1h")
+
+
+def fleet_forecast_inputs(spark, sf_dir):
+    """What the forecast of every station rests on: the newest rows at the horizon, and the number of rows to learn from."""
+    inputs = fleet_forecasts.forecast_inputs(I.stored_activity(spark, sf_dir), "available_bikes", "1h")
+    learned = inputs.where("NOT asked").groupBy("station_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("target").alias("targets"))
+    asked = inputs.where("asked").select("station_id", "date", *[F.col(c).cast("bigint").alias(c) for c in FORECAST_COLUMNS])
+    return asked.join(learned.withColumn("targets", F.col("targets").cast("bigint")), "station_id")
+
+
+def _fleet_inputs_sql():
+    rolling = FEATURES["lags_and_rolling"][1]
+    body = rolling.replace("SELECT station_id, date, lag", "SELECT station_id, date, available_bikes AS own, lag", 1)
+    return f"""WITH built AS MATERIALIZED ({body}),
+        learned AS (SELECT f.station_id, count(*) AS rows, CAST(sum(b.own) AS BIGINT) AS targets FROM built f
+            JOIN built b ON b.station_id = f.station_id AND b.date = f.date + INTERVAL 1 HOUR WHERE b.own IS NOT NULL GROUP BY 1)
+        SELECT f.* EXCLUDE (own) REPLACE (f.date + INTERVAL 1 HOUR AS date), rows, targets FROM built f JOIN learned USING (station_id)
+        WHERE f.date = (SELECT max(date) FROM built m WHERE m.station_id = f.station_id)"""
+
+
 QUERIES = {
+    "fleet_forecast": (fleet_forecast, None),
+    "fleet_forecast_inputs": (fleet_forecast_inputs, _fleet_inputs_sql()),
     "activity_statistics": (activity_statistics, sql(f"SELECT {ROUNDED} FROM stats", "idle", train=TRAIN, stats=STATS)),
     "station_profile": (station_profile, PROFILE),
     "breakpoints": (breakpoints, BREAKPOINTS),

@@ -74,8 +74,8 @@ def latest_rows(
     if scope == "global":
         return df.where(F.col(date) == df.select(F.max(date)).scalar())
     if scope == "station":
-        newest = df.groupBy(key).agg(F.max(date).alias(date))
-        return df.join(newest, [key, date], "left_semi")
+        newest = df.groupBy(F.col(key).alias("_key")).agg(F.max(date).alias("_newest"))
+        return df.join(newest, F.col(key).eqNullSafe(F.col("_key")) & (F.col(date) == F.col("_newest")), "left_semi")
     raise ValueError("scope is 'global' or 'station'")
 
 

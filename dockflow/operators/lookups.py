@@ -40,10 +40,10 @@ def create_target(
     The match is by time, so gaps in the series give null. Rows are unique per station and date; a copy of a row
     never multiplies others.
     """
-    later = df.groupBy(key, F.col(date).alias("_future")).agg(F.max(target_col).alias("target"))
-    return df.withColumn("_future", offset_by(date, horizon_prediction)).join(later, [key, "_future"], "left").drop(
-        "_future"
-    )
+    later = df.groupBy(F.col(key).alias("_key"), F.col(date).alias("_then")).agg(F.max(target_col).alias("target"))
+    there = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_future") == F.col("_then"))
+    dated = df.withColumn("_future", offset_by(date, horizon_prediction))
+    return dated.join(later, there, "left").select(*[F.col(f"`{c}`") for c in df.columns], "target")
 
 
 def find_nearest_stations(
