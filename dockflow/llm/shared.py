@@ -21,15 +21,17 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def small_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` holds about ``SLICE_BYTES`` in each; rows are never cut."""
+def small_slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that ``column`` holds about ``size`` bytes in each; rows are never cut."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         start, held = 0, 0
         for i in range(batch.num_rows):
             value = batch.column(at)[i]
             held += value.as_buffer().size if value.is_valid else 0
-            if held >= SLICE_BYTES:
+            if held >= size:
                 yield batch.slice(start, i + 1 - start)
                 start, held = i + 1, 0
         if start < batch.num_rows:

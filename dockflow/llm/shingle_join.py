@@ -47,7 +47,9 @@ RARE = 32
 LOW = 8
 BUCKET_POSTINGS = 300_000
 MIN_BUCKETS = 96
-TASK_POSTINGS = 4_000_000
+#: Postings that a task holds before it sends them, and bytes of text whose shingles it makes at once.
+TASK_POSTINGS = 1_000_000
+SLICE_BYTES = 1 << 20
 #: Upper bound of the bits of the set by which texts are fetched.
 MAX_BITS = 1 << 26
 _SPACE = np.zeros(256, dtype=bool)
@@ -129,7 +131,7 @@ def set_table(documents: DataFrame, seed: int = 0) -> DataFrame:
     """Per row its id, the size of its set, and the digest of the set in two halves (null where it is empty)."""
 
     def run(batches):
-        for batch in small_slices(batches):
+        for batch in small_slices(batches, size=SLICE_BYTES):
             sets = shingle_sets(_texts(batch), seed)
             pairs = [digest(s) if len(s) else (None, None) for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64())]
@@ -175,7 +177,7 @@ def shared_tokens(documents: DataFrame, buckets: int, seed: int = 0) -> DataFram
 
     def send(batches):
         seen, parts, held = set(), [], 0
-        for batch in small_slices(batches):
+        for batch in small_slices(batches, size=SLICE_BYTES):
             for tokens in shingle_sets(_texts(batch), seed):
                 if not len(tokens) or (key := digest(tokens)[0]) in seen:
                     continue
@@ -252,7 +254,7 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, seed: i
         wanted = bits.value
         size = len(wanted) * 32
         sent = set()
-        for batch in small_slices(batches):
+        for batch in small_slices(batches, size=SLICE_BYTES):
             keep, ks = [], []
             for i, tokens in enumerate(shingle_sets(_texts(batch), seed)):
                 if len(tokens):
@@ -280,7 +282,7 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, seed: i
     )
 
     def compare(batches):
-        for batch in small_slices(batches, "text_a"):
+        for batch in small_slices(batches, "text_a", SLICE_BYTES):
             made: dict[int, np.ndarray] = {}
             columns = [batch.column(i).to_pylist() for i in (0, 1)]
             for side, keys in zip((2, 3), columns):
@@ -425,7 +427,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.struct("*").alias("row"))
 
     def run(batches):
-        for batch in small_slices(batches):
+        for batch in small_slices(batches, size=SLICE_BYTES):
             keys = [digest(s)[0] if len(s) else None for s in shingle_sets(_texts(batch), seed)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.int64()), batch.column(2)], ["id", "k", "row"]
