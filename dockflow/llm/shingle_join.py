@@ -300,18 +300,23 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, seed: i
     return met.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _groups(level: int) -> int:
+    """Number of groups that frequent tokens are dealt to in sets whose size has ``level`` bits: about four tokens in each."""
+    return max(1, int(zone(3 << level >> 2)) // 4)
+
+
 def _pair_signatures(sets: DataFrame) -> DataFrame:
-    """``sig``, ``k``, ``n``, ``c``, ``heavy`` per pair of frequent tokens of a group; ``sig`` is null, once, for heavy
-    sets whose pairs don't suffice."""
+    """``sig``, ``level``, ``k``, ``n``, ``c``, ``heavy`` per pair of frequent tokens of a group; ``sig`` is null, once, for
+    heavy sets whose pairs don't suffice."""
 
     def run(batches):
         for batch in batches:
-            sigs, at = [], []
+            sigs, at, levels = [], [], []
             for i, row in enumerate(batch.to_pylist()):
                 tokens = np.sort(np.array(row["tokens"], dtype=np.int64).view(np.uint64))
                 n, paired = row["n"], len(tokens)
                 for level in sorted({n.bit_length(), (n * 5 // 4).bit_length()}):
-                    groups = max(1, int(zone(3 << level >> 2)) // 4)
+                    groups = _groups(level)
                     with np.errstate(over="ignore"):
                         group = _mixed(tokens + _U(level)) % _U(groups)
                         order = np.argsort(group, kind="stable")
@@ -320,17 +325,20 @@ def _pair_signatures(sets: DataFrame) -> DataFrame:
                             sig = _mixed(part[x] * _U(3) ^ _mixed(part[y]) + _U(level))
                             sigs.append(sig.view(np.int64))
                             at.append(np.full(len(sig), i))
+                            levels.append(np.full(len(sig), level))
                     paired = min(paired, len(tokens) - len(np.unique(group)))
                 if row["heavy"] and paired + int(zone(n)) - len(tokens) < n // 5 + 1:
                     sigs.append(None)
                     at.append(np.array([i]))
+                    levels.append(np.array([0]))
             where = np.concatenate([np.zeros(0, dtype=np.int64), *at]).astype(np.int64)
             made = [pa.array([None], pa.int64()) if s is None else pa.array(s, pa.int64()) for s in sigs]
             column = pa.concat_arrays(made) if made else pa.array([], pa.int64())
             rows = batch.select(["k", "n", "c", "heavy"]).take(pa.array(where))
-            yield pa.RecordBatch.from_arrays([column, *rows.columns], ["sig", "k", "n", "c", "heavy"])
+            bits = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *levels]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([column, bits, *rows.columns], ["sig", "level", "k", "n", "c", "heavy"])
 
-    return sets.mapInArrow(run, "sig bigint, k bigint, n bigint, c bigint, heavy boolean")
+    return sets.mapInArrow(run, "sig bigint, level int, k bigint, n bigint, c bigint, heavy boolean")
 
 
 def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -350,9 +358,9 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     met = met.groupBy("k_a", "k_b", "n_a", "n_b", "f_a", "f_b").agg(F.count(F.lit(1)).alias("both"))
     # each set misses at most n - 4/9 (n_a + n_b) tokens of the other; the one whose prefix ends first shows the rest in it
     together = F.ceil(4 * (F.col("n_a") + F.col("n_b")) / 9)
-    shown = [_zone_column(F.col(f"n_{s}")) - (F.col(f"n_{s}") - together) for s in "ab"]
-    reach = F.col("both") + F.least("f_a", "f_b") >= F.least(*shown)
-    pairs = met.where(reach).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+    shown = F.least(*[_zone_column(F.col(f"n_{s}")) - (F.col(f"n_{s}") - together) for s in "ab"])
+    met = settle(met)
+    pairs = met.where(F.col("both") + F.least("f_a", "f_b") >= shown).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
 
     heavy = _zone_column(F.col("n")) - F.col("f") < F.floor(F.col("n") / 5) + 1
     sets = settle(known.where("f > 0").withColumn("heavy", heavy))
@@ -365,11 +373,19 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
         .agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("heavy").alias("any")).where("c0 != c1 AND any").select("sig")
     )
     found = settle(sigs.join(mixed, "sig"))
-    x, y = (found.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "heavy")]) for side in "ab")
+    x, y = (found.select("sig", "level", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "heavy")]) for side in "ab")
     close = "c_a != c_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
-    met = x.where("heavy_a").join(y, "sig").where(f"(NOT heavy_b OR k_a < k_b) AND {close}")
     ends = [F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")]
-    pairs = pairs.unionByName(met.select(*ends))
+    # two sets are compared at the level of the larger
+    same = x.join(y.drop("level"), "sig").where("k_a < k_b AND (heavy_a OR heavy_b) AND length(bin(greatest(n_a, n_b))) = level")
+    counted = same.where(close).groupBy("k_a", "k_b", "n_a", "n_b", "level").agg(F.count(F.lit(1)).alias("sigs"))
+    # what must be shared and isn't rare is frequent; spread over the groups it makes at least so many pairs
+    counted = counted.join(met.select("k_a", "k_b", "both"), ["k_a", "k_b"], "left")
+    groups = F.element_at(F.array(*[F.lit(_groups(level)) for level in range(1, 64)]), F.col("level"))
+    need = F.greatest(shown - F.coalesce("both", F.lit(0)), F.lit(0))
+    each = F.floor(need / groups)
+    least = groups * each * (each - 1) / 2 + (need - groups * each) * each
+    pairs = pairs.unionByName(counted.where(F.col("sigs") >= least).select(*ends))
     lacking = sigs.where("sig IS NULL").select("k").distinct()
     single = placed.where(F.col("df") >= RARE).select("token", "k", "n", "c")
     x = single.join(lacking, "k").select("token", *[F.col(c).alias(f"{c}_a") for c in ("k", "n", "c")])
