@@ -34,7 +34,7 @@ from dockflow.session import settle
 TARGET, CAP = 800, 2_000
 SAMPLE = 8_192
 MAX_CENTROIDS, MAX_PARTS, PART_SAMPLE = 512, 32, 1_024
-OVERLAP, DEGREE, BEAM, ALPHA = 3, 24, 12, 1.2
+OVERLAP, DEGREE, BEAM, ALPHA = 2, 24, 12, 1.2
 AUDITED = 128
 QUERIES = 256
 
@@ -364,7 +364,7 @@ def near_duplicate_vectors(
         mine = classes.where(F.size("vector") == dim).select("vector", F.xxhash64("c").alias("h"))
         near = mine.where(F.shiftrightunsigned("h", 11) / 2.0**53 <= min(1.0, 2 * SAMPLE / n))
         sample = [r["vector"] for r in near.orderBy("h").limit(SAMPLE).collect()]
-        centroids[dim] = fit_centroids(unit_rows(sample), min(MAX_CENTROIDS, -(-n // target)))
+        centroids[dim] = fit_centroids(unit_rows(sample), min(MAX_CENTROIDS, -(-n * overlap // target)))
     for attempt in range(tries):
         placed = settle(_assigned(classes, centroids, margin, overlap))
         counts = placed.select(F.explode("shards").alias("shard")).groupBy("shard").count()
