@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dockflow.session import settle
+
 #: URLs of one host level that are swept together, at least.
 SALT_ROWS = 200
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,14 +67,15 @@ def judge_urls(
     """
     host, path = host_and_path(url_column)
     pages = df.select(F.col(id_column).alias("id"), host.alias("host"), path.alias("path"))
-    stacks = _rule_stacks(rules)
-    per_level = stacks.groupBy("level").agg(F.count(F.lit(1)).alias("n_rules"))
+    # written, so that the sizes of the rule tables are known before URLs are joined with them
+    stacks = settle(_rule_stacks(rules))
+    per_level = settle(stacks.groupBy("level").agg(F.count(F.lit(1)).alias("n_rules")))
 
     labels = _reversed(F.col("host"))
     levels = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, 1, n), "."))
     keys = pages.select("host", "path").distinct()
-    keys = keys.select("host", "path", F.explode(levels).alias("level")).join(per_level, "level")
-    salts = (
+    keys = settle(keys.select("host", "path", F.explode(levels).alias("level")).join(per_level, "level"))
+    salts = settle(
         keys.groupBy("level", "n_rules").agg(F.count(F.lit(1)).alias("n_urls"))
         .select("level", F.ceil(F.col("n_urls") / F.greatest(F.lit(salt_rows), 4 * F.col("n_rules"))).alias("salts"))
     )
