@@ -127,10 +127,10 @@ def test_station_files(spark, tmp_path):
 def test_raw_activity(spark, tmp_path):
     (tmp_path / "x.csv").write_text(
         "gid,ident,type,name,state,available_stands,available_bikes,ts\n"
-        "83,1,VLS,Meriadeck,CONNECTEE,11,9,2017-07-09 11:04:04\n83,1,VLS,Meriadeck,MAINTENANCE,11,9,2017-07-09 11:09:04\n")
+        "51,4,VLS,Corner,CONNECTEE,8,12,2024-03-05 06:00:00\n51,4,VLS,Corner,MAINTENANCE,8,12,2024-03-05 06:05:00\n")
     rows = read_raw_activity(spark, str(tmp_path / "x.csv")).orderBy("date").collect()
     assert [r.state for r in rows] == ["1", "MAINTENANCE"]
-    assert rows[0].station_id == 1 and rows[0].date == datetime(2017, 7, 9, 11, 4, 4)
+    assert rows[0].station_id == 4 and rows[0].date == datetime(2024, 3, 5, 6)
 
 
 def test_columns_are_found_by_name(spark, tmp_path):
