@@ -10,7 +10,7 @@ pairs few, frequent tokens are dealt by a hash into groups of about four; their
 two, and a set is indexed for its own size and for that of the largest set it may link to. Should a heavy set's pairs still
 not suffice, it is compared with every set that shares a frequent token.
 
-Only components are wanted, so near copies needn't meet all their like. First every set meets the smallest set that shares
+Only components are wanted, so near copies needn't meet all their like. First every set meets the most typical set that shares
 a few of its lowest tokens; what links there is joined up. After that only pairs of different components that share a
 token are counted, and kept if the number of shared prefix tokens can still reach the threshold. All pairs are verified on
 whole texts before they link.
@@ -393,11 +393,18 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     return pairs.unionByName(x.join(y, "token").where(close).select(*ends)).distinct()
 
 
-def hub_pairs(shared: DataFrame) -> DataFrame:
-    """Each set with the smallest set that has its low tokens, where they share two of these or more."""
-    low = shared.where("low").select("token", "k")
-    hubs = low.groupBy("token").agg(F.min("k").alias("a"))
-    met = low.join(hubs, "token").where("k != a").groupBy("a", F.col("k").alias("b"))
+def hub_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each set with the most typical set that has its low tokens, where they share two of these or more.
+
+    Typical is the set whose prefix tokens are the most shared: of a text and its edited copies that is the text itself,
+    which all copies resemble though they may differ too much from each other.
+    """
+    weight = shared.groupBy("k").agg(F.sum("df").alias("weight")).join(classes.select("k", "n"), "k")
+    typical = F.struct((F.col("weight") / _zone_column(F.col("n"))).alias("share"), "k").alias("typical")
+    low = shared.where("low").select("token", "k").join(weight.select("k", typical), "k")
+    low = settle(low.select("token", "k", "typical"))
+    hubs = low.groupBy("token").agg(F.max("typical").alias("hub")).select("token", F.col("hub.k").alias("a"))
+    met = low.select("token", "k").join(hubs, "token").where("k != a").groupBy("a", F.col("k").alias("b"))
     return met.agg(F.count(F.lit(1)).alias("both")).where("both > 1").select("a", "b")
 
 
@@ -413,7 +420,7 @@ def _components(documents: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFra
     total = classes.agg(F.sum(_zone_column(F.col("n")))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET_POSTINGS))
     shared = settle(shared_tokens(documents, buckets, seed))
-    links = settle(verified(documents, hub_pairs(shared), classes, seed))
+    links = settle(verified(documents, hub_pairs(shared, classes), classes, seed))
     labels = connected_components(links)
     rest = verified(documents, candidate_pairs(shared, classes, labels), classes, seed)
     # components of the first step stand for their members
