@@ -306,8 +306,8 @@ def _groups(level: int) -> int:
 
 
 def _pair_signatures(sets: DataFrame) -> DataFrame:
-    """``sig``, ``level``, ``k``, ``n``, ``c``, ``heavy`` per pair of frequent tokens of a group; ``sig`` is null, once, for
-    heavy sets whose pairs don't suffice."""
+    """``sig``, ``level`` and the set's ``k``, ``n``, ``c``, ``heavy`` and ``r`` per pair of frequent tokens of a group; ``sig``
+    is null, once, for heavy sets whose pairs don't suffice."""
 
     def run(batches):
         for batch in batches:
@@ -334,11 +334,11 @@ def _pair_signatures(sets: DataFrame) -> DataFrame:
             where = np.concatenate([np.zeros(0, dtype=np.int64), *at]).astype(np.int64)
             made = [pa.array([None], pa.int64()) if s is None else pa.array(s, pa.int64()) for s in sigs]
             column = pa.concat_arrays(made) if made else pa.array([], pa.int64())
-            rows = batch.select(["k", "n", "c", "heavy"]).take(pa.array(where))
+            rows = batch.select(["k", "n", "c", "heavy", "r"]).take(pa.array(where))
             bits = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *levels]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([column, bits, *rows.columns], ["sig", "level", "k", "n", "c", "heavy"])
+            yield pa.RecordBatch.from_arrays([column, bits, *rows.columns], ["sig", "level", "k", "n", "c", "heavy", "r"])
 
-    return sets.mapInArrow(run, "sig bigint, level int, k bigint, n bigint, c bigint, heavy boolean")
+    return sets.mapInArrow(run, "sig bigint, level int, k bigint, n bigint, c bigint, heavy boolean, r bigint")
 
 
 def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -346,8 +346,9 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     known = classes.select("k", "n").join(labels.select(F.col("node").alias("k"), "component"), "k", "left")
     known = known.select("k", "n", F.coalesce("component", "k").alias("c"))
     frequent = shared.where(F.col("df") >= RARE)
-    counts = frequent.groupBy("k").agg(F.count(F.lit(1)).alias("f"))
-    known = settle(known.join(counts, "k", "left").select("k", "n", "c", F.coalesce("f", F.lit(0)).alias("f")))
+    often = (F.col("df") >= RARE).cast("bigint")
+    counts = shared.groupBy("k").agg(F.sum(often).alias("f"), F.sum(1 - often).alias("r"))
+    known = settle(known.join(counts, "k").select("k", "n", "c", "f", "r"))
 
     placed = shared.join(known, "k")
     rare = placed.where(F.col("df") < RARE)
@@ -367,25 +368,29 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     if sets.where("heavy").isEmpty():
         return pairs.distinct()
     tokens = frequent.groupBy("k").agg(F.collect_set("token").alias("tokens"))
-    sigs = settle(_pair_signatures(sets.join(tokens, "k").select("k", "n", "c", "heavy", "tokens")))
+    sigs = settle(_pair_signatures(sets.join(tokens, "k").select("k", "n", "c", "heavy", "r", "tokens")))
     mixed = (
         sigs.where("sig IS NOT NULL").groupBy("sig")
         .agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("heavy").alias("any")).where("c0 != c1 AND any").select("sig")
     )
     found = settle(sigs.join(mixed, "sig"))
-    x, y = (found.select("sig", "level", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "heavy")]) for side in "ab")
+    x, y = (found.select("sig", "level", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "heavy", "r")]) for side in "ab")
     close = "c_a != c_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
     ends = [F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")]
     # two sets are compared at the level of the larger
     same = x.join(y.drop("level"), "sig").where("k_a < k_b AND (heavy_a OR heavy_b) AND length(bin(greatest(n_a, n_b))) = level")
-    counted = same.where(close).groupBy("k_a", "k_b", "n_a", "n_b", "level").agg(F.count(F.lit(1)).alias("sigs"))
+    counted = same.where(close).groupBy("k_a", "k_b", "n_a", "n_b", "r_a", "r_b", "level").agg(F.count(F.lit(1)).alias("sigs"))
     # what must be shared and isn't rare is frequent; spread over the groups it makes at least so many pairs
-    counted = counted.join(met.select("k_a", "k_b", "both"), ["k_a", "k_b"], "left")
     groups = F.element_at(F.array(*[F.lit(_groups(level)) for level in range(1, 64)]), F.col("level"))
-    need = F.greatest(shown - F.coalesce("both", F.lit(0)), F.lit(0))
-    each = F.floor(need / groups)
-    least = groups * each * (each - 1) / 2 + (need - groups * each) * each
-    pairs = pairs.unionByName(counted.where(F.col("sigs") >= least).select(*ends))
+
+    def enough(rare: Column) -> Column:
+        need = F.greatest(shown - rare, F.lit(0))
+        each = F.floor(need / groups)
+        return F.col("sigs") >= groups * each * (each - 1) / 2 + (need - groups * each) * each
+
+    # first with the most that may be shared of rare tokens, then with what is
+    counted = counted.where(enough(F.least("r_a", "r_b"))).join(met.select("k_a", "k_b", "both"), ["k_a", "k_b"], "left")
+    pairs = pairs.unionByName(counted.where(enough(F.coalesce("both", F.lit(0)))).select(*ends))
     lacking = sigs.where("sig IS NULL").select("k").distinct()
     single = placed.where(F.col("df") >= RARE).select("token", "k", "n", "c")
     x = single.join(lacking, "k").select("token", *[F.col(c).alias(f"{c}_a") for c in ("k", "n", "c")])
