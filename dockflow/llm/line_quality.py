@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.llm.shared import small_slices
+from dockflow.llm.shared import small_slices, with_fields
 from dockflow.session import settle
 
 SAMPLE_DOCS = 1_500
 SAMPLE_LINES = 40
 SAMPLE_CHARS = 20_000
 STEPS = 150
+#: Bytes of text that are taken apart at once; the arrays over them take some hundred times that.
+SLICE_BYTES = 1 << 19
 _SPACE, _NEWLINE, _UPPER, _DIGIT, _SYMBOL, _MARK, _LETTER = range(7)
 
 
@@ -268,7 +270,7 @@ def score_texts(
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def run(batches):
-        for batch in small_slices(batches):
+        for batch in small_slices(batches, size=SLICE_BYTES):
             scores = field.score([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
 
@@ -277,12 +279,12 @@ def score_texts(
 
 def keep_good(df: DataFrame, field: LineField, threshold: float = 0.7, text_column: str = "text") -> DataFrame:
     """The rows of ``df``, all columns as they are, whose text scores ``threshold`` or more."""
-    rows = df.select(F.col(text_column).alias("text"), F.struct("*").alias("row"))
+    rows = df.select(F.struct("*").alias("row"))
+    place = df.columns.index(text_column)
 
     def run(batches):
-        for batch in small_slices(batches):
+        for batch in small_slices(with_fields(batches, {"text": place}), size=SLICE_BYTES):
             scores = field.score([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(scores >= threshold))], ["row"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}").select("row.*")
+    return rows.mapInArrow(run, rows.schema).select("row.*")

@@ -38,5 +38,12 @@ def small_slices(
             yield batch.slice(start)
 
 
+def with_fields(batches: Iterator[pa.RecordBatch], fields: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Put fields of the only column, a struct, in front of it, by their place; nothing is copied."""
+    for batch in batches:
+        row = batch.column(0)
+        yield pa.RecordBatch.from_arrays([*[row.field(i) for i in fields.values()], row], [*fields, "row"])
+
+
 def text_or_empty(array: pa.Array) -> list[str]:
     return [t or "" for t in array.to_pylist()]

@@ -35,9 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dockflow.llm.graphs import connected_components
-from dockflow.llm.shared import small_slices
+from dockflow.llm.shared import small_slices, with_fields
 from dockflow.session import settle
 
 WORDS = 5
@@ -452,17 +453,16 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     # a null id comes last; of equal ids the smaller key stays
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "k"))
     keepers = named.groupBy("c").agg(first.alias("first")).select(F.col("first.k").alias("keep"), F.col("first.first_id").alias("keep_id"))
-    rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.struct("*").alias("row"))
+    rows = df.select(F.struct("*").alias("row"))
+    places = {"id": df.columns.index(id_column), "text": df.columns.index(text_column)}
 
     def run(batches):
-        for batch in small_slices(batches, size=SLICE_BYTES):
+        for batch in small_slices(with_fields(batches, places), size=SLICE_BYTES):
             keys = [digest(s)[0] if len(s) else None for s in shingle_sets(_texts(batch), seed)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), batch.column(2)], ["id", "k", "row"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(2)], ["k", "row"])
 
-    kinds = dict(rows.dtypes)
-    keyed = rows.mapInArrow(run, f"id {kinds['id']}, k bigint, row {kinds['row']}")
+    schema = T.StructType([T.StructField("k", T.LongType()), *rows.schema.fields])
+    keyed = rows.mapInArrow(run, schema).withColumn("id", F.col("row").getField(id_column))
     met = keyed.where("k IS NOT NULL").join(keepers, (F.col("k") == F.col("keep")) & F.col("id").eqNullSafe(F.col("keep_id")))
     one = met.groupBy("k", "id").agg(F.first("row").alias("row"))
     return one.select("row.*").unionByName(keyed.where("k IS NULL").select("row.*"))

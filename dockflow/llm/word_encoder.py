@@ -61,7 +61,7 @@ class WordEncoder:
     ``remembered`` bounds the memory: two generations of that many words.
     """
 
-    def __init__(self, spec: str, remembered: int = 150_000):
+    def __init__(self, spec: str, remembered: int = 100_000):
         self.spec, self.remembered = spec, remembered
         self._made = None
         self.added = {t["content"]: t["id"] for t in json.loads(spec).get("added_tokens", [])}
