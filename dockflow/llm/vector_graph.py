@@ -11,8 +11,14 @@ nearer to it by the factor ``alpha``), and links hold both ways. The adjacency l
 Then each shard is searched for each of its own nodes: a greedy beam from the shard's medoid and from the node itself, and
 from what is in range on along the graph until nothing new is. Every pair found is verified in double precision.
 
-A pair that meets in several shards is counted in the first that both are in. Shards hand back a number of links and the
-smallest node reached per node, not pairs. The result is audited: for a bounded sample of classes links are counted by
+A class near more centroids than ``overlap`` is not dealt to the rest of them. Of two classes within the angle, the one
+farther from its nearest centroid is within the margin of the other's nearest, so pairs without a common shard are only
+among the classes of two groups of centroids where one has such a rest in the other (or within one divided shard). These
+groups are cut into blocks of ``BLOCK`` and compared block by block, all with all: isolated vectors that are near many
+centroids cost as much as a comparison of all pairs.
+
+A pair that meets in several shards is counted in the first that both are in, and by blocks only if no shard has both.
+Shards and blocks hand back a number of links and the smallest node reached per node, not pairs. The result is audited: for a bounded sample of classes links are counted by
 brute force over all rows, and if less than ``recall`` of them were found, all is done again with wider settings.
 
 Null, empty or zero vectors, and those with null or non-finite components, link with nothing; nor do vectors of different
@@ -37,6 +43,11 @@ MAX_CENTROIDS, MAX_PARTS, PART_SAMPLE = 512, 32, 1_024
 OVERLAP, DEGREE, BEAM, ALPHA = 2, 24, 12, 1.2
 AUDITED = 128
 QUERIES = 256
+#: Centroids whose classes are compared in blocks together (divides ``MAX_CENTROIDS``), and the most classes of a block.
+GROUP, BLOCK = 16, 8_000
+#: Angles are rounded; so much is added to the margin.
+SLACK = 1e-6
+_PLACED = "c bigint, copies bigint, vector array<double>, shards array<bigint>, met array<bigint>, groups array<bigint>, visits array<bigint>"
 
 
 def unit_rows(vectors: list, dtype=np.float64) -> np.ndarray:
@@ -60,12 +71,12 @@ def fit_centroids(points: np.ndarray, k: int, seed: int = 0, rounds: int = 8) ->
     return centroids
 
 
-def near_centroids(points: np.ndarray, centroids: np.ndarray, margin: float, overlap: int) -> list[np.ndarray]:
-    """Per point its nearest centroid and those within the margin of it, at most ``overlap``, nearest first."""
+def near_centroids(points: np.ndarray, centroids: np.ndarray, margin: float) -> list[np.ndarray]:
+    """Per point its nearest centroid and all those within the margin of it, nearest first."""
     angles = np.arccos(np.clip(points @ centroids.T, -1, 1))
-    order = np.argsort(angles, axis=1, kind="stable")[:, :overlap]
-    best = np.take_along_axis(angles, order, axis=1)
-    return [o[b <= b[0] + margin] for o, b in zip(order, best)]
+    order = np.argsort(angles, axis=1, kind="stable")
+    within = (angles <= angles.min(axis=1, keepdims=True) + margin + SLACK).sum(axis=1)
+    return [o[:n] for o, n in zip(order, within)]
 
 
 def robust_prune(points: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
@@ -185,26 +196,36 @@ def vector_classes(df: DataFrame, id_column: str, vector_column: str) -> tuple[D
 
 
 def _assigned(classes: DataFrame, centroids: dict, margin: float, overlap: int) -> DataFrame:
-    """``c``, ``dim``, ``copies``, ``vector`` and ``shards``; centroids by dimension."""
+    """The classes with their ``shards``; centroids by dimension.
+
+    ``met`` stays as the shards are now, ``groups`` is the group of the nearest centroid, and ``visits`` are the groups of
+    the centroids within the margin beyond ``overlap``.
+    """
     shared = classes.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches):
         for batch in batches:
             vectors = batch.column(batch.schema.get_field_index("vector")).to_pylist()
-            shards = [None] * len(vectors)
+            shards, groups, visits = ([None] * len(vectors) for _ in range(3))
             sizes = np.array([len(v) for v in vectors])
             for dim in np.unique(sizes):
                 which = np.flatnonzero(sizes == dim)
-                near = near_centroids(unit_rows([vectors[i] for i in which]), shared.value[int(dim)], margin, overlap)
+                near = near_centroids(unit_rows([vectors[i] for i in which]), shared.value[int(dim)], margin)
                 for i, found in zip(which, near):
-                    shards[i] = [int(dim) * MAX_CENTROIDS + int(s) for s in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.list_(pa.int64()))], [*batch.schema.names, "shards"])
+                    found = found + int(dim) * MAX_CENTROIDS
+                    shards[i], groups[i] = found[:overlap].tolist(), [int(found[0]) // GROUP]
+                    visits[i] = np.unique(found[overlap:] // GROUP).tolist()
+            dealt = [pa.array(x, pa.list_(pa.int64())) for x in (shards, shards, groups, visits)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *dealt], [*batch.schema.names, "shards", "met", "groups", "visits"])
 
-    return classes.select("c", "copies", "vector").mapInArrow(run, "c bigint, copies bigint, vector array<double>, shards array<bigint>")
+    return classes.select("c", "copies", "vector").mapInArrow(run, _PLACED)
 
 
 def _divided(placed: DataFrame, large: list[int], margin: float, overlap: int, cap: int) -> DataFrame:
-    """Deal the members of the large shards to parts of these, by centroids from a bounded sample of each."""
+    """Deal the members of the large shards to parts of these, by centroids from a bounded sample of each.
+
+    Such a shard is a group of its own, below 0, which those members visit that more than ``overlap`` parts are near to.
+    """
     member = placed.select("c", "vector", F.explode("shards").alias("shard")).where(F.col("shard").isin(large))
     order = Window.partitionBy("shard").orderBy("h", "c")
     near = member.withColumn("h", F.xxhash64("c"))
@@ -226,20 +247,23 @@ def _divided(placed: DataFrame, large: list[int], margin: float, overlap: int, c
     def run(batches):
         for batch in batches:
             vectors = batch.column(2).to_pylist()
-            out = []
-            for vector, shards in zip(vectors, batch.column(3).to_pylist()):
+            out, groups, visits = [], batch.column(5).to_pylist(), batch.column(6).to_pylist()
+            for i, (vector, shards) in enumerate(zip(vectors, batch.column(3).to_pylist())):
                 dealt = []
                 for s in shards:
                     if s in shared.value:
                         point = unit_rows([vector])
-                        found = near_centroids(point, shared.value[s].reshape(-1, len(vector)), margin, overlap)[0]
-                        dealt += [(s + 1) * 10**6 + int(f) for f in found]
+                        found = near_centroids(point, shared.value[s].reshape(-1, len(vector)), margin)[0]
+                        dealt += [(s + 1) * 10**6 + int(f) for f in found[:overlap]]
+                        groups[i].append(-s - 1)
+                        visits[i] += [-s - 1] * (len(found) > overlap)
                     else:
                         dealt.append(s)
                 out.append(dealt)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], batch.schema.names)
+            out, groups, visits = (pa.array(x, pa.list_(pa.int64())) for x in (out, groups, visits))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], out, batch.column(4), groups, visits], batch.schema.names)
 
-    return placed.mapInArrow(run, "c bigint, copies bigint, vector array<double>, shards array<bigint>")
+    return placed.mapInArrow(run, _PLACED)
 
 
 def _tasks(placed: DataFrame, cap: int) -> DataFrame:
@@ -318,6 +342,81 @@ def _search(threshold: float, beam: int):
     return search
 
 
+def _padded(lists: list, fill: int) -> np.ndarray:
+    width = max((len(x) for x in lists), default=0)
+    return np.array([[*x, *[fill] * (width - len(x))] for x in lists], dtype=np.int64).reshape(len(lists), width)
+
+
+def _compare(threshold: float):
+    """All pairs of a task's two blocks, or of its only one, that have no shard in common."""
+
+    def compare(key, table):
+        low, x, high, y = (k.as_py() for k in key)
+        n, c = table.num_rows, table.column("c").to_numpy()
+        exact = unit_rows(table.column("vector").combine_chunks().flatten().to_numpy().reshape(n, -1))
+        points, copies = exact.astype(np.float32), table.column("copies").to_numpy()
+        first = table.column("first").to_numpy()
+        left = np.flatnonzero(first)
+        right = left if (low, x) == (high, y) else np.flatnonzero(~first)
+        # -1 and -2 stand for nothing and are never equal
+        mine, theirs = ({k: _padded(table.column(k).to_pylist(), fill) for k in ("shards", "met")} for fill in (-1, -2))
+        links, label = np.zeros(n, dtype=np.int64), np.arange(n)
+        for begin in range(0, len(left), QUERIES):
+            rows = left[begin : begin + QUERIES]
+            a, b = np.nonzero(points[rows] @ points[right].T >= threshold - 1e-4)
+            a, b = rows[a], right[b]
+            if right is left:
+                a, b = a[a < b], b[a < b]
+            apart = np.ones(len(a), dtype=bool)
+            least = np.full(len(a), np.iinfo(np.int64).max)
+            for i in range(mine["shards"].shape[1]):
+                for j in range(theirs["shards"].shape[1]):
+                    apart &= mine["shards"][a, i] != theirs["shards"][b, j]
+            for i in range(mine["met"].shape[1]):
+                for j in range(theirs["met"].shape[1]):
+                    both = mine["met"][a, i] == theirs["met"][b, j]
+                    least[both] = np.minimum(least[both], mine["met"][a[both], i])
+            # those that met before a division are counted in the first shard divided
+            apart &= least == (-low - 1 if low < 0 else np.iinfo(np.int64).max)
+            a, b = a[apart], b[apart]
+            sure = np.zeros(len(a), dtype=bool)
+            for i in range(0, len(a), 65_536):
+                s = slice(i, i + 65_536)
+                sure[s] = np.einsum("ij,ij->i", exact[a[s]], exact[b[s]]) >= threshold
+            a, b = a[sure], b[sure]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            if len(a):
+                label = smallest_reached(n, np.concatenate([a, np.arange(n)]), np.concatenate([b, label]))
+        some = np.flatnonzero(links)
+        return pa.table({"c": pa.array(c[some]), "links": pa.array(links[some]), "reached": pa.array(c[label[some]])})
+
+    return compare
+
+
+def _by_blocks(placed: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``c``, ``links`` and ``reached`` from the pairs without a common shard, as far as there are any.
+
+    Two groups are compared where a class of one visits the other.
+    """
+    visit = placed.select(F.element_at("groups", 1).alias("home"), F.explode("visits").alias("other"))
+    home = F.when(F.col("other") < 0, F.col("other")).otherwise(F.col("home"))
+    pairs = visit.select(F.least(home, "other").alias("low"), F.greatest(home, "other").alias("high")).distinct()
+    member = placed.select("c", "copies", "vector", "shards", "met", F.explode("groups").alias("group"))
+    blocks = settle(member.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
+    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    numbered = blocks.select("group", numbers.alias("block"))
+    tasks = pairs.join(numbered.select(F.col("group").alias("low"), F.col("block").alias("x")), "low")
+    tasks = tasks.join(numbered.select(F.col("group").alias("high"), F.col("block").alias("y")), "high")
+    tasks = settle(tasks.where("low < high OR x <= y").select("low", "x", "high", "y"))
+    ends = tasks.select(F.col("low").alias("group"), F.col("x").alias("block"), "*", F.lit(True).alias("first")).unionByName(
+        tasks.where("low < high OR x < y").select(F.col("high").alias("group"), F.col("y").alias("block"), "*", F.lit(False).alias("first"))
+    )
+    member = member.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
+    dealt = member.join(ends, ["group", "block"]).select("low", "x", "high", "y", "first", "c", "copies", "vector", "shards", "met")
+    return dealt.groupBy("low", "x", "high", "y").applyInArrow(_compare(threshold), "c bigint, links bigint, reached bigint")
+
+
 def _audit(rows: DataFrame, found: DataFrame, classes: DataFrame, threshold: float, audited: int) -> float:
     """Share of the links of a sample of classes, counted by brute force over all classes, that were found."""
     sample = classes.orderBy(F.xxhash64("c"), "c").limit(audited).select("c", "copies", "vector").collect()
@@ -353,7 +452,7 @@ def _audit(rows: DataFrame, found: DataFrame, classes: DataFrame, threshold: flo
 def near_duplicate_vectors(
     df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", threshold: float = 0.95,
     overlap: int = OVERLAP, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, target: int = TARGET, cap: int = CAP,
-    recall: float = 0.97, audited: int = AUDITED, tries: int = 3,
+    recall: float = 0.97, audited: int = AUDITED, tries: int = 3, block: int = BLOCK,
 ) -> DataFrame:
     """``id_column``, ``n_links``, ``component_id``, ``kept`` and ``recall`` (as audited) of every row."""
     rows, classes = vector_classes(df, id_column, vector_column)
@@ -377,7 +476,8 @@ def near_duplicate_vectors(
         united = lists.select("c", F.explode("near").alias("to")).groupBy("c").agg(F.collect_set("to").alias("near"))
         united = settle(united)
         joined = tasks.join(united, "c", "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
-        searched = settle(joined.groupBy(*groups).applyInArrow(_search(threshold, beam), "c bigint, links bigint, reached bigint"))
+        searched = joined.groupBy(*groups).applyInArrow(_search(threshold, beam), "c bigint, links bigint, reached bigint")
+        searched = settle(searched.unionByName(_by_blocks(placed, threshold, block)))
         summed = searched.groupBy("c").agg(F.sum("links").alias("links"))
         found = settle(classes.join(summed, "c").select("c", "first_id", "vector", (F.col("links") + F.col("copies") - 1).alias("n_links")))
         share = _audit(rows, found, classes, threshold, audited)

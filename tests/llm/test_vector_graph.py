@@ -81,3 +81,17 @@ def test_pruning_keeps_the_nearest():
     near = np.argsort(-(points @ points.T), axis=1)[:, 1]
     for i, chosen in enumerate(vg.robust_prune(points, 6, 1.2)):
         assert chosen[0] == near[i] and len(set(chosen)) == len(chosen) <= 6 and i not in chosen
+
+
+@pytest.mark.parametrize("target,cap,block", [(12, 400, 100), (150, 40, 70)])
+def test_isolated_pairs_near_many_centroids(spark, target, cap, block):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(300):
+        one, other = vg.unit_rows(rng.normal(size=(2, 64)))
+        other -= (other @ one) * one
+        near = 0.955 * one + np.sqrt(1 - 0.955**2) * other / np.linalg.norm(other)
+        rows += [(2 * i, one.tolist()), (2 * i + 1, near.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = got(df, target=target, cap=cap, block=block, recall=0.0)
+    assert out == brute(rows) and sum(r[1] for r in out) == 600
