@@ -18,8 +18,9 @@ groups are cut into blocks of ``BLOCK`` and compared block by block, all with al
 centroids cost as much as a comparison of all pairs.
 
 A pair that meets in several shards is counted in the first that both are in, and by blocks only if no shard has both.
-Shards and blocks hand back a number of links and the smallest node reached per node, not pairs. The result is audited: for a bounded sample of classes links are counted by
-brute force over all rows, and if less than ``recall`` of them were found, all is done again with wider settings.
+Shards and blocks hand back a number of links and the smallest node reached per node, not pairs. The result is audited: for a bounded sample of classes, as many of each order of magnitude of
+links found, the links to other classes are counted by brute force over all rows. If the mean share found per class is under
+``recall``, all is done again with wider settings, and after the last try all pairs are compared in blocks.
 
 Null, empty or zero vectors, and those with null or non-finite components, link with nothing; nor do vectors of different
 dimension. Every input row gives one row, repeated ids and vectors included; ``component_id`` is the smallest id that
@@ -417,9 +418,24 @@ def _by_blocks(placed: DataFrame, threshold: float, block: int) -> DataFrame:
     return dealt.groupBy("low", "x", "high", "y").applyInArrow(_compare(threshold), "c bigint, links bigint, reached bigint")
 
 
-def _audit(rows: DataFrame, found: DataFrame, classes: DataFrame, threshold: float, audited: int) -> float:
-    """Share of the links of a sample of classes, counted by brute force over all classes, that were found."""
-    sample = classes.orderBy(F.xxhash64("c"), "c").limit(audited).select("c", "copies", "vector").collect()
+def _audit(found: DataFrame, classes: DataFrame, threshold: float, audited: int) -> float:
+    """Mean share of the links to other classes that were found, over a sample of classes that have any.
+
+    The links are counted by brute force over all classes. The sample takes as many classes of each stratum by links found
+    (none, 1, 2 to 3, 4 to 7 and so on) as there are, so a large ball doesn't stand for the isolated pairs.
+    """
+    own = F.col("n_links") - F.col("copies") + 1
+    counted = found.join(classes.select("c", "copies"), "c").select("c", own.alias("got"))
+    counted = counted.withColumn("stratum", F.ceil(F.log2(F.col("got") + 1)).cast("int")).withColumn("h", F.xxhash64("c"))
+    sizes = {r["stratum"]: r["count"] for r in counted.groupBy("stratum").count().collect()}
+    if not sizes:
+        return 1.0
+    each = -(-audited // len(sizes))
+    # four times what is wanted passes a threshold on the hash, so that no stratum has to be sorted
+    share = F.create_map(*[F.lit(x) for stratum, n in sizes.items() for x in (stratum, min(1.0, 4 * each / n))])
+    near = counted.where(F.shiftrightunsigned("h", 11) / 2.0**53 <= share[F.col("stratum")])
+    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("stratum").orderBy("h", "c"))).where(F.col("k") <= each)
+    sample = ranked.join(classes, "c").select("c", "copies", "vector", "got").collect()
     if not sample:
         return 1.0
     by_dim: dict[int, list] = {}
@@ -443,10 +459,16 @@ def _audit(rows: DataFrame, found: DataFrame, classes: DataFrame, threshold: flo
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["c", "n"])
 
     true = classes.select("copies", "vector").mapInArrow(count, "c bigint, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
-    true = {r["c"]: r["n"] - 1 for r in true.collect()}
-    got = {r["c"]: r["n_links"] for r in found.where(F.col("c").isin(list(true))).collect()}
-    wanted = sum(true.values())
-    return sum(min(n, got.get(c, 0)) for c, n in true.items()) / wanted if wanted else 1.0
+    true = {r["c"]: r["n"] for r in true.collect()}
+    others = [(r["got"], true[r["c"]] - r["copies"]) for r in sample]
+    shares = [min(got, n) / n for got, n in others if n > 0]
+    return sum(shares) / len(shares) if shares else 1.0
+
+
+def _totals(classes: DataFrame, searched: DataFrame) -> DataFrame:
+    summed = searched.groupBy("c").agg(F.sum("links").alias("links"))
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    return settle(classes.join(summed, "c", "left").select("c", "first_id", "vector", links.alias("n_links")))
 
 
 def near_duplicate_vectors(
@@ -454,7 +476,7 @@ def near_duplicate_vectors(
     overlap: int = OVERLAP, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, target: int = TARGET, cap: int = CAP,
     recall: float = 0.97, audited: int = AUDITED, tries: int = 3, block: int = BLOCK,
 ) -> DataFrame:
-    """``id_column``, ``n_links``, ``component_id``, ``kept`` and ``recall`` (as audited) of every row."""
+    """``id_column``, ``n_links``, ``component_id``, ``kept`` and ``recall`` (as audited; 1 where all pairs were compared) of every row."""
     rows, classes = vector_classes(df, id_column, vector_column)
     margin = float(np.arccos(threshold))
     sizes = {r["dim"]: r["n"] for r in classes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -478,12 +500,16 @@ def near_duplicate_vectors(
         joined = tasks.join(united, "c", "left").withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
         searched = joined.groupBy(*groups).applyInArrow(_search(threshold, beam), "c bigint, links bigint, reached bigint")
         searched = settle(searched.unionByName(_by_blocks(placed, threshold, block)))
-        summed = searched.groupBy("c").agg(F.sum("links").alias("links"))
-        found = settle(classes.join(summed, "c").select("c", "first_id", "vector", (F.col("links") + F.col("copies") - 1).alias("n_links")))
-        share = _audit(rows, found, classes, threshold, audited)
+        found = _totals(classes, searched)
+        share = _audit(found, classes, threshold, audited)
         if share >= recall:
             break
         overlap, degree, beam = 2 * overlap, degree * 3 // 2, 2 * beam
+    else:
+        none, one = F.array().cast("array<bigint>"), F.array(F.size("vector").cast("bigint"))
+        every = classes.select("c", "copies", "vector", none.alias("shards"), none.alias("met"), one.alias("groups"), one.alias("visits"))
+        searched = settle(_by_blocks(every, threshold, block))
+        found, share = _totals(classes, searched), 1.0
     labels = connected_components(searched.select(F.col("c").alias("a"), F.col("reached").alias("b")))
     named = found.join(labels.select(F.col("node").alias("c"), "component"), "c", "left")
     named = settle(named.withColumn("component", F.coalesce("component", "c")))

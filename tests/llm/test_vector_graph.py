@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dockflow.llm import vector_graph as vg
 from tests.llm.test_shingle_join import components
@@ -95,3 +96,30 @@ def test_isolated_pairs_near_many_centroids(spark, target, cap, block):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     out = got(df, target=target, cap=cap, block=block, recall=0.0)
     assert out == brute(rows) and sum(r[1] for r in out) == 600
+
+
+def ball_and_pairs(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=32)
+    rows = [(i, (centre + rng.normal(size=32) * 0.03).tolist()) for i in range(200)]
+    for i in range(150):
+        one = rng.normal(size=32)
+        rows += [(1000 + 2 * i, one.tolist()), (1001 + 2 * i, (one + rng.normal(size=32) * 0.1).tolist())]
+    rows += [(2000 + i, rows[200][1]) for i in range(50)]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_audit_sees_lost_pairs_beside_a_ball(spark):
+    _, df = ball_and_pairs(spark)
+    _, classes = vg.vector_classes(df, "vec_id", "embedding")
+    # the ball is complete, of every isolated pair nothing was found but the copies
+    links = F.when(F.col("first_id") < 1000, 199).otherwise(F.col("copies") - 1).cast("bigint")
+    found = classes.select("c", "first_id", "vector", links.alias("n_links"))
+    assert vg._audit(found, classes, 0.95, 128) < 0.97
+    links = F.when(F.col("first_id") < 1000, 199).when(F.col("first_id") == 1001, 51).otherwise(F.col("copies")).cast("bigint")
+    assert vg._audit(classes.select("c", "first_id", "vector", links.alias("n_links")), classes, 0.95, 128) == 1.0
+
+
+def test_all_pairs_are_compared_after_the_last_try(spark):
+    rows, df = ball_and_pairs(spark)
+    assert got(df, target=100, degree=1, beam=1, recall=1.01, tries=1, block=90) == brute(rows)
