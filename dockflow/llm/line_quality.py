@@ -7,9 +7,9 @@ good, and the mean of their log-odds, weighted by the characters of the lines, i
 
 Fitting: documents carry labels, lines don't, so each line starts with its document's label; after the first fit, lines of
 bad documents that look good to the model count less, and the field is fitted once more. It is fitted with gradient steps on
-the driver on a bounded sample: ``SAMPLE_DOCS`` labelled documents per class with the smallest hash of the text, of each the
+the driver on a bounded sample: ``SAMPLE_DOCS`` distinct labelled texts per class with the smallest hash, of each the
 first ``SAMPLE_CHARS`` characters and of these the first ``SAMPLE_LINES`` lines. The base rate is that of all labelled
-documents. Scoring reads every line of every text.
+documents with a text, copies included. Scoring reads every line of every text.
 
 Features come from arrays over all bytes of a batch; non-ASCII bytes count as letters. A text without lines scores the share
 of good documents among the labelled ones; so does every text where nothing or one class only is labelled. Of repeated
@@ -238,20 +238,20 @@ def learn_field(
     df: DataFrame, labels: DataFrame, use: Column, id_column: str = "doc_id", text_column: str = "text",
     label_column: str = "quality", sample_docs: int = SAMPLE_DOCS,
 ) -> LineField:
-    """Fit on the documents where ``use`` is true that have a label; the sample keeps the classes' shares."""
+    """Fit on the documents where ``use`` is true that have a label; base rate and calibration follow the shares of all of them."""
     marks = labels.where(F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("_id"))
     marks = marks.agg(F.min(label_column).alias("_good"))
     rows = df.where(use & F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    order = F.xxhash64("_text")
-    # only texts that pass a threshold on their hash are joined; it is set by the number of labelled rows
-    labelled = labels.where(F.col(label_column).isin(0, 1)).count()
-    share = min(1.0, 8 * sample_docs / labelled) if labelled else 0.0
-    near = rows.where(F.shiftrightunsigned(order, 11) / 2.0**53 <= share)
+    order = F.xxhash64("_text").alias("h")
+    # ids and hashes of all labelled documents; texts are fetched for the sample only
+    joined = settle(rows.select("_id", order).join(marks, "_id").groupBy("h", "_good").agg(F.count(F.lit(1)).alias("n")))
+    shares = {r["_good"]: r["n"] for r in joined.groupBy("_good").agg(F.sum("n").alias("n")).collect()}
+    ranked = joined.groupBy("h").agg(F.min("_good").alias("_good"))
+    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("_good").orderBy("h")))
+    chosen = settle(ranked.where(F.col("k") <= sample_docs).select("h", "_good"))
     text = F.substr("_text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("_text")
-    joined = settle(near.join(marks, "_id").select(order.alias("h"), text, "_good").groupBy("h", "_text").agg(F.min("_good").alias("_good")))
-    shares = {r["_good"]: r["n"] for r in joined.groupBy("_good").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranked = joined.withColumn("k", F.row_number().over(Window.partitionBy("_good").orderBy("h", "_text")))
-    sample = ranked.where(F.col("k") <= sample_docs).collect()
+    sample = rows.select(order, "_text").join(chosen, "h").select("h", text, "_good").distinct().collect()
+    sample.sort(key=lambda r: (r["_good"], r["h"], r["_text"]))
     texts, good = [r["_text"] for r in sample], [r["_good"] for r in sample]
     field = fit_field(texts, np.array(good))
     total = sum(shares.values())

@@ -62,6 +62,18 @@ def sample(rng, good):
     return "\n".join(" ".join(words[i : i + 12]) for i in range(0, 60, 12))
 
 
+def test_copies_count_in_the_base_rate(spark):
+    rng = random.Random(9)
+    rows = [(i, sample(rng, True)) for i in range(60)] + [(60 + i, sample(rng, False)) for i in range(7)]
+    rows += [(67 + i, rows[60][1]) for i in range(33)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(100)], "doc_id long, quality int")
+    for sample_docs in (1_500, 5):
+        field = lq.learn_field(df, labels, F.lit(True), sample_docs=sample_docs)
+        assert field.base == 0.6
+        assert all(s == 0.6 for s in field.score(["", "\n"]))
+
+
 def test_held_out_accuracy_and_edges(spark):
     rng = random.Random(4)
     rows = [(i, sample(rng, i % 5 > 0), 1.0) for i in range(400)]
