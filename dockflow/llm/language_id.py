@@ -73,17 +73,27 @@ def learn_languages(
     rows = df.where(use).select(F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = F.xxhash64("text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(order).alias("texts")).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return Languages([])
-    # four times what is wanted passes a threshold on the hash, so that no language's texts have to be sorted
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * sample_texts / n))])
-    near = rows.where((F.shiftrightunsigned(order, 11) / 2.0**53 < share[F.col("lang")]) | (share[F.col("lang")] >= 1.0))
-    near = near.select("lang", order.alias("h"), F.substr("text", F.lit(1), F.lit(sample_bytes)).alias("text"))
-    ranked = near.distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
     sample: dict[str, list[str]] = {}
-    for row in ranked.where(F.col("k") <= sample_texts).orderBy("lang", "k").collect():
-        sample.setdefault(row["lang"], []).append(row["text"])
+
+    def take(near):
+        near = near.select("lang", order.alias("h"), F.substr("text", F.lit(1), F.lit(sample_bytes)).alias("text"))
+        ranked = near.distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+        for row in ranked.where(F.col("k") <= sample_texts).orderBy("lang", "k").collect():
+            sample.setdefault(row["lang"], []).append(row["text"])
+
+    # four times what is wanted of the distinct texts passes a threshold on the hash, so that no language's texts have to be sorted
+    shares = {r["lang"]: min(1.0, 4 * sample_texts / max(r["texts"], 1)) for r in found}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    take(rows.where((F.shiftrightunsigned(order, 11) / 2.0**53 < share[F.col("lang")]) | (share[F.col("lang")] >= 1.0)))
+    short = [lang for lang, passed in shares.items() if passed < 1.0 and len(sample.get(lang, [])) < sample_texts]
+    if short:  # too few have passed: once more from all texts
+        for lang in short:
+            sample.pop(lang, None)
+        take(rows.where(F.col("lang").isin(short)))
     names = sorted(sample, key=lambda name: (-counts[name], name))
     return Languages([(name, "\n".join(sample[name]).lower().encode()) for name in names])
 

@@ -17,6 +17,16 @@ def prose(lang, rng, n=60):
     return " ".join("".join(rng.choices(SYLLABLES[lang], k=rng.randint(1, 3))) for _ in range(n))
 
 
+def test_copies_do_not_starve_a_dictionary(spark):
+    rng = random.Random(7)
+    rows = [(prose("en", rng, 5), "en") for _ in range(300)] + [(prose("de", rng, 5), "de") for _ in range(50)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    copies = spark.range(30_000).select(F.lit("the same text").alias("text"), F.lit("en").alias("lang"))
+    languages = learn_languages(df.unionByName(copies), F.lit(True), sample_texts=8)
+    assert languages.names == ["en", "de"]
+    assert [content.count(b"\n") + 1 for _, content in languages.dictionaries] == [8, 8]
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(1)
     rows = [(i, prose(lang, rng), lang) for i, lang in enumerate(["en"] * 60 + ["es"] * 40 + ["de"] * 30)]
