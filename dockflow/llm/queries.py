@@ -14,6 +14,7 @@ from dockflow.llm import (
     language_id,
     line_quality,
     mixing,
+    ranked_search,
     shingle_join,
     token_counts,
     url_rules,
@@ -238,6 +239,31 @@ f AS (SELECT p.r, arg_max(rules.host || rules.path, length(rules.host || rules.p
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (r)
 """
 
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP11_SQL = f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+s AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n, terms FROM d WHERE len(terms) > 0),
+t AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM s),
+p AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM s)
+    WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, t GROUP BY term, nd),
+c AS (SELECT p.r, p.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nd) // nl)))) AS c
+    FROM p JOIN w USING (term) JOIN s USING (r), t),
+x AS (SELECT item_id, r, CAST(sum(c) AS BIGINT) AS score FROM c JOIN q USING (term) GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score,
+    row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM x JOIN s USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
 QUERIES = {
     "op1_vector_graph": (op1_vector_graph, OP1_SQL),
     "op2_mixing": (op2_mixing, OP2_SQL),
@@ -249,4 +275,5 @@ QUERIES = {
     "op8_line_quality": (op8_line_quality, None),
     "op9_host_rules": (op9_host_rules, OP9_SQL),
     "op10_url_rules": (op10_url_rules, OP10_SQL),
+    "op11_ranked_search": (op11_ranked_search, OP11_SQL),
 }
