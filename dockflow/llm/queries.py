@@ -16,6 +16,7 @@ from dockflow.llm import (
     mixing,
     ranked_search,
     shingle_join,
+    spelling_variants,
     token_counts,
     url_rules,
     vector_graph,
@@ -264,6 +265,41 @@ k AS (SELECT item_id, doc_id, score,
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
 """
 
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, and the form each is a variant of."""
+    return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of the bytes of ``<doc_id>:<run>``, whose characters are all Latin-1.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '')
+    || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+    ELSE [CAST(192 + unicode(c) // 64 AS BIGINT), CAST(128 + unicode(c) % 64 AS BIGINT)] END))),
+    lambda a, b: xor(a >> 8, steps[CAST(xor(a, b) & 255 AS INTEGER) + 1])), CAST(4294967295 AS BIGINT))"""
+
+OP13_SQL = f"""
+WITH RECURSIVE c AS (SELECT list(v ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END) AS v FROM range(256) AS r(i))),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+    GROUP BY ALL HAVING length(run) >= 6),
+h AS (SELECT run, n, {_CRC} AS h FROM r, c),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+    ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+e AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+x AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM e AS a JOIN e AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, a.n, v.word, v.n FROM e AS a JOIN v ON a.rest = v.word
+    UNION SELECT v.word, v.n, b.word, b.n FROM e AS b JOIN v ON b.rest = v.word),
+k AS (SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+    row_number() OVER (PARTITION BY word ORDER BY near_n DESC, encode(near)) AS place FROM x),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form,
+    CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN k ON v.word = k.word AND place = 1),
+p AS (SELECT word, word AS root, form AS further FROM f UNION ALL
+    SELECT p.word, f.word, f.form FROM p JOIN f ON p.further = f.word)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN p ON f.word = p.word AND p.further IS NULL
+"""
+
 QUERIES = {
     "op1_vector_graph": (op1_vector_graph, OP1_SQL),
     "op2_mixing": (op2_mixing, OP2_SQL),
@@ -276,4 +312,5 @@ QUERIES = {
     "op9_host_rules": (op9_host_rules, OP9_SQL),
     "op10_url_rules": (op10_url_rules, OP10_SQL),
     "op11_ranked_search": (op11_ranked_search, OP11_SQL),
+    "op13_spelling_variants": (op13_spelling_variants, OP13_SQL),
 }
