@@ -18,6 +18,7 @@ from dockflow.llm import (
     shingle_join,
     spelling_variants,
     token_counts,
+    toxicity,
     url_rules,
     vector_graph,
     warc,
@@ -266,6 +267,24 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <
 """
 
 
+#: Score from which a document counts as toxic.
+TOXIC = 0.5
+
+
+def toxicity_held_out(id_column: str = "doc_id") -> Column:
+    """True where 5 divides crc32 of the id as text; such rows never train the toxicity network. Null ids are false."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from labelled ones not held out."""
+    documents = table(spark, sf_dir, "documents")
+    net = toxicity.learn_net(documents, table(spark, sf_dir, "labels"), ~toxicity_held_out())
+    scored = toxicity.score_texts(documents, net)
+    predicted = F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted")
+    return scored.select("doc_id", toxicity_held_out().alias("held_out"), "score", predicted)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frequent words of all documents, and the form each is a variant of."""
     return spelling_variants.group_variants(table(spark, sf_dir, "documents"))
@@ -312,5 +331,6 @@ QUERIES = {
     "op9_host_rules": (op9_host_rules, OP9_SQL),
     "op10_url_rules": (op10_url_rules, OP10_SQL),
     "op11_ranked_search": (op11_ranked_search, OP11_SQL),
+    "op12_toxicity": (op12_toxicity, None),
     "op13_spelling_variants": (op13_spelling_variants, OP13_SQL),
 }
