@@ -10,10 +10,11 @@ from dockflow.catalog.inputs import sql
 from dockflow.functions.calendar import process_data_cluster
 from dockflow.models import anomaly, forecast
 from dockflow.models import fleet_forecast as fleet_forecasts
+from dockflow.models import histogram_forest as forests
 from dockflow.operators import filters, lookups, profile
 from dockflow.operators.movement import get_consecutive_no_transactions_out
 from dockflow.plans import learning
-from dockflow.schemas import DETECTOR_FEATURES
+from dockflow.schemas import DETECTOR_FEATURES, SEED
 from dockflow.session import scratch_path, settle
 from dockflow.sources import writers
 
@@ -341,8 +342,85 @@ def _fleet_inputs_sql():
         WHERE f.date = (SELECT max(date) FROM built m WHERE m.station_id = f.station_id)"""
 
 
+def _forest_rows(spark, sf_dir):
+    inputs = fleet_forecasts.forecast_inputs(I.stored_activity(spark, sf_dir), "available_bikes", "1h")
+    return settle(forests.prepared(inputs, forecast.get_feature_to_use_for_model("available_bikes")))
+
+
+def forest_histogram(spark, sf_dir):
+    """The first level's histograms of all stations' forests."""
+    counted = forests.level_histogram(_forest_rows(spark, sf_dir), 0, 17)
+    return counted.select("station_id", "tree", "feature", "bin", F.col("n").cast("bigint").alias("n"), F.col("s").cast("bigint").alias("s"))
+
+
+def forest_splits(spark, sf_dir):
+    """The cuts chosen on the first two levels."""
+    rows = _forest_rows(spark, sf_dir)
+    root = settle(forests.best_splits(forests.level_histogram(rows, 0, 17)))
+    second = forests.best_splits(forests.level_histogram(settle(forests.next_level(rows, root, 0)), 1, 17))
+    return root.unionByName(second).select("station_id", "tree", "node", "feature", "cut", rounded("gain", 3).alias("gain"))
+
+
+def _forest_sql(levels: int, select: str) -> str:
+    """The forest's rows, and ``levels`` levels of histograms (``h0``, ``h1``, ...), cuts (``p0``, ...) and rows in nodes (``n1``, ...)."""
+    waves = [
+        (fn, top, field) for part, top, field in (("weekday", 7, "isodow"), ("hours", 24, "hour"), ("minutes", 6, "minute")) for fn in ("sin", "cos")
+    ]
+    body = FEATURES["lags_and_rolling"][1].replace("SELECT station_id, date, lag", "SELECT station_id, date, available_bikes AS own, lag", 1)
+
+    def x(date):
+        values = [f"{fn}(2 * pi() / {top} * {field}({date}))" for fn, top, field in waves] + [f"CAST(f.{c} AS DOUBLE)" for c in FORECAST_COLUMNS]
+        return f"[{', '.join(values)}]"
+
+    top = forests.BINS - 1
+    digits = " || ".join(f"md5('{SEED}:' || station_id || ':' || sec || ':{g}')" for g in range(-(-forests.TREES // 8)))
+    drawn = " + ".join(f"CASE WHEN u >= {t} THEN 1 ELSE 0 END" for t in forests.POISSON)
+    parts = [
+        f"""built AS MATERIALIZED ({body})""",
+        f"""facts AS MATERIALIZED (SELECT f.station_id, CAST(epoch(f.date) AS BIGINT) AS sec, f.date, CAST(b.own AS DOUBLE) AS target, false AS asked, {x('f.date')} AS x
+            FROM built f JOIN built b ON b.station_id = f.station_id AND b.date = f.date + INTERVAL 1 HOUR WHERE b.own IS NOT NULL
+            UNION ALL SELECT f.station_id, CAST(epoch(f.date + INTERVAL 1 HOUR) AS BIGINT), f.date + INTERVAL 1 HOUR, NULL, true, {x('(f.date + INTERVAL 1 HOUR)')}
+            FROM built f WHERE f.date = (SELECT max(date) FROM built m WHERE m.station_id = f.station_id))""",
+        """cells AS (SELECT station_id, sec, asked, unnest(range(17)) AS feature, unnest(x) AS v FROM facts)""",
+        """ends AS (SELECT station_id, feature, min(v) AS low, max(v) AS high FROM cells WHERE NOT asked GROUP BY ALL)""",
+        f"""bins AS MATERIALIZED (SELECT station_id, sec, asked, feature, CAST(CASE WHEN v IS NULL THEN 0 WHEN high > low
+            THEN greatest(0, least({top}, floor(round((v - low) * {top} / (high - low), 6)))) + 1 ELSE 1 END AS INTEGER) AS bin
+            FROM cells JOIN ends USING (station_id, feature))""",
+        f"""drawn AS (SELECT station_id, sec, asked, target, tree, CAST('0x' || substr(digits, 4 * tree + 1, 4) AS INTEGER) AS u FROM
+            (SELECT *, unnest(range({forests.TREES})) AS tree FROM (SELECT *, {digits} AS digits FROM facts)))""",
+        f"""n0 AS MATERIALIZED (SELECT station_id, sec, asked, target, CAST(tree AS INTEGER) AS tree, times, 0 AS node FROM (SELECT *, {drawn} AS times FROM drawn) WHERE asked OR times > 0)""",
+    ]
+    for level in range(levels):
+        parts += [
+            f"""h{level} AS MATERIALIZED (SELECT station_id, tree, node, feature, bin, CAST(sum(times) AS BIGINT) AS n, sum(times * target) AS s
+                FROM n{level} JOIN bins USING (station_id, sec, asked) WHERE NOT asked AND node >= {2**level - 1}
+                AND CAST('0x' || substr(md5('{SEED}:' || tree || ':' || node || ':' || feature), 1, 2) AS INTEGER) % 4 <> 0 GROUP BY ALL)""",
+            f"""c{level} AS (SELECT station_id, tree, node, feature, bin, sum(n) OVER r AS n_l, sum(s) OVER r AS s_l, sum(n) OVER a AS n_all, sum(s) OVER a AS s_all
+                FROM h{level} WINDOW a AS (PARTITION BY station_id, tree, node, feature), r AS (a ORDER BY bin ROWS UNBOUNDED PRECEDING))""",
+            f"""p{level} AS MATERIALIZED (SELECT station_id, tree, node, feature, bin AS cut, gain FROM (SELECT *,
+                round(s_l * s_l / n_l + (s_all - s_l) * (s_all - s_l) / (n_all - n_l) - s_all * s_all / n_all, 6) AS gain FROM c{level} WHERE n_l < n_all)
+                WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY station_id, tree, node ORDER BY gain DESC, feature, cut) = 1)""",
+            f"""n{level + 1} AS MATERIALIZED (SELECT n.* REPLACE (CASE WHEN p.cut IS NULL THEN n.node ELSE 2 * n.node + 1 + CASE WHEN b.bin > p.cut THEN 1 ELSE 0 END END AS node)
+                FROM n{level} n LEFT JOIN p{level} p ON p.station_id = n.station_id AND p.tree = n.tree AND p.node = n.node
+                LEFT JOIN bins b ON b.station_id = n.station_id AND b.sec = n.sec AND b.asked = n.asked AND b.feature = p.feature)""",
+        ]
+    return f"WITH {', '.join(parts)} {select}"
+
+
+_DEEPEST = f"n{forests.DEPTH}"
+FLEET_FORECAST = _forest_sql(forests.DEPTH, f"""SELECT f.station_id, f.date, CAST(floor(round(avg(m.mean), 6) + 0.5) AS INTEGER) AS y_pred
+    FROM facts f JOIN {_DEEPEST} a ON a.asked AND a.station_id = f.station_id JOIN (SELECT station_id, tree, node, sum(times * target) / sum(times) AS mean
+        FROM {_DEEPEST} WHERE NOT asked GROUP BY ALL) m ON m.station_id = a.station_id AND m.tree = a.tree AND m.node = a.node
+    WHERE f.asked GROUP BY ALL""")
+FOREST_HISTOGRAM = _forest_sql(1, "SELECT station_id, tree, CAST(feature AS INTEGER) AS feature, bin, n, CAST(s AS BIGINT) AS s FROM h0")
+FOREST_SPLITS = _forest_sql(2, f"""SELECT station_id, tree, node, CAST(feature AS INTEGER) AS feature, cut, {r('gain', 3)} AS gain
+    FROM (SELECT * FROM p0 UNION ALL SELECT * FROM p1)""")
+
+
 QUERIES = {
-    "fleet_forecast": (fleet_forecast, None),
+    "fleet_forecast": (fleet_forecast, FLEET_FORECAST),
+    "forest_histogram": (forest_histogram, FOREST_HISTOGRAM),
+    "forest_splits": (forest_splits, FOREST_SPLITS),
     "fleet_forecast_inputs": (fleet_forecast_inputs, _fleet_inputs_sql()),
     "activity_statistics": (activity_statistics, sql(f"SELECT {ROUNDED} FROM stats", "idle", train=TRAIN, stats=STATS)),
     "station_profile": (station_profile, PROFILE),

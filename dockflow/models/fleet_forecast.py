@@ -1,105 +1,24 @@
 """Forecast of bikes or stands of every station in one job.
 
-Features are built for all stations at once; then each station's rows, 52,560 a year on the ten-minute grid, go to one task
-that grows a small forest on binned features and answers for the newest row.
+Features are built for all stations at once, the forests of all stations grow from one set of histograms (``histogram_forest``),
+and each station's newest row is answered by its own forest.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.functions.calendar import process_temporal_feat
 from dockflow.functions.durations import offset_by
-from dockflow.models.forecast import MISSING, get_feature_to_use_for_model
+from dockflow.models.forecast import get_feature_to_use_for_model
+from dockflow.models.histogram_forest import DEPTH, TREES, forest_answers
 from dockflow.operators.filters import latest_rows
+from dockflow.operators.grid import deduplicate
 from dockflow.operators.lookups import create_target
 from dockflow.operators.rolling import build_feat_for_regression
 from dockflow.schemas import SEED
-from dockflow.session import settle, spread
-
-TREES, DEPTH, BINS, SHARE = 50, 6, 64, 0.75
-
-
-def bin_borders(x: np.ndarray, bins: int = BINS) -> list[np.ndarray]:
-    """Per feature the values, at most ``bins - 1``, that separate its bins; a value on a border is left of it."""
-    out = []
-    for column in x.T:
-        values = np.unique(column)
-        if len(values) > bins:
-            values = np.unique(np.quantile(column, np.linspace(0, 1, bins), method="nearest"))
-        out.append(values[:-1])
-    return out
-
-
-def grow_tree(binned: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator, depth: int = DEPTH, share: float = SHARE):
-    """One regression tree, level by level, on weighted rows.
-
-    Per heap position: the split feature (-1 on a leaf), its last bin on the left side, and the mean.
-    """
-    rows, dims = binned.shape
-    bins = int(binned.max(initial=0)) + 1
-    nodes = 2 ** (depth + 1) - 1
-    feature, cut, mean = np.full(nodes, -1), np.zeros(nodes, dtype=int), np.zeros(nodes)
-    at = np.zeros(rows, dtype=int)
-    wy = weight * y
-    mean[0] = wy.sum() / max(weight.sum(), 1)
-    for level in range(depth):
-        first, width = 2**level - 1, 2**level
-        here = (at >= first) & (weight > 0)
-        if not here.any():
-            break
-        local, best = at[here] - first, np.full(width, 1e-12)
-        picked = rng.random((width, dims)).argsort(axis=1) < max(1, round(share * dims))
-        n_all = np.bincount(local, weight[here], width)
-        s_all = np.bincount(local, wy[here], width)
-        base = s_all**2 / np.maximum(n_all, 1)
-        for f in range(dims):
-            place = local * bins + binned[here, f]
-            n = np.bincount(place, weight[here], width * bins).reshape(width, bins).cumsum(axis=1)[:, :-1]
-            s = np.bincount(place, wy[here], width * bins).reshape(width, bins).cumsum(axis=1)[:, :-1]
-            if not n.shape[1]:
-                continue
-            rest_n, rest_s = n_all[:, None] - n, s_all[:, None] - s
-            gain = np.where((n > 0) & (rest_n > 0), s**2 / np.maximum(n, 1) + rest_s**2 / np.maximum(rest_n, 1) - base[:, None], 0)
-            top = gain.argmax(axis=1)
-            value = np.where(picked[:, f], gain[np.arange(width), top], 0)
-            better = np.flatnonzero(value > best)
-            best[better] = value[better]
-            feature[first + better], cut[first + better] = f, top[better]
-        split = feature[at] >= 0
-        split &= here
-        right = binned[np.arange(rows), np.maximum(feature[at], 0)] > cut[at]
-        at = np.where(split, 2 * at + 1 + right, np.where(here, -1, at))
-        alive = at >= 0
-        n = np.bincount(at[alive], weight[alive], nodes)
-        s = np.bincount(at[alive], wy[alive], nodes)
-        below = np.arange(nodes) >= 2 * first + 1
-        mean = np.where(below & (n > 0), s / np.maximum(n, 1), mean)
-    return feature, cut, mean
-
-
-def walk(tree, binned: np.ndarray) -> float:
-    """The mean of the leaf that one row falls into."""
-    feature, cut, mean = tree
-    node = 0
-    while feature[node] >= 0:
-        node = 2 * node + 1 + int(binned[feature[node]] > cut[node])
-    return float(mean[node])
-
-
-def forest_forecast(x: np.ndarray, y: np.ndarray, new: np.ndarray, rng: np.random.Generator, trees: int = TREES) -> float:
-    """Mean answer of trees grown on bootstrap samples of the rows."""
-    borders = bin_borders(x)
-    binned = np.stack([np.searchsorted(b, column, side="left") for b, column in zip(borders, x.T)], axis=1)
-    ask = np.array([np.searchsorted(b, v, side="left") for b, v in zip(borders, new)])
-    answers = []
-    for _ in range(trees):
-        weight = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
-        answers.append(walk(grow_tree(binned, y, weight, rng), ask))
-    return float(np.mean(answers))
+from dockflow.session import settle
 
 
 def forecast_inputs(history: DataFrame, target_col: str, horizon_prediction: str) -> DataFrame:
@@ -110,25 +29,13 @@ def forecast_inputs(history: DataFrame, target_col: str, horizon_prediction: str
     ask = process_temporal_feat(newest, "date").withColumn("asked", F.lit(True))
     known = ready.where(F.col("target").isNotNull()).withColumn("asked", F.lit(False))
     columns = ["station_id", "date", "asked", F.col("target").cast("double").alias("target"), *[F.col(f).cast("double").alias(f) for f in features]]
-    return known.select(*columns).unionByName(ask.select(*columns))
+    return known.select(*columns).unionByName(deduplicate(ask.select(*columns)))
 
 
-def forecast_all(history: DataFrame, target_col: str, horizon_prediction: str, seed: int = SEED) -> DataFrame:
+def forecast_all(
+    history: DataFrame, target_col: str, horizon_prediction: str, seed: int = SEED, trees: int = TREES, depth: int = DEPTH
+) -> DataFrame:
     """``station_id``, ``date`` and ``y_pred`` (rounded) for every station; null where a station has no row to learn from."""
-    features = get_feature_to_use_for_model(target_col)
-
-    def answer(key, rows):
-        rows = rows.sort_values(["date", *features])
-        x, asked = rows[features].fillna(MISSING).to_numpy(dtype=float), rows["asked"].to_numpy(dtype=bool)
-        y = rows["target"].to_numpy(dtype=float)[~asked]
-        value = None
-        if len(y):
-            station = 0 if pd.isna(key[0]) else int(key[0])
-            rng = np.random.default_rng([seed, station & 0xFFFFFFFF])
-            value = int(np.floor(forest_forecast(x[~asked], y, x[asked][0], rng) + 0.5))
-        out = pd.DataFrame({"date": [rows["date"].to_numpy()[asked][0]]})
-        out.insert(0, "station_id", pd.array([None if pd.isna(key[0]) else int(key[0])], dtype="Int32"))
-        return out.assign(y_pred=pd.array([value], dtype="Int32"))
-
     inputs = forecast_inputs(history, target_col, horizon_prediction)
-    return spread(inputs, "station_id").groupBy("station_id").applyInPandas(answer, "station_id int, date timestamp_ntz, y_pred int")
+    answers = forest_answers(inputs, get_feature_to_use_for_model(target_col), seed, trees, depth)
+    return answers.select("station_id", "date", F.floor(F.col("answer") + 0.5).cast("int").alias("y_pred"))

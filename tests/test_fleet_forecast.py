@@ -4,48 +4,86 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dockflow.models import fleet_forecast as ff
+from dockflow.models import histogram_forest as hf
 from dockflow.models.forecast import get_prediction_station
 from tests.helpers import frame, seeded_history
 
 
-def test_first_split_is_the_best_of_all():
-    rng = np.random.default_rng(4)
-    for _ in range(20):
-        x, y = rng.integers(0, 9, size=(40, 3)).astype(float), rng.normal(size=40)
-        borders = ff.bin_borders(x)
-        binned = np.stack([np.searchsorted(b, c) for b, c in zip(borders, x.T)], axis=1)
-        feature, cut, mean = ff.grow_tree(binned, y, np.ones(40), rng, depth=1, share=1.0)
-        left = x[:, feature[0]] <= borders[feature[0]][cut[0]]
-        error = ((y[left] - y[left].mean()) ** 2).sum() + ((y[~left] - y[~left].mean()) ** 2).sum()
-        every = [
-            sum(((y[side] - y[side].mean()) ** 2).sum() for side in (x[:, f] <= v, x[:, f] > v))
-            for f in range(3) for v in np.unique(x[:, f])[:-1]
-        ]
-        assert error == pytest.approx(min(every))
-        assert mean[1] == pytest.approx(y[left].mean()) and mean[2] == pytest.approx(y[~left].mean())
-
-
-def test_leaves_hold_the_means_of_their_rows():
-    rng = np.random.default_rng(5)
-    x, y, weight = rng.normal(size=(300, 4)), rng.normal(size=300), rng.integers(0, 3, 300).astype(float)
-    borders = ff.bin_borders(x)
-    binned = np.stack([np.searchsorted(b, c) for b, c in zip(borders, x.T)], axis=1)
-    tree = ff.grow_tree(binned, y, weight, rng)
-    leaf = np.array([ff.walk(tree, row) for row in binned])
-    used = weight > 0
-    for value in np.unique(leaf[used]):
-        here = used & (leaf == value)
-        assert value == pytest.approx(np.average(y[here], weights=weight[here]))
-
-
-def test_a_rule_is_learned():
-    rng = np.random.default_rng(6)
-    x = rng.integers(0, 6, size=(500, 5)).astype(float)
-    y = np.where(x[:, 2] > 3, 20.0, 5.0)
-    assert ff.forest_forecast(x, y, np.array([0, 0, 5, 0, 0.0]), rng) == pytest.approx(20, abs=1)
-    assert ff.forest_forecast(x, y, np.array([0, 0, 1, 0, 0.0]), rng) == pytest.approx(5, abs=1)
+FEATURES = ["a", "b", "c"]
+ROWS = "station_id int, date timestamp_ntz, asked boolean, target double, a double, b double, c double"
+
+
+def training(spark, n=400, stations=(1, 2, None), seed=6, rule=lambda a, b, c: 20.0 if b > 3 else 5.0):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for station in stations:
+        for i in range(n):
+            x = [float(v) for v in rng.integers(0, 6, size=3)]
+            rows.append((station, datetime(2025, 3, 1) + timedelta(minutes=10 * i), False, rule(*x), *x))
+        rows.append((station, datetime(2025, 9, 1), True, None, 0.0, 5.0, None))
+    return spark.createDataFrame(rows, ROWS)
+
+
+def test_bins_and_draws(spark):
+    values = [None, 0.0, 1.0, 31.0, 63.0, 64.0, -5.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(1)
+    got = [r[0] for r in df.select(hf.bin_of(F.col("v"), F.lit(0.0), F.lit(63.0))).collect()]
+    assert got == [0, 1, 2, 32, 64, 64, 1]
+    assert df.select(hf.bin_of(F.col("v"), F.lit(1.0), F.lit(1.0)).alias("b")).where("b > 1").count() == 0
+    rows = hf.prepared(training(spark), FEATURES).collect()
+    drawn = np.array([r.draws for r in rows])
+    assert drawn.shape[1] == 50 and abs(drawn.mean() - 1) < 0.02 and abs(drawn.var() - 1) < 0.05
+    assert sum(bin(hf.allowed_features(1, t, 0, 17)).count("1") for t in range(200)) / 200 / 17 == pytest.approx(0.75, abs=0.03)
+
+
+def test_first_split_is_the_best_of_all(spark):
+    df = training(spark, 60, (1,), rule=lambda a, b, c: 3 * a + (b - 2) ** 2 - c)
+    rows = hf.prepared(df, FEATURES, trees=8)
+    histogram = hf.level_histogram(rows, 0, 3, trees=8)
+    got = {r.tree: r for r in hf.best_splits(histogram).collect()}
+    facts = [r for r in rows.collect() if not r.asked]
+    for tree in range(8):
+        mask = hf.allowed_features(hf.SEED, tree, 0, 3)
+        x = np.array([r.bins for r in facts for _ in range(r.draws[tree])])
+        y = np.array([r.target for r in facts for _ in range(r.draws[tree])])
+        gains = {}
+        for f in range(3):
+            for cut in np.unique(x[:, f])[:-1] if mask >> f & 1 else []:
+                left = x[:, f] <= cut
+                gains[f, int(cut)] = ((y - y.mean()) ** 2).sum() - sum(((y[s] - y[s].mean()) ** 2).sum() for s in (left, ~left))
+        assert max(gains.values()) == pytest.approx(got[tree].gain, abs=1e-4)
+        assert gains[got[tree].feature, got[tree].cut] == pytest.approx(got[tree].gain, abs=1e-4)
+
+
+def test_rows_follow_the_splits(spark):
+    rows = hf.prepared(training(spark, 50, (1, None)), FEATURES, trees=4)
+    splits = hf.best_splits(hf.level_histogram(rows, 0, 3, trees=4))
+    cuts = {(r.station_id, r.tree): (r.feature, r.cut) for r in splits.collect()}
+    moved = hf.next_level(rows, splits, 0).collect()
+    assert len(moved) == 102
+    for r in moved:
+        for tree, node in enumerate(r.nodes):
+            f, cut = cuts.get((r.station_id, tree), (None, None))
+            assert node == (0 if f is None else 1 + (r.bins[f] > cut))
+
+
+def test_a_rule_is_learned_whatever_the_partitioning(spark):
+    df = training(spark)
+    got = {r.station_id: r.answer for r in hf.forest_answers(df, FEATURES).collect()}
+    assert set(got) == {1, 2, None} and all(abs(v - 20) <= 1.5 for v in got.values())
+    again = {r.station_id: r.answer for r in hf.forest_answers(df.repartition(7, "b"), FEATURES).collect()}
+    assert again == got
+
+
+def test_no_task_holds_a_station(spark):
+    """Histograms are aggregates with partial sums; no rows of a station are gathered, and no Python worker runs."""
+    rows = hf.prepared(training(spark), FEATURES)
+    plan = hf.best_splits(hf.level_histogram(rows, 2, 3))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert plan.count("HashAggregate") + plan.count("SortAggregate") >= 4
 
 
 def test_every_station_in_one_job(spark):
