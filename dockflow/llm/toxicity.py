@@ -428,7 +428,8 @@ def learn_net(
     for label in (0, 1):
         chosen += sorted((r["h"], r["toxic"]) for r in passed if r["toxic"] == label)[:sample_docs]
     picked = df.sparkSession.createDataFrame(chosen, "h long, toxic int")
-    sample = rows.select(F.xxhash64("_text").alias("h"), "_text").join(picked, "h").distinct().collect()
+    # at most twice the sample's numbers; so the texts stay where they are
+    sample = rows.select(F.xxhash64("_text").alias("h"), "_text").join(F.broadcast(picked), "h").distinct().collect()
     sample.sort(key=lambda r: (r["toxic"], r["h"], r["_text"]))
     return fit_net([r["_text"] for r in sample], np.array([r["toxic"] for r in sample]), base)
 
