@@ -3,35 +3,32 @@
 The detector sees only (idle run, quarter, weekday, hour). So a station's rows are first counted per combination, which
 combines before the shuffle and leaves at most ``(max_idle + 1) * 4 * 7 * 24`` rows per station (97,440 by default)
 however long its history. Scaling, components, trees and the threshold are computed from these counts, which
-gives the same result as from the rows.
+gives the same result as from the rows. Everything is column expressions and aggregates: no rows go through Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dockflow.functions.calendar import get_encoding_time, iso_weekday, process_data_cluster
 from dockflow.functions.scalars import anomaly_probability
-from dockflow.models.isolation import SAMPLE, TREES, counted_percentile, forest_scores, grow_trees
+from dockflow.models.components import coordinates, principal_components
+from dockflow.models.isolation import SAMPLE, TREES, as_arrays, counted_percentile, draw, grow, score_sql
 from dockflow.operators.filters import filter_periode, usable_rows
 from dockflow.operators.lookups import with_profile
 from dockflow.operators.profile import idle_percentile
 from dockflow.schemas import CLOSED_PERIOD, DETECTOR_FEATURES, IDLE_LIMITS, MAX_IDLE_STEPS, SEED, UNUSED_STATIONS
-from dockflow.session import settle, spread
+from dockflow.session import settle
 
 RUN = "consecutive_no_transactions_out"
 COMBINATION = (RUN, "quarter", "weekday", "hours")
-KEPT_VARIANCE = 0.9
 #: Largest share of anomalies that a threshold is set for.
 MAX_CONTAMINATION = 0.5
-#: Idle runs per scoring group: bounds a group to 512 * 4 * 7 * 24 combinations.
-RUN_BAND = 512
+#: Idle runs per scoring group: bounds a group to 64 * 4 * 7 * 24 combinations.
+RUN_BAND = 64
 
 MODEL_SCHEMA = (
     "station_id int, rows bigint, sample_rows int, contamination double, reason string, "
@@ -104,33 +101,6 @@ def standardise(df: DataFrame, features: Sequence[str] = DETECTOR_FEATURES, key:
     return scaled.drop(*[f"_mean_{f}" for f in features], *[f"_std_{f}" for f in features])
 
 
-_DOUBLES = T.ArrayType(T.DoubleType())
-
-
-@F.pandas_udf(T.StructType().add("scale", _DOUBLES).add("components", _DOUBLES).add("explained", _DOUBLES))
-def principal_components(mean: pd.Series, covariance: pd.Series, rows: pd.Series) -> pd.DataFrame:
-    """Scaling and the leading components that together exceed 90 % of the scaled variance, per station."""
-    dims = len(DETECTOR_FEATURES)
-    upper = np.triu_indices(dims)
-    cov = np.zeros((len(mean), dims, dims))
-    cov[:, upper[0], upper[1]] = np.stack(covariance.to_numpy())
-    cov = cov + np.triu(cov, 1).transpose(0, 2, 1)
-    centre, n = np.stack(mean.to_numpy()), rows.to_numpy(dtype="float64")[:, None]
-    variance = np.diagonal(cov, axis1=1, axis2=2)
-    eps = np.finfo("float64").eps
-    constant = variance <= n * eps * variance + (n * centre * eps) ** 2
-    scale = np.where(constant, 1.0, np.sqrt(np.maximum(variance, 0)))
-    scaled = cov / (scale[:, :, None] * scale[:, None, :])
-    values, vectors = np.linalg.eigh(scaled)
-    values, vectors = np.maximum(values[:, ::-1], 0), vectors[:, :, ::-1]
-    out = []
-    for s, val, vec in zip(scale, values, vectors):
-        ratio = val / val.sum() if val.sum() > 0 else val
-        kept = min(int(np.searchsorted(np.cumsum(ratio), KEPT_VARIANCE, side="right")) + 1, dims)
-        out.append((s.tolist(), vec[:, :kept].T.ravel().tolist(), ratio.tolist()))
-    return pd.DataFrame(out, columns=["scale", "components", "explained"])
-
-
 def contamination(
     counted: DataFrame, profile: DataFrame | None, label: str | None = None, rules: Mapping[str, int] = IDLE_LIMITS,
     key: str = "station_id",
@@ -143,43 +113,11 @@ def contamination(
     return share.select(key, (1 - F.col("percentile") / 100).alias("contamination"))
 
 
-def _project(combos: pd.DataFrame, mean, scale, components) -> np.ndarray:
-    x = combos[list(DETECTOR_FEATURES)].to_numpy(dtype="float64")
-    loading = np.asarray(components).reshape(-1, len(DETECTOR_FEATURES))
-    return ((x - np.asarray(mean)) / np.asarray(scale)) @ loading.T
-
-
-def _unusable(share) -> str | None:
+def _reason(share: str) -> Column:
     """Why no threshold can be set for a share of anomalies."""
-    if pd.isna(share):
-        return "no limit for the station's label"
-    if not 0 < share <= MAX_CONTAMINATION:
-        return f"share of anomalies outside (0, {MAX_CONTAMINATION}]"
-    return None
-
-
-def _fit_station(seed: int, trees: int, sample: int):
-    def fit(key, combos: pd.DataFrame, setup: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in MODEL_SCHEMA.split(", ")]
-        if combos.empty or setup.empty:
-            return pd.DataFrame(columns=columns)
-        station, s = int(key[0]), setup.iloc[0]
-        combos = combos.sort_values(list(COMBINATION))
-        counts = combos["rows"].to_numpy(dtype="int64")
-        points = _project(combos, s["mean"], s["scale"], s["components"])
-        rng = np.random.default_rng([seed, station & 0xFFFFFFFF])
-        feature, cut, path, size = grow_trees(points, counts, rng, trees, sample)
-        share, threshold = s["contamination"], None
-        reason = _unusable(share)
-        if reason is None:
-            threshold = counted_percentile(forest_scores(points, feature, cut, path, size), counts, share)
-        row = (
-            station, int(counts.sum()), size, share, reason, threshold, list(s["mean"]), list(s["scale"]),
-            list(s["components"]), feature.ravel().tolist(), cut.ravel().tolist(), path.ravel().tolist(),
-        )
-        return pd.DataFrame([row], columns=columns)
-
-    return fit
+    usable = (F.col(share) > 0) & (F.col(share) <= MAX_CONTAMINATION)
+    missing = F.col(share).isNull() | F.isnan(share)
+    return F.when(missing, "no limit for the station's label").when(~usable, f"share of anomalies outside (0, {MAX_CONTAMINATION}]")
 
 
 def train_cluster_station(
@@ -204,50 +142,49 @@ def train_cluster_station(
         df = df.where(F.col("station_id") == station_id)
     # small, and read by the moments, the contamination and the trees: computed once
     counted = settle(count_combinations(training_rows(df, period, non_use_station_id, max_idle)))
-    moments = feature_moments(counted)
-    setup = moments.withColumn("_p", principal_components("mean", "covariance", "rows")).join(
-        contamination(counted, profile, profile_station_activity, rules), "station_id"
-    )
-    setup = setup.select(F.col("station_id").alias("_station"), "mean", "_p.scale", "_p.components", "contamination")
-    combos = add_encodings(counted)
-    return (
-        spread(combos, "station_id")
-        .groupBy("station_id")
-        .cogroup(setup.groupBy("_station"))
-        .applyInPandas(_fit_station(seed, trees, sample), MODEL_SCHEMA)
+    moments = feature_moments(counted).withColumn("_p", principal_components("mean", "covariance", "rows"))
+    setup = moments.join(contamination(counted, profile, profile_station_activity, rules), "station_id")
+    setup = settle(setup.select(
+        "station_id", F.col("rows").alias("total"), F.least(F.col("rows"), F.lit(sample)).cast("int").alias("size"), "contamination",
+        _reason("contamination").alias("reason"), "mean", F.col("_p.scale").alias("scale"), F.col("_p.components").alias("components"),
+    ))
+    values = F.array(*[F.col(f).cast("double") for f in DETECTOR_FEATURES])
+    placed = add_encodings(counted).withColumn("_values", values).join(setup, "station_id")
+    points = placed.select("station_id", *COMBINATION, "rows", "total", F.expr(coordinates("_values")).alias("point"))
+    sizes = setup.select("station_id", "size")
+    nodes = grow(draw(points, list(COMBINATION), seed, trees, sample), sizes, len(DETECTOR_FEATURES), seed, sample)
+    models = setup.join(as_arrays(nodes, sizes, trees), "station_id").select(
+        F.col("station_id").cast("int").alias("station_id"), F.col("total").alias("rows"), F.col("size").alias("sample_rows"), "contamination",
+        "reason", "mean", "scale", "components", "split_feature", "split_at", "path_length",
     )
+    # read by the threshold and given back: grown once
+    models = settle(models)
+    scored = _scores(counted, models.where("reason IS NULL"), "contamination", "rows")
+    threshold = counted_percentile(scored, "score", "contamination")
+    columns = [c.split()[0] for c in MODEL_SCHEMA.split(", ")]
+    return models.join(threshold, "station_id", "left").select(*columns)
 
 
-def _score_group(key, combos: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-    out = combos[["station_id", *COMBINATION]].copy()
-    if model.empty or combos.empty:
-        return out.assign(decision=np.nan).iloc[:0]
-    m = model.iloc[0]
-    size = int(m["sample_rows"])
-    nodes = 2 ** (int(np.ceil(np.log2(max(size, 2)))) + 1) - 1
-    feature, cut, path = (np.asarray(m[c]).reshape(-1, nodes) for c in ("split_feature", "split_at", "path_length"))
-    points = _project(combos, m["mean"], m["scale"], m["components"])
-    border = np.nan if pd.isna(m["threshold"]) else float(m["threshold"])
-    out["decision"] = forest_scores(points, feature, cut, path, size) - border
-    return out
+def _scores(combos: DataFrame, models: DataFrame, column: str, *carried: str) -> DataFrame:
+    """``score`` of every combination of a modelled station, with one ``column`` of its model.
 
+    Combinations of a station are cut by idle run into groups of bounded size, each gathered in a row that meets the model's arrays
+    once; the trees are walked by column expressions.
+    """
+    values = F.array(*[F.col(f).cast("double") for f in DETECTOR_FEATURES])
+    each = F.struct(*COMBINATION, *carried, values.alias("_values"))
+    grouped = add_encodings(combos).groupBy("station_id", F.floor(F.col(RUN) / RUN_BAND).alias("_band")).agg(F.collect_list(each).alias("_each"))
+    paths = F.transform("path_length", lambda x: F.round(x * 1_000_000_000.0).cast("bigint"))
+    held = models.withColumn("_billionths", paths).drop("rows")
+    kept = ", ".join(f"'{c}', c.{c}" for c in (*COMBINATION, *carried))
+    scored = F.expr(f"inline(transform(_each, c -> named_struct({kept}, 'score', {score_sql(coordinates('c._values'))})))")
+    return grouped.join(held, "station_id").select("station_id", column, scored)
 
-def score_combinations(combos: DataFrame, models: DataFrame) -> DataFrame:
-    """``decision`` of every distinct combination of a modelled station; below 0 is an anomaly.
 
-    Combinations of a station are cut by idle run into groups of bounded size, each with its copy of the model.
-    """
-    band = F.floor(F.col(RUN) / RUN_BAND)
-    encoded = add_encodings(combos).withColumn("_band", band)
-    bands = combos.select(F.col("station_id").alias("_station"), band.alias("_model_band")).distinct()
-    placed = models.join(bands, models["station_id"] == bands["_station"]).drop("station_id")
-    schema = f"station_id int, {RUN} bigint, quarter int, weekday int, hours int, decision double"
-    return (
-        spread(encoded, "station_id", "_band")
-        .groupBy("station_id", "_band")
-        .cogroup(placed.groupBy("_station", "_model_band"))
-        .applyInPandas(_score_group, schema)
-    )
+def score_combinations(combos: DataFrame, models: DataFrame) -> DataFrame:
+    """``decision`` of every distinct combination of a modelled station; below 0 is an anomaly. Null without a threshold."""
+    scored = _scores(combos, models, "threshold")
+    return scored.select("station_id", *COMBINATION, (F.col("score") - F.col("threshold")).alias("decision"))
 
 
 def predict_anomalies_station(
@@ -255,7 +192,7 @@ def predict_anomalies_station(
 ) -> DataFrame:
     """Add the detector features and ``anomaly`` (-1 or 1); with ``with_score`` also ``decision`` and ``anomaly_score``.
 
-    Only distinct combinations go through Python; rows meet their decision in a join. A station without a model or
+    Only distinct combinations are scored; rows meet their decision in a join. A station without a model or
     without a threshold keeps its rows with nulls. No rows for a station give an empty result.
     """
     if station_id is not None:

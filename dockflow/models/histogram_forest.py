@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from dockflow.functions.durations import wall_seconds
 from dockflow.schemas import SEED
-from dockflow.session import settle
+from dockflow.session import settle, spread
 
 TREES, DEPTH, BINS = 50, 6, 64
 #: Of 65,536 equally likely numbers those below the k-th value draw k or less, by the Poisson distribution with mean 1.
@@ -131,7 +131,8 @@ def forest_answers(
     rows: DataFrame, features: Sequence[str], seed: int = SEED, trees: int = TREES, depth: int = DEPTH, bins: int = BINS
 ) -> DataFrame:
     """``station_id``, ``date`` and ``answer``, the mean of the trees' leaves, for every row asked for; null where nothing trains."""
-    rows = settle(prepared(rows, features, seed, trees, bins))
+    # a row is small, but it takes part in most trees with all its features
+    rows = settle(spread(prepared(rows, features, seed, trees, bins), "station_id", "date"))
     for level in range(depth):
         splits = settle(best_splits(level_histogram(rows, level, len(features), seed, trees)))
         rows = settle(next_level(rows, splits, level))

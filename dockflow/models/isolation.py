@@ -1,93 +1,151 @@
-"""Isolation trees on one station's counted feature combinations: small array helpers for the grouped step."""
+"""Isolation trees of all stations as DataFrame work: drawn, grown level by level, kept as arrays, walked by column expressions.
+
+Randomness comes from md5 digests of (seed, station, tree, ...): a tree is grown on the ``sample`` rows with the smallest digests,
+a node is divided on the movable axis with the largest digest, at the place that another digest says. The same rows give the same
+trees whatever the partitioning. A station holds at most ``trees * sample`` drawn rows, so a task of the growth is bounded
+however long the history.
+"""
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from dockflow.session import spread
 
 TREES = 50
 SAMPLE = 256
+#: Trees that one md5 serves when rows are drawn, with 32 bits each.
+_PER_HASH = 4
+#: Share of the rows that is looked at for a sample, as a multiple of what the sample needs.
+_MARGIN = 2
+
+
+def usual_path(n: Column) -> Column:
+    """Mean depth of an unsuccessful search among ``n`` points, to nine places."""
+    many = F.greatest(n, F.lit(3)).cast("double")
+    mean = 2 * (F.log(many - 1) + 0.5772156649015329) - 2 * (many - 1) / many
+    return F.when(n > 2, F.round(mean, 9)).when(n == 2, 1.0).otherwise(0.0)
+
+
+def tree_depth(size: Column) -> Column:
+    """Levels below the root of a tree over ``size`` rows."""
+    return F.ceil(F.log2(F.greatest(size, F.lit(2)).cast("double"))).cast("int")
+
+
+def tree_nodes(size: Column) -> Column:
+    """Heap positions of a tree over ``size`` rows."""
+    return (F.pow(F.lit(2.0), tree_depth(size) + 1) - 1).cast("int")
+
 
+def _number(digits: Column, start: int, length: int) -> Column:
+    return F.conv(F.substring(digits, start, length), 16, 10).cast("bigint")
 
-def usual_path(n: np.ndarray) -> np.ndarray:
-    """Mean depth of an unsuccessful search among ``n`` points."""
-    n = np.asarray(n, dtype="float64")
-    many = np.maximum(n, 3.0)
-    mean = 2 * (np.log(many - 1) + np.euler_gamma) - 2 * (many - 1) / many
-    return np.where(n > 2, mean, np.where(n == 2, 1.0, 0.0))
 
+def draw(points: DataFrame, identity: list[str], seed: int, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+    """Rows per tree: ``tree``, ``point`` and ``members`` equal ones drawn.
 
-def tree_depth(sample: int) -> int:
-    return int(np.ceil(np.log2(max(sample, 2))))
+    ``points`` holds ``station_id``, the columns of ``identity``, ``rows`` (how often the combination occurs), ``total`` rows of the
+    station, and ``point``. Each tree takes the ``sample`` rows of the station with the smallest digests, all if there are fewer. Rows
+    whose digest can't be among these are left out before anything is sorted.
+    """
+    # few combinations, each of them many rows and digests
+    copies = spread(points, "station_id", *identity).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    text = F.concat_ws(":", F.lit(str(seed)), "station_id", *identity, "_copy")
+    digits = F.concat(*[F.md5(F.concat(text, F.lit(f":{g}"))) for g in range(-(-trees // _PER_HASH))])
+    share = F.least(F.lit(1.0), F.lit(float(_MARGIN * sample)) / F.col("total"))
+    limit = F.when(share < 1, F.lower(F.lpad(F.hex(F.floor(share * 2.0**32)), 8, "0"))).otherwise("g")
+    hashed = copies.select("station_id", *identity, "_copy", "point", digits.alias("_digits"), limit.alias("_limit"))
+    picks = F.expr(
+        f"inline(filter(transform(sequence(0, {trees - 1}), t -> named_struct('tree', t, '_key', substr(_digits, t * 8 + 1, 8))), x -> x._key < _limit))"
+    )
+    placed = hashed.select("station_id", *identity, "_copy", "point", picks)
+    order = Window.partitionBy("station_id", "tree").orderBy("_key", *identity, "_copy")
+    taken = placed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
+    return taken.groupBy("station_id", "tree", *identity).agg(F.any_value("point").alias("point"), F.count(F.lit(1)).alias("members"))
 
 
-def grow_trees(points: np.ndarray, counts: np.ndarray, rng: np.random.Generator, trees: int = TREES, sample: int = SAMPLE):
-    """Grow all trees level by level. Each draws ``sample`` of the counted rows without replacement.
+def grow(drawn: DataFrame, sizes: DataFrame, axes: int, seed: int, sample: int = SAMPLE) -> DataFrame:
+    """Nodes of all trees: ``station_id``, ``place`` (tree after tree, heap order), ``feature`` (-1 on a leaf), ``cut``, ``path``.
 
-    Returns per tree and heap position: split feature (-1 on a leaf), threshold, and path length on leaves.
+    ``sizes`` has ``station_id`` and the ``size`` of its samples. All levels run on one partitioning by station and tree.
     """
-    total, dims = int(counts.sum()), points.shape[1]
-    size = min(sample, total)
-    depth = tree_depth(size)
-    ends = np.cumsum(counts)
-    drawn = np.concatenate(
-        [np.searchsorted(ends, rng.choice(total, size, replace=False, shuffle=False), side="right") for _ in range(trees)]
+    levels = math.ceil(math.log2(max(sample, 2)))
+    per_node = Window.partitionBy("station_id", "tree", "_node")
+    rows = spread(drawn.join(sizes, "station_id"), "station_id", "tree").select(
+        "station_id", "tree", "point", "members", tree_depth(F.col("size")).alias("_depth"), tree_nodes(F.col("size")).alias("_nodes"),
+        F.lit(0).alias("_node"), F.expr("cast(array() as array<struct<place: int, feature: int, cut: double, path: double>>)").alias("_log"),
     )
-    x = points[drawn]
-    tree = np.repeat(np.arange(trees), size)
-    node = np.zeros(len(tree), dtype="int64")
-    nodes = 2 ** (depth + 1) - 1
-    feature = np.full((trees, nodes), -1, dtype="int32")
-    threshold = np.zeros((trees, nodes))
-    path = np.zeros((trees, nodes))
-    for level in range(depth + 1):
-        if len(x) == 0:
-            break
-        order = np.lexsort((node, tree))
-        x, tree, node = x[order], tree[order], node[order]
-        first = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (node[1:] != node[:-1])])
-        members = np.diff(np.r_[first, len(x)])
-        low, high = np.minimum.reduceat(x, first, axis=0), np.maximum.reduceat(x, first, axis=0)
-        movable = high > low
-        choice = np.where(movable, rng.random((len(first), dims)), -1.0).argmax(axis=1)
-        position = rng.random(len(first))
-        split = movable.any(axis=1) & (level < depth)
-        at = np.arange(len(first))
-        cut_low, cut_high = low[at, choice], high[at, choice]
-        cut = cut_low + position * (cut_high - cut_low)
-        cut = np.where(cut >= cut_high, cut_low, cut)
-        t, n = tree[first], node[first]
-        feature[t[split], n[split]] = choice[split]
-        threshold[t[split], n[split]] = cut[split]
-        path[t[~split], n[~split]] = level + usual_path(members[~split])
-        group = np.repeat(at, members)
-        go = split[group]
-        right = x[np.arange(len(x)), choice[group]] > cut[group]
-        x, tree, node = x[go], tree[go], (2 * node + 1 + right)[go]
-    return feature, threshold, path, size
-
-
-def forest_scores(points: np.ndarray, feature: np.ndarray, threshold: np.ndarray, path: np.ndarray, size: int) -> np.ndarray:
-    """Score in (-1, 0): the shorter the mean path, the closer to -1."""
-    depth_sum = np.zeros(len(points))
-    rows = np.arange(len(points))
-    for f, cut, leaf in zip(feature, threshold, path):
-        node = np.zeros(len(points), dtype="int64")
-        for _ in range(tree_depth(size)):
-            pick = f[node]
-            inner = pick >= 0
-            right = points[rows, np.where(inner, pick, 0)] > cut[node]
-            node = np.where(inner, 2 * node + 1 + right, node)
-        depth_sum += leaf[node]
-    usual = float(usual_path(np.array(size)))
-    return -(2.0 ** (-depth_sum / (len(feature) * usual))) if usual > 0 else np.full(len(points), -1.0)
-
-
-def counted_percentile(values: np.ndarray, counts: np.ndarray, share: float) -> float:
-    """Linearly interpolated quantile of ``values``, each occurring ``counts`` times."""
-    order = np.argsort(values, kind="stable")
-    ends = np.cumsum(counts[order])
-    place = (ends[-1] - 1) * share
-    below, above = (
-        values[order][np.searchsorted(ends, int(p), side="right")] for p in (np.floor(place), np.ceil(place))
+    for level in range(levels + 1):
+        name = F.concat_ws(":", F.lit(str(seed)), "station_id", "tree", "_node")
+        rows = rows.withColumns({
+            "_n": F.sum("members").over(per_node),
+            "_spans": F.array(*[
+                F.struct(F.min(F.get("point", F.lit(d))).over(per_node).alias("low"), F.max(F.get("point", F.lit(d))).over(per_node).alias("high"))
+                for d in range(axes)
+            ]),
+            "_axis_digits": F.md5(name), "_cut_digits": F.md5(F.concat(name, F.lit(":cut"))),
+        })
+        keys = ", ".join(
+            f"named_struct('key', substr(_axis_digits, {4 * d + 1}, 4), 'before', {-d}, 'low', _spans[{d}].low, 'high', _spans[{d}].high)"
+            for d in range(axes)
+        )
+        rows = rows.withColumn("_axis", F.expr(f"array_max(filter(array({keys}), x -> x.high > x.low))"))
+        divided = F.col("_axis").isNotNull() & (F.lit(level) < F.col("_depth"))
+        low, high = F.col("_axis.low"), F.col("_axis.high")
+        raw = low + _number(F.col("_cut_digits"), 1, 8) / F.lit(2.0**32) * (high - low)
+        rows = rows.withColumn("_split", F.when(divided, F.struct((-F.col("_axis.before")).alias("feature"), F.when(raw >= high, low).otherwise(raw).alias("cut"))))
+        place = (F.col("tree") * F.col("_nodes") + F.col("_node")).cast("int").alias("place")
+        inner = F.struct(place, F.col("_split.feature").cast("int").alias("feature"), F.col("_split.cut").alias("cut"), F.lit(0.0).alias("path"))
+        leaf = F.struct(place, F.lit(-1).alias("feature"), F.lit(0.0).alias("cut"), (F.lit(float(level)) + usual_path(F.col("_n"))).alias("path"))
+        right = (F.get("point", F.col("_split.feature")) > F.col("_split.cut")).cast("int")
+        rows = rows.select(
+            "station_id", "tree", "point", "members", "_depth", "_nodes",
+            F.when(F.col("_split").isNotNull(), 2 * F.col("_node") + 1 + right).alias("_node"),
+            F.when(F.col("_node").isNull(), F.col("_log")).otherwise(
+                F.concat("_log", F.array(F.when(F.col("_split").isNotNull(), inner).otherwise(leaf)))).alias("_log"),
+        )
+    found = rows.select("station_id", F.inline("_log"))
+    return found.groupBy("station_id", "place").agg(F.min("feature").alias("feature"), F.min("cut").alias("cut"), F.min("path").alias("path"))
+
+
+def as_arrays(nodes: DataFrame, sizes: DataFrame, trees: int = TREES) -> DataFrame:
+    """Per station ``split_feature``, ``split_at`` and ``path_length`` by place; places that no tree has are leaves of length 0."""
+    places = F.explode(F.sequence(F.lit(0), F.lit(trees) * tree_nodes(F.col("size")) - 1)).alias("place")
+    whole = sizes.select("station_id", places).join(nodes, ["station_id", "place"], "left")
+    cell = F.struct("place", F.coalesce("feature", F.lit(-1)).alias("feature"), F.coalesce("cut", F.lit(0.0)).alias("cut"), F.coalesce("path", F.lit(0.0)).alias("path"))
+    listed = whole.groupBy("station_id").agg(F.sort_array(F.collect_list(cell)).alias("_n"))
+    return listed.select(
+        "station_id", F.col("_n.feature").alias("split_feature"), F.col("_n.cut").alias("split_at"), F.col("_n.path").alias("path_length")
     )
-    return float(below + (above - below) * (place - np.floor(place)))
+
+
+def score_sql(point: str, size: str = "sample_rows", paths: str = "_billionths") -> str:
+    """Score in (-1, 0) of a point by a model row's arrays: the shorter the mean path, the closer to -1.
+
+    ``paths`` names the path lengths in whole billionths, whose sum doesn't depend on the order.
+    """
+    depth = f"int(ceil(log2(greatest({size}, 2))))"
+    inner = "if(split_feature[at] >= 0, 2 * at - t * nodes + 1 + int(p[split_feature[at]] > split_at[at]), at)"
+    walked = f"aggregate(sequence(1, {depth}), int(t * nodes), (at, i) -> int({inner}))"
+    total = f"aggregate(sequence(0, size(split_feature) div nodes - 1), 0L, (sum, t) -> sum + {paths}[{walked}])"
+    many = f"double(greatest({size}, 3))"
+    usual = f"if({size} > 2, round(2 * (ln({many} - 1) + 0.5772156649015329D) - 2 * ({many} - 1) / {many}, 9), if({size} = 2, 1D, 0D))"
+    mean = f"{total} / 1e9D / double(size(split_feature) div nodes)"
+    score = f"transform(array({usual}), u -> if(u > 0, -pow(2D, -({mean}) / u), -1D))[0]"
+    nodes = f"int(pow(2D, {depth} + 1) - 1)"
+    return f"transform(array({nodes}), nodes -> transform(array({point}), p -> {score})[0])[0]"
+
+
+def counted_percentile(scored: DataFrame, value: str, share: str, key: str = "station_id") -> DataFrame:
+    """Linearly interpolated quantile ``share`` of ``value`` per key, each value occurring ``rows`` times: ``threshold``."""
+    running = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(key)
+    counted = scored.groupBy(key, value, share).agg(F.sum("rows").alias("rows"))
+    counted = counted.withColumns({"_upto": F.sum("rows").over(running), "_place": F.round((F.sum("rows").over(whole) - 1) * F.col(share), 6)})
+    below = F.min(F.when(F.col("_upto") > F.floor("_place"), F.col(value)))
+    above = F.min(F.when(F.col("_upto") > F.ceil("_place"), F.col(value)))
+    part = F.any_value(F.col("_place") - F.floor("_place"))
+    return counted.groupBy(key).agg((below + (above - below) * part).alias("threshold"))

@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -6,8 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dockflow.functions.calendar import process_data_cluster
-from dockflow.models import anomaly
-from dockflow.models.isolation import counted_percentile, forest_scores, grow_trees, tree_depth, usual_path
+from dockflow.models import anomaly, isolation
 from dockflow.plans.learning import run_train_cluster
 from dockflow.schemas import DETECTOR_FEATURES
 from dockflow.sources.writers import export_model, load_model
@@ -40,58 +40,100 @@ def models(activity):
     return anomaly.train_cluster_station(activity, profile_station_activity="very high").cache()
 
 
-def test_usual_path():
-    assert usual_path(np.array([0, 1, 2])).tolist() == [0, 0, 1]
-    assert usual_path(np.array([256]))[0] == pytest.approx(2 * (np.log(255) + 0.5772156649) - 2 * 255 / 256)
-    assert tree_depth(256) == 8 and tree_depth(1) == 1 and tree_depth(100) == 7
+def usual(n):
+    return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
 
 
-def test_trees_hold_their_sample():
-    rng = np.random.default_rng(4)
-    points, counts = rng.normal(size=(500, 3)), rng.integers(1, 9, 500)
-    feature, cut, path, size = grow_trees(points, counts, np.random.default_rng(1), trees=7)
-    assert size == 256 and feature.shape == (7, 511)
-    for f, p in zip(feature, path):
-        reached = {0}
-        for node in range(511):
-            if node in reached and f[node] >= 0:
-                reached |= {2 * node + 1, 2 * node + 2}
-        leaves = [n for n in reached if f[n] < 0]
-        assert len(leaves) == (f >= 0).sum() + 1
-        assert all(p[n] >= int(np.log2(n + 1)) for n in leaves)
-    again = grow_trees(points, counts, np.random.default_rng(1), trees=7)
-    assert np.array_equal(feature, again[0]) and np.array_equal(cut, again[1])
-
-
-def test_outlier_scores_lowest():
-    rng = np.random.default_rng(2)
-    points = np.vstack([rng.normal(size=(400, 2)), [[9.0, 9.0]]])
-    trees = grow_trees(points, np.ones(401, dtype=int), np.random.default_rng(0))
-    scores = forest_scores(points, *trees)
-    assert scores.argmin() == 400 and scores.min() < -0.6 and scores.max() < 0
-
-
-def test_scores_follow_the_path():
-    """One tree walked by hand."""
-    rng = np.random.default_rng(8)
-    points = rng.normal(size=(64, 2))
-    feature, cut, path, size = grow_trees(points, np.ones(64, dtype=int), rng, trees=3)
-    got = forest_scores(points, feature, cut, path, size)
+def test_usual_path_and_tree_size(spark):
+    df = spark.createDataFrame([(n,) for n in (0, 1, 2, 3, 100, 256)], "n long").orderBy("n")
+    got = df.select(isolation.usual_path(F.col("n")), isolation.tree_depth(F.col("n")), isolation.tree_nodes(F.col("n"))).collect()
+    assert [r[0] for r in got] == pytest.approx([usual(n) for n in (0, 1, 2, 3, 100, 256)], abs=1e-9)
+    assert [r[1] for r in got] == [1, 1, 1, 2, 7, 8] and [r[2] for r in got] == [3, 3, 3, 7, 255, 511]
+
+
+def md5(*parts):
+    return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+
+
+def trees_by_hand(points, counts, station, seed, trees, sample):
+    """Drawn and grown row by row: {(tree, node): (feature, cut) or path}."""
+    rows = [(i, copy) for i, n in enumerate(counts) for copy in range(1, n + 1)]
+    size = min(sample, len(rows))
+    depth, out = int(np.ceil(np.log2(max(size, 2)))), {}
+    for tree in range(trees):
+        at = (tree % 4) * 8
+        ranked = sorted(rows, key=lambda r: (md5(seed, station, r[0], r[1], tree // 4)[at : at + 8], r))[:size]
+        todo = [(0, 0, points[[i for i, _ in ranked]])]
+        while todo:
+            node, level, x = todo.pop()
+            digits = md5(seed, station, tree, node)
+            movable = [d for d in range(x.shape[1]) if x[:, d].max() > x[:, d].min()]
+            if level == depth or not movable:
+                out[tree, node] = level + usual(len(x))
+                continue
+            d = max(movable, key=lambda d: (digits[4 * d : 4 * d + 4], -d))
+            low, high = x[:, d].min(), x[:, d].max()
+            cut = low + int(md5(seed, station, tree, node, "cut")[:8], 16) / 2**32 * (high - low)
+            out[tree, node] = (d, cut)
+            todo += [(2 * node + 1, level + 1, x[x[:, d] <= cut]), (2 * node + 2, level + 1, x[x[:, d] > cut])]
+    return out, size
+
+
+def scores_by_hand(points, grown, trees, size):
+    total = np.zeros(len(points))
     for i, x in enumerate(points):
-        total = 0.0
-        for f, c, p in zip(feature, cut, path):
+        for tree in range(trees):
             node = 0
-            while f[node] >= 0:
-                node = 2 * node + (1 if x[f[node]] <= c[node] else 2)
-            total += p[node]
-        assert got[i] == pytest.approx(-(2 ** (-total / 3 / usual_path(np.array(64)))))
+            while isinstance(grown[tree, node], tuple):
+                d, cut = grown[tree, node]
+                node = 2 * node + 1 + int(x[d] > cut)
+            total[i] += grown[tree, node]
+    return -(2.0 ** (-total / trees / usual(size)))
 
 
-def test_counted_percentile():
+@pytest.mark.parametrize("sample", [256, 40])
+def test_trees_and_scores_by_hand(spark, sample):
+    rng = np.random.default_rng(4)
+    points = np.round(rng.normal(size=(90, 3)), 2)
+    points[0] = 6.0
+    counts = rng.integers(1, 9, 90)
+    rows = [(s, i, int(n), int(counts.sum()), [float(v) for v in p]) for s in (7, 8) for i, (p, n) in enumerate(zip(points, counts))]
+    df = spark.createDataFrame(rows, "station_id int, i int, rows long, total long, point array<double>")
+    sizes = spark.createDataFrame([(s, min(sample, int(counts.sum()))) for s in (7, 8)], "station_id int, size int")
+    drawn = isolation.draw(df, ["i"], 5, trees=6, sample=sample)
+    assert {r[0] for r in drawn.groupBy("station_id", "tree").agg(F.sum("members")).select(F.col("sum(members)")).collect()} == {min(sample, counts.sum())}
+    arrays = isolation.as_arrays(isolation.grow(drawn, sizes, 3, 5, sample), sizes, trees=6)
+    models = {r.station_id: r for r in arrays.collect()}
+    scored = df.join(arrays.join(sizes, "station_id"), "station_id")
+    scored = scored.withColumn("_billionths", F.transform("path_length", lambda x: F.round(x * 1_000_000_000.0).cast("bigint")))
+    scored = scored.select("station_id", "i", F.expr(isolation.score_sql("point", "size")).alias("score")).collect()
+    for station in (7, 8):
+        grown, size = trees_by_hand(points, counts, station, 5, 6, sample)
+        nodes = 2 ** (int(np.ceil(np.log2(size))) + 1) - 1
+        m = models[station]
+        assert len(m.split_feature) == 6 * nodes
+        found = {(k // nodes, k % nodes) for k, f in enumerate(m.split_feature) if f >= 0}
+        assert found == {k for k, v in grown.items() if isinstance(v, tuple)}
+        for (tree, node), v in grown.items():
+            k = tree * nodes + node
+            if isinstance(v, tuple):
+                assert (m.split_feature[k], m.split_at[k]) == pytest.approx(v)
+            else:
+                assert m.path_length[k] == pytest.approx(v, abs=1e-8)
+        wanted = scores_by_hand(points, grown, 6, size)
+        got = {r.i: r.score for r in scored if r.station_id == station}
+        np.testing.assert_allclose([got[i] for i in range(90)], wanted, atol=1e-8)
+        assert wanted.argmin() == 0 and wanted.max() < 0
+
+
+def test_counted_percentile(spark):
     rng = np.random.default_rng(3)
-    values, counts = rng.normal(size=50), rng.integers(1, 6, 50)
-    for share in (0.0, 0.013, 0.25, 0.5, 1.0):
-        assert counted_percentile(values, counts, share) == pytest.approx(np.percentile(np.repeat(values, counts), share * 100))
+    values, counts = rng.normal(size=50).round(1), rng.integers(1, 6, 50)
+    shares = (0.0, 0.013, 0.25, 0.5, 1.0)
+    rows = [(k, float(v), int(n), share) for k, share in enumerate(shares) for v, n in zip(values, counts)]
+    df = spark.createDataFrame(rows, "station_id int, value double, rows long, share double")
+    got = isolation.counted_percentile(df, "value", "share").orderBy("station_id").collect()
+    assert [r.threshold for r in got] == pytest.approx([np.percentile(np.repeat(values, counts), s * 100) for s in shares])
 
 
 def test_moments(spark, activity):
@@ -188,22 +230,9 @@ def test_missing_null_and_unknown_labels(spark, activity):
         anomaly.train_cluster_station(activity, 106, "unheard of")
 
 
-def test_export_fits_each_station_once(activity, tmp_path, monkeypatch):
-    fitted, log = anomaly._fit_station, str(tmp_path / "fits")
-
-    def counting(*args):
-        fit = fitted(*args)
-
-        def counted(key, combos, setup):
-            with open(log, "a") as f:
-                f.write(f"{key[0]}\n")
-            return fit(key, combos, setup)
-
-        return counted
-
-    monkeypatch.setattr(anomaly, "_fit_station", counting)
-    export_model(anomaly.train_cluster_station(activity, profile_station_activity="very high"), str(tmp_path / "m"))
-    assert sorted(open(log).read().split()) == ["106", "7", "8"]
+def test_no_row_goes_through_python(activity, models):
+    plan = anomaly.predict_anomalies_station(activity, models, with_score=True)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
 
 
 def test_model_table(spark, activity, models, tmp_path):
