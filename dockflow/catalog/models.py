@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dockflow.catalog import inputs as I
+from dockflow.catalog.detector_sql import components_sql, detector_sql
 from dockflow.catalog.features import FORECAST_COLUMNS, QUERIES as FEATURES, r, rounded
 from dockflow.catalog.inputs import sql
 from dockflow.functions.calendar import process_data_cluster
@@ -148,14 +149,22 @@ STANDARDISED = sql(
 
 
 def components(spark, sf_dir):
+    """Loadings of the kept components, and the share of the variance each explains."""
     moments = anomaly.feature_moments(_counted(spark, sf_dir))
-    parts = moments.withColumn("_p", anomaly.principal_components("mean", "covariance", "rows"))
-    return parts.select(
-        "station_id", (F.size("_p.components") / len(DETECTOR_FEATURES)).cast("int").alias("kept"), "_p.explained",
-        "_p.components",
+    parts = moments.select("station_id", anomaly.principal_components("mean", "covariance", "rows").alias("_p"))
+    loadings = parts.select("station_id", "_p.explained", F.posexplode("_p.components").alias("place", "loading"))
+    component = F.expr("place div 7").cast("int")
+    return loadings.select(
+        "station_id", component.alias("component"), (F.col("place") % 7).alias("feature"), rounded("loading", 6).alias("loading"),
+        rounded(F.get("explained", component), 6).alias("explained"),
     )
 
 
+COMPONENTS = components_sql(
+    f"""SELECT station_id, CAST(k AS INTEGER) AS component, CAST(i AS INTEGER) AS feature, {r('v[i * 7 + axis + 1]', 6)} AS loading,
+    {r('share', 6)} AS explained FROM axes JOIN solved USING (station_id), range(7) AS r(i) WHERE k < kept""", TRAIN)
+
+
 PERCENTILE = f"""(sum(CASE WHEN x < lim THEN 1 ELSE 0 END) + sum(CASE WHEN x <= lim THEN 1 ELSE 0 END)
     + CASE WHEN sum(CASE WHEN x = lim THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END) * 50e0 / count(x)"""
 LIMITED = """SELECT t.station_id, consecutive_no_transactions_out AS x, CASE p.profile_station_activity
@@ -258,7 +267,13 @@ def anomaly_predictions(spark, sf_dir):
 
 
 def anomaly_scores(spark, sf_dir):
-    return _scored(spark, sf_dir, with_score=True)[0].select("station_id", "date", "decision", "anomaly", "anomaly_score")
+    scored = _scored(spark, sf_dir, with_score=True)[0]
+    return scored.select("station_id", "date", rounded("decision", 6).alias("decision"), "anomaly", rounded("anomaly_score", 4).alias("anomaly_score"))
+
+
+PREDICTIONS = detector_sql(f"SELECT station_id, date, {anomaly.RUN}, anomaly FROM flags", TRAIN, PERCENTILE)
+SCORES = detector_sql(
+    f"SELECT station_id, date, {r('decision', 6)} AS decision, anomaly, {r('100 / (1 + exp(20e0 * decision))', 4)} AS anomaly_score FROM flags", TRAIN, PERCENTILE)
 
 
 def anomaly_share(spark, sf_dir):
@@ -430,7 +445,7 @@ QUERIES = {
     "detector_scaling": (scaling, SCALING),
     "detector_covariances": (covariances, COVARIANCES),
     "standardised_features": (standardised, STANDARDISED),
-    "detector_components": (components, None),
+    "detector_components": (components, COMPONENTS),
     "idle_percentile": (idle_percentiles, sql(f"""SELECT station_id, count(x) AS rows, {r(PERCENTILE)} AS percentile
         FROM (SELECT station_id, consecutive_no_transactions_out AS x, 2 AS lim FROM train) GROUP BY station_id""", "idle", train=TRAIN)),
     "contamination": (contaminations, CONTAMINATIONS),
@@ -438,8 +453,8 @@ QUERIES = {
     "detector_status": (detector_status, STATUS),
     "stored_detector": (stored_detector, STORED),
     "one_detector": (one_detector, ONE_DETECTOR),
-    "anomaly_predictions": (anomaly_predictions, None),
-    "anomaly_scores": (anomaly_scores, None),
+    "anomaly_predictions": (anomaly_predictions, PREDICTIONS),
+    "anomaly_scores": (anomaly_scores, SCORES),
     "anomaly_share": (anomaly_share, ANOMALY_SHARE),
     "forecast_features": (forecast_features, _forecast_features_sql()),
     "station_forecast": (station_forecast, sql("SELECT station_id, max(date) + INTERVAL '30 minutes' AS date, true AS plausible FROM activity WHERE station_id = 2 GROUP BY station_id", "activity")),

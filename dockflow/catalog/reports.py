@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from dockflow.catalog import inputs as I
 from dockflow.catalog.features import COLOUR, RANK, STATE, r, rounded
 from dockflow.catalog.inputs import sql
-from dockflow.catalog.models import _fleet
+from dockflow.catalog.detector_sql import detector_sql, regrid
+from dockflow.catalog.models import PERCENTILE, TRAIN, _fleet
 from dockflow.catalog.features import HOURLY_GRID, HOURLY_TOTALS
 from dockflow.plans import reports
 from dockflow.schemas import LEGEND_STATIONS
@@ -88,13 +89,25 @@ def _report(spark, sf_dir):
 
 
 def report_series(spark, sf_dir):
-    return _report(spark, sf_dir)[0].select("station_id", "date", "anomaly", "anomaly_score", "ano_hover_text")
+    shown = _report(spark, sf_dir)[0]
+    return shown.select("station_id", "date", "anomaly", rounded("anomaly_score", 4).alias("anomaly_score"), "ano_hover_text")
 
 
 def report_episodes(spark, sf_dir):
     return _report(spark, sf_dir)[1]
 
 
+#: The report derives movements and idle runs from the levels it is given.
+REPORT_SERIES = detector_sql(
+    f"""SELECT station_id, date, anomaly, {r('100 / (1 + exp(20e0 * decision))', 4)} AS anomaly_score,
+    CASE WHEN anomaly = -1 THEN available_bikes END AS ano_hover_text FROM flags""", TRAIN, PERCENTILE, "again_idle", **regrid(I.MOVED))
+REPORT_EPISODES = detector_sql(
+    """SELECT g.station_id, anomaly_grp, min(date) AS min, max(date) AS max, any_value(h.max_value) AS max_value FROM
+    (SELECT *, CAST(sum(CASE WHEN anomaly = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY station_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS BIGINT)
+        AS anomaly_grp FROM flags) g JOIN (SELECT station_id, max(available_bikes) AS max_value FROM flags GROUP BY station_id) h
+    ON h.station_id = g.station_id WHERE anomaly = -1 GROUP BY g.station_id, anomaly_grp""", TRAIN, PERCENTILE, "again_idle", **regrid(I.MOVED))
+
+
 def station_map(spark, sf_dir):
     return reports.station_map(I.control(spark, sf_dir)).drop("last_date_anomaly")
 
@@ -133,8 +146,8 @@ QUERIES = {
         CASE WHEN anomaly = -1 THEN available_bikes END AS ano_hover_text FROM flagged
         WHERE date >= TIMESTAMP '2024-01-02' AND date <= TIMESTAMP '2024-01-25'""", "flagged")),
     "series_extent": (extents, sql("SELECT station_id, min(date) AS min_date, max(date) AS max_date, max(available_bikes) AS max_bikes FROM activity GROUP BY station_id", "activity")),
-    "anomaly_report_series": (report_series, None),
-    "anomaly_report_episodes": (report_episodes, None),
+    "anomaly_report_series": (report_series, REPORT_SERIES),
+    "anomaly_report_episodes": (report_episodes, REPORT_EPISODES),
     "station_map": (station_map, MAP),
     "station_map_layers": (station_layers, LAYERS),
 }
