@@ -10,6 +10,7 @@ from dockflow.operators.grid import deduplicate, source_steps
 from dockflow.plans import ingest, requests
 from dockflow.session import scratch_path
 from dockflow.sources import readers, writers
+from dockflow.streaming import activity as streams
 
 ATTRIBUTES = """"Geo Point", "Geo Shape", commune AS "COMMUNE", "NBPLACES" + "NBVELOS" AS total_stand, "NOM",
     "TYPE" AS "TYPEA", "IDENT" AS station_id, CAST(split_part("Geo Point", ',', 1) AS DOUBLE) AS lat,
@@ -173,6 +174,28 @@ def geojson_activity(spark, sf_dir):
     return ingest.geojson_to_activity(docs)
 
 
+def _streamed(spark, sf_dir, build):
+    """Results of a stream over the landed documents; a document of a much later day closes what is open."""
+    landed, target, checkpoint = (scratch_path(spark, n) for n in ("landed", "streamed", "progress"))
+    I.geojson_text(I.offset_times(spark, sf_dir)).write.text(landed)
+    stream = build(streams.ordered_polls(streams.landed_geojson(spark, landed)))
+    streams.write_landed(stream, target, checkpoint)
+    last = """{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"time": "2999-01-01T00:00:00+00:00", "ident": -1}}]}"""
+    spark.createDataFrame([(last,)], "json string").write.mode("append").text(landed)
+    streams.write_landed(stream, target, checkpoint)
+    return spark.read.parquet(target).where("station_id >= 0")
+
+
+def streamed_activity(spark, sf_dir):
+    """The feed as a stream: grid activity with the idle run."""
+    return _streamed(spark, sf_dir, streams.stream_activity)
+
+
+def streamed_movements(spark, sf_dir):
+    """The feed as a stream: movement counts of every poll."""
+    return _streamed(spark, sf_dir, streams.stream_movements)
+
+
 def array_activity(spark, sf_dir):
     return ingest.arrays_to_activity(readers.parse_array_json(I.array_text(spark, sf_dir)))
 
@@ -277,6 +300,9 @@ QUERIES = {
     "activity_time_series": (activity_time_series, TIME_SERIES),
     "geojson_features": (geojson_features, GEOJSON),
     "array_rows": (array_rows, ARRAYS),
+    "streamed_activity": (streamed_activity, sql(f"SELECT {GRID_COLUMNS}, consecutive_no_transactions_out FROM feed_idle", "feed_grid", feed_idle=I.idle_sql("feed_grid"))),
+    "streamed_movements": (streamed_movements, sql("""SELECT station_id, date, available_stands, available_bikes, status, transactions_in, transactions_out,
+        transactions_all FROM feed_moves""", "feed_moves")),
     "geojson_activity": (geojson_activity, sql(f"SELECT {GRID_COLUMNS} FROM feed_grid", "feed_grid")),
     "array_activity": (array_activity, ARRAY_ACTIVITY),
     "learning_dataset": (learning_dataset, sql(f"SELECT {GRID_COLUMNS} FROM feed_grid", "feed_grid")),

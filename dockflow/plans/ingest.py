@@ -30,10 +30,9 @@ def flatten_arrays(docs: DataFrame) -> DataFrame:
     return stations.select(F.col("_s.id").alias("id"), F.inline(zipped)).toDF("id", *names)
 
 
-def geojson_polls(docs: DataFrame, zone: str = "Europe/Paris") -> DataFrame:
-    """Typed polls in wall-clock time of ``zone``; of copies of (station, date) the earliest instant stays."""
-    flat = flatten_geojson(docs)
-    typed = flat.select(
+def typed_geojson_polls(docs: DataFrame, zone: str = "Europe/Paris") -> DataFrame:
+    """Typed polls in wall-clock time of ``zone``, copies included; ``_instant`` orders copies of (station, date)."""
+    return flatten_geojson(docs).select(
         F.col("ident").cast("int").alias("station_id"),
         zone_wall_clock("time", zone).alias("date"),
         F.col("nbplaces").cast("bigint").alias("available_stands"),
@@ -41,7 +40,11 @@ def geojson_polls(docs: DataFrame, zone: str = "Europe/Paris") -> DataFrame:
         status_flag("etat", GEOJSON_STATUS).alias("status"),
         offset_instant("time").alias("_instant"),
     )
-    return deduplicate(typed, order=["_instant"]).drop("_instant")
+
+
+def geojson_polls(docs: DataFrame, zone: str = "Europe/Paris") -> DataFrame:
+    """Typed polls in wall-clock time of ``zone``; of copies of (station, date) the earliest instant stays."""
+    return deduplicate(typed_geojson_polls(docs, zone), order=["_instant"]).drop("_instant")
 
 
 def array_polls(docs: DataFrame) -> DataFrame:
