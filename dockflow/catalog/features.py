@@ -25,6 +25,7 @@ from dockflow.functions.scalars import (
 )
 from dockflow.models.forecast import get_feature_to_use_for_model
 from dockflow.operators import filters, lookups
+from dockflow.operators.completeness import hourly_problems
 from dockflow.operators.grid import deduplicate, hourly_totals, resample_activity, upsample
 from dockflow.operators.movement import (
     add_movements,
@@ -469,6 +470,19 @@ def lags_and_rolling(spark, sf_dir):
     return built.select("station_id", "date", *FORECAST_COLUMNS)
 
 
+def hourly_completeness(spark, sf_dir):
+    """Missing, doubled and unordered hours of each station's polls, in the order of their events."""
+    return hourly_problems(I.polls(spark, sf_dir).select("station_id", "date", "event_id"), "event_id")
+
+
+HOURLY_COMPLETENESS = sql("""SELECT c.station_id, h AS hour, 'missing' AS problem, CAST(0 AS BIGINT) AS n FROM (SELECT station_id,
+        unnest(range(min(hour), max(hour) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS h FROM hours GROUP BY station_id) c
+        ANTI JOIN hours ON hours.station_id = c.station_id AND hours.hour = h
+    UNION ALL SELECT station_id, hour, 'doubled', count(*) FROM hours GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT station_id, hour, 'unordered', count(*) FROM (SELECT *, lag(hour) OVER (PARTITION BY station_id ORDER BY event_id) AS before FROM hours)
+        WHERE hour < before GROUP BY ALL""", "polls", hours="SELECT station_id, date_trunc('hour', date) AS hour, event_id FROM polls")
+
+
 def _rolling_sql() -> str:
     cols = [f"lag(available_bikes, {n}) OVER w AS available_bikes_lag_{n}" for n in (1, 2, 3)]
     for side in ("max", "min"):
@@ -548,5 +562,6 @@ QUERIES = {
     "weather_of_the_hour": (with_weather, sql("""SELECT event_id, temperature, wind_speed, humidity FROM polls
         LEFT JOIN weather ON date_trunc('hour', polls.date) = weather.date""", "polls", "weather")),
     "profile_lookup": (with_profiles, sql("SELECT a.station_id, a.date, profile_station_activity FROM activity a LEFT JOIN station_profile p ON p.station_id = a.station_id", "station_profile")),
+    "hourly_completeness": (hourly_completeness, HOURLY_COMPLETENESS),
     "lags_and_rolling": (lags_and_rolling, _rolling_sql()),
 }

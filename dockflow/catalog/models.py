@@ -292,6 +292,24 @@ ANOMALY_SHARE = sql(
     AS within_contamination FROM limited GROUP BY station_id""", "idle", "station_profile", train=TRAIN, limited=LIMITED)
 
 
+def station_projection(spark, sf_dir):
+    """Places of all rows along the first three components of their station."""
+    rows = settle(I.idle_activity(spark, sf_dir))
+    placed = anomaly.project_rows(rows, settle(_fleet(spark, sf_dir, rows=rows)), 3)
+    return placed.select("station_id", "date", *[rounded(f"axis_{d}", 6).alias(f"axis_{d}") for d in (1, 2, 3)])
+
+
+def _axis_sql(number):
+    along = " + ".join(f"(x[{i + 1}] - mean[{i + 1}]) / scale[{i + 1}] * v[{i * 7} + axis + 1]" for i in range(7))
+    return f"max(CASE WHEN k = {number - 1} AND k < kept THEN {r(f'round({along}, 9)', 6)} END) AS axis_{number}"
+
+
+PROJECTION = components_sql(
+    f"""SELECT station_id, date, {', '.join(map(_axis_sql, (1, 2, 3)))} FROM (SELECT station_id, date, [f0, f1, f2, f3, f4, f5, f6] AS x
+    FROM (SELECT station_id, date, {WAVES} FROM idle)) JOIN axes USING (station_id) JOIN moments USING (station_id) JOIN solved USING (station_id)
+    GROUP BY station_id, date""", TRAIN)
+
+
 # -- forecast -------------------------------------------------------------------------------------------------
 
 
@@ -455,6 +473,7 @@ QUERIES = {
     "one_detector": (one_detector, ONE_DETECTOR),
     "anomaly_predictions": (anomaly_predictions, PREDICTIONS),
     "anomaly_scores": (anomaly_scores, SCORES),
+    "station_projection": (station_projection, PROJECTION),
     "anomaly_share": (anomaly_share, ANOMALY_SHARE),
     "forecast_features": (forecast_features, _forecast_features_sql()),
     "station_forecast": (station_forecast, sql("SELECT station_id, max(date) + INTERVAL '30 minutes' AS date, true AS plausible FROM activity WHERE station_id = 2 GROUP BY station_id", "activity")),

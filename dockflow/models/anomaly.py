@@ -212,3 +212,15 @@ def predict_anomalies_station(
 def add_anomaly_score(df: DataFrame, decision: str | Column = "decision") -> DataFrame:
     """Decision to a score of 0-100; 50 is the border."""
     return df.withColumn("anomaly_score", anomaly_probability(decision) * 100)
+
+
+def project_rows(df: DataFrame, models: DataFrame, dims: int = 2) -> DataFrame:
+    """Rows with their places ``axis_1``, ``axis_2``, ... along a model's components, for a plot of two or three dimensions.
+
+    A station that keeps fewer components has null in the others, one without a model in all.
+    """
+    values = F.array(*[F.col(f).cast("double") for f in DETECTOR_FEATURES])
+    held = models.select("station_id", "mean", "scale", "components")
+    rows = process_data_cluster(df).withColumn("_values", values).join(held, "station_id", "left")
+    placed = rows.withColumn("_point", F.when(F.col("components").isNotNull(), F.expr(coordinates("_values"))))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], *[F.get("_point", F.lit(d)).alias(f"axis_{d + 1}") for d in range(dims)])

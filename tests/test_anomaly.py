@@ -253,3 +253,15 @@ def test_training_of_monitored_stations(spark, tmp_path):
     profile = spark.createDataFrame([(1, 0.4, "very high"), (2, 0.01, "low")], "station_id int, mean double, profile_station_activity string")
     fitted = run_train_cluster(df, profile, str(tmp_path / "models"))
     assert [r.station_id for r in fitted.collect()] == [1]
+
+
+def test_projection_of_rows(activity, models):
+    placed = anomaly.project_rows(activity.where("station_id <> 8"), models, 3)
+    assert placed.columns == [*activity.columns, "axis_1", "axis_2", "axis_3"]
+    row = placed.where("station_id = 106").orderBy("date").limit(50).collect()
+    x = process_data_cluster(activity.where("station_id = 106")).orderBy("date").limit(50).select(*DETECTOR_FEATURES).toPandas().to_numpy(dtype=float)
+    m = models.where("station_id = 106").collect()[0]
+    wanted = ((x - np.array(m["mean"])) / np.array(m["scale"])) @ np.array(m["components"]).reshape(-1, 7)[:3].T
+    np.testing.assert_allclose([r[-3:] for r in row], wanted, atol=1e-8)
+    without = anomaly.project_rows(activity, models.where("station_id = 106"))
+    assert without.where("station_id = 7 AND axis_1 IS NOT NULL").count() == 0 < without.where("station_id = 7").count()
