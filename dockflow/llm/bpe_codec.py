@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.shared import small_slices, text_or_empty
+from dockflow.llm.shared import shipped, small_slices, text_or_empty, unpacked
 from dockflow.llm.word_encoder import WordEncoder
 
 LEAF = 8_192
@@ -132,11 +132,11 @@ def encode_decode(
     window: int = WINDOW, decoded: bool = True,
 ) -> DataFrame:
     """``id_column``, ``n_tokens``, ``ids`` (binary: little-endian unsigned 32-bit) and, if asked for, ``decoded``."""
-    encoder = df.sparkSession.sparkContext.broadcast(WordEncoder.from_file(vocabulary))
+    encoder = shipped(df.sparkSession, WordEncoder.from_file(vocabulary))
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def run(batches):
-        tool = encoder.value
+        tool = unpacked(encoder)
         for batch in small_slices(batches):
             texts = text_or_empty(batch.column(1))
             ids = tool.encode_texts([t if len(t) <= leaf else "" for t in texts])

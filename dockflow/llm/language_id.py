@@ -6,22 +6,21 @@ ties going to the language with more labelled texts, then by name. ``score`` is
 counts as a factor: 2 ** (-bytes / ``scale``), normalised over the languages. Where the runner-up is within ``margin`` of
 the winner, the row is marked ``rejected``.
 
-The sample: per language the ``sample_texts`` distinct texts with the smallest hash, ``sample_bytes`` of each. That is all
-the driver sees. Texts that are null or hold no letter get ``und``, score 0, and are rejected. Every input row
+The sample: per language the ``sample_texts`` distinct texts with the smallest hash, of each ``sample_bytes`` characters in a row from
+a place anywhere in the text that another hash names. That is all the driver sees. Texts that are null or hold no letter (no character
+of Unicode category L) get ``und``, score 0, and are rejected; very long ones are compressed whole, piece by piece. Every input row
 gives one row, with repeated and null ids; other columns, whatever their names, are left aside. Without
-labelled texts all is ``und``.
+labelled texts all is ``und``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockflow.llm.shared import small_slices
+from dockflow.llm.shared import shipped, small_slices, unpacked
 
 SAMPLE_TEXTS = 64
 SAMPLE_BYTES = 1_500
@@ -30,7 +29,6 @@ LEVEL = 3
 SCALE = 8.0
 MARGIN = 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Languages:
@@ -80,7 +78,9 @@ def learn_languages(
     sample: dict[str, list[str]] = {}
 
     def take(near):
-        near = near.select("lang", order.alias("h"), F.substr("text", F.lit(1), F.lit(sample_bytes)).alias("text"))
+        places = F.greatest(F.char_length("text") - sample_bytes, F.lit(0)) + 1
+        start = F.pmod(F.xxhash64("text", F.lit("place")), places).cast("int") + 1
+        near = near.select("lang", order.alias("h"), F.substr("text", start, F.lit(sample_bytes)).alias("text"))
         ranked = near.distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
         for row in ranked.where(F.col("k") <= sample_texts).orderBy("lang", "k").collect():
             sample.setdefault(row["lang"], []).append(row["text"])
@@ -103,15 +103,15 @@ def predict_languages(
     scale: float = SCALE, piece: int = PIECE,
 ) -> DataFrame:
     """``id_column``, ``lang_pred``, ``score`` (0 to 1) and ``rejected`` of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(languages)
+    shared = shipped(df.sparkSession, languages)
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def predict(batches):
-        known = shared.value
+        known = unpacked(shared)
         for batch in small_slices(batches):
             found = []
             for text in batch.column(1).to_pylist():
-                if not text or not known.names or _LETTER.search(text) is None:
+                if not text or not known.names or not any(map(str.isalpha, text)):
                     found.append((UNKNOWN, 0.0, True))
                     continue
                 sizes = known.sizes(text, piece)

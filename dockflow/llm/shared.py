@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,15 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def shipped(spark: SparkSession, tool: object) -> Broadcast:
+    """A broadcast of a tool pickled with its class: executors need no copy of this package. Open it with ``unpacked``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(tool))
+
+
+def unpacked(broadcast: Broadcast) -> object:
+    return cloudpickle.loads(broadcast.value)
+
+
 def small_slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

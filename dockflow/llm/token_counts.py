@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.shared import small_slices, text_or_empty
+from dockflow.llm.shared import shipped, small_slices, text_or_empty, unpacked
 from dockflow.llm.word_encoder import Placed, WordEncoder
 
 CHUNK = 16_384
@@ -73,11 +73,11 @@ def count_tokens(
     overlap: int = OVERLAP,
 ) -> DataFrame:
     """``id_column``, ``n_bytes`` and ``n_tokens`` of every row; ``vocabulary`` is the path of a tokenizers file."""
-    encoder = df.sparkSession.sparkContext.broadcast(WordEncoder.from_file(vocabulary))
+    encoder = shipped(df.sparkSession, WordEncoder.from_file(vocabulary))
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
 
     def count(batches):
-        tool = encoder.value
+        tool = unpacked(encoder)
         for batch in small_slices(batches):
             texts = text_or_empty(batch.column(1))
             short = [t if len(t) <= chunk else "" for t in texts]

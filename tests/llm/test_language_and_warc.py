@@ -1,7 +1,12 @@
 """Language by compression and the archive round trip."""
 
 import hashlib
+import os
+import pickle
 import random
+import subprocess
+import sys
+import unicodedata
 
 import pytest
 import zstandard
@@ -46,6 +51,57 @@ def test_languages_are_told_apart(spark):
     assert {r["lang_pred"] for r in predict_languages(df, none).collect()} == {"und"}
 
 
+def test_predictions_by_plain_compression(spark):
+    """Every whole text compressed anew with each dictionary, with nothing of the operator but its dictionaries."""
+    rng = random.Random(11)
+    rows = [(i, prose(rng.choice(sorted(SYLLABLES)), rng, rng.choice([1, 3, 30, 3_000])), rng.choice(sorted(SYLLABLES))) for i in range(90)]
+    rows += [(100, "½ ² ①", "en"), (101, "½ ² ① é", "de"), (102, "日本語", "en"), (103, "ª", "en"), (104, "_ 12", "de"), (105, "\u0345", "es")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages = learn_languages(df, F.lit(True), sample_texts=6, sample_bytes=200)
+    got = {r["doc_id"]: r for r in predict_languages(df, languages).collect()}
+    for i, text, _ in rows:
+        if not any(unicodedata.category(c).startswith("L") for c in text):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0), text
+            continue
+        data, sizes = text.lower().encode(), []
+        for _, content in languages.dictionaries:
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            total = 0
+            for at in range(0, len(data), 4096):
+                # a fresh compressor for every piece
+                tool = zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False)
+                total += len(tool.compress(data[at : at + 4096]))
+            sizes.append(total)
+        best = min(range(len(sizes)), key=lambda k: (sizes[k], k))
+        assert got[i]["lang_pred"] == languages.names[best]
+        assert got[i]["score"] == pytest.approx(1 / sum(2.0 ** ((sizes[best] - s) / 8) for s in sizes))
+    assert {i for i, r in got.items() if r["lang_pred"] == "und"} == {100, 104, 105}
+
+
+def test_dictionaries_come_from_anywhere_in_a_text(spark):
+    texts = [f"{'a' * 5000}{i:05}{'b' * 5000}" for i in range(40)]
+    df = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    content = learn_languages(df, F.lit(True), sample_texts=40, sample_bytes=100).dictionaries[0][1]
+    assert 0.2 < content.count(b"b") / len(content) < 0.8
+
+
+def test_tools_work_where_the_package_is_missing(spark, tmp_path):
+    import public_tokenizers
+
+    from dockflow.llm.shared import shipped
+    from dockflow.llm.word_encoder import WordEncoder
+
+    tools = [Languages([("a", b"abc" * 50)]), WordEncoder.from_file(public_tokenizers.path("word_bpe_49k.json"))]
+    (tmp_path / "tools").write_bytes(pickle.dumps([shipped(spark, t).value for t in tools]))
+    code = (
+        "import pickle, importlib.util\nfrom pyspark import cloudpickle\nassert importlib.util.find_spec('dockflow') is None\n"
+        "a, b = map(cloudpickle.loads, pickle.load(open('tools', 'rb')))\nprint(len(a.sizes('abc')), len(b.encode_texts(['some words'])[0]) // 4)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.split() == ["1", "2"], done.stderr
+
+
 def test_sizes_cover_the_whole_text():
     tool = Languages([("a", b"abc" * 50)])
     noise = "".join(random.Random(0).choices("abcdefghij", k=20_000))
