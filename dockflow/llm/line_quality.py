@@ -3,13 +3,14 @@
 Each line that holds a word is good or bad. What a line looks like (shares of capitals, digits, symbols and punctuation,
 word lengths, repeated words, whether the line itself is repeated) together with the same of its neighbours gives the
 weight of each label; a transition weight ties neighbours. Forward and backward passes give each line's probability of being
-good, and the mean of their log-odds, weighted by the characters of the lines, is calibrated to the document's score.
+good, and the mean of these probabilities, weighted by the characters of the lines, is calibrated to the document's score.
 
 Fitting: documents carry labels, lines don't, so each line starts with its document's label; after the first fit, lines of
 bad documents that look good to the model count less, and the field is fitted once more. It is fitted with gradient steps on
-the driver on a bounded sample: ``SAMPLE_DOCS`` distinct labelled texts per class with the smallest hash, of each the
-first ``SAMPLE_CHARS`` characters and of these the first ``SAMPLE_LINES`` lines. The base rate is that of all labelled
-documents with a text, copies included. Scoring reads every line of every text.
+the driver on a bounded sample: ``SAMPLE_DOCS`` distinct labelled texts per class with the smallest hash and at most
+``SAMPLE_CHARS`` characters. The lines' weights are fitted on ``SAMPLE_LINES`` lines in a row of each, from a place that a hash of
+the text names; the calibration reads these texts whole. The base rate is that of all labelled documents with a text, copies
+included. Scoring reads every line of every text, however long.
 
 Features come from arrays over all bytes of a batch; non-ASCII bytes count as letters. A text without lines scores the share
 of good documents among the labelled ones; so does every text where nothing or one class only is labelled. Of repeated
@@ -19,9 +20,11 @@ aside, whatever their names. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dockflow.llm.shared import small_slices, with_fields
@@ -168,7 +171,7 @@ class LineField:
         self.weights, self.tie, self.scale, self.shift, self.base = weights, tie, scale, shift, base
 
     def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Length-weighted mean log-odds of the lines of each text, and whether it has any."""
+        """Length-weighted mean probability of the lines of each text, less a half, and whether it has any."""
         features, chars, text = line_features(texts)
         out, some = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
         if len(text) and self.weights is not None:
@@ -202,9 +205,12 @@ def fit_field(texts: list[str], good: np.ndarray, steps: int = STEPS, lines: int
     if not len(good) or good.min() == good.max():
         return LineField(base=float(good.mean()) if len(good) else 0.5)
     features, _, text = line_features(texts)
-    rank = np.arange(len(text)) - np.searchsorted(text, text)
-    inputs = with_neighbours(features, text)[rank < lines]
-    text = text[rank < lines]
+    count = np.bincount(text, minlength=len(texts))
+    begin = np.array([zlib.crc32(t.encode()) for t in texts]) % np.maximum(count - lines + 1, 1)
+    rank = np.arange(len(text)) - np.searchsorted(text, text) - begin[text]
+    taken = (rank >= 0) & (rank < lines)
+    inputs = with_neighbours(features, text)[taken]
+    text = text[taken]
     lengths = np.bincount(text, minlength=len(texts))
     lengths = lengths[lengths > 0]
     label = good[text]
@@ -243,14 +249,22 @@ def learn_field(
     marks = marks.agg(F.min(label_column).alias("_good"))
     rows = df.where(use & F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     order = F.xxhash64("_text").alias("h")
-    # ids and hashes of all labelled documents; texts are fetched for the sample only
-    joined = settle(rows.select("_id", order).join(marks, "_id").groupBy("h", "_good").agg(F.count(F.lit(1)).alias("n")))
-    shares = {r["_good"]: r["n"] for r in joined.groupBy("_good").agg(F.sum("n").alias("n")).collect()}
-    ranked = joined.groupBy("h").agg(F.min("_good").alias("_good"))
-    ranked = ranked.withColumn("k", F.row_number().over(Window.partitionBy("_good").orderBy("h")))
-    chosen = settle(ranked.where(F.col("k") <= sample_docs).select("h", "_good"))
-    text = F.substr("_text", F.lit(1), F.lit(SAMPLE_CHARS)).alias("_text")
-    sample = rows.select(order, "_text").join(chosen, "h").select("h", text, "_good").distinct().collect()
+    # ids, hashes and sizes of all labelled documents; texts are fetched for the sample only
+    joined = settle(rows.select("_id", order, (F.char_length("_text") <= SAMPLE_CHARS).alias("short")).join(marks, "_id"))
+    found = joined.groupBy("_good").agg(
+        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(F.col("short"), F.col("h"))).alias("texts")).collect()
+    shares = {r["_good"]: r["n"] for r in found}
+    # hashes are spread evenly: about twice the sample passes the threshold of each class, the smallest stay
+    limit = F.lit(False)
+    for r in found:
+        share = min(1.0, 2 * sample_docs / max(1, r["texts"]))
+        limit = F.when(F.col("_good") == r["_good"], F.col("h") <= min(int(share * 2**64) - 2**63, 2**63 - 1)).otherwise(limit)
+    passed = joined.where(limit & F.col("short")).groupBy("h").agg(F.min("_good").alias("_good")).collect()
+    chosen = []
+    for label in (0, 1):
+        chosen += sorted((r["h"], r["_good"]) for r in passed if r["_good"] == label)[:sample_docs]
+    picked = F.broadcast(df.sparkSession.createDataFrame(chosen, "h long, _good int"))  # at most twice the sample's numbers
+    sample = rows.select(order, "_text").join(picked, "h").distinct().collect()
     sample.sort(key=lambda r: (r["_good"], r["h"], r["_text"]))
     texts, good = [r["_text"] for r in sample], [r["_good"] for r in sample]
     field = fit_field(texts, np.array(good))

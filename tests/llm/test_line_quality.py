@@ -62,6 +62,18 @@ def sample(rng, good):
     return "\n".join(" ".join(words[i : i + 12]) for i in range(0, 60, 12))
 
 
+def test_lines_come_from_anywhere_in_a_text(monkeypatch):
+    """Long texts whose bad lines all come late are learned as bad."""
+    rng = random.Random(12)
+    good = [sample(rng, True).split("\n")[0] for _ in range(4_000)]
+    bad = [sample(rng, False).split("\n")[0] for _ in range(4_000)]
+    texts = ["\n".join(rng.sample(good, 100)) for _ in range(60)]
+    texts += ["\n".join(rng.sample(good, 40) + rng.sample(bad, 60)) for _ in range(60)]
+    label = np.array([1] * 60 + [0] * 60)
+    field = lq.fit_field(texts, label)
+    assert ((field.score(texts) >= 0.5) == label).mean() > 0.95
+
+
 def test_copies_count_in_the_base_rate(spark):
     rng = random.Random(9)
     rows = [(i, sample(rng, True)) for i in range(60)] + [(60 + i, sample(rng, False)) for i in range(7)]
