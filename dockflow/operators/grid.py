@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.functions.durations import duration_seconds, interval_text, wall_seconds
@@ -72,14 +72,17 @@ def fill_steps(df: DataFrame, key: str, date: str, every: str, chunk: str = GRID
     heads = per_chunk(dated, F.min(date).alias("_head"))
     following = heads.select(KEY, CHUNK, F.lead("_head").over(across_chunks()).alias("_following"))
     local = dated.withColumn("_next", F.lead(date).over(in_chunk(date)))
-    until = F.coalesce("_next", "_following")
+    return _steps_until(relay(local, following), F.coalesce("_next", "_following"), date, every).select(*df.columns, "_added")
+
+
+def _steps_until(df: DataFrame, until: Column, date: str, every: str) -> DataFrame:
+    """Every row, and after it the steps that lie before ``until``."""
     seconds = duration_seconds(every)
     missing = F.ceil((wall_seconds(until) - wall_seconds(date)) / seconds) - 1
     last = F.greatest(F.coalesce(missing, F.lit(0)), F.lit(0)).cast("bigint")
-    steps = relay(local, following).withColumn("_added", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    steps = df.withColumn("_added", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_added") * seconds).cast("decimal(18,6)"))
-    moved = steps.withColumns({date: F.col(date) + offset, "_added": F.col("_added") > 0})
-    return moved.select(*df.columns, "_added")
+    return steps.withColumns({date: F.col(date) + offset, "_added": F.col("_added") > 0})
 
 
 def upsample(df: DataFrame, key: str = "station_id", date: str = "date", every: str = STEP) -> DataFrame:
@@ -108,7 +111,9 @@ def hourly_totals(
         .groupBy(key, hour.alias(date))
         .agg(F.coalesce(F.sum(feature), F.lit(0)).alias(feature))
     )
-    filled = fill_steps(totals, key, date, every)
+    # 24 rows a station and day, fewer than the summaries of chunks that are windowed over a station elsewhere
+    following = F.lead(date).over(Window.partitionBy(key).orderBy(date))
+    filled = _steps_until(totals.where(F.col(date).isNotNull()).withColumn("_next", following), F.col("_next"), date, every)
     return filled.select(key, date, F.when(F.col("_added"), 0).otherwise(F.col(feature)).alias(feature))
 
 
