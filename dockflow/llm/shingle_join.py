@@ -12,8 +12,10 @@ not suffice, it is compared with every set that shares a frequent token.
 
 Only components are wanted, so near copies needn't meet all their like. First every set meets the most typical set that shares
 a few of its lowest tokens; what links there is joined up. After that only pairs of different components that share a
-token are counted, and kept if the number of shared prefix tokens can still reach the threshold. All pairs are verified on
-whole texts before they link.
+token are counted, and kept if the number of shared prefix tokens can still reach the threshold. Every set carries a sketch of its
+whole contents: ``SKETCH`` longs whose bits say whether an odd number of its tokens fell on them. Two sketches differ in at most
+as many bits as the sets differ in tokens, so pairs whose sketches differ in more than a ninth of both sizes can't link and are left out
+where they meet; the longer the sketch, the more of the pairs that can't link it tells. All other pairs are verified on whole texts.
 
 At scale: equal sets are one class, known by a 128-bit digest. Prefix tokens travel packed, in buckets by token whose number
 follows the total. In each task, tokens of ``RARE`` sets or more go to salted buckets with a mark for the token's own one, so
@@ -49,8 +51,10 @@ LOW = 8
 BUCKET_POSTINGS = 300_000
 MIN_BUCKETS = 96
 #: Postings that a task holds before it sends them, and bytes of text whose shingles it makes at once.
-TASK_POSTINGS = 1_000_000
-SLICE_BYTES = 1 << 20
+TASK_POSTINGS = 400_000
+SLICE_BYTES = 1 << 19
+#: Longs in a sketch.
+SKETCH = 8
 #: Upper bound of the bits of the set by which texts are fetched.
 MAX_BITS = 1 << 26
 _SPACE = np.zeros(256, dtype=bool)
@@ -109,6 +113,25 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", hashlib.blake2b(tokens.astype("<u8").tobytes(), digest_size=16).digest())
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Per set ``SKETCH`` longs: each bit is the parity of the tokens that a hash puts on it."""
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    bits = SKETCH * 64
+    spot = (_mixed(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]) ^ _U(0x5851F42D4C957F2D)) % _U(bits)).astype(np.int64)
+    odd = np.bincount(spot + np.repeat(np.arange(len(sets)) * bits, size), minlength=len(sets) * bits) & 1
+    return np.packbits(odd.astype(bool).reshape(len(sets), bits), axis=1).view(np.int64).reshape(len(sets), SKETCH)
+
+
+#: Names of the sketch's longs.
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
+
+
+def _close(a: str = "_a", b: str = "_b") -> str:
+    """What two sets that link fulfil: sizes within the threshold, and sketches that differ in few bits."""
+    differ = " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in _SKETCH)
+    return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) AND 9 * ({differ}) <= n{a} + n{b}"
+
+
 def zone(n):
     """Length of the prefix that is indexed; ``n`` is a number, an array or a column."""
     need = n // 5 + 1
@@ -129,7 +152,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def set_table(documents: DataFrame, seed: int = 0) -> DataFrame:
-    """Per row its id, the size of its set, and the digest of the set in two halves (null where it is empty)."""
+    """Per row its id, the size of its set, the digest of the set in two halves (null where it is empty), and its sketch."""
 
     def run(batches):
         for batch in small_slices(batches, size=SLICE_BYTES):
@@ -137,9 +160,11 @@ def set_table(documents: DataFrame, seed: int = 0) -> DataFrame:
             pairs = [digest(s) if len(s) else (None, None) for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", "k", "k2"])
+            columns += [pa.array(column) for column in np.ascontiguousarray(sketches(sets).T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", "k", "k2", *_SKETCH])
 
-    return documents.mapInArrow(run, f"id {dict(documents.dtypes)['id']}, n bigint, k bigint, k2 bigint")
+    longs = ", ".join(f"{c} bigint" for c in _SKETCH)
+    return documents.mapInArrow(run, f"id {dict(documents.dtypes)['id']}, n bigint, k bigint, k2 bigint, {longs}")
 
 
 def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
@@ -241,10 +266,9 @@ def _wanted_bits(keys: DataFrame) -> np.ndarray:
 def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, seed: int = 0) -> DataFrame:
     """Of the pairs (``a``, ``b``) of set keys those whose sets, made again from the whole texts, are similar enough."""
     spark = documents.sparkSession
-    who = classes.select("k", "first_id", "n")
-    a = who.select(F.col("k").alias("a"), F.col("first_id").alias("id_a"), F.col("n").alias("n_a"))
-    b = who.select(F.col("k").alias("b"), F.col("first_id").alias("id_b"), F.col("n").alias("n_b"))
-    sized = pairs.join(a, "a").join(b, "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    who = classes.select("k", F.col("first_id").alias("id"), "n", *_SKETCH)
+    a, b = (who.select(F.col("k").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", *_SKETCH)]) for s in "ab")
+    sized = pairs.join(a, "a").join(b, "b").where(_close())
     sized = settle(sized.select("a", "b", "id_a", "id_b"))
     if sized.isEmpty():
         return sized.select("a", "b")
@@ -307,8 +331,9 @@ def _groups(level: int) -> int:
 
 
 def _pair_signatures(sets: DataFrame) -> DataFrame:
-    """``sig``, ``level`` and the set's ``k``, ``n``, ``c``, ``heavy`` and ``r`` per pair of frequent tokens of a group; ``sig``
-    is null, once, for heavy sets whose pairs don't suffice."""
+    """``sig``, ``level`` and the set's other columns per pair of frequent tokens of a group; ``sig`` is null, once, for heavy sets
+    whose pairs don't suffice."""
+    kept = ["k", "n", "c", "heavy", "r", *_SKETCH]
 
     def run(batches):
         for batch in batches:
@@ -335,28 +360,29 @@ def _pair_signatures(sets: DataFrame) -> DataFrame:
             where = np.concatenate([np.zeros(0, dtype=np.int64), *at]).astype(np.int64)
             made = [pa.array([None], pa.int64()) if s is None else pa.array(s, pa.int64()) for s in sigs]
             column = pa.concat_arrays(made) if made else pa.array([], pa.int64())
-            rows = batch.select(["k", "n", "c", "heavy", "r"]).take(pa.array(where))
+            rows = batch.select(kept).take(pa.array(where))
             bits = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *levels]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([column, bits, *rows.columns], ["sig", "level", "k", "n", "c", "heavy", "r"])
+            yield pa.RecordBatch.from_arrays([column, bits, *rows.columns], ["sig", "level", *kept])
 
-    return sets.mapInArrow(run, "sig bigint, level int, k bigint, n bigint, c bigint, heavy boolean, r bigint")
+    longs = ", ".join(f"{c} bigint" for c in _SKETCH)
+    return sets.mapInArrow(run, f"sig bigint, level int, k bigint, n bigint, c bigint, heavy boolean, r bigint, {longs}")
 
 
 def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs of sets in different components (``labels``) that may still link."""
-    known = classes.select("k", "n").join(labels.select(F.col("node").alias("k"), "component"), "k", "left")
-    known = known.select("k", "n", F.coalesce("component", "k").alias("c"))
+    known = classes.select("k", "n", *_SKETCH).join(labels.select(F.col("node").alias("k"), "component"), "k", "left")
+    known = known.select("k", "n", *_SKETCH, F.coalesce("component", "k").alias("c"))
     frequent = shared.where(F.col("df") >= RARE)
     often = (F.col("df") >= RARE).cast("bigint")
     counts = shared.groupBy("k").agg(F.sum(often).alias("f"), F.sum(1 - often).alias("r"))
-    known = settle(known.join(counts, "k").select("k", "n", "c", "f", "r"))
+    known = settle(known.join(counts, "k").select("k", "n", "c", "f", "r", *_SKETCH))
 
     placed = shared.join(known, "k")
     rare = placed.where(F.col("df") < RARE)
     mixed = rare.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-    rare = settle(rare.join(mixed, "token").select("token", "k", "n", "c", "f"))
-    x, y = (rare.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "f")]) for side in "ab")
-    met = x.join(y, "token").where("k_a < k_b AND c_a != c_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    rare = settle(rare.join(mixed, "token").select("token", "k", "n", "c", "f", *_SKETCH))
+    x, y = (rare.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "f", *_SKETCH)]) for side in "ab")
+    met = x.join(y, "token").where(f"k_a < k_b AND c_a != c_b AND {_close()}")
     met = met.groupBy("k_a", "k_b", "n_a", "n_b", "f_a", "f_b").agg(F.count(F.lit(1)).alias("both"))
     # each set misses at most n - 4/9 (n_a + n_b) tokens of the other; the one whose prefix ends first shows the rest in it
     together = F.ceil(4 * (F.col("n_a") + F.col("n_b")) / 9)
@@ -369,14 +395,14 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     if sets.where("heavy").isEmpty():
         return pairs.distinct()
     tokens = frequent.groupBy("k").agg(F.collect_set("token").alias("tokens"))
-    sigs = settle(_pair_signatures(sets.join(tokens, "k").select("k", "n", "c", "heavy", "r", "tokens")))
+    sigs = settle(_pair_signatures(sets.join(tokens, "k").select("k", "n", "c", "heavy", "r", *_SKETCH, "tokens")))
     mixed = (
         sigs.where("sig IS NOT NULL").groupBy("sig")
         .agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("heavy").alias("any")).where("c0 != c1 AND any").select("sig")
     )
     found = settle(sigs.join(mixed, "sig"))
-    x, y = (found.select("sig", "level", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "heavy", "r")]) for side in "ab")
-    close = "c_a != c_b AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
+    x, y = (found.select("sig", "level", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "heavy", "r", *_SKETCH)]) for side in "ab")
+    close = f"c_a != c_b AND {_close()}"
     ends = [F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")]
     # two sets are compared at the level of the larger
     same = x.join(y.drop("level"), "sig").where("k_a < k_b AND (heavy_a OR heavy_b) AND length(bin(greatest(n_a, n_b))) = level")
@@ -393,9 +419,9 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     counted = counted.where(enough(F.least("r_a", "r_b"))).join(met.select("k_a", "k_b", "both"), ["k_a", "k_b"], "left")
     pairs = pairs.unionByName(counted.where(enough(F.coalesce("both", F.lit(0)))).select(*ends))
     lacking = sigs.where("sig IS NULL").select("k").distinct()
-    single = placed.where(F.col("df") >= RARE).select("token", "k", "n", "c")
-    x = single.join(lacking, "k").select("token", *[F.col(c).alias(f"{c}_a") for c in ("k", "n", "c")])
-    y = single.select("token", *[F.col(c).alias(f"{c}_b") for c in ("k", "n", "c")])
+    single = placed.where(F.col("df") >= RARE).select("token", "k", "n", "c", *_SKETCH)
+    x = single.join(lacking, "k").select("token", *[F.col(c).alias(f"{c}_a") for c in ("k", "n", "c", *_SKETCH)])
+    y = single.select("token", *[F.col(c).alias(f"{c}_b") for c in ("k", "n", "c", *_SKETCH)])
     return pairs.unionByName(x.join(y, "token").where(close).select(*ends)).distinct()
 
 
@@ -418,7 +444,8 @@ def _components(documents: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFra
     """The set table; per class its key ``k``, ``first_id`` and component ``c``; the seed in use."""
     sets = settle(set_table(documents, seed))
     classes = sets.where("n > 0").groupBy("k").agg(
-        F.min("id").alias("first_id"), F.max("n").alias("n"), F.min("k2").alias("low2"), F.max("k2").alias("high2")
+        F.min("id").alias("first_id"), F.max("n").alias("n"), F.min("k2").alias("low2"), F.max("k2").alias("high2"),
+        *[F.min(c).alias(c) for c in _SKETCH],
     )
     classes = settle(classes)
     if not classes.where("low2 != high2").isEmpty():  # two sets with the same first half of the digest
@@ -433,7 +460,7 @@ def _components(documents: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFra
     top = labels.unionByName(rest.select(F.col("a").alias("node"), F.col("b").alias("component")))
     final = connected_components(top, "node", "component")
     named = classes.join(final.select(F.col("node").alias("k"), "component"), "k", "left")
-    return sets, settle(named.select("k", "first_id", F.coalesce("component", "k").alias("c"))), seed
+    return sets.drop(*_SKETCH), settle(named.select("k", "first_id", F.coalesce("component", "k").alias("c"))), seed
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -130,3 +130,22 @@ def test_connected_components(spark):
     want = components(nodes, [e for e in edges if e[0] != e[1]])
     assert out == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(0, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)]
+    made = sj.sketches([*sets, np.zeros(0, dtype=np.uint64)])
+    assert made.shape == (61, sj.SKETCH) and not made[60].any()
+    told = 0
+    for a in range(60):
+        for b in range(a):
+            differ = sum(int(x).bit_count() for x in (made[a] ^ made[b]).view(np.uint64))
+            really = len(np.setxor1d(sets[a], sets[b]))
+            assert differ <= really and (really - differ) % 2 == 0
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                assert 9 * differ <= len(sets[a]) + len(sets[b])
+            else:
+                told += 9 * differ > len(sets[a]) + len(sets[b])
+    assert told > 1_500
