@@ -87,3 +87,21 @@ def test_run(spark, tables):
     out = cp.run(spark, tables)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and out.count() > 20
     assert [name for name, _ in cp.STAGES] == ["quality_classifier", "quality_rules", "near_duplicates", "mixing", "bpe"]
+
+
+def test_empty_tables_and_clashing_columns(spark, tables, tmp_path):
+    """No documents give no rows at any stage; columns named like the operators' own are carried along."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    clash = docs.selectExpr("*", "1 AS id", "'x' AS k", "2.5D AS score", "3 AS n", "'d' AS domain", "'r' AS `row`", "4 AS epochs")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, clash, tables)
+        assert out.columns == clash.columns
+        assert out.where("id <> 1 OR k <> 'x' OR score <> 2.5D OR n <> 3 OR domain <> 'd' OR `row` <> 'r' OR epochs <> 4").count() == 0
+        assert out.count() > 20
+    assert cp.token_ids(spark, clash, tables).count() == docs.count()
