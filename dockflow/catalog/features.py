@@ -429,6 +429,12 @@ def focus(spark, sf_dir):
     return filters.map_focus(I.stations(spark, sf_dir), station_id=7)
 
 
+def tilted_focus(spark, sf_dir):
+    """The focus of the tilted map on the fullest station, nearer than that of the flat map."""
+    fullest = lookups.extreme_stations(I.stations(spark, sf_dir), "available_bikes", most=True).first()["station_id"]
+    return filters.map_focus(I.stations(spark, sf_dir), fullest, zoom=15.3)
+
+
 def without_listed(spark, sf_dir):
     listed = I.stations(spark, sf_dir).where(F.col("anomaly") == -1).select("station_id")
     return filters.without_stations(I.stations(spark, sf_dir), listed)
@@ -556,6 +562,7 @@ QUERIES = {
     "station_count": (station_count, sql("SELECT count(DISTINCT station_id) AS stations FROM polls", "polls")),
     "last_row": (last_forecast_row, sql("SELECT station_id, date, available_bikes FROM activity WHERE date = (SELECT max(date) FROM activity) ORDER BY station_id DESC LIMIT 1", "activity")),
     "map_focus": (focus, sql("SELECT lat, lon, 15e0 AS zoom FROM stations WHERE station_id = 7", "stations")),
+    "map_focus_tilted": (tilted_focus, sql("SELECT lat, lon, 15.3e0 AS zoom FROM stations ORDER BY available_bikes DESC, station_id LIMIT 1", "stations")),
     "stations_not_listed": (without_listed, sql("SELECT * FROM stations WHERE anomaly <> -1", "stations")),
     "future_target": (future_target, sql(FUTURE, "activity")),
     "labelled_rows": (labelled, sql(f"SELECT * FROM ({FUTURE}) WHERE target IS NOT NULL", "activity")),

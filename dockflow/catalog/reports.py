@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from dockflow.catalog import inputs as I
 from dockflow.catalog.features import COLOUR, RANK, STATE, r, rounded
 from dockflow.catalog.inputs import sql

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from dockflow.functions.scalars import activity_bit
 from dockflow.models.anomaly import RUN, train_cluster_station

@@ -2,7 +2,6 @@ import hashlib
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
