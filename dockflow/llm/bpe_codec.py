@@ -12,7 +12,8 @@ encoding, right of it from the window, so every pair has been seen by BPE, and t
 cut part, must not share a character with its neighbour, and no combining character may follow it.
 
 Null texts count as empty and give no ids and an empty decoded text. Every input row gives one row, repeated and null ids
-included; further columns are left aside whatever their names. An empty table gives an empty result.
+included; further columns are left aside whatever their names. Nothing is ranked, so there are no ties; equal texts get equal ids.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

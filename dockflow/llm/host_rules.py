@@ -9,7 +9,9 @@ Everything is DataFrame operations. The texts are read once: what is counted is
 from there. A host with a third of all documents is summed before its shuffle, and the join back carries no text.
 
 Null texts have no words. A null host has no host verdict, so only the base rules decide. Every input row gives one row,
-with repeated and null ids; other columns, whatever their names, are left aside. An empty table gives an empty result.
+with repeated and null ids; other columns, whatever their names, are left aside. Whole texts are measured, however long; windows
+of words are told apart by a 64-bit hash, so two different ones count as the same once in 2 ** 64 pairs. Nothing is ranked, so
+there are no ties. An empty table gives an empty result.
 """
 
 from __future__ import annotations

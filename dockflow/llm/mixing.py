@@ -14,7 +14,8 @@ budget ends are ordered.
 Tokens are words here, unless ``tokens`` gives another count. Documents without tokens are never chosen. Null languages,
 sources and ids count as empty text. Rows with equal id share their place in the permutation and are chosen together, or not
 at all. The tree is known to the user, so its node table is small, but it too is only handled by Spark. Rows come out with
-all their columns, whatever their names. An empty table gives an empty result.
+all their columns, whatever their names. Of a text, however long, only the number of tokens is kept while documents are chosen. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations

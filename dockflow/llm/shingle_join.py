@@ -25,7 +25,8 @@ may let others through. Nothing is dropped.
 Words are runs of bytes other than the six ASCII white-space characters; A-Z is lower-cased. A text of one to four words has
 one shingle; texts without words, and nulls, have none, link with nothing and are their own component. Every input row
 gives one row, with repeated and null ids; ``component_id`` is the smallest id that isn't null of the component.
-Other columns are left aside, whatever their names. An empty table gives an empty result.
+Whole texts are read, however long, some at a time. Of equally typical sets the one with the larger key is the hub, which
+only decides who meets whom first. Other columns are left aside, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

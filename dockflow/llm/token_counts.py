@@ -7,7 +7,8 @@ Where there is none, as in text without white space, the overlap is doubled, and
 chunk, that chunk grows. Memory holds one chunk's tokens.
 
 Null texts count as empty. Every row of the input gives one row, repeated and null ids included; other columns, whatever
-their names, are left aside. An empty table gives an empty result.
+their names, are left aside. Nothing is ranked, so there are no ties; equal texts have equal counts. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ which their rules are copied, so that one host never has to sit in one task.
 
 Null URLs and URLs without ``://`` have an empty host and path, and no rule fits them. URLs without a fitting rule get
 ``default`` and a null rule. Every input row gives one row, with repeated and null ids; further columns are left aside
-whatever their names. Empty tables of pages or rules are fine.
+whatever their names. Whole URLs are judged, however long. Empty tables of pages or rules are fine.
 """
 
 from __future__ import annotations

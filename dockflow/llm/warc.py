@@ -11,7 +11,8 @@ The dictionary is trained on a bounded sample of payloads: of about ``sample_pag
 Payloads are the UTF-8 bytes of the page text (null: empty). Of records with equal payloads of ``revisit_bytes`` or more the
 one with the largest id is the response and the others revisit it; should that id itself repeat, all its rows are
 responses; null ids count as smallest, and where all ids are null, all are responses. Every row of the input
-gives one record. Other columns, whatever their names, are left aside. An empty table gives no records.
+gives one record. A payload, however long, is one record, as its row is one row. Other columns, whatever their names, are left
+aside. An empty table gives no records.
 """
 
 from __future__ import annotations
