@@ -54,6 +54,8 @@ MIN_BUCKETS = 96
 #: Postings that a task holds before it sends them, and bytes of text whose shingles it makes at once.
 TASK_POSTINGS = 400_000
 SLICE_BYTES = 1 << 19
+#: Sets whose signatures are made at once.
+SIGNED_SETS = 512
 #: Longs in a sketch.
 SKETCH = 8
 #: Upper bound of the bits of the set by which texts are fetched.
@@ -337,7 +339,7 @@ def _pair_signatures(sets: DataFrame) -> DataFrame:
     kept = ["k", "n", "c", "heavy", "r", *_SKETCH]
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, SIGNED_SETS) for whole in batches for i in range(0, whole.num_rows, SIGNED_SETS)):
             sigs, at, levels = [], [], []
             for i, row in enumerate(batch.to_pylist()):
                 tokens = np.sort(np.array(row["tokens"], dtype=np.int64).view(np.uint64))
