@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dockflow.llm.shared import small_slices
 from dockflow.session import settle
 
 SAMPLE_PAGES = 512
@@ -32,6 +33,9 @@ SAMPLE_BYTES = 8_192
 DICTIONARY_BYTES = 65_536
 REVISIT_BYTES = 1_000
 LEVEL = 6
+#: Rows that go to Python at once, and bytes of payload of these that are made records at once.
+BATCH_ROWS = 256
+SLICE_BYTES = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the formats.
 _DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"
@@ -132,7 +136,7 @@ def write_warc(
             known.precompute_compress(level=level)
         tool = zstandard.ZstdCompressor(level=level, dict_data=known, write_checksum=True)
         first = True
-        for batch in batches:
+        for batch in small_slices(batches, "payload", SLICE_BYTES):
             frames = []
             if first and batch.num_rows:
                 frames.append(_DICTIONARY_MAGIC + len(dictionary).to_bytes(4, "little") + dictionary)
@@ -145,7 +149,15 @@ def write_warc(
 
     columns = plan.select("page_id", "url", "payload", "payload_digest", "refers_to")
     frames = columns.mapInArrow(compress, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", _EMPTY_FRAME).text(path)
+    lines = frames.select(F.col("frame").cast("string").alias("value"))
+    # whole pages: thousands of them in one Arrow batch, in every task at once, are a large part of an executor's memory
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_ROWS)
+    try:
+        lines.write.option("lineSep", _EMPTY_FRAME).text(path)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def frames_of(data: memoryview, known=None):
@@ -168,7 +180,7 @@ def frames_of(data: memoryview, known=None):
         yield bytes(data[start:at])
 
 
-def read_archive(content: bytes):
+def read_archive(content: bytes | pa.Buffer):
     """The records of one archive file."""
     import zstandard
 
@@ -195,7 +207,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         for batch in batches:
             for i in range(batch.num_rows):
                 rows = []
-                for record in read_archive(batch.column(0)[i].as_py()):
+                for record in read_archive(batch.column(0)[i].as_buffer()):
                     rows.append(record if payloads else (*record[:-1], None))
                     if len(rows) == 256:
                         yield packed(rows)

@@ -151,3 +151,26 @@ def test_damage_is_found():
     assert parse_record(record)[0] == 1
     with pytest.raises(ValueError):
         parse_record(record.replace(b"payload\r\n", b"PAYLOAD\r\n"))
+
+
+def test_pages_go_to_python_in_small_batches(spark, tmp_path, monkeypatch):
+    from dockflow.llm import warc
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept, planned, most = spark.conf.get(setting), warc.plan_records, warc.BATCH_ROWS
+
+    def watched(*args):
+        plan = planned(*args)
+
+        def narrow(batches):
+            for batch in batches:
+                assert batch.num_rows <= most
+                yield batch
+
+        return plan.mapInArrow(narrow, plan.schema)
+
+    monkeypatch.setattr(warc, "plan_records", watched)
+    df = spark.range(1_000).selectExpr("id AS page_id", "CAST(null AS string) AS url", "repeat('x', 2000) || id AS html")
+    write_warc(df.coalesce(1), str(tmp_path / "many"))
+    assert spark.conf.get(setting) == kept
+    assert read_warc(spark, str(tmp_path / "many")).count() == 1_000
