@@ -13,14 +13,15 @@ from dockflow.catalog.features import r, rounded
 from dockflow.catalog.inputs import sql
 from dockflow.catalog.models import PERCENTILE, REGRID, ROUNDED, STATS, _cut_sql
 from dockflow.models import anomaly
-from dockflow.operators.grid import deduplicate, polls_to_grid, upsample
+from dockflow.operators.grid import count_steps, deduplicate, polls_to_grid, upsample
 from dockflow.operators.movement import get_consecutive_no_transactions_out
 from dockflow.operators.timeline import forward_fill
 from dockflow.plans.learning import create_station_profilage_activity
 from dockflow.schemas import ACTIVITY_COLUMNS, CLOSED_PERIOD, IDLE_LIMITS, MAX_IDLE_STEPS, PROFILE_LABELS, UNUSED_STATIONS
-from dockflow.session import settle
+from dockflow.session import settle, spread
 
 LEVELS = ("available_stands", "available_bikes", "status")
+STEPS = "steps"
 
 
 def all_stations_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,15 +30,15 @@ def all_stations_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polls_to_grid(deduplicate(polls.join(users, "event_id"), order=["event_id"])).select(*ACTIVITY_COLUMNS)
 
 
-def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = upsample(all_stations_grid(spark, sf_dir))
-    for level in LEVELS:
-        grid = forward_fill(grid, level)
-    return settle(grid)
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid with levels filled forward, each row with the number of steps it stands for; these are added where they are read."""
+    grid = all_stations_grid(spark, sf_dir).where("date IS NOT NULL")
+    return settle(count_steps(forward_fill(grid, LEVELS), name=STEPS))
 
 
 def _idle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return get_consecutive_no_transactions_out(_filled(spark, sf_dir))
+    runs = get_consecutive_no_transactions_out(_held(spark, sf_dir), steps=STEPS)
+    return upsample(spread(runs, "station_id"), steps=STEPS)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_stations_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = create_station_profilage_activity(_filled(spark, sf_dir))
+    made = create_station_profilage_activity(_held(spark, sf_dir), steps=STEPS)
     return made.withColumns({"mean": rounded("mean"), "std": rounded("std")})
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockflow.functions.durations import duration_seconds, interval_text, wall_seconds
-from dockflow.operators.movement import MOVEMENTS, add_movements
+from dockflow.operators.movement import MOVEMENTS, RUN, add_movements, held_breaks_idle
 from dockflow.operators.timeline import CHUNK, GRID_CHUNK, KEY, across_chunks, in_chunk, per_chunk, relay, with_chunk
 from dockflow.schemas import ACTIVITY_COLUMNS
 
@@ -62,34 +62,70 @@ def polls_to_grid(
     return resample_activity(add_movements(needed, key=key, date=date, chunk=chunk), key, date, every)
 
 
-def fill_steps(df: DataFrame, key: str, date: str, every: str, chunk: str = GRID_CHUNK) -> DataFrame:
-    """Grid rows with the missing steps of each key added after the row before them; ``_added`` tells them.
-
-    The next row's date is known from the same chunk or handed over from a later one, so the source is read
-    once and nothing is joined with a calendar. Rows without a date are left out.
-    """
+def _next_dates(df: DataFrame, key: str, date: str, chunk: str) -> tuple[DataFrame, Column]:
+    """The rows with a date, and the date of the key's next row: known from the same chunk or handed over from a later one."""
     dated = with_chunk(df.where(F.col(date).isNotNull()), chunk, key, date)
     heads = per_chunk(dated, F.min(date).alias("_head"))
     following = heads.select(KEY, CHUNK, F.lead("_head").over(across_chunks()).alias("_following"))
     local = dated.withColumn("_next", F.lead(date).over(in_chunk(date)))
-    return _steps_until(relay(local, following), F.coalesce("_next", "_following"), date, every).select(*df.columns, "_added")
+    return relay(local, following), F.coalesce("_next", "_following")
+
+
+def fill_steps(df: DataFrame, key: str, date: str, every: str, chunk: str = GRID_CHUNK) -> DataFrame:
+    """Grid rows with the missing steps of each key added after the row before them; ``_added`` tells them.
+
+    The source is read once and nothing is joined with a calendar. Rows without a date are left out.
+    """
+    dated, until = _next_dates(df, key, date, chunk)
+    return _steps_until(dated, until, date, every).select(*df.columns, "_added")
+
+
+def count_steps(
+    df: DataFrame, key: str = "station_id", date: str = "date", every: str = STEP, chunk: str = GRID_CHUNK, name: str = "steps"
+) -> DataFrame:
+    """Grid rows with the number of steps up to the key's next row as ``name``: 1, and the missing ones that ``upsample`` adds.
+
+    Rows without a date are left out.
+    """
+    dated, until = _next_dates(df, key, date, chunk)
+    return dated.withColumn(name, _missing(until, date, every) + 1).select(*df.columns, name)
+
+
+def _missing(until: Column, date: str, every: str) -> Column:
+    """Steps between the row's and ``until``."""
+    missing = F.ceil((wall_seconds(until) - wall_seconds(date)) / duration_seconds(every)) - 1
+    return F.greatest(F.coalesce(missing, F.lit(0)), F.lit(0)).cast("bigint")
 
 
 def _steps_until(df: DataFrame, until: Column, date: str, every: str) -> DataFrame:
     """Every row, and after it the steps that lie before ``until``."""
-    seconds = duration_seconds(every)
-    missing = F.ceil((wall_seconds(until) - wall_seconds(date)) / seconds) - 1
-    last = F.greatest(F.coalesce(missing, F.lit(0)), F.lit(0)).cast("bigint")
-    steps = df.withColumn("_added", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_added") * seconds).cast("decimal(18,6)"))
-    return steps.withColumns({date: F.col(date) + offset, "_added": F.col("_added") > 0})
+    return _with_steps(df, _missing(until, date, every), date, every).withColumn("_added", F.col("_added") > 0)
+
 
+def _with_steps(df: DataFrame, missing: Column, date: str, every: str) -> DataFrame:
+    """Every row, with 0 as ``_added``, and after it ``missing`` steps, numbered from 1."""
+    steps = df.withColumn("_added", F.explode(F.sequence(F.lit(0).cast("bigint"), missing)))
+    offset = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("_added") * duration_seconds(every)).cast("decimal(18,6)"))
+    return steps.withColumn(date, F.col(date) + offset)
 
-def upsample(df: DataFrame, key: str = "station_id", date: str = "date", every: str = STEP) -> DataFrame:
+
+def upsample(
+    df: DataFrame, key: str = "station_id", date: str = "date", every: str = STEP, steps: str | None = None
+) -> DataFrame:
     """Add the missing steps between each station's first and last row of a grid.
 
-    Movements of an added step are 0; levels and status stay null.
+    Movements of an added step are 0; levels and status stay null. With ``steps``, the column that ``count_steps`` has made, added
+    steps hold the levels and the status of their row, and its idle run, if there, goes on: what filling them forward and counting
+    them gives. No row then leaves its task, so these few rows are what is shuffled, not the many steps.
     """
+    if steps is not None:
+        first = df.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in MOVEMENTS if c in df.columns})
+        whole = _with_steps(first, F.col(steps) - 1, date, every)
+        zero, added = F.lit(0).cast("bigint"), F.col("_added") > 0
+        later = {c: F.when(added, zero).otherwise(F.col(c)) for c in MOVEMENTS if c in df.columns}
+        if RUN in df.columns:
+            later[RUN] = F.when(added, F.when(held_breaks_idle(), zero).otherwise(F.col(RUN) + F.col("_added"))).otherwise(F.col(RUN))
+        return whole.withColumns(later).drop("_added", steps)
     filled = fill_steps(df, key, date, every)
     empty = {c: F.lit(0).cast("bigint") if c in MOVEMENTS else F.lit(None) for c in df.columns if c not in (key, date)}
     kept = {c: F.coalesce(c, F.lit(0).cast("bigint")) if c in MOVEMENTS else F.col(c) for c in empty}

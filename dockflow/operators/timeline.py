@@ -111,13 +111,16 @@ def running_sum(
 
 
 def forward_fill(
-    df: DataFrame, column: str, key: str = "station_id", date: str = "date", ties: Sequence[str] = (),
+    df: DataFrame, column: str | Sequence[str], key: str = "station_id", date: str = "date", ties: Sequence[str] = (),
     chunk: str = GRID_CHUNK,
 ) -> DataFrame:
-    """Replace nulls by the latest earlier value of the same key."""
+    """Replace nulls by the latest earlier value of the same key, in one column or, with one shuffle, in several."""
+    columns = [column] if isinstance(column, str) else list(column)
     df = with_chunk(df, chunk, key, date)
-    filled_at = F.when(F.col(column).isNotNull(), ordering(date, ties))
-    latest = per_chunk(df, F.max_by(column, filled_at).alias("_latest"))
-    carried = latest.select(KEY, CHUNK, F.last("_latest", ignorenulls=True).over(earlier_chunks()).alias("_latest"))
-    within = F.last(column, ignorenulls=True).over(in_chunk(date, ties).rowsBetween(Window.unboundedPreceding, 0))
-    return relay(df.withColumn(column, within), carried).withColumn(column, F.coalesce(column, "_latest")).drop(KEY, CHUNK, "_latest")
+    filled_at = {c: F.when(F.col(c).isNotNull(), ordering(date, ties)) for c in columns}
+    latest = per_chunk(df, *[F.max_by(c, filled_at[c]).alias(f"_latest_{c}") for c in columns])
+    carried = latest.select(KEY, CHUNK, *[F.last(f"_latest_{c}", ignorenulls=True).over(earlier_chunks()).alias(f"_latest_{c}") for c in columns])
+    w = in_chunk(date, ties).rowsBetween(Window.unboundedPreceding, 0)
+    within = df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+    whole = relay(within, carried).withColumns({c: F.coalesce(c, f"_latest_{c}") for c in columns})
+    return whole.drop(KEY, CHUNK, *[f"_latest_{c}" for c in columns])

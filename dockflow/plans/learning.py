@@ -5,25 +5,34 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dockflow.functions.scalars import activity_bit
 from dockflow.models.anomaly import RUN, train_cluster_station
 from dockflow.operators.filters import filter_periode, monitored_stations, usable_rows
+from dockflow.operators.grid import upsample
 from dockflow.operators.movement import add_movements_and_idle, get_consecutive_no_transactions_out
 from dockflow.operators.profile import activity_statistics, cut
 from dockflow.operators.timeline import GRID_CHUNK
 from dockflow.schemas import CLOSED_PERIOD, IDLE_LIMITS, MAX_IDLE_STEPS, MONITORED_MEAN, UNUSED_STATIONS
-from dockflow.session import settle
+from dockflow.session import settle, spread
 from dockflow.sources.writers import export_model, write_csv
 
 
 def create_station_profilage_activity(
     activity: DataFrame, target: str | None = None, non_use_station_id: Sequence[int] | None = UNUSED_STATIONS,
-    period: tuple[str, str] = CLOSED_PERIOD, max_idle: int = MAX_IDLE_STEPS, chunk: str = GRID_CHUNK,
+    period: tuple[str, str] = CLOSED_PERIOD, max_idle: int = MAX_IDLE_STEPS, chunk: str = GRID_CHUNK, steps: str | None = None,
 ) -> DataFrame:
-    """Activity profile of every station with its label, least active first; written as CSV when asked."""
-    needed = activity.select("station_id", "date", "available_stands", "available_bikes", "status")
-    idle = add_movements_and_idle(needed, ["transactions_out"], chunk=chunk)
+    """Activity profile of every station with its label, least active first; written as CSV when asked.
+
+    With ``steps``, the column that ``count_steps`` has made, a row stands for all steps up to the next; these are added last.
+    """
+    needed = activity.select("station_id", "date", "available_stands", "available_bikes", "status", *([steps] if steps else []))
+    idle = add_movements_and_idle(needed, ["transactions_out"], chunk=chunk, steps=steps)
+    if steps:
+        # without a level there is no movement, on added steps neither
+        moved = F.when(F.col("available_stands").isNotNull(), F.col("transactions_out"))
+        idle = upsample(spread(idle, "station_id"), steps=steps).withColumn("transactions_out", moved)
     usable = usable_rows(filter_periode(idle, non_use_station_id, period), max_idle)
     stats = activity_statistics(usable.select("station_id", activity_bit().alias("transactions_out_bool")))
     # one row per station, read three times by the labelling: computed once
