@@ -114,3 +114,78 @@ def test_a_silent_station_is_closed_by_its_timer(spark, tmp_path):
     st.write_landed(st.stream_activity(st.ordered_polls(docs, "20 minutes", ZONE)), target, checkpoint)
     got = spark.read.parquet(target).where("station_id = 1").collect()
     assert [(r.date, r.consecutive_no_transactions_out) for r in got] == [(start + timedelta(minutes=10), 1)]
+
+
+class Held:
+    """A state value by itself."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def getValueState(self, *_):  # noqa: N802
+        return Held()
+
+    def registerTimer(self, _):  # noqa: N802
+        pass
+
+
+class Watermark:
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+@pytest.mark.parametrize("processor", [st.MovementProcessor(), st.ActivityProcessor(600_000_000)])
+def test_many_polls_of_a_station_take_little_memory(processor):
+    """One trigger with all polls: the processor's own memory is some ten numbers a poll."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n, part = 400_000, 10_000
+    order = np.random.default_rng(1).permutation(n)
+
+    def batches():
+        for i in range(0, n, part):
+            at = order[i : i + part]
+            yield pd.DataFrame({
+                "micros": at * 1_000_000, "available_stands": (at % 7).astype(float), "available_bikes": at % 11, "status": 1})
+
+    processor.init(Handle())
+    tracemalloc.start()
+    try:
+        made = sum(len(out) for out in processor.handleInputRows((5,), batches(), Watermark()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made == (n if isinstance(processor, st.MovementProcessor) else n // 600)
+    assert peak < 150 * n
+
+
+def test_movements_over_slices_and_triggers(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(st, "SLICE_POLLS", 2)
+    made = st.MovementProcessor()
+    made.init(Handle())
+    first = pd.DataFrame({"micros": [3, 1, 2, 4], "available_stands": [None, 5, 7, None], "available_bikes": [4, 9, 2, 2], "status": [1, None, 0, 1]})
+    second = pd.DataFrame({"micros": [5, 6], "available_stands": [3, 8], "available_bikes": [5, None], "status": [1, 1]})
+    out = pd.concat([f for p in (first, second) for f in made.handleInputRows((5,), iter([p]), Watermark())])
+    columns = ["available_stands", "available_bikes", "status", "transactions_in", "transactions_out", "transactions_all"]
+    rows = [tuple(None if v is pd.NA else int(v) for v in r) for r in out[columns].itertuples(index=False, name=None)]
+    assert rows == [
+        (5, 9, None, 0, 0, 0), (7, 2, 0, 0, 2, 7), (None, 4, 1, 2, None, 2), (None, 2, 1, 0, None, 2), (3, 5, 1, 3, 0, 3), (8, None, 1, None, 5, None)]
