@@ -3,7 +3,8 @@
 The detector sees only (idle run, quarter, weekday, hour). So a station's rows are first counted per combination, which
 combines before the shuffle and leaves at most ``(max_idle + 1) * 4 * 7 * 24`` rows per station (97,440 by default)
 however long its history. Scaling, components, trees and the threshold are computed from these counts, which
-gives the same result as from the rows. Everything is column expressions and aggregates: no rows go through Python.
+gives the same result as from the rows. All is column expressions and aggregates but the drawing of rows and the growth of
+the trees, which run in Python station by station, in tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dockflow.operators.filters import filter_periode, usable_rows
 from dockflow.operators.lookups import with_profile
 from dockflow.operators.profile import idle_percentile
 from dockflow.schemas import CLOSED_PERIOD, DETECTOR_FEATURES, IDLE_LIMITS, MAX_IDLE_STEPS, SEED, UNUSED_STATIONS
-from dockflow.session import settle
+from dockflow.session import settle, spread
 
 RUN = "consecutive_no_transactions_out"
 COMBINATION = (RUN, "quarter", "weekday", "hours")
@@ -173,9 +174,11 @@ def _scores(combos: DataFrame, models: DataFrame, column: str, *carried: str) ->
     """
     values = F.array(*[F.col(f).cast("double") for f in DETECTOR_FEATURES])
     each = F.struct(*COMBINATION, *carried, values.alias("_values"))
-    grouped = add_encodings(combos).groupBy("station_id", F.floor(F.col(RUN) / RUN_BAND).alias("_band")).agg(F.collect_list(each).alias("_each"))
+    # few bytes and much work each: dealt over all tasks, which adaptive execution would merge by size
+    banded = spread(combos.withColumn("_band", F.floor(F.col(RUN) / RUN_BAND)), "station_id")
+    grouped = add_encodings(banded).groupBy("station_id", "_band").agg(F.collect_list(each).alias("_each"))
     paths = F.transform("path_length", lambda x: F.round(x * 1_000_000_000.0).cast("bigint"))
-    held = models.withColumn("_billionths", paths).drop("rows")
+    held = spread(models.withColumn("_billionths", paths).drop("rows"), "station_id")
     kept = ", ".join(f"'{c}', c.{c}" for c in (*COMBINATION, *carried))
     scored = F.expr(f"inline(transform(_each, c -> named_struct({kept}, 'score', {score_sql(coordinates('c._values'))})))")
     return grouped.join(held, "station_id").select("station_id", column, scored)

@@ -1,15 +1,18 @@
-"""Isolation trees of all stations as DataFrame work: drawn, grown level by level, kept as arrays, walked by column expressions.
+"""Isolation trees of all stations: drawn and grown station by station in tasks, kept as arrays, walked by column expressions.
 
 Randomness comes from md5 digests of (seed, station, tree, ...): a tree is grown on the ``sample`` rows with the smallest digests,
 a node is divided on the movable axis with the largest digest, at the place that another digest says. The same rows give the same
-trees whatever the partitioning. A station holds at most ``trees * sample`` drawn rows, so a task of the growth is bounded
-however long the history.
+trees whatever the partitioning. Stations are dealt over all tasks. One holds a combination once however often it occurs, and at most
+``trees * sample`` drawn rows, so a group is bounded however long the history.
 """
 
 from __future__ import annotations
 
 import math
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ SAMPLE = 256
 _PER_HASH = 4
 #: Share of the rows that is looked at for a sample, as a multiple of what the sample needs.
 _MARGIN = 2
+#: Rows whose digests are held at once.
+_ROWS = 4_096
 
 
 def usual_path(n: Column) -> Column:
@@ -40,75 +45,116 @@ def tree_nodes(size: Column) -> Column:
     return (F.pow(F.lit(2.0), tree_depth(size) + 1) - 1).cast("int")
 
 
-def _number(digits: Column, start: int, length: int) -> Column:
-    return F.conv(F.substring(digits, start, length), 16, 10).cast("bigint")
-
-
 def draw(points: DataFrame, identity: list[str], seed: int, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """Rows per tree: ``tree``, ``point`` and ``members`` equal ones drawn.
 
-    ``points`` holds ``station_id``, the columns of ``identity``, ``rows`` (how often the combination occurs), ``total`` rows of the
-    station, and ``point``. Each tree takes the ``sample`` rows of the station with the smallest digests, all if there are fewer. Rows
-    whose digest can't be among these are left out before anything is sorted.
+    ``points`` holds ``station_id``, the columns of ``identity`` (whole numbers, not null), ``rows`` (how often the combination occurs),
+    ``total`` rows of the station, and ``point``. Each tree takes the ``sample`` rows of the station with the smallest digests, all if
+    there are fewer. A task holds a station's combinations and, of its rows, those whose digest can be among these.
     """
-    # few combinations, each of them many rows and digests
-    copies = spread(points, "station_id", *identity).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
-    text = F.concat_ws(":", F.lit(str(seed)), "station_id", *identity, "_copy")
-    digits = F.concat(*[F.md5(F.concat(text, F.lit(f":{g}"))) for g in range(-(-trees // _PER_HASH))])
-    share = F.least(F.lit(1.0), F.lit(float(_MARGIN * sample)) / F.col("total"))
-    limit = F.when(share < 1, F.lower(F.lpad(F.hex(F.floor(share * 2.0**32)), 8, "0"))).otherwise("g")
-    hashed = copies.select("station_id", *identity, "_copy", "point", digits.alias("_digits"), limit.alias("_limit"))
-    picks = F.expr(
-        f"inline(filter(transform(sequence(0, {trees - 1}), t -> named_struct('tree', t, '_key', substr(_digits, t * 8 + 1, 8))), x -> x._key < _limit))"
-    )
-    placed = hashed.select("station_id", *identity, "_copy", "point", picks)
-    order = Window.partitionBy("station_id", "tree").orderBy("_key", *identity, "_copy")
-    taken = placed.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample)
-    return taken.groupBy("station_id", "tree", *identity).agg(F.any_value("point").alias("point"), F.count(F.lit(1)).alias("members"))
+    types = dict(points.dtypes)
+    needed = points.select("station_id", *identity, F.col("rows").cast("bigint").alias("rows"), "total", "point")
+
+    def run(table: pa.Table) -> pa.Table:
+        whole = table.sort_by([(c, "ascending") for c in identity]).combine_chunks()
+        station, total = whole["station_id"][0].as_py(), whole["total"][0].as_py()
+        drawn = _drawn(station, [whole[c].to_pylist() for c in identity], whole["rows"].to_numpy(), total, seed, trees, sample)
+        tree, at, members = drawn
+        columns = [whole["station_id"].take(at), pa.array(tree, pa.int32()), *[whole[c].take(at) for c in identity], whole["point"].take(at)]
+        return pa.table([*columns, pa.array(members, pa.int64())], ["station_id", "tree", *identity, "point", "members"])
+
+    names = ", ".join(f"`{c}` {types[c]}" for c in identity)
+    return spread(needed, "station_id").groupBy("station_id").applyInArrow(
+        run, f"station_id {types['station_id']}, tree int, {names}, point {types['point']}, members bigint")
+
+
+def _drawn(station, identity: list[list], counts: np.ndarray, total: int, seed: int, trees: int, sample: int):
+    """Tree, combination and how many of its rows are drawn, for a station's combinations in the order of their ``identity``."""
+    limit = math.floor(min(1.0, _MARGIN * sample / total) * 2.0**32)
+    hashes = -(-trees // _PER_HASH)
+    suffixes = [f":{g}".encode() for g in range(hashes)]
+    starts = ["".join(f"{part}:" for part in (seed, station, *combination)) for combination in zip(*identity)]
+    found, at = [], 0  # places by row: its combination, then its copy
+    held, owner = [], []
+
+    def taken():
+        words = np.frombuffer(b"".join(held), dtype=">u4").reshape(-1, hashes * _PER_HASH)[:, :trees]
+        row, tree = np.nonzero(words < limit)
+        found.append((tree.astype(np.int32), words[row, tree].astype(np.uint32), at + row, np.array(owner)[row]))
+        return at + len(words)
+
+    for i, (start, rows) in enumerate(zip(starts, counts.tolist())):
+        for copy in range(1, rows + 1):
+            text = md5(f"{start}{copy}".encode(), usedforsecurity=False)
+            for suffix in suffixes:
+                one = text.copy()
+                one.update(suffix)
+                held.append(one.digest())
+            owner.append(i)
+            if len(owner) == _ROWS:
+                at = taken()
+                held.clear()
+                owner.clear()
+    if owner:
+        taken()
+    tree, key, place, combination = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((place, key, tree))
+    tree, combination = tree[order], combination[order]
+    first = np.flatnonzero(np.diff(tree, prepend=-1))
+    rank = np.arange(len(tree)) - np.repeat(first, np.diff(np.append(first, len(tree))))
+    both, members = np.unique(tree[rank < sample].astype(np.int64) * len(counts) + combination[rank < sample], return_counts=True)
+    return both // len(counts), both % len(counts), members
 
 
 def grow(drawn: DataFrame, sizes: DataFrame, axes: int, seed: int, sample: int = SAMPLE) -> DataFrame:
     """Nodes of all trees: ``station_id``, ``place`` (tree after tree, heap order), ``feature`` (-1 on a leaf), ``cut``, ``path``.
 
-    ``sizes`` has ``station_id`` and the ``size`` of its samples. All levels run on one partitioning by station and tree.
+    ``sizes`` has ``station_id`` and the ``size`` of its samples. A station's trees grow together, a level at a time.
     """
-    levels = math.ceil(math.log2(max(sample, 2)))
-    per_node = Window.partitionBy("station_id", "tree", "_node")
-    rows = spread(drawn.join(sizes, "station_id"), "station_id", "tree").select(
-        "station_id", "tree", "point", "members", tree_depth(F.col("size")).alias("_depth"), tree_nodes(F.col("size")).alias("_nodes"),
-        F.lit(0).alias("_node"), F.expr("cast(array() as array<struct<place: int, feature: int, cut: double, path: double>>)").alias("_log"),
-    )
-    for level in range(levels + 1):
-        name = F.concat_ws(":", F.lit(str(seed)), "station_id", "tree", "_node")
-        rows = rows.withColumns({
-            "_n": F.sum("members").over(per_node),
-            "_spans": F.array(*[
-                F.struct(F.min(F.get("point", F.lit(d))).over(per_node).alias("low"), F.max(F.get("point", F.lit(d))).over(per_node).alias("high"))
-                for d in range(axes)
-            ]),
-            "_axis_digits": F.md5(name), "_cut_digits": F.md5(F.concat(name, F.lit(":cut"))),
-        })
-        keys = ", ".join(
-            f"named_struct('key', substr(_axis_digits, {4 * d + 1}, 4), 'before', {-d}, 'low', _spans[{d}].low, 'high', _spans[{d}].high)"
-            for d in range(axes)
-        )
-        rows = rows.withColumn("_axis", F.expr(f"array_max(filter(array({keys}), x -> x.high > x.low))"))
-        divided = F.col("_axis").isNotNull() & (F.lit(level) < F.col("_depth"))
-        low, high = F.col("_axis.low"), F.col("_axis.high")
-        raw = low + _number(F.col("_cut_digits"), 1, 8) / F.lit(2.0**32) * (high - low)
-        rows = rows.withColumn("_split", F.when(divided, F.struct((-F.col("_axis.before")).alias("feature"), F.when(raw >= high, low).otherwise(raw).alias("cut"))))
-        place = (F.col("tree") * F.col("_nodes") + F.col("_node")).cast("int").alias("place")
-        inner = F.struct(place, F.col("_split.feature").cast("int").alias("feature"), F.col("_split.cut").alias("cut"), F.lit(0.0).alias("path"))
-        leaf = F.struct(place, F.lit(-1).alias("feature"), F.lit(0.0).alias("cut"), (F.lit(float(level)) + usual_path(F.col("_n"))).alias("path"))
-        right = (F.get("point", F.col("_split.feature")) > F.col("_split.cut")).cast("int")
-        rows = rows.select(
-            "station_id", "tree", "point", "members", "_depth", "_nodes",
-            F.when(F.col("_split").isNotNull(), 2 * F.col("_node") + 1 + right).alias("_node"),
-            F.when(F.col("_node").isNull(), F.col("_log")).otherwise(
-                F.concat("_log", F.array(F.when(F.col("_split").isNotNull(), inner).otherwise(leaf)))).alias("_log"),
-        )
-    found = rows.select("station_id", F.inline("_log"))
-    return found.groupBy("station_id", "place").agg(F.min("feature").alias("feature"), F.min("cut").alias("cut"), F.min("path").alias("path"))
+    rows = drawn.join(sizes, "station_id").select(
+        "station_id", "tree", "point", "members", tree_depth(F.col("size")).alias("depth"), tree_nodes(F.col("size")).alias("nodes"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        points = table["point"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)[:, :axes]
+        station, depth, nodes = (table[c][0].as_py() for c in ("station_id", "depth", "nodes"))
+        columns = _grown(station, table["tree"].to_numpy(), points, table["members"].to_numpy(), depth, nodes, seed)
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int64())
+        ids = pa.array([station] * len(columns[0]), table.schema.field("station_id").type)
+        return pa.table([ids, *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["station_id", "place", "feature", "cut", "level", "n"])
+
+    kind = dict(rows.dtypes)["station_id"]
+    made = spread(rows, "station_id").groupBy("station_id").applyInArrow(run, f"station_id {kind}, place int, feature int, cut double, level int, n bigint")
+    path = F.when(F.col("feature") < 0, F.col("level").cast("double") + usual_path(F.col("n"))).otherwise(0.0)
+    return made.select("station_id", "place", "feature", "cut", path.alias("path"))
+
+
+def _grown(station, tree: np.ndarray, points: np.ndarray, members: np.ndarray, depth: int, nodes: int, seed: int):
+    """Place, axis (-1 on a leaf), cut, level and members of all nodes of a station's trees."""
+    tree, node, out = tree.astype(np.int64), np.zeros(len(tree), dtype=np.int64), []
+    for level in range(depth + 1):
+        order = np.argsort(tree * nodes + node, kind="stable")
+        tree, node, points, members = tree[order], node[order], points[order], members[order]
+        place = tree * nodes + node
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        if not len(first):
+            break
+        low, high = np.minimum.reduceat(points, first), np.maximum.reduceat(points, first)
+        feature, cut = np.full(len(first), -1), np.zeros(len(first))
+        for g in np.flatnonzero((high > low).any(axis=1)) if level < depth else ():
+            name = f"{seed}:{station}:{tree[first[g]]}:{node[first[g]]}".encode()
+            digits = md5(name, usedforsecurity=False).digest()
+            d = max(np.flatnonzero(high[g] > low[g]).tolist(), key=lambda d: (digits[2 * d : 2 * d + 2], -d))
+            share = int.from_bytes(md5(name + b":cut", usedforsecurity=False).digest()[:4], "big") / 2.0**32
+            raw = low[g, d] + share * (high[g, d] - low[g, d])
+            feature[g], cut[g] = d, low[g, d] if raw >= high[g, d] else raw
+        out.append((place[first], feature, cut, np.full(len(first), level), np.add.reduceat(members, first)))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(place))))
+        inner = feature[of] >= 0
+        right = points[np.arange(len(points)), np.maximum(feature[of], 0)] > cut[of]
+        node = 2 * node + 1 + right
+        tree, node, points, members = tree[inner], node[inner], points[inner], members[inner]
+    return [np.concatenate(c) for c in zip(*out)]
 
 
 def as_arrays(nodes: DataFrame, sizes: DataFrame, trees: int = TREES) -> DataFrame:

@@ -264,3 +264,13 @@ def test_projection_of_rows(activity, models):
     np.testing.assert_allclose([r[-3:] for r in row], wanted, atol=1e-8)
     without = anomaly.project_rows(activity, models.where("station_id = 106"))
     assert without.where("station_id = 7 AND axis_1 IS NOT NULL").count() == 0 < without.where("station_id = 7").count()
+
+
+def test_trees_grow_in_one_pass_dealt_by_station(spark):
+    """No window or sort a level: a station's drawn rows meet once, and stations are dealt over all partitions."""
+    points = spark.createDataFrame([(1, 0, 2, 2, [1.0])], "station_id int, i int, rows long, total long, point array<double>")
+    sizes = spark.createDataFrame([(1, 2)], "station_id int, size int")
+    made = isolation.grow(isolation.draw(points, ["i"], 5, trees=2), sizes, 1, 5)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("FlatMapGroupsInArrow") == 2
+    assert [(r.place, r.feature, r.path) for r in made.where("place = 0").collect()] == [(0, -1, 1.0)]
