@@ -51,7 +51,24 @@ def _byte_kinds() -> np.ndarray:
 
 
 def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines that hold a word, how many characters each has, and the index of its text."""
+    """Features of all lines that hold a word, how many characters each has, and the index of its text.
+
+    Texts are taken apart ``SLICE_BYTES`` at a time, however many there are; one is never cut.
+    """
+    ends = np.cumsum([len(t) + 1 for t in texts])  # characters: at most four times as many bytes
+    cuts, begin = [], 0
+    while begin < len(texts):
+        done = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+        cuts.append((begin, stop))
+        begin = stop
+    parts = [_slice_features(texts[a:b]) for a, b in cuts or [(0, 0)]]
+    starts = [a for a, _ in cuts or [(0, 0)]]
+    features, chars, text = zip(*parts)
+    return np.concatenate(features), np.concatenate(chars), np.concatenate([t + a for t, a in zip(text, starts)])
+
+
+def _slice_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data = np.frombuffer("\n".join([*texts, ""]).encode(), dtype=np.uint8)
     kinds = _byte_kinds()[data]
     text_ends = np.cumsum([len(t.encode()) + 1 for t in texts])

@@ -105,3 +105,24 @@ def test_held_out_accuracy_and_edges(spark):
     assert lq.score_texts(df.limit(0), field).count() == 0
     assert lq.learn_field(df, labels.limit(0), train).weights is None
     assert lq.learn_field(df, labels.where("quality = 1"), train).base == 1.0
+
+
+def test_many_texts_are_taken_apart_in_slices(monkeypatch):
+    """What the driver learns from is a few MB of text; the arrays over its bytes never cover all of it."""
+    import tracemalloc
+
+    import numpy as np
+
+    from dockflow.llm import line_quality
+
+    texts = [f"some words of text {i} and MORE #1\n" * 60 for i in range(2_500)]
+    tracemalloc.start()
+    try:
+        features, chars, text = line_quality.line_features(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(features) == 150_000 and peak < 120e6
+    monkeypatch.setattr(line_quality, "SLICE_BYTES", 1 << 40)
+    for made, whole in zip((features, chars, text), line_quality.line_features(texts)):
+        assert np.array_equal(made, whole)
