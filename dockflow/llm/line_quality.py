@@ -35,7 +35,7 @@ SAMPLE_LINES = 40
 SAMPLE_CHARS = 20_000
 STEPS = 150
 #: Bytes of text that are taken apart at once; the arrays over them take some hundred times that.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 _SPACE, _NEWLINE, _UPPER, _DIGIT, _SYMBOL, _MARK, _LETTER = range(7)
 
 

@@ -52,10 +52,10 @@ LOW = 8
 BUCKET_POSTINGS = 300_000
 MIN_BUCKETS = 96
 #: Postings that a task holds before it sends them, and bytes of text whose shingles it makes at once.
-TASK_POSTINGS = 400_000
-SLICE_BYTES = 1 << 19
+TASK_POSTINGS = 200_000
+SLICE_BYTES = 1 << 17
 #: Sets whose signatures are made at once.
-SIGNED_SETS = 512
+SIGNED_SETS = 128
 #: Longs in a sketch.
 SKETCH = 8
 #: Upper bound of the bits of the set by which texts are fetched.
