@@ -7,7 +7,9 @@ are not indexed alone but in pairs. Losing a fifth of the tokens can't break bot
 a group of g frequent tokens, g - 1 must be lost to break all pairs. Prefixes are cut so that rare tokens alone mostly
 suffice; sets for which they don't are "heavy", and only pairs with a heavy set need be looked up by token pairs. To keep
 pairs few, frequent tokens are dealt by a hash into groups of about four; their number follows the set size, in powers of
-two, and a set is indexed for its own size and for that of the largest set it may link to. Should a heavy set's pairs still
+two, and a set is indexed for its own size and for that of the largest set it may link to. Two sets that nearly link share most
+of their pairs, so each carries its ``LEAST`` lowest: where these show that both meet lower down, they don't meet again, and
+what they share is counted once for each two sets that met, in their frequent tokens. Should a heavy set's pairs still
 not suffice, it is compared with every set that shares a frequent token.
 
 Only components are wanted, so near copies needn't meet all their like. First every set meets the most typical set that shares
@@ -58,6 +60,8 @@ SLICE_BYTES = 1 << 17
 SIGNED_SETS = 128
 #: Longs in a sketch.
 SKETCH = 8
+#: Lowest signatures of a set that travel with each of its others.
+LEAST = 4
 #: Upper bound of the bits of the set by which texts are fetched.
 MAX_BITS = 1 << 26
 _SPACE = np.zeros(256, dtype=bool)
@@ -135,6 +139,10 @@ def _close(a: str = "_a", b: str = "_b") -> str:
     return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) AND 9 * ({differ}) <= n{a} + n{b}"
 
 
+#: Two sets whose lowest signatures overlap meet in these only: of all that they share the lowest is among them.
+_FIRST_MEETING = "((lowest_a AND lowest_b) OR NOT arrays_overlap(least_a, least_b))"
+
+
 def zone(n):
     """Length of the prefix that is indexed; ``n`` is a number, an array or a column."""
     need = n // 5 + 1
@@ -334,18 +342,19 @@ def _groups(level: int) -> int:
 
 
 def _pair_signatures(sets: DataFrame) -> DataFrame:
-    """``sig``, ``level`` and the set's other columns per pair of frequent tokens of a group; ``sig`` is null, once, for heavy sets
-    whose pairs don't suffice."""
-    kept = ["k", "n", "c", "heavy", "r", *_SKETCH]
+    """``sig``, ``level``, the lowest signatures of that level, whether ``sig`` is one of these, and the set's other columns
+    per pair of frequent tokens of a group; ``sig`` is null, once, for heavy sets whose pairs don't suffice."""
+    kept = ["k", "n", "c", "heavy", *_SKETCH]
 
     def run(batches):
         for batch in (whole.slice(i, SIGNED_SETS) for whole in batches for i in range(0, whole.num_rows, SIGNED_SETS)):
-            sigs, at, levels = [], [], []
+            sigs, at, levels, lowest, least, sizes = [], [], [], [], [], []
             for i, row in enumerate(batch.to_pylist()):
                 tokens = np.sort(np.array(row["tokens"], dtype=np.int64).view(np.uint64))
                 n, paired = row["n"], len(tokens)
                 for level in sorted({n.bit_length(), (n * 5 // 4).bit_length()}):
                     groups = _groups(level)
+                    begin = len(sigs)
                     with np.errstate(over="ignore"):
                         group = _mixed(tokens + _U(level)) % _U(groups)
                         order = np.argsort(group, kind="stable")
@@ -355,20 +364,40 @@ def _pair_signatures(sets: DataFrame) -> DataFrame:
                             sigs.append(sig.view(np.int64))
                             at.append(np.full(len(sig), i))
                             levels.append(np.full(len(sig), level))
+                    own = np.concatenate([np.zeros(0, dtype=np.int64), *sigs[begin:]])
+                    low = np.sort(own)[:LEAST]
+                    lowest.append(np.isin(own, low))
+                    least.append(np.tile(low, len(own)))
+                    sizes.append(np.full(len(own), len(low)))
                     paired = min(paired, len(tokens) - len(np.unique(group)))
                 if row["heavy"] and paired + int(zone(n)) - len(tokens) < n // 5 + 1:
                     sigs.append(None)
                     at.append(np.array([i]))
                     levels.append(np.array([0]))
+                    lowest.append(np.array([False]))
+                    sizes.append(np.array([0]))
             where = np.concatenate([np.zeros(0, dtype=np.int64), *at]).astype(np.int64)
             made = [pa.array([None], pa.int64()) if s is None else pa.array(s, pa.int64()) for s in sigs]
             column = pa.concat_arrays(made) if made else pa.array([], pa.int64())
             rows = batch.select(kept).take(pa.array(where))
             bits = pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *levels]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([column, bits, *rows.columns], ["sig", "level", *kept])
+            first = pa.array(np.concatenate([np.zeros(0, dtype=bool), *lowest]))
+            ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, dtype=np.int64), *least]))
+            yield pa.RecordBatch.from_arrays([column, bits, first, lists, *rows.columns], ["sig", "level", "lowest", "least", *kept])
 
     longs = ", ".join(f"{c} bigint" for c in _SKETCH)
-    return sets.mapInArrow(run, f"sig bigint, level int, k bigint, n bigint, c bigint, heavy boolean, r bigint, {longs}")
+    schema = f"sig bigint, level int, lowest boolean, least array<bigint>, k bigint, n bigint, c bigint, heavy boolean, {longs}"
+    return sets.mapInArrow(run, schema)
+
+
+def _meetings(sigs: DataFrame) -> DataFrame:
+    """Each heavy set (``_a``) with the sets of other components that share a signature and may link; most of them once."""
+    kept = ["k", "n", "c", "heavy", "lowest", "least", *_SKETCH]
+    x, y = (sigs.select("sig", "level", *[F.col(c).alias(f"{c}_{side}") for c in kept]) for side in "ab")
+    # two sets are compared at the level of the larger
+    once = "(k_a < k_b OR NOT heavy_b) AND length(bin(greatest(n_a, n_b))) = level"
+    return x.where("heavy_a").join(y.drop("level"), "sig").where(f"{once} AND c_a != c_b AND {_close()} AND {_FIRST_MEETING}")
 
 
 def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -376,9 +405,9 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     known = classes.select("k", "n", *_SKETCH).join(labels.select(F.col("node").alias("k"), "component"), "k", "left")
     known = known.select("k", "n", *_SKETCH, F.coalesce("component", "k").alias("c"))
     frequent = shared.where(F.col("df") >= RARE)
-    often = (F.col("df") >= RARE).cast("bigint")
-    counts = shared.groupBy("k").agg(F.sum(often).alias("f"), F.sum(1 - often).alias("r"))
-    known = settle(known.join(counts, "k").select("k", "n", "c", "f", "r", *_SKETCH))
+    # frequent tokens of each set
+    counts = shared.groupBy("k").agg(F.count(F.when(F.col("df") >= RARE, 1)).alias("f"))
+    known = settle(known.join(counts, "k").select("k", "n", "c", "f", *_SKETCH))
 
     placed = shared.join(known, "k")
     rare = placed.where(F.col("df") < RARE)
@@ -397,34 +426,27 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     sets = settle(known.where("f > 0").withColumn("heavy", heavy))
     if sets.where("heavy").isEmpty():
         return pairs.distinct()
-    tokens = frequent.groupBy("k").agg(F.collect_set("token").alias("tokens"))
-    sigs = settle(_pair_signatures(sets.join(tokens, "k").select("k", "n", "c", "heavy", "r", *_SKETCH, "tokens")))
+    tokens = settle(frequent.groupBy("k").agg(F.collect_set("token").alias("tokens")))
+    sigs = settle(_pair_signatures(sets.join(tokens, "k").select("k", "n", "c", "heavy", *_SKETCH, "tokens")))
     mixed = (
         sigs.where("sig IS NOT NULL").groupBy("sig")
         .agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("heavy").alias("any")).where("c0 != c1 AND any").select("sig")
     )
     found = settle(sigs.join(mixed, "sig"))
-    x, y = (found.select("sig", "level", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "heavy", "r", *_SKETCH)]) for side in "ab")
-    close = f"c_a != c_b AND {_close()}"
     ends = [F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")]
-    # two sets are compared at the level of the larger
-    same = x.join(y.drop("level"), "sig").where("k_a < k_b AND (heavy_a OR heavy_b) AND length(bin(greatest(n_a, n_b))) = level")
-    counted = same.where(close).groupBy("k_a", "k_b", "n_a", "n_b", "r_a", "r_b", "level").agg(F.count(F.lit(1)).alias("sigs"))
-    # what must be shared and isn't rare is frequent; spread over the groups it makes at least so many pairs
-    groups = F.element_at(F.array(*[F.lit(_groups(level)) for level in range(1, 64)]), F.col("level"))
-
-    def enough(rare: Column) -> Column:
-        need = F.greatest(shown - rare, F.lit(0))
-        each = F.floor(need / groups)
-        return F.col("sigs") >= groups * each * (each - 1) / 2 + (need - groups * each) * each
-
-    # first with the most that may be shared of rare tokens, then with what is
-    counted = counted.where(enough(F.least("r_a", "r_b"))).join(met.select("k_a", "k_b", "both"), ["k_a", "k_b"], "left")
-    pairs = pairs.unionByName(counted.where(enough(F.coalesce("both", F.lit(0)))).select(*ends))
+    # never null, and said so: else Spark tests that first, for all that meet
+    near = _meetings(found).select(*ends, F.coalesce(shown, F.lit(0)).alias("shown")).distinct()
+    # what must be shared and isn't rare is frequent: that is counted once for each pair
+    for end in "ab":
+        near = near.join(tokens.select(F.col("k").alias(end), F.col("tokens").alias(f"tokens_{end}")), end)
+    near = near.join(met.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "both"), ["a", "b"], "left")
+    often = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    pairs = pairs.unionByName(near.where(often + F.coalesce("both", F.lit(0)) >= F.col("shown")).select("a", "b"))
     lacking = sigs.where("sig IS NULL").select("k").distinct()
     single = placed.where(F.col("df") >= RARE).select("token", "k", "n", "c", *_SKETCH)
     x = single.join(lacking, "k").select("token", *[F.col(c).alias(f"{c}_a") for c in ("k", "n", "c", *_SKETCH)])
     y = single.select("token", *[F.col(c).alias(f"{c}_b") for c in ("k", "n", "c", *_SKETCH)])
+    close = f"c_a != c_b AND {_close()}"
     return pairs.unionByName(x.join(y, "token").where(close).select(*ends)).distinct()
 
 

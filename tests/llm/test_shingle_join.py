@@ -149,3 +149,25 @@ def test_sketches_bound_the_difference():
             else:
                 told += 9 * differ > len(sets[a]) + len(sets[b])
     assert told > 1_500
+
+
+def test_sets_that_nearly_link_meet_few_times(spark):
+    """Every two sets that share a pair of tokens meet, but not once for each pair that they share."""
+    rng = random.Random(4)
+    common = rng.sample(range(10**15), 200)
+    rows = []
+    for k in range(30):
+        tokens = sorted(rng.sample(common, 170))
+        rows.append((k, 900, k, k % 3 > 0, *[0] * sj.SKETCH, tokens))
+    longs = ", ".join(f"s{i} long" for i in range(sj.SKETCH))
+    sets = spark.createDataFrame(rows, f"k long, n long, c long, heavy boolean, {longs}, tokens array<long>").repartition(3)
+    sigs = sj._pair_signatures(sets).where("sig IS NOT NULL")
+    assert sigs.where("size(least) > 4 OR lowest <> array_contains(least, sig)").count() == 0
+    met = [tuple(sorted(r)) for r in sj._meetings(sigs).select("k_a", "k_b").collect()]
+    of = {r[0]: {x["sig"] for x in sigs.where(f"k = {r[0]} AND level = 10").select("sig").collect()} for r in rows[:6]}
+    for a in range(6):
+        for b in range(a):
+            assert ((b, a) in met) == (bool(a % 3 or b % 3) and bool(of[a] & of[b]))
+            assert a % 3 == b % 3 == 0 or len(of[a] & of[b]) > 30
+    pairs = {(a, b) for b in range(30) for a in range(b) if a % 3 or b % 3}
+    assert set(met) == pairs and len(met) < 6 * len(pairs)
