@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dockflow.llm.shared import small_slices, with_fields
+from dockflow.llm.shared import small_batches, small_slices, with_fields
 from dockflow.session import settle
 
 SAMPLE_DOCS = 1_500
@@ -318,4 +318,5 @@ def keep_good(df: DataFrame, field: LineField, threshold: float = 0.7, text_colu
             scores = field.score([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(scores >= threshold))], ["row"])
 
-    return rows.mapInArrow(run, rows.schema).select("row.*")
+    with small_batches(df.sparkSession):
+        return settle(rows.mapInArrow(run, rows.schema)).select("row.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import Broadcast, cloudpickle
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once, unless a single text is longer.
 SLICE_BYTES = 4 << 20
+#: Rows with whole texts that go to Python at once.
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,21 @@ def unpacked(broadcast: Broadcast) -> object:
     return cloudpickle.loads(broadcast.value)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """What is executed inside, not what is only planned, sends so many rows to Python at once.
+
+    Thousands of whole texts in one Arrow batch, in every task at once, are a large part of an executor's memory.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def small_slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dockflow.llm.graphs import connected_components
-from dockflow.llm.shared import small_slices, with_fields
+from dockflow.llm.shared import small_batches, small_slices, with_fields
 from dockflow.session import settle
 
 WORDS = 5
@@ -333,7 +333,8 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, seed: i
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return met.mapInArrow(compare, "a bigint, b bigint")
+    with small_batches(spark):
+        return settle(met.mapInArrow(compare, "a bigint, b bigint"))
 
 
 def _groups(level: int) -> int:
@@ -467,7 +468,8 @@ def hub_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _components(documents: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """The set table; per class its key ``k``, ``first_id`` and component ``c``; the seed in use."""
-    sets = settle(set_table(documents, seed))
+    with small_batches(documents.sparkSession):
+        sets = settle(set_table(documents, seed))
     classes = sets.where("n > 0").groupBy("k").agg(
         F.min("id").alias("first_id"), F.max("n").alias("n"), F.min("k2").alias("low2"), F.max("k2").alias("high2"),
         *[F.min(c).alias(c) for c in _SKETCH],
@@ -477,8 +479,9 @@ def _components(documents: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFra
         return _components(documents, seed + 1)
     total = classes.agg(F.sum(_zone_column(F.col("n")))).first()[0] or 0
     buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET_POSTINGS))
-    shared = settle(shared_tokens(documents, buckets, seed))
-    links = settle(verified(documents, hub_pairs(shared, classes), classes, seed))
+    with small_batches(documents.sparkSession):
+        shared = settle(shared_tokens(documents, buckets, seed))
+    links = verified(documents, hub_pairs(shared, classes), classes, seed)
     labels = connected_components(links)
     rest = verified(documents, candidate_pairs(shared, classes, labels), classes, seed)
     # components of the first step stand for their members
@@ -505,6 +508,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     # a null id comes last; of equal ids the smaller key stays
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "k"))
     keepers = named.groupBy("c").agg(first.alias("first")).select(F.col("first.k").alias("keep"), F.col("first.first_id").alias("keep_id"))
+    keepers = keepers.select(F.struct("keep", "keep_id").alias("keep"))
     rows = df.select(F.struct("*").alias("row"))
     places = {"id": df.columns.index(id_column), "text": df.columns.index(text_column)}
 
@@ -514,7 +518,10 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(2)], ["k", "row"])
 
     schema = T.StructType([T.StructField("k", T.LongType()), *rows.schema.fields])
-    keyed = rows.mapInArrow(run, schema).withColumn("id", F.col("row").getField(id_column))
-    met = keyed.where("k IS NOT NULL").join(keepers, (F.col("k") == F.col("keep")) & F.col("id").eqNullSafe(F.col("keep_id")))
-    one = met.groupBy("k", "id").agg(F.first("row").alias("row"))
+    with small_batches(df.sparkSession):
+        keyed = settle(rows.mapInArrow(run, schema))
+    # key and id as one struct, in which nulls are equal: the join deals the rows as the grouping needs them
+    own = F.struct(F.col("k").alias("keep"), F.col("row").getField(id_column).alias("keep_id"))
+    met = keyed.where("k IS NOT NULL").withColumn("own", own).join(keepers, F.col("own") == F.col("keep"))
+    one = met.groupBy("own").agg(F.first("row").alias("row"))
     return one.select("row.*").unionByName(keyed.where("k IS NULL").select("row.*"))

@@ -126,3 +126,19 @@ def test_many_texts_are_taken_apart_in_slices(monkeypatch):
     monkeypatch.setattr(line_quality, "SLICE_BYTES", 1 << 40)
     for made, whole in zip((features, chars, text), line_quality.line_features(texts)):
         assert np.array_equal(made, whole)
+
+
+def test_keep_good_sends_few_texts_to_python_at_once(spark):
+    from dockflow.llm import line_quality
+
+    def narrow(batches):
+        for batch in batches:
+            assert batch.num_rows <= 256
+            yield batch
+
+    df = spark.range(1_000).selectExpr("id AS doc_id", "'some line ' || id AS text").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(setting)
+    field = line_quality.LineField(base=0.8)
+    assert line_quality.keep_good(df.mapInArrow(narrow, df.schema), field).count() == 1_000
+    assert spark.conf.get(setting) == kept

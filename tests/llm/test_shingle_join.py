@@ -171,3 +171,19 @@ def test_sets_that_nearly_link_meet_few_times(spark):
             assert a % 3 == b % 3 == 0 or len(of[a] & of[b]) > 30
     pairs = {(a, b) for b in range(30) for a in range(b) if a % 3 or b % 3}
     assert set(met) == pairs and len(met) < 6 * len(pairs)
+
+
+def test_keep_one_sends_few_texts_to_python_at_once(spark):
+    def narrow(batches):
+        for batch in batches:
+            assert batch.num_rows <= 256
+            yield batch
+
+    rows = [(i // 2, f"one two three four five {i // 4}") for i in range(1_000)] + [(None, "a b"), (None, "a b"), (None, " "), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(setting)
+    out = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in sj.keep_one(df.mapInArrow(narrow, df.schema)).collect())
+    assert spark.conf.get(setting) == kept
+    want = [(False, 2 * i, f"one two three four five {i}") for i in range(250)] + [(False, 7, ""), (True, 0, " "), (True, 0, "a b")]
+    assert out == sorted(want)
