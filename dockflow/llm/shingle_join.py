@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from dockflow.llm.graphs import connected_components
 from dockflow.llm.shared import small_batches, small_slices, with_fields
-from dockflow.session import settle
+from dockflow.session import passing, settle
 
 WORDS = 5
 #: Tokens of so many sets are frequent.
@@ -269,8 +269,8 @@ def _wanted_bits(keys: DataFrame) -> np.ndarray:
     bit = F.pmod(F.col("k"), F.lit(bits))
     words = keys.select(F.floor(bit / 32).alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(k, {bits}) % 32 AS INT))").alias("mask"))
     out = np.zeros(bits // 32, dtype=np.uint32)
-    for row in words.groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
-        out[row["word"]] = row["mask"]
+    found = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out[found["word"].to_numpy()] = found["mask"].to_numpy().astype(np.uint32)
     return out
 
 
@@ -467,28 +467,31 @@ def hub_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _components(documents: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
-    """The set table; per class its key ``k``, ``first_id`` and component ``c``; the seed in use."""
-    with small_batches(documents.sparkSession):
-        sets = settle(set_table(documents, seed))
-    classes = sets.where("n > 0").groupBy("k").agg(
-        F.min("id").alias("first_id"), F.max("n").alias("n"), F.min("k2").alias("low2"), F.max("k2").alias("high2"),
-        *[F.min(c).alias(c) for c in _SKETCH],
-    )
-    classes = settle(classes)
-    if not classes.where("low2 != high2").isEmpty():  # two sets with the same first half of the digest
-        return _components(documents, seed + 1)
-    total = classes.agg(F.sum(_zone_column(F.col("n")))).first()[0] or 0
-    buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET_POSTINGS))
-    with small_batches(documents.sparkSession):
-        shared = settle(shared_tokens(documents, buckets, seed))
-    links = verified(documents, hub_pairs(shared, classes), classes, seed)
-    labels = connected_components(links)
-    rest = verified(documents, candidate_pairs(shared, classes, labels), classes, seed)
-    # components of the first step stand for their members
-    top = labels.unionByName(rest.select(F.col("a").alias("node"), F.col("b").alias("component")))
-    final = connected_components(top, "node", "component")
-    named = classes.join(final.select(F.col("node").alias("k"), "component"), "k", "left")
-    return sets.drop(*_SKETCH), settle(named.select("k", "first_id", F.coalesce("component", "k").alias("c"))), seed
+    """The set table; per class its key ``k``, ``first_id`` and component ``c``; the seed in use. Other tables are deleted."""
+    spark = documents.sparkSession
+    with passing(spark):
+        with small_batches(spark):
+            sets = settle(set_table(documents, seed), stays=True)
+        classes = sets.where("n > 0").groupBy("k").agg(
+            F.min("id").alias("first_id"), F.max("n").alias("n"), F.min("k2").alias("low2"), F.max("k2").alias("high2"),
+            *[F.min(c).alias(c) for c in _SKETCH],
+        )
+        classes = settle(classes)
+        if not classes.where("low2 != high2").isEmpty():  # two sets with the same first half of the digest
+            return _components(documents, seed + 1)
+        total = classes.agg(F.sum(_zone_column(F.col("n")))).first()[0] or 0
+        buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET_POSTINGS))
+        with small_batches(spark):
+            shared = settle(shared_tokens(documents, buckets, seed))
+        links = verified(documents, hub_pairs(shared, classes), classes, seed)
+        labels = connected_components(links)
+        rest = verified(documents, candidate_pairs(shared, classes, labels), classes, seed)
+        # components of the first step stand for their members
+        top = labels.unionByName(rest.select(F.col("a").alias("node"), F.col("b").alias("component")))
+        final = connected_components(top, "node", "component")
+        named = classes.join(final.select(F.col("node").alias("k"), "component"), "k", "left")
+        named = settle(named.select("k", "first_id", F.coalesce("component", "k").alias("c")), stays=True)
+    return sets.drop(*_SKETCH), named, seed
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -504,24 +507,32 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``df``, all columns as they are: of each component one, with the smallest id, and all without words."""
-    _, named, seed = _components(_documents(df, id_column, text_column))
+    sets, named, seed = _components(_documents(df, id_column, text_column))
     # a null id comes last; of equal ids the smaller key stays
     first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "k"))
     keepers = named.groupBy("c").agg(first.alias("first")).select(F.col("first.k").alias("keep"), F.col("first.first_id").alias("keep_id"))
     keepers = keepers.select(F.struct("keep", "keep_id").alias("keep"))
+    # only rows that have a like can go: the others needn't meet the keepers
+    per_class = named.join(sets.where("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("rows")), "k")
+    alike = per_class.groupBy("c").agg(F.sum("rows").alias("rows")).where("rows > 1").select("c")
+    bits = df.sparkSession.sparkContext.broadcast(_wanted_bits(named.join(alike, "c").select("k")))
     rows = df.select(F.struct("*").alias("row"))
     places = {"id": df.columns.index(id_column), "text": df.columns.index(text_column)}
 
     def run(batches):
+        wanted = bits.value
+        size = len(wanted) * 32
         for batch in small_slices(with_fields(batches, places), size=SLICE_BYTES):
             keys = [digest(s)[0] if len(s) else None for s in shingle_sets(_texts(batch), seed)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(2)], ["k", "row"])
+            spots = [None if k is None else k % size for k in keys]
+            sole = [spot is None or not wanted[spot >> 5] >> np.uint32(spot & 31) & np.uint32(1) for spot in spots]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sole, pa.bool_()), batch.column(2)], ["k", "sole", "row"])
 
-    schema = T.StructType([T.StructField("k", T.LongType()), *rows.schema.fields])
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("sole", T.BooleanType()), *rows.schema.fields])
     with small_batches(df.sparkSession):
         keyed = settle(rows.mapInArrow(run, schema))
     # key and id as one struct, in which nulls are equal: the join deals the rows as the grouping needs them
     own = F.struct(F.col("k").alias("keep"), F.col("row").getField(id_column).alias("keep_id"))
-    met = keyed.where("k IS NOT NULL").withColumn("own", own).join(keepers, F.col("own") == F.col("keep"))
+    met = keyed.where("NOT sole").withColumn("own", own).join(keepers, F.col("own") == F.col("keep"))
     one = met.groupBy("own").agg(F.first("row").alias("row"))
-    return one.select("row.*").unionByName(keyed.where("k IS NULL").select("row.*"))
+    return one.select("row.*").unionByName(keyed.where("sole").select("row.*"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,18 +67,38 @@ def clean_up(spark: SparkSession) -> None:
         pass
 
 
+#: Paths of the passing tables of the innermost ``passing`` that runs.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What ``settle`` writes inside is deleted at the end, unless it ``stays``: no table that is used later may read it."""
+    paths: list[str] = []
+    token = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for written in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below this application's folder."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+def settle(df: DataFrame, stays: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there; inside of ``passing`` it goes with that, unless it ``stays``.
 
     For tables that several later branches read: they are computed once, and a lost executor costs a re-read of
     files instead of a replay of the whole plan.
     """
     path = scratch_path(df.sparkSession, "settled")
+    if not stays and _PASSING.get() is not None:
+        _PASSING.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -187,3 +188,21 @@ def test_keep_one_sends_few_texts_to_python_at_once(spark):
     assert spark.conf.get(setting) == kept
     want = [(False, 2 * i, f"one two three four five {i}") for i in range(250)] + [(False, 7, ""), (True, 0, " "), (True, 0, "a b")]
     assert out == sorted(want)
+
+
+def test_keep_one_deals_only_rows_with_a_like_and_leaves_few_tables(spark, monkeypatch):
+    written, settle = [], sj.settle
+    monkeypatch.setattr(sj, "settle", lambda df, **how: written.append(settle(df, **how)) or written[-1])
+    rows = [(i, " ".join(f"t{i}w{j}" for j in range(9))) for i in range(60)] + [(70 + i, f"t{i}w0 \n" + rows_text(i)) for i in range(8)]
+    rows += [(80, None), (80, None), (3, " ".join(f"t3w{j}" for j in range(9)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sorted((r["doc_id"], r["text"] or "") for r in sj.keep_one(df).collect())
+    assert out == sorted([*rows[:60], (80, ""), (80, "")])
+    keyed = [t for t in written if "row" in t.columns]
+    assert len(keyed) == 1 and keyed[0].where("NOT sole").count() == 17
+    left = [t for t in written if Path(t.inputFiles()[0].removeprefix("file:")).exists()]
+    assert sorted(map(len, (t.columns for t in left))) == sorted([3, 3, 4 + sj.SKETCH])
+
+
+def rows_text(i):
+    return " ".join(f"T{i}w{j}" for j in range(1, 9))

@@ -38,3 +38,18 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_root(Session())
+
+
+def test_passing_tables_go_and_those_that_stay_are_left(spark):
+    folder = Path(session.shared_root(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with session.passing(spark):
+        session.settle(spark.range(3))
+        kept = session.settle(spark.range(5), stays=True)
+        with pytest.raises(ValueError), session.passing(spark):
+            session.settle(spark.range(4))
+            raise ValueError
+        assert len(set(folder.iterdir()) - before) == 2
+    assert len(set(folder.iterdir()) - before) == 1 and kept.count() == 5
+    session.settle(spark.range(6))
+    assert len(set(folder.iterdir()) - before) == 2
