@@ -10,7 +10,7 @@ pairs few, frequent tokens are dealt by a hash into groups of about four; their
 two, and a set is indexed for its own size and for that of the largest set it may link to. Two sets that nearly link share most
 of their pairs, so each carries its ``LEAST`` lowest: where these show that both meet lower down, they don't meet again, and
 what they share is counted once for each two sets that met, in their frequent tokens. Should a heavy set's pairs still
-not suffice, it is compared with every set that shares a frequent token.
+not suffice, it meets every set that shares a frequent token, in the first of these and seldom in another.
 
 Only components are wanted, so near copies needn't meet all their like. First every set meets the most typical set that shares
 a few of its lowest tokens; what links there is joined up. After that only pairs of different components that share a
@@ -62,6 +62,8 @@ SIGNED_SETS = 128
 SKETCH = 8
 #: Lowest signatures of a set that travel with each of its others.
 LEAST = 4
+#: Frequent tokens of a set that travel with the next one.
+BEFORE = 16
 #: Upper bound of the bits of the set by which texts are fetched.
 MAX_BITS = 1 << 26
 _SPACE = np.zeros(256, dtype=bool)
@@ -401,6 +403,33 @@ def _meetings(sigs: DataFrame) -> DataFrame:
     return x.where("heavy_a").join(y.drop("level"), "sig").where(f"{once} AND c_a != c_b AND {_close()} AND {_FIRST_MEETING}")
 
 
+def _first_meetings(sets: DataFrame) -> DataFrame:
+    """Each set that ``lacks`` pairs (``_a``) with the sets of other components that share a frequent token and may link.
+
+    ``sets`` have their frequent ``tokens``. The first token that two sets share has none before it that both have, so they meet
+    only where none of the ``BEFORE`` last ones is shared: where they share many, hardly ever again. After the first only
+    so many can be shared as follow it in both; where these and the rare ones can't suffice, they don't meet.
+    """
+    rest = _zone_column(F.col("n")) - F.size("tokens")
+    kept = ["k", "n", "c", "lacks", *_SKETCH]
+    lined = sets.withColumn("tokens", F.sort_array("tokens")).select(*kept, rest.alias("rare"), "tokens", F.posexplode("tokens").alias("at", "token"))
+    before = F.slice("tokens", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    lined = lined.select("token", *kept, "rare", (F.size("tokens") - F.col("at")).alias("left"), before.alias("before"))
+    x, y = (lined.select("token", *[F.col(c).alias(f"{c}_{side}") for c in [*kept, "rare", "left", "before"]]) for side in "ab")
+    enough = least_shown() <= F.least("left_a", "left_b") + F.least("rare_a", "rare_b")
+    once = f"(k_a < k_b OR NOT lacks_b) AND c_a != c_b AND {_close()}"
+    return x.where("lacks_a").join(y, "token").where(once).where(enough).where("NOT arrays_overlap(before_a, before_b)")
+
+
+def least_shown() -> Column:
+    """How many prefix tokens two sets (``n_a``, ``n_b``) that link share at least.
+
+    Each misses at most n - 4/9 (n_a + n_b) tokens of the other; the one whose prefix ends first shows the rest in it.
+    """
+    together = F.ceil(4 * (F.col("n_a") + F.col("n_b")) / 9)
+    return F.least(*[_zone_column(F.col(f"n_{s}")) - (F.col(f"n_{s}") - together) for s in "ab"])
+
+
 def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs of sets in different components (``labels``) that may still link."""
     known = classes.select("k", "n", *_SKETCH).join(labels.select(F.col("node").alias("k"), "component"), "k", "left")
@@ -410,16 +439,15 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     counts = shared.groupBy("k").agg(F.count(F.when(F.col("df") >= RARE, 1)).alias("f"))
     known = settle(known.join(counts, "k").select("k", "n", "c", "f", *_SKETCH))
 
-    placed = shared.join(known, "k")
+    # sketches are most of a row: they are joined to those postings only that may meet another component's
+    placed = shared.select("token", "k", "df").join(known.select("k", "c"), "k")
     rare = placed.where(F.col("df") < RARE)
     mixed = rare.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
-    rare = settle(rare.join(mixed, "token").select("token", "k", "n", "c", "f", *_SKETCH))
+    rare = settle(rare.select("token", "k").join(mixed, "token")).join(known, "k")
     x, y = (rare.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "n", "c", "f", *_SKETCH)]) for side in "ab")
     met = x.join(y, "token").where(f"k_a < k_b AND c_a != c_b AND {_close()}")
     met = met.groupBy("k_a", "k_b", "n_a", "n_b", "f_a", "f_b").agg(F.count(F.lit(1)).alias("both"))
-    # each set misses at most n - 4/9 (n_a + n_b) tokens of the other; the one whose prefix ends first shows the rest in it
-    together = F.ceil(4 * (F.col("n_a") + F.col("n_b")) / 9)
-    shown = F.least(*[_zone_column(F.col(f"n_{s}")) - (F.col(f"n_{s}") - together) for s in "ab"])
+    shown = least_shown()
     met = settle(met)
     pairs = met.where(F.col("both") + F.least("f_a", "f_b") >= shown).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
 
@@ -436,19 +464,20 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     found = settle(sigs.join(mixed, "sig"))
     ends = [F.least("k_a", "k_b").alias("a"), F.greatest("k_a", "k_b").alias("b")]
     # never null, and said so: else Spark tests that first, for all that meet
-    near = _meetings(found).select(*ends, F.coalesce(shown, F.lit(0)).alias("shown")).distinct()
+    near = _meetings(found).select(*ends, F.coalesce(shown, F.lit(0)).alias("shown"))
+    lacking = settle(sigs.where("sig IS NULL").select("k", F.lit(True).alias("lacks")).distinct())
+    # of the sets that don't lack pairs only those with a token of one that does
+    theirs = frequent.select("token", "k").join(lacking, "k").select("token").distinct()
+    like = frequent.select("token", "k").join(theirs, "token").select("k").distinct()
+    like = sets.join(like, "k").join(lacking, "k", "left").join(tokens, "k").withColumn("lacks", F.coalesce("lacks", F.lit(False)))
+    first = _first_meetings(like).select(*ends, F.coalesce(shown, F.lit(0)).alias("shown"))
+    near = near.unionByName(first).distinct()
     # what must be shared and isn't rare is frequent: that is counted once for each pair
     for end in "ab":
         near = near.join(tokens.select(F.col("k").alias(end), F.col("tokens").alias(f"tokens_{end}")), end)
     near = near.join(met.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), "both"), ["a", "b"], "left")
     often = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    pairs = pairs.unionByName(near.where(often + F.coalesce("both", F.lit(0)) >= F.col("shown")).select("a", "b"))
-    lacking = sigs.where("sig IS NULL").select("k").distinct()
-    single = placed.where(F.col("df") >= RARE).select("token", "k", "n", "c", *_SKETCH)
-    x = single.join(lacking, "k").select("token", *[F.col(c).alias(f"{c}_a") for c in ("k", "n", "c", *_SKETCH)])
-    y = single.select("token", *[F.col(c).alias(f"{c}_b") for c in ("k", "n", "c", *_SKETCH)])
-    close = f"c_a != c_b AND {_close()}"
-    return pairs.unionByName(x.join(y, "token").where(close).select(*ends)).distinct()
+    return pairs.unionByName(near.where(often + F.coalesce("both", F.lit(0)) >= F.col("shown")).select("a", "b")).distinct()
 
 
 def hub_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:

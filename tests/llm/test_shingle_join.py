@@ -206,3 +206,24 @@ def test_keep_one_deals_only_rows_with_a_like_and_leaves_few_tables(spark, monke
 
 def rows_text(i):
     return " ".join(f"T{i}w{j}" for j in range(1, 9))
+
+
+def test_sets_without_enough_pairs_meet_few_times(spark):
+    """Sets that lack pairs meet all that share enough frequent tokens, and hardly ever twice."""
+    rng = random.Random(8)
+    common = sorted(rng.sample(range(10**15), 300))
+    n = 1_000  # 259 tokens are indexed, 148 of which sets that link share at least
+    rows = []
+    for k in range(40):
+        tokens = rng.sample(common, rng.choice([20, 120, 240, 259]))
+        rows.append((k, n, k // 2, k % 3 == 0, *[0] * sj.SKETCH, tokens))
+    longs = ", ".join(f"s{i} long" for i in range(sj.SKETCH))
+    sets = spark.createDataFrame(rows, f"k long, n long, c long, lacks boolean, {longs}, tokens array<long>").repartition(3)
+    met = [tuple(sorted(r)) for r in sj._first_meetings(sets).select("k_a", "k_b").collect()]
+    must = set()
+    for a, b in ((a, b) for b in range(40) for a in range(b) if (a % 3 == 0 or b % 3 == 0) and a // 2 != b // 2):
+        rare = 259 - max(len(rows[a][-1]), len(rows[b][-1]))
+        if len(set(rows[a][-1]) & set(rows[b][-1])) + rare >= 148:
+            must.add((a, b))
+    assert len(must) > 100 and must <= set(met)
+    assert len(met) < 3 * len(set(met))
