@@ -13,10 +13,13 @@ what they share is counted once for each two sets that met, in their frequent to
 not suffice, it meets every set that shares a frequent token, in the first of these and seldom in another.
 
 Only components are wanted, so near copies needn't meet all their like. First every set meets the most typical set that shares
-a few of its lowest tokens; what links there is joined up. After that only pairs of different components that share a
-token are counted, and kept if the number of shared prefix tokens can still reach the threshold. Every set carries a sketch of its
-whole contents: ``SKETCH`` longs whose bits say whether an odd number of its tokens fell on them. Two sketches differ in at most
-as many bits as the sets differ in tokens, so pairs whose sketches differ in more than a ninth of both sizes can't link and are left out
+a few of its lowest tokens; what links there is joined up. One set is typical for few of a large group, and pairs between the
+parts of one component grow with the square of its size. So parts then meet in rounds: by each frequent one of its lowest tokens a
+set is laid beside a few others, typical ones and others in each round, and each component meets the two larger ones to which a
+sketch of any of its sets is nearest. After that only pairs of different components that share a token are counted, and kept
+if the number of shared prefix tokens can still reach the threshold. That sketch is of a set's whole contents: ``SKETCH`` longs
+whose bits say whether an odd number of its tokens fell on them. Two sketches differ in at most as many bits as the sets differ in
+tokens, so pairs whose sketches differ in more than a ninth of both sizes can't link and are left out
 where they meet; the longer the sketch, the more of the pairs that can't link it tells. All other pairs are verified on whole texts.
 
 At scale: equal sets are one class, known by a 128-bit digest. Prefix tokens travel packed, in buckets by token whose number
@@ -38,7 +41,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +56,12 @@ RARE = 32
 LOW = 8
 BUCKET_POSTINGS = 300_000
 MIN_BUCKETS = 96
+#: Rounds in which components meet, and how many typical and other sets stand for a token in each.
+ROUNDS = 3
+TYPICAL = 8
+OTHERS = 24
+#: Larger components that one meets in a round.
+NEAREST = 2
 #: Postings that a task holds before it sends them, and bytes of text whose shingles it makes at once.
 TASK_POSTINGS = 200_000
 SLICE_BYTES = 1 << 17
@@ -135,10 +144,14 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 _SKETCH = [f"s{i}" for i in range(SKETCH)]
 
 
+def _differ(a: str = "_a", b: str = "_b") -> str:
+    """In how many bits two sketches differ."""
+    return "(" + " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in _SKETCH) + ")"
+
+
 def _close(a: str = "_a", b: str = "_b") -> str:
     """What two sets that link fulfil: sizes within the threshold, and sketches that differ in few bits."""
-    differ = " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in _SKETCH)
-    return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) AND 9 * ({differ}) <= n{a} + n{b}"
+    return f"5 * least(n{a}, n{b}) >= 4 * greatest(n{a}, n{b}) AND 9 * {_differ(a, b)} <= n{a} + n{b}"
 
 
 #: Two sets whose lowest signatures overlap meet in these only: of all that they share the lowest is among them.
@@ -287,12 +300,21 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, seed: i
         return sized.select("a", "b")
     keys = sized.select(F.col("a").alias("k")).unionByName(sized.select(F.col("b").alias("k"))).distinct()
     bits = spark.sparkContext.broadcast(_wanted_bits(keys))
+    # shingles are made only of texts whose id is that of a wanted set
+    hashed = [sized.select(F.xxhash64(f"id_{s}").alias("k")) for s in "ab"]
+    id_bits = spark.sparkContext.broadcast(_wanted_bits(hashed[0].unionByName(hashed[1]).distinct()))
+
+    def of_wanted_ids(batches):
+        for batch in batches:
+            spots = batch.column(2).to_numpy() % (len(id_bits.value) * 32)
+            keep = id_bits.value[spots >> 5] >> (spots & 31).astype(np.uint32) & np.uint32(1)
+            yield batch.select([0, 1]).filter(pa.array(keep.astype(bool)))
 
     def fetch(batches):
         wanted = bits.value
         size = len(wanted) * 32
         sent = set()
-        for batch in small_slices(batches, size=SLICE_BYTES):
+        for batch in small_slices(of_wanted_ids(batches), size=SLICE_BYTES):
             keep, ks = [], []
             for i, tokens in enumerate(shingle_sets(_texts(batch), seed)):
                 if len(tokens):
@@ -309,7 +331,7 @@ def verified(documents: DataFrame, pairs: DataFrame, classes: DataFrame, seed: i
                 yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), *rows.columns], ["k", "id", "text"])
 
     kind = dict(documents.dtypes)["id"]
-    texts = documents.mapInArrow(fetch, f"k bigint, id {kind}, text string")
+    texts = documents.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(fetch, f"k bigint, id {kind}, text string")
     left = texts.select(F.col("k").alias("a"), F.col("id").alias("at"), F.col("text").alias("text_a"))
     right = texts.select(F.col("k").alias("b"), F.col("id").alias("at"), F.col("text").alias("text_b"))
     met = sized.join(left, (sized["a"] == left["a"]) & sized["id_a"].eqNullSafe(left["at"])).select(
@@ -480,21 +502,74 @@ def candidate_pairs(shared: DataFrame, classes: DataFrame, labels: DataFrame) ->
     return pairs.unionByName(near.where(often + F.coalesce("both", F.lit(0)) >= F.col("shown")).select("a", "b")).distinct()
 
 
-def hub_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each set with the most typical set that has its low tokens, where they share two of these or more.
+def low_tokens(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """``token``, ``k``, ``df`` and ``typical`` of each set's lowest tokens.
 
     Typical is the set whose prefix tokens are the most shared: of a text and its edited copies that is the text itself,
     which all copies resemble though they may differ too much from each other.
     """
     weight = shared.groupBy("k").agg(F.sum("df").alias("weight")).join(classes.select("k", "n"), "k")
     typical = F.struct((F.col("weight") / _zone_column(F.col("n"))).alias("share"), "k").alias("typical")
-    low = shared.where("low").select("token", "k").join(weight.select("k", typical), "k")
-    low = settle(low.select("token", "k", "typical"))
+    low = shared.where("low").select("token", "k", "df").join(weight.select("k", typical), "k")
+    return settle(low.select("token", "k", "df", "typical"))
+
+
+def hub_pairs(low: DataFrame) -> DataFrame:
+    """Each set with the most typical set that has its low tokens, where they share two of these or more."""
     hubs = low.groupBy("token").agg(F.max("typical").alias("hub")).select("token", F.col("hub.k").alias("a"))
     met = low.select("token", "k").join(hubs, "token").where("k != a").groupBy("a", F.col("k").alias("b"))
     return met.agg(F.count(F.lit(1)).alias("both")).where("both > 1").select("a", "b")
 
 
+def nearest_pairs(low: DataFrame, classes: DataFrame, labels: DataFrame, turn: int = 0) -> DataFrame:
+    """For each component the nearest pairs with sets of the ``NEAREST`` larger ones that look nearest; most have none.
+
+    A set meets those that stand for its frequent low tokens: the ``TYPICAL`` most typical sets and ``OTHERS`` by a hash, which
+    changes with the ``turn``. Sets that rare tokens alone bring together are few and left to ``candidate_pairs``.
+    """
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    own = labels.join(sizes, "component").select(F.col("node").alias("k"), F.col("component").alias("c"), "size")
+    placed = low.where(F.col("df") >= RARE).join(own, "k", "left").select(
+        "token", "k", "typical", F.coalesce("c", "k").alias("c"), F.coalesce("size", F.lit(1)).alias("size")
+    )
+    mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("token")
+    placed = settle(placed.join(mixed, "token"))
+    by_token = Window.partitionBy("token")
+    first = placed.select("token", "k", F.row_number().over(by_token.orderBy(F.desc("typical"))).alias("at")).where(F.col("at") <= TYPICAL)
+    dealt = F.xxhash64("k", "token", F.lit(turn))
+    others = placed.select("token", "k", F.row_number().over(by_token.orderBy(dealt, "k")).alias("at")).where(F.col("at") <= OTHERS)
+    stand = first.unionByName(others).select("token", "k").distinct()
+    seen = placed.drop("typical").join(classes.select("k", "n", *_SKETCH), "k")
+    kept = ["k", "n", "c", "size", *_SKETCH]
+    x = seen.select("token", *[F.col(c).alias(f"{c}_a") for c in kept])
+    y = seen.join(stand, ["token", "k"]).select("token", *[F.col(c).alias(f"{c}_b") for c in kept])
+    met = x.join(y, "token").where(f"c_a != c_b AND (size_a < size_b OR size_a = size_b AND c_a < c_b) AND {_close()}")
+    far = F.expr(f"{_differ()} / (n_a + n_b)")
+    best = met.groupBy("c_a", "c_b").agg(F.min(F.struct(far.alias("far"), F.col("k_a").alias("a"), F.col("k_b").alias("b"))).alias("best"))
+    at = F.row_number().over(Window.partitionBy("c_a").orderBy("best"))
+    return best.select("best", at.alias("at")).where(F.col("at") <= NEAREST).select("best.a", "best.b")
+
+
+def joined_components(documents: DataFrame, shared: DataFrame, classes: DataFrame, seed: int = 0) -> DataFrame:
+    """Components (``node``, ``component``) by the links to hubs, then by those that rounds of nearest pairs find."""
+    low = low_tokens(shared, classes)
+    labels = connected_components(verified(documents, hub_pairs(low), classes, seed))
+    for turn in range(ROUNDS):
+        links = verified(documents, nearest_pairs(low, classes, labels, turn), classes, seed)
+        found = links.count()
+        if not found:
+            break
+        labels = connected_components(_with_links(labels, links), "node", "component")
+        if found < RARE:  # the rest are few pairs
+            break
+    return labels
+
+
+def _with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components stand for their members: edges from these to them, and the links."""
+    return labels.unionByName(links.select(F.col("a").alias("node"), F.col("b").alias("component")))
+
+
 def _components(documents: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """The set table; per class its key ``k``, ``first_id`` and component ``c``; the seed in use. Other tables are deleted."""
     spark = documents.sparkSession
@@ -512,12 +587,9 @@ def _components(documents: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFra
         buckets = max(MIN_BUCKETS, -(-int(total) // BUCKET_POSTINGS))
         with small_batches(spark):
             shared = settle(shared_tokens(documents, buckets, seed))
-        links = verified(documents, hub_pairs(shared, classes), classes, seed)
-        labels = connected_components(links)
+        labels = joined_components(documents, shared, classes, seed)
         rest = verified(documents, candidate_pairs(shared, classes, labels), classes, seed)
-        # components of the first step stand for their members
-        top = labels.unionByName(rest.select(F.col("a").alias("node"), F.col("b").alias("component")))
-        final = connected_components(top, "node", "component")
+        final = connected_components(_with_links(labels, rest), "node", "component")
         named = classes.join(final.select(F.col("node").alias("k"), "component"), "k", "left")
         named = settle(named.select("k", "first_id", F.coalesce("component", "k").alias("c")), stays=True)
     return sets.drop(*_SKETCH), named, seed

@@ -228,3 +228,45 @@ def test_sets_without_enough_pairs_meet_few_times(spark):
             must.add((a, b))
     assert len(must) > 100 and must <= set(met)
     assert len(met) < 3 * len(set(met))
+
+
+def test_parts_of_a_component_join_before_all_pairs_meet(spark, monkeypatch):
+    """Few of a large group link with its most typical set; the others join in rounds, so few pairs of them are left."""
+    monkeypatch.setattr(sj, "RARE", 8)
+    met, candidates = [], sj.candidate_pairs
+    monkeypatch.setattr(sj, "candidate_pairs", lambda *given: met.append(sj.settle(candidates(*given), stays=True)) or met[-1])
+    rng = random.Random(21)
+    base = text(rng, 150, 10**6)
+    rows = [(i, " ".join(changed(rng, base, 0.018))) for i in range(240)] + [(None, " ".join(base[:3]))] * 2
+    # typical in the tokens that are indexed, but with a tail of its own that nothing else has
+    rows += [(500 + i, " ".join(base + text(rng, 45, 10**6))) for i in range(6)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+    assert met[0].count() < 2 * len(rows)
+
+
+def test_nearest_pairs(spark, monkeypatch):
+    """Each component meets only larger ones, two at most, in pairs of sets that may link."""
+    monkeypatch.setattr(sj, "RARE", 8)
+    rng = random.Random(22)
+    base = text(rng, 150, 10**6)
+    rows = [(i, " ".join(changed(rng, base, 0.015))) for i in range(90)] + [(200 + i, " ".join(text(rng, 30, 10**6))) for i in range(9)]
+    made = dict(zip(range(99), sj.shingle_sets([t.encode() for _, t in rows])))
+    of = {sj.digest(s)[0]: s for s in made.values()}
+    documents = spark.createDataFrame([(i, t) for i, t in rows], "id long, text string")
+    sets = sj.settle(sj.set_table(documents))
+    low = sj.low_tokens(sj.settle(sj.shared_tokens(documents, 5)), sets)
+    assert low.where("df >= 8").count() > 0
+    near = [sj.digest(made[i])[0] for i in range(90)]
+    members = {min(near[:30]): near[:30], min(near[30:45]): near[30:45]}
+    labels = spark.createDataFrame([(k, c) for c, ks in members.items() for k in ks], "node long, component long")
+    component = {k: c for c, ks in members.items() for k in ks}
+    size = {c: len(ks) for c, ks in members.items()}
+    turns = [sorted(map(tuple, sj.nearest_pairs(low, sets, labels, turn).collect())) for turn in (0, 1)]
+    assert turns[0] != turns[1]
+    for pairs in turns:
+        of_component = {}
+        for a, b in pairs:
+            c, d = component.get(a, a), component.get(b, b)
+            assert c != d and (size.get(c, 1), c) < (size.get(d, 1), d) and len(np.intersect1d(of[a], of[b])) > 0
+            of_component.setdefault(c, []).append(d)
+        assert all(len(set(ds)) == len(ds) <= 2 for ds in of_component.values()) and len(of_component) > 20
