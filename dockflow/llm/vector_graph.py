@@ -44,6 +44,8 @@ MAX_CENTROIDS, MAX_PARTS, PART_SAMPLE = 512, 32, 1_024
 OVERLAP, DEGREE, BEAM, ALPHA = 2, 24, 12, 1.2
 AUDITED = 128
 QUERIES = 256
+#: Links followed, and pairs measured, at once in a search; rows whose distances to centroids are held at once.
+LINKS, MEASURED, PLACED_ROWS = 1 << 18, 1 << 13, 1_024
 #: Centroids whose classes are compared in blocks together (divides ``MAX_CENTROIDS``), and the most classes of a block.
 GROUP, BLOCK = 16, 8_000
 #: Angles are rounded; so much is added to the margin.
@@ -74,15 +76,21 @@ def fit_centroids(points: np.ndarray, k: int, seed: int = 0, rounds: int = 8) ->
 
 def near_centroids(points: np.ndarray, centroids: np.ndarray, margin: float) -> list[np.ndarray]:
     """Per point its nearest centroid and all those within the margin of it, nearest first."""
-    angles = np.arccos(np.clip(points @ centroids.T, -1, 1))
-    order = np.argsort(angles, axis=1, kind="stable")
-    within = (angles <= angles.min(axis=1, keepdims=True) + margin + SLACK).sum(axis=1)
-    return [o[:n] for o, n in zip(order, within)]
+    out = []
+    for begin in range(0, len(points), PLACED_ROWS):
+        angles = np.arccos(np.clip(points[begin : begin + PLACED_ROWS] @ centroids.T, -1, 1))
+        order = np.argsort(angles, axis=1, kind="stable")
+        within = (angles <= angles.min(axis=1, keepdims=True) + margin + SLACK).sum(axis=1)
+        out += [o[:n].copy() for o, n in zip(order, within)]
+    return out
 
 
 def robust_prune(points: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
     """Neighbours of every node, from all others."""
-    distance = np.sqrt(np.maximum(2 - 2 * (points @ points.T), 0))
+    distance = points @ points.T
+    distance *= -2
+    distance += 2
+    np.sqrt(np.maximum(distance, 0, out=distance), out=distance)
     np.fill_diagonal(distance, np.inf)
     out = []
     for i in range(len(points)):
@@ -98,21 +106,44 @@ def robust_prune(points: np.ndarray, degree: int, alpha: float) -> list[np.ndarr
     return out
 
 
+def similarities(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows ``a`` of ``left`` and ``b`` of ``right``, pair by pair; few rows are gathered at once."""
+    out = np.empty(len(a), dtype=left.dtype)
+    for i in range(0, len(a), MEASURED):
+        s = slice(i, i + MEASURED)
+        out[s] = np.einsum("ij,ij->i", left[a[s]], right[b[s]])
+    return out
+
+
 def range_search(
-    points: np.ndarray, table: np.ndarray, starts: np.ndarray, queries: np.ndarray, threshold: float, beam: int,
+    points: np.ndarray, links: tuple[np.ndarray, np.ndarray], starts: np.ndarray, queries: np.ndarray, threshold: float, beam: int,
     slack: float = 0.02,
 ):
     """Pairs (query, node) with a similarity of ``threshold`` or more, found along the graph.
 
-    ``table`` holds the neighbours of each node, filled up with the node itself. Queries are nodes; each begins at
-    ``starts`` and at itself.
+    ``links`` holds all nodes' neighbours, node by node, and where each node's begin and the last's end. Queries are nodes; each
+    begins at ``starts`` and at itself. About
+    ``LINKS`` links are followed at once, besides those of a single node or of a query's next step, so that neither many links of a
+    node nor many nodes in range make large tables.
     """
     q, n = len(queries), len(points)
-    seen = np.zeros((q, n), dtype=bool)
+    to, ends = links
+    degree = np.diff(ends)
+    seen = np.zeros(q * n, dtype=bool)
     rows = np.arange(q)[:, None]
 
     def look(who, nodes):
-        return np.einsum("ij,ij->i", points[queries[who]], points[nodes])
+        return similarities(points, queries[who], points, nodes)
+
+    def unseen(who, nodes):
+        """Neighbours of the nodes that their query has not seen, once each; they are seen now."""
+        many = degree[nodes]
+        total = int(many.sum())
+        place = np.arange(total) + np.repeat(ends[nodes] - np.cumsum(many) + many, many)
+        flat = np.repeat(who * n, many) + to[place]
+        flat = np.unique(flat[~seen[flat]])
+        seen[flat] = True
+        return flat // n, flat % n
 
     first = np.concatenate([np.broadcast_to(starts, (q, len(starts))), queries[:, None]], axis=1)
     width = max(beam, first.shape[1])
@@ -121,7 +152,7 @@ def range_search(
     ids[:, : first.shape[1]] = first
     near[:, : first.shape[1]] = look(np.repeat(np.arange(q), first.shape[1]), first.ravel()).reshape(first.shape)
     done = np.zeros((q, width), dtype=bool)
-    seen[rows, first] = True
+    seen[(rows * n + first).ravel()] = True
     hits = [(np.repeat(np.arange(q), first.shape[1])[near[:, : first.shape[1]].ravel() >= threshold], first.ravel()[near[:, : first.shape[1]].ravel() >= threshold])]
     while True:
         open_ = np.where(done | (ids < 0), -np.inf, near)
@@ -130,16 +161,9 @@ def range_search(
         if not len(active):
             break
         done[active, pick[active]] = True
-        around = table[ids[active, pick[active]]]
-        who = np.repeat(active, around.shape[1])
-        nodes = around.ravel()
-        fresh = ~seen[who, nodes]
-        who, nodes = who[fresh], nodes[fresh]
-        flat = np.unique(who * n + nodes)
-        who, nodes = flat // n, flat % n
+        who, nodes = unseen(active, ids[active, pick[active]])
         if not len(who):
             continue
-        seen[who, nodes] = True
         value = look(who, nodes)
         good = value >= threshold
         hits.append((who[good], nodes[good]))
@@ -155,17 +179,19 @@ def range_search(
     who, nodes = (np.concatenate(x) for x in zip(*hits))
     found_who, found_nodes = [who], [nodes]
     while len(who):  # on from what is in range, over nodes just outside it too
-        around = table[nodes]
-        flat = np.unique((who[:, None] * n + around).ravel())
-        who, nodes = flat // n, flat % n
-        fresh = ~seen[who, nodes]
-        who, nodes = who[fresh], nodes[fresh]
-        seen[who, nodes] = True
-        value = look(who, nodes)
-        good = value >= threshold
-        found_who.append(who[good])
-        found_nodes.append(nodes[good])
-        who, nodes = who[value >= threshold - slack], nodes[value >= threshold - slack]
+        upto = np.cumsum(degree[nodes])
+        cuts = np.flatnonzero(np.diff(upto // LINKS, prepend=0))
+        next_who, next_nodes = [], []
+        for begin, end in zip([0, *cuts], [*cuts, len(who)]):
+            some, fresh = unseen(who[begin:end], nodes[begin:end])
+            value = look(some, fresh)
+            good = value >= threshold
+            found_who.append(some[good])
+            found_nodes.append(fresh[good])
+            near_by = value >= threshold - slack
+            next_who.append(some[near_by])
+            next_nodes.append(fresh[near_by])
+        who, nodes = np.concatenate(next_who), np.concatenate(next_nodes)
     return np.concatenate(found_who), np.concatenate(found_nodes)
 
 
@@ -301,35 +327,25 @@ def _search(threshold: float, beam: int):
         exact = unit_rows(table.column("vector").to_pylist())
         points = exact.astype(np.float32)
         copies, block = table.column("copies").to_numpy(), table.column("block").to_numpy()
-        lists = [np.array(v, dtype=np.int64) for v in table.column("near").to_pylist()]
-        flat = np.concatenate(lists) if n else np.zeros(0, dtype=np.int64)
-        owner = np.repeat(np.arange(n), [len(v) for v in lists])
+        near = table.column("near").combine_chunks()
+        flat, owner = near.flatten().to_numpy(), np.repeat(np.arange(n), near.value_lengths().to_numpy())
         at = np.minimum(np.searchsorted(c, flat), n - 1)
         here = c[at] == flat
-        owner, at = owner[here], at[here]
-        width = int(np.bincount(owner, minlength=n).max(initial=1))
-        graph = np.repeat(np.arange(n)[:, None], max(width, 1), axis=1)
-        graph[owner, np.arange(len(owner)) - np.searchsorted(owner, owner)] = at
+        graph = at[here], np.concatenate([[0], np.cumsum(np.bincount(owner[here], minlength=n))])
         mean = points.mean(axis=0)
         medoids = np.unique([np.flatnonzero(block == b)[(points[block == b] @ mean).argmax()] for b in np.unique(block)])
         homes = table.column("shards").to_pylist()
         width = max(len(h) for h in homes)
         home = np.array([h + [-1] * (width - len(h)) for h in homes])
-        links = np.zeros(n, dtype=np.int64)
-        low, high = [], []
+        links, label = np.zeros(n, dtype=np.int64), np.arange(n)
         for begin in range(0, n, QUERIES):
             queries = np.arange(begin, min(begin + QUERIES, n))
             who, node = range_search(points, graph, medoids, queries, threshold - 1e-4, beam)
             who = queries[who]
-            other = who != node
-            who, node = who[other], node[other]
-            sure = np.zeros(len(who), dtype=bool)
-            for i in range(0, len(who), 65_536):
-                s = slice(i, i + 65_536)
-                sure[s] = np.einsum("ij,ij->i", exact[who[s]], exact[node[s]]) >= threshold
+            sure = (who != node) & (similarities(exact, who, exact, node) >= threshold)
             who, node = who[sure], node[sure]
-            low.append(who)
-            high.append(node)
+            if len(who):  # pairs of earlier queries are kept as labels only
+                label = smallest_reached(n, np.concatenate([who, np.arange(n)]), np.concatenate([node, label]))
             # counted where both meet first
             mine = (block[who] != block[node]) if x != y else np.ones(len(who), dtype=bool)
             for i in range(home.shape[1]):
@@ -337,8 +353,7 @@ def _search(threshold: float, beam: int):
                     both = home[who, i] == home[node, j]
                     mine &= ~(both & (home[who, i] >= 0) & (home[who, i] < shard))
             np.add.at(links, who[mine], copies[node[mine]])
-        reached = smallest_reached(n, np.concatenate(low), np.concatenate(high)) if low else np.arange(n)
-        return pa.table({"c": pa.array(c), "links": pa.array(links), "reached": pa.array(c[reached])})
+        return pa.table({"c": pa.array(c), "links": pa.array(links), "reached": pa.array(c[label])})
 
     return search
 
@@ -380,10 +395,7 @@ def _compare(threshold: float):
             # those that met before a division are counted in the first shard divided
             apart &= least == (-low - 1 if low < 0 else np.iinfo(np.int64).max)
             a, b = a[apart], b[apart]
-            sure = np.zeros(len(a), dtype=bool)
-            for i in range(0, len(a), 65_536):
-                s = slice(i, i + 65_536)
-                sure[s] = np.einsum("ij,ij->i", exact[a[s]], exact[b[s]]) >= threshold
+            sure = similarities(exact, a, exact, b) >= threshold
             a, b = a[sure], b[sure]
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])

@@ -1,6 +1,9 @@
 """Near-duplicate vectors against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +126,35 @@ def test_audit_sees_lost_pairs_beside_a_ball(spark):
 def test_all_pairs_are_compared_after_the_last_try(spark):
     rows, df = ball_and_pairs(spark)
     assert got(df, target=100, degree=1, beam=1, recall=1.01, tries=1, block=90) == brute(rows)
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_dense_shard_is_built_and_searched_in_little_memory():
+    """All 700 link with all: neither nodes with many neighbours nor many pairs in range make large tables."""
+    rng = np.random.default_rng(0)
+    n = 700
+    points = vg.unit_rows(rng.normal(size=(1, 64)) + rng.normal(size=(n, 64)) * 0.08)
+    shard = pa.table({"c": pa.array(np.arange(n)), "vector": pa.array(points.tolist(), pa.list_(pa.float64()))})
+    lists, built = peak_mb(lambda: vg._build(24, 1.2)(None, shard))
+    shard = shard.append_column("near", lists["near"]).append_column("copies", pa.array(np.ones(n, dtype=np.int64)))
+    shard = shard.append_column("block", pa.array(np.zeros(n, dtype=np.int64))).append_column("shards", pa.array([[0]] * n, pa.list_(pa.int64())))
+    key = [pa.scalar(0), pa.scalar(0), pa.scalar(0)]
+    out, searched = peak_mb(lambda: vg._search(0.95, 12)(key, shard))
+    assert out["links"].to_pylist() == ((points @ points.T >= 0.95).sum(axis=1) - 1).tolist() and min(out["links"].to_pylist()) > 600
+    assert set(out["reached"].to_pylist()) == {0}
+    assert built < 30 and searched < 100
+
+
+def test_nearest_centroids_of_many_points_in_little_memory():
+    rng = np.random.default_rng(1)
+    points, centroids = (vg.unit_rows(rng.normal(size=(k, 8))) for k in (6_000, 400))
+    near, mb = peak_mb(lambda: vg.near_centroids(points, centroids, 0.05))
+    assert mb < 40 and [x[0] for x in near] == (points @ centroids.T).argmax(axis=1).tolist()
