@@ -3,21 +3,22 @@
 The detector sees only (idle run, quarter, weekday, hour). So a station's rows are first counted per combination, which
 combines before the shuffle and leaves at most ``(max_idle + 1) * 4 * 7 * 24`` rows per station (97,440 by default)
 however long its history. Scaling, components, trees and the threshold are computed from these counts, which
-gives the same result as from the rows. All is column expressions and aggregates but the drawing of rows and the growth of
-the trees, which run in Python station by station, in tasks.
+gives the same result as from the rows. All is column expressions and aggregates but the drawing of rows, the growth of the trees
+and the scores behind the threshold, which are made in Python station by station, in tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dockflow.functions.calendar import get_encoding_time, iso_weekday, process_data_cluster
 from dockflow.functions.scalars import anomaly_probability
 from dockflow.models.components import coordinates, principal_components
-from dockflow.models.isolation import SAMPLE, TREES, as_arrays, counted_percentile, draw, grow, score_sql
+from dockflow.models.isolation import SAMPLE, TREES, fit, score_sql
 from dockflow.operators.filters import filter_periode, usable_rows
 from dockflow.operators.lookups import with_profile
 from dockflow.operators.profile import idle_percentile
@@ -71,18 +72,28 @@ def feature_moments(counted: DataFrame, key: str = "station_id") -> DataFrame:
     Two passes over the counts, so a constant feature gets a variance of 0. Values are rounded to nine places: the order
     in which partial sums meet must not turn components of equal variance.
     """
-    encoded = add_encodings(counted)
+    run, calendar = DETECTOR_FEATURES.index(RUN), COMBINATION[1:]
     n = F.sum("rows")
-    means = encoded.groupBy(key).agg(
-        n.alias("_n"),
-        *[F.round(F.sum(F.col("rows") * F.col(f)) / n, 9).alias(f"_mean_{i}") for i, f in enumerate(DETECTOR_FEATURES)],
+    # rows of the same quarter, weekday and hour differ in the idle run only: few are left for the sums of products
+    summed = counted.groupBy(key, *calendar).agg(n.alias("rows"), F.sum(F.col("rows") * F.col(RUN)).alias("_sum"))
+    total = [F.col("_sum") if i == run else F.col("rows") * F.col(f) for i, f in enumerate(DETECTOR_FEATURES)]
+    means = add_encodings(summed).groupBy(key).agg(
+        n.alias("_n"), *[F.round(F.sum(t) / n, 9).alias(f"_mean_{i}") for i, t in enumerate(total)]
     )
-    gaps = [F.col(f) - F.col(f"_mean_{i}") for i, f in enumerate(DETECTOR_FEATURES)]
-    centred = encoded.join(means, key)
+    gap = F.col(RUN) - F.col(f"_mean_{run}")
+    apart = counted.join(means.select(key, f"_mean_{run}"), key).groupBy(key, *calendar).agg(
+        n.alias("rows"), F.sum(F.col("rows") * gap).alias("_gap"), F.sum(F.col("rows") * gap * gap).alias("_square")
+    )
+    gaps = [F.col(f) - F.col(f"_mean_{i}") if i != run else None for i, f in enumerate(DETECTOR_FEATURES)]
+    centred = add_encodings(apart).join(means, key)
+
+    def product(i: int, j: int) -> Column:
+        if i == j == run:
+            return F.col("_square")
+        return F.col("_gap") * gaps[j if i == run else i] if run in (i, j) else F.col("rows") * gaps[i] * gaps[j]
+
     pairs = [
-        F.round(F.sum(F.col("rows") * gaps[i] * gaps[j]) / F.sum("rows"), 9).alias(f"_c_{i}_{j}")
-        for i in range(len(gaps))
-        for j in range(i, len(gaps))
+        F.round(F.sum(product(i, j)) / F.sum("rows"), 9).alias(f"_c_{i}_{j}") for i in range(len(gaps)) for j in range(i, len(gaps))
     ]
     mean_columns = [f"_mean_{i}" for i in range(len(gaps))]
     out = centred.groupBy(key, "_n", *mean_columns).agg(*pairs)
@@ -107,7 +118,8 @@ def contamination(
     key: str = "station_id",
 ) -> DataFrame:
     """Expected share of anomalies per station: rows idle for longer than the limit of the station's label."""
-    labelled = with_profile(counted, profile, label, key)
+    runs = counted.groupBy(key, RUN).agg(F.sum("rows").alias("rows"))  # the limit looks at nothing else
+    labelled = with_profile(runs, profile, label, key)
     limits = F.create_map(*[F.lit(item) for pair in rules.items() for item in pair])
     limited = labelled.withColumn("_limit", limits[F.col("profile_station_activity")])
     share = idle_percentile(limited, F.col("_limit"), RUN, key, weight="rows")
@@ -143,27 +155,28 @@ def train_cluster_station(
         df = df.where(F.col("station_id") == station_id)
     # small, and read by the moments, the contamination and the trees: computed once
     counted = settle(count_combinations(training_rows(df, period, non_use_station_id, max_idle)))
-    moments = feature_moments(counted).withColumn("_p", principal_components("mean", "covariance", "rows"))
+    moments = spread(feature_moments(counted), "station_id").withColumn("_p", principal_components("mean", "covariance", "rows"))
     setup = moments.join(contamination(counted, profile, profile_station_activity, rules), "station_id")
     setup = settle(setup.select(
         "station_id", F.col("rows").alias("total"), F.least(F.col("rows"), F.lit(sample)).cast("int").alias("size"), "contamination",
         _reason("contamination").alias("reason"), "mean", F.col("_p.scale").alias("scale"), F.col("_p.components").alias("components"),
     ))
-    values = F.array(*[F.col(f).cast("double") for f in DETECTOR_FEATURES])
-    placed = add_encodings(counted).withColumn("_values", values).join(setup, "station_id")
-    points = placed.select("station_id", *COMBINATION, "rows", "total", F.expr(coordinates("_values")).alias("point"))
-    sizes = setup.select("station_id", "size")
-    nodes = grow(draw(points, list(COMBINATION), seed, trees, sample), sizes, len(DETECTOR_FEATURES), seed, sample)
-    models = setup.join(as_arrays(nodes, sizes, trees), "station_id").select(
-        F.col("station_id").cast("int").alias("station_id"), F.col("total").alias("rows"), F.col("size").alias("sample_rows"), "contamination",
-        "reason", "mean", "scale", "components", "split_feature", "split_at", "path_length",
-    )
-    # read by the threshold and given back: grown once
-    models = settle(models)
-    scored = _scores(counted, models.where("reason IS NULL"), "contamination", "rows")
-    threshold = counted_percentile(scored, "score", "contamination")
-    columns = [c.split()[0] for c in MODEL_SCHEMA.split(", ")]
-    return models.join(threshold, "station_id", "left").select(*columns)
+    models = fit(counted, setup, list(COMBINATION), _features(df.sparkSession), seed, trees, sample)
+    models = models.withColumns({"station_id": F.col("station_id").cast("int"), "rows": F.col("total"), "sample_rows": F.col("size")})
+    # written: later steps read it more than once, and the trees are grown once
+    return settle(models.select(*[c.split()[0] for c in MODEL_SCHEMA.split(", ")]))
+
+
+def _features(spark: SparkSession) -> Callable[[list[np.ndarray]], np.ndarray]:
+    """Makes rows of ``DETECTOR_FEATURES`` from columns of ``COMBINATION``, with the sines and cosines that Spark has."""
+    steps = spark.range(25).select(*[F.col("id").alias(c) for c in COMBINATION[1:]])
+    known = {f: [r[f] for r in rows] for rows in [add_encodings(steps).orderBy("hours").collect()] for f in DETECTOR_FEATURES if f != RUN}
+
+    def made(columns: list[np.ndarray]) -> np.ndarray:
+        of = dict(zip(COMBINATION, columns))
+        return np.stack([of[RUN].astype(float) if f == RUN else np.array(known[f])[of[f.partition("_")[2]]] for f in DETECTOR_FEATURES], axis=1)
+
+    return made
 
 
 def _scores(combos: DataFrame, models: DataFrame, column: str, *carried: str) -> DataFrame:

@@ -2,11 +2,13 @@ import hashlib
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dockflow.functions.calendar import process_data_cluster
 from dockflow.models import anomaly, isolation
+from dockflow.models.components import coordinates
 from dockflow.plans.learning import run_train_cluster
 from dockflow.schemas import DETECTOR_FEATURES
 from dockflow.sources.writers import export_model, load_model
@@ -274,3 +276,49 @@ def test_trees_grow_in_one_pass_dealt_by_station(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and plan.count("FlatMapGroupsInArrow") == 2
     assert [(r.place, r.feature, r.path) for r in made.where("place = 0").collect()] == [(0, -1, 1.0)]
+
+
+def test_fit_gives_what_its_steps_give(spark, activity, models):
+    """Trees, scores and threshold of the one pass are those of drawing, growing and scoring one after the other."""
+    counted = anomaly.count_combinations(anomaly.training_rows(activity)).cache()
+    values = F.array(*[F.col(f).cast("double") for f in DETECTOR_FEATURES])
+    setup = models.select("station_id", F.col("rows").alias("total"), F.col("sample_rows").alias("size"), "mean", "scale", "components")
+    placed = anomaly.add_encodings(counted).withColumn("_values", values).join(setup, "station_id")
+    points = placed.select("station_id", *anomaly.COMBINATION, "rows", "total", F.expr(coordinates("_values")).alias("point"))
+    sizes = setup.select("station_id", "size")
+    drawn = isolation.draw(points, list(anomaly.COMBINATION), anomaly.SEED)
+    arrays = isolation.as_arrays(isolation.grow(drawn, sizes, len(DETECTOR_FEATURES), anomaly.SEED), sizes)
+    names = ["station_id", "split_feature", "split_at", "path_length"]
+    assert sorted(arrays.select(*names).collect()) == sorted(models.select(*names).collect())
+    scored = anomaly._scores(counted, models.where("reason IS NULL"), "contamination", "rows")
+    wanted = {r.station_id: r.threshold for r in isolation.counted_percentile(scored, "score", "contamination").collect()}
+    assert wanted and {r.station_id: r.threshold for r in models.where("threshold IS NOT NULL").collect()} == wanted
+
+
+def test_training_deals_combinations_once_and_shuffles_no_scores(activity, monkeypatch):
+    plans = []
+
+    def settled(df, stays=False, settle=anomaly.settle):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df, stays)
+
+    monkeypatch.setattr(anomaly, "settle", settled)
+    assert anomaly.train_cluster_station(activity.where("station_id = 8"), profile_station_activity="very high").count() == 1
+    whole = "\n".join(plans)
+    assert whole.count("FlatMapCoGroupsInArrow") == 1 and "FlatMapGroupsInArrow" not in whole
+    assert "Window" not in whole and "explode" not in whole and "_each" not in whole
+
+
+def test_digests_of_many_texts():
+    texts = [f"42:{i % 1200}:{i}" for i in range(20_000)] + ["", "é", "x" * 50]
+    wanted = [hashlib.md5((t + end).encode()).digest() for end in (":3", ":cut") for t in texts]
+    assert isolation.digests(pa.array(texts), ":3", ":cut").tobytes() == b"".join(wanted)
+    long = ["x" * n for n in range(130)]
+    assert isolation.digests(pa.array(long), "").tobytes() == b"".join(hashlib.md5(t.encode()).digest() for t in long)
+    assert isolation.digests(pa.array(texts)[5:9], "").tobytes() == b"".join(hashlib.md5(t.encode()).digest() for t in texts[5:9])
+
+
+def test_rounding_as_spark_does(spark):
+    values = [0.0000000005, 1.0000000005, -1.0000000005, 2.0000000015, 0.1234567895, 1.0000000004999, *np.random.default_rng(2).normal(size=200).tolist()]
+    wanted = spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 9)).collect()
+    assert isolation.rounded_half_up(np.array(values)).tolist() == [r[0] for r in wanted]
